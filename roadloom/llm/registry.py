@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from roadloom.llm import exact_dedup
+from roadloom.llm import exact_dedup, mixing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.QUERY,
+    "op9_mixing": mixing.query,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
