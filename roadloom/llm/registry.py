@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from roadloom.llm import exact_dedup, mixing
+from roadloom.llm import exact_dedup, langid, mixing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.QUERY,
     "op9_mixing": mixing.query,
+    "op10_langid": langid.query,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
