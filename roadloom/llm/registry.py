@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from roadloom.llm import exact_dedup, langid, mixing
+from roadloom.llm import exact_dedup, langid, mixing, neardup
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.QUERY,
+    "op6_minhash": neardup.query,
     "op9_mixing": mixing.query,
     "op10_langid": langid.query,
 }
