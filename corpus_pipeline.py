@@ -1,13 +1,55 @@
-"""The corpus pipeline; its stages are added as their operators arrive."""
+"""The corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing, SentencePiece encoding.
+
+Each stage reads all that its predecessor kept, as a Parquet table in the shared folder, and returns the columns
+of `documents`; the last adds n_tokens, piece_ids and round_trip.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.llm import exact_dedup, langid, mixing, neardup, pieces
+from roadloom.llm.common import table_path
+
+#: A document is rejected when no language is determined, or the best one holds less than this share of its bytes.
+MIN_LANG_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the byte network determines; it learns from the stage's own labelled rows."""
+    found = langid.identify(docs, langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANG_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact_dedup.Deduped(docs, keep="largest").keep_rows()
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.NearDup(docs).keep_rows()
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their piece ids."""
+    return pieces.encode(docs)
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = table_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from roadloom.llm import exact_dedup, langid, mixing, neardup
+from roadloom.llm import exact_dedup, langid, mixing, neardup, pieces
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.QUERY,
     "op6_minhash": neardup.query,
+    "op8_pieces": pieces.query,
     "op9_mixing": mixing.query,
     "op10_langid": langid.query,
 }
