@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from roadloom.llm import exact_dedup, langid, mixing, neardup, pieces
+from roadloom.llm import chat, exact_dedup, langid, media, mixing, neardup, pieces, secrets, token_counts, toxicity
 
 QUERIES = {
+    "op1_chat": chat.query,
+    "op2_toxicity": toxicity.query,
+    "op3_media": media.query,
     "op4_exact_dedup": exact_dedup.QUERY,
+    "op5_token_counts": token_counts.query,
     "op6_minhash": neardup.query,
+    "op7_secrets": secrets.query,
     "op8_pieces": pieces.query,
     "op9_mixing": mixing.query,
     "op10_langid": langid.query,
