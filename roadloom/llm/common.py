@@ -100,6 +100,16 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def attach(docs: DataFrame, column, fields: list[str]) -> DataFrame:
+    """All columns of `docs` and the fields of a struct column; a field replaces a column of its name."""
+    mine = [c for c in docs.columns if c.lower() not in {f.lower() for f in fields}]
+    name = "_attached"
+    while name in docs.columns:
+        name += "_"
+    out = docs.select(*(docs[f"`{c}`"] for c in mine), column.alias(name))
+    return out.select(*(F.col(f"`{c}`") for c in mine), *(F.col(f"{name}.{f}").alias(f) for f in fields))
+
+
 def held_out(doc_id) -> object:
     """True for rows whose crc32(doc_id as text) mod 3 is 1; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1

@@ -123,7 +123,7 @@ def digested(docs: DataFrame, keep: str, digest_bits: int = 128) -> DataFrame:
     """All columns as struct `row`, the text, its SHA-256, the digest halves hi and lo, and the identifier used."""
     text = F.coalesce(docs["text"], F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
-    out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text.alias("txt"), sha.alias("sha"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID[keep])).alias("id"))
+    out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), text.alias("txt"), sha.alias("sha"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID[keep])).alias("id"))
     half = lambda k: F.expr(f"cast(conv(substr(sha, {16 * k + 1}, 8), 16, 10) as bigint) * 2147483648L + shiftright(cast(conv(substr(sha, {16 * k + 9}, 8), 16, 10) as bigint), 1)")
     hi, lo = half(0), half(1)
     if digest_bits < 63:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import held_out, session
+from roadloom.llm.common import attach, held_out, session
 
 HIDDEN, WINDOW, LANES = 6, 128, 2048
 SAMPLE_PER_LANG = 300
@@ -213,7 +213,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, steps: int = 260, ba
 
 
 def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """All columns of `docs` with lang_pred and score."""
+    """All columns of `docs` with lang_pred and score (replacing columns of those names)."""
     spark = session(docs)
     shared = spark.sparkContext.broadcast(tagger)
     @F.pandas_udf("lang_pred string, score double")
@@ -221,8 +221,7 @@ def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
         return label_texts(shared.value, text.tolist())
 
     lettered = F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False))
-    out = docs.select(*(docs[c] for c in docs.columns), predict(F.when(lettered, docs["text"])).alias("_predicted"))
-    return out.select(*docs.columns, F.col("_predicted.lang_pred"), F.col("_predicted.score"))
+    return attach(docs, predict(F.when(lettered, docs["text"])), ["lang_pred", "score"])
 
 
 def label_texts(tagger: Tagger, texts: list) -> pd.DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import session
+from roadloom.llm.common import attach, session
 
 UNIT, RATE = 64, 8000
 FRAME, HOP, FAN, BLOCK_FRAMES = 1024, 1024, 2, 512
@@ -110,6 +110,7 @@ def summary(times: np.ndarray, hashes: np.ndarray) -> str:
 
 
 _SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FIELDS = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def store(docs: DataFrame, media: bool = True) -> DataFrame:
@@ -127,10 +128,9 @@ def store(docs: DataFrame, media: bool = True) -> DataFrame:
             times, hashes = fingerprint(np.frombuffer(payload, np.uint8))
             row = [len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), summary(times, hashes)]
             out.append(row + [[{"time": a, "hash": h} for a, h in zip(times.tolist(), hashes.tolist(), strict=True)], wav] if media else row)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")] + ["fingerprint", "media"] * media)
+        return pd.DataFrame(out, columns=_FIELDS + ["fingerprint", "media"] * media)
 
-    out = docs.select(*(docs[c] for c in docs.columns), stored(docs["text"]).alias("_stored"))
-    return out.select(*docs.columns, "_stored.*")
+    return attach(docs, stored(docs["text"]), _FIELDS + ["fingerprint", "media"] * media)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -126,9 +126,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it. Rows sharing an identifier share its largest count."""
-    copies = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("times")).withColumnRenamed("doc_id", "mix_id")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*(docs[c] for c in docs.columns))
+    copies = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_times")).withColumnRenamed("doc_id", "_mix_id")
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
+    return out.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), copies["_times"])).alias("_copy")).select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import session
+from roadloom.llm.common import attach, session
 from roadloom.llm.vocab import MODEL_FILE, SPACE, Pieces, load
 
 LONG = 40
@@ -199,7 +199,6 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, check: bool = True) ->
     """All columns of `docs` with n_tokens, piece_ids and, where `check`, round_trip: decoding gave the text back."""
     spark = session(docs)
     vocab = spark.sparkContext.broadcast(load(model_file))
-    name = next(n for n in ("_encoded", "_encoded_pieces") if n not in docs.columns)
 
     codecs: list = []
 
@@ -217,9 +216,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, check: bool = True) ->
             parts.append(pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), same], ["n_tokens", "piece_ids", "round_trip"]))
         return pa.concat_arrays(parts)
 
-    out = docs.select(*(docs[c] for c in docs.columns), encoded(docs["text"]).alias(name))
-    new = ["n_tokens", "piece_ids", *["round_trip"] * check]
-    return out.select(*(c for c in docs.columns if c not in new), *(F.col(f"{name}.{c}") for c in new))
+    return attach(docs, encoded(docs["text"]), ["n_tokens", "piece_ids", *["round_trip"] * check])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import session
+from roadloom.llm.common import attach, session
 from roadloom.llm.vocab import MODEL_FILE, SPACE, Pieces, load
 
 MAX_NODES = 1_500_000
@@ -84,8 +84,7 @@ def count_tokens(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
             tries.append(Trie(vocab.value))
         return pd.DataFrame([tries[0].tokens(t) for t in text.tolist()], columns=["n_words", "n_tokens"])
 
-    out = docs.select(*(docs[c] for c in docs.columns), counted(docs["text"]).alias("_counted"))
-    return out.select(*(c for c in docs.columns if c not in ("n_words", "n_tokens")), F.col("_counted.n_words").alias("n_words"), F.col("_counted.n_tokens").alias("n_tokens"))
+    return attach(docs, counted(docs["text"]), ["n_words", "n_tokens"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

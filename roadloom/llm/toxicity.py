@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import held_out, session
+from roadloom.llm.common import attach, held_out, session
 
 #: Bounds of the sample that the classifier is fitted on, and of the lexicon.
 SAMPLE_PER_CLASS, LEXICON_TERMS = 1000, 400
@@ -224,15 +224,15 @@ def detect(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """All columns of `docs` with score, predicted, and hits: start, end, term, edits, quoted of every match."""
     shared = session(docs).sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("score double, hits array<struct<start:int,end:int,term:string,edits:int,quoted:double>>")
+    @F.pandas_udf("score double, predicted int, hits array<struct<start:int,end:int,term:string,edits:int,quoted:double>>")
     def judged(text: pd.Series) -> pd.DataFrame:
         texts = text.tolist()
         hits = [shared.value.hits(t or "") for t in texts]
         names = ("start", "end", "term", "edits", "quoted")
-        return pd.DataFrame({"score": shared.value.score(texts, hits), "hits": [[dict(zip(names, x, strict=True)) for x in h] for h in hits]})
+        score = shared.value.score(texts, hits)
+        return pd.DataFrame({"score": score, "predicted": (score >= THRESHOLD).astype("int32"), "hits": [[dict(zip(names, x, strict=True)) for x in h] for h in hits]})
 
-    out = docs.select(*(docs[c] for c in docs.columns), judged(docs["text"]).alias("_judged"))
-    return out.select(*docs.columns, F.col("_judged.score").alias("score"), (F.col("_judged.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("_judged.hits").alias("hits"))
+    return attach(docs, judged(docs["text"]), ["score", "predicted", "hits"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

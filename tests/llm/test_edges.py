@@ -1,0 +1,126 @@
+"""Defined results on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from roadloom.llm import exact_dedup, langid, media, mixing, neardup, pieces, secrets, token_counts, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, copy int, hi long"
+LONG = "word " * 30_000
+BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+ROWS = [
+    (1, "hello world again", "en", "a", 1, 0.5, True, 3, 9),
+    (2, None, None, None, None, None, None, None, None),
+    (3, "", "en", "a", 0, 0.5, True, 3, 9),
+    (4, LONG, "en", "b", 0, 0.5, True, 3, 9),
+    (5, "hello world again", "de", None, 0, 0.5, True, 3, 9),
+    (5, "hello world again", "de", None, 0, 0.5, True, 3, 9),
+    (None, "hello world again", "de", "b", 0, 0.5, True, 3, 9),
+    (7, " \t\n ", "de", "c", 0, 0.5, True, 3, 9),
+    (8, "12345 678", "de", "c", 0, 0.5, True, 3, 9),
+    (9, BASE, "en", "b", 0, 0.5, True, 3, 9),
+    (10, BASE.upper() + " sixteen", "en", "b", 0, 0.5, True, 3, 9),
+    (11, "x" * 70_000, "en", "b", 0, 0.5, True, 3, 9),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {(None if pd.isna(r["doc_id"]) else int(r["doc_id"])): r for r in df.toPandas().to_dict("records")}
+
+
+def test_exact(docs, empty):
+    got = by_id(exact_dedup.exact_dedup(docs, "largest"))
+    assert len(exact_dedup.exact_dedup(docs).toPandas()) == len(ROWS)
+    assert got[1]["keep_id"] == 5 and got[1]["group_size"] == 4 and not got[1]["kept"] and got[5]["kept"]
+    assert got[None]["keep_id"] == 5 and not got[None]["kept"]
+    assert got[2]["keep_id"] == 3 and got[3]["kept"] and got[2]["text_sha256"] == hashlib.sha256(b"").hexdigest()
+    small = by_id(exact_dedup.exact_dedup(docs, "smallest"))
+    assert small[5]["keep_id"] == 1 and small[None]["keep_id"] == 1
+    left = exact_dedup.Deduped(docs, "largest").keep_rows()
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7, 8, 9, 10, 11]
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.Deduped(empty).keep_rows().count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(docs, "any")
+
+
+def test_near(docs, empty):
+    got = by_id(neardup.near_dedup(docs))
+    assert got[1]["component_id"] == got[5]["component_id"] == got[None]["component_id"] == 1 and not got[None]["kept"]
+    assert got[2]["n_shingles"] == 0 and got[2]["component_id"] == 2 and got[7]["kept"] and got[4]["n_shingles"] == 1
+    assert got[9]["component_id"] == 9 and got[10]["component_id"] == 9 and not got[10]["kept"]
+    assert neardup.near_dedup(empty).count() == 0
+    kept = neardup.NearDup(docs).keep_rows()
+    assert kept.columns == docs.columns and 10 not in [r.doc_id for r in kept.collect()]
+
+
+def test_mix(docs, empty):
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(ROWS) and (got["taken"] <= 2 * got["size"]).all()
+    assert (got[got.source.isna()]["source_size"] == 6).all()
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+    assert mixing.mixed_rows(docs).columns == docs.columns
+
+
+def test_targets():
+    t = mixing.targets({"a": 100, "b": 100, None: 100}, (5, 2, 1), 1.5, 2.0)
+    assert t["a"] == 200 and abs(t["b"] - 500 / 3) < 1e-9 and abs(sum(t.values()) - 450) < 1e-9
+    assert mixing.targets({"a": 0}, (1,), 1.5, 2.0) == {"a": 0.0}
+
+
+def test_language(docs, empty):
+    tagger = langid.train(docs, steps=3)
+    got = by_id(langid.identify(docs, tagger))
+    for k in (2, 3, 7, 8):
+        assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0
+    assert got[4]["lang_pred"] in ("en", "de") and 0 < got[4]["score"] <= 1
+    assert langid.train(empty).net is None
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.train(empty)).collect()} == {"und"}
+    assert langid.identify(empty, tagger).count() == 0
+    assert langid.identify(docs, tagger).columns.count("score") == 1
+
+
+def test_pieces(docs, empty):
+    got = by_id(pieces.encode(docs))
+    assert got[2]["n_tokens"] == 0 and got[2]["piece_ids"] is None and len(got[3]["piece_ids"]) == 0
+    assert all(r["round_trip"] for k, r in got.items() if k != 2)
+    assert pieces.encode(empty).count() == 0
+
+
+def test_counts(docs, empty):
+    got = by_id(token_counts.count_tokens(docs))
+    assert got[2]["n_tokens"] == 0 and got[7]["n_words"] == 0 and got[4]["n_words"] == 30_000
+    assert token_counts.count_tokens(empty).count() == 0
+
+
+def test_media(docs, empty):
+    got = by_id(media.store(docs))
+    assert got[2]["payload_bytes"] == 64 and got[2]["payload_sha256"] == got[3]["payload_sha256"]
+    assert got[1]["feature"] == got[5]["feature"] and media.from_wav(got[1]["media"])[:17] == b"hello world again"
+    assert media.store(empty).count() == 0
+
+
+def test_secrets(docs, empty, spark):
+    assert all(len(r["secrets"]) == 0 for r in secrets.scan(docs).collect())
+    assert secrets.scan(empty).count() == 0
+
+
+def test_toxicity(docs, empty, spark):
+    labels = spark.createDataFrame([(1, 1), (9, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    scorer = toxicity.train(docs, labels)
+    got = by_id(toxicity.detect(docs, scorer))
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[2]["score"] == got[3]["score"]
+    assert toxicity.detect(empty, toxicity.train(empty, labels.limit(0))).count() == 0
+    assert not np.isnan(got[11]["score"])
