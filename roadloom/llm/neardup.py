@@ -6,19 +6,22 @@ pi(sigma(x) - k) over the set. BANDS bands of ROWS coordinates are hashed; with
 similarity 0.75 shares no band with probability 5e-6, and a likelier miss needs a less similar pair.
 
 Equal sets form one *class*, represented by its smallest identifier, before anything is paired, so a group of
-copies costs one row. Links are found in two waves, both confirmed on the full sets:
+copies costs one row. Links are found in waves, all confirmed on the full sets:
 
 1. every class is compared with one *pivot*, the smallest member of a bucket it is in (of several, the pivot it
-   shares most buckets with). Components of these links collapse a large group of near copies in linear time.
-2. Buckets that still hold several components are compared in blocks: each pair of blocks of one bucket is a task
-   of its own, which keeps the pairs of different components whose signatures agree in at least half of their
-   coordinates (a pair of similarity 0.75 fails that with probability below 1e-8).
+   shares most buckets with). Components of these links collapse most of a group of near copies in linear time.
+2. In buckets that still hold several components, the members outside the largest one meet all members in blocks,
+   and each pair of blocks is a task of its own. Short codes of the shingles give an upper bound of the common
+   shingles that is never too low; of the pairs that pass it, a block reports only a spanning forest over
+   components, likeliest first, so what is reported grows with the members and not with their pairs.
+3. Pairs that pass between components which are still apart (where a reported pair failed on the full sets) are
+   all confirmed. As codes rarely collide, these are few.
 
 Components are found by alternating large-star and small-star steps on the links, as tables, never on the driver.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer than five
 words make one shingle; rows that repeat an identifier are one document whose sets are all linked; a null
-identifier is treated as the smallest number and reported as null; an empty table gives no rows; other columns
+identifier is treated as larger than any other and reported as null; an empty table gives no rows; other columns
 are carried untouched by `keep_rows`.
 """
 
@@ -27,7 +30,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ WORDS, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK = 256
-_NONE = -(1 << 63)
+#: Sets of more shingles than this have 32-bit codes.
+WIDE = 4096
+_NONE = (1 << 63) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 
@@ -115,23 +119,70 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def codes(s: np.ndarray) -> bytes:
+    """Short codes of a set: 16 bits each, 32 for a large set."""
+    return s.astype(np.uint16 if len(s) <= WIDE else np.uint32).tobytes()
+
+
+def common_bound(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """For each of `others`, at least as many as the shingles that it shares with `mine`, from codes alone."""
+    if not others:
+        return np.zeros(0, np.int64)
+    if mine.dtype == np.uint16 or any(o.dtype == np.uint16 for o in others):
+        table = np.zeros(1 << 16, bool)
+        table[mine.astype(np.uint16)] = True
+        hit = table[np.concatenate([o.astype(np.uint16) for o in others])]
+    else:
+        hit = np.isin(np.concatenate(others), mine)
+    sizes = np.array([len(o) for o in others])
+    return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
+def grouped(df: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
+    """each(columns of one group as lists) -> dict of columns, over groups that are small enough for a task's memory."""
+
+    def make():
+        held: dict[str, list] = {}
+
+        def batch(b):
+            cols = {k: b.column(k).to_pylist() for k in b.schema.names}
+            marks = list(zip(*(cols[k] for k in keys), strict=True))
+            start = 0
+            for i in range(1, len(marks) + 1):
+                if i == len(marks) or marks[i] != marks[start]:
+                    if held and tuple(held[k][0] for k in keys) != marks[start]:
+                        yield each(dict(held))
+                        held.clear()
+                    for k, v in cols.items():
+                        held.setdefault(k, []).extend(v[start:i])
+                    start = i
+
+        def close():
+            if held:
+                yield each(dict(held))
+
+        batch.close = close
+        return batch
+
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), make, schema)
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, the set's digest (hi, lo), bands and signature of every row; nulls for an empty set."""
+    """id, n_shingles, the set's digest (hi, lo) and bands of every row; nulls for an empty set."""
 
     def make():
         def each(b):
-            out = {k: [] for k in ("id", "n_shingles", "hi", "lo", "bands", "sig")}
+            out = {k: [] for k in ("id", "n_shingles", "hi", "lo", "bands")}
             for i, text in zip(b.column("id").to_pylist(), b.column("txt").to_pylist(), strict=True):
                 s = shingles(text)
-                sig = signature(s) if len(s) else None
                 hi, lo = _digest(s) if len(s) else (None, None)
-                for k, v in zip(out, (i, len(s), hi, lo, None if sig is None else bands(sig), None if sig is None else sig.tobytes()), strict=True):
+                for k, v in zip(out, (i, len(s), hi, lo, bands(signature(s)) if len(s) else None), strict=True):
                     out[k].append(v)
             return out
 
         return each
 
-    return map_arrow(_keyed(docs).select("id", "txt"), make, "id long, n_shingles long, hi long, lo long, bands array<long>, sig binary")
+    return map_arrow(_keyed(docs).select("id", "txt"), make, "id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -139,7 +190,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of undirected links a, b, by large-star and small-star.
+    """node, component (the smallest node reachable, which itself is not listed) of undirected links a, b.
+
+    Large-star and small-star steps alternate until nothing changes.
 
     Least neighbours are written before they are joined, so that the join of a hub of any degree can be split.
     """
@@ -169,20 +222,21 @@ class NearDup:
         self.rows = cut(described(docs))
         filled = self.rows.where("n_shingles > 0")
         classes = cut(filled.groupBy("hi", "lo").agg(F.min("id").alias("rep")))  # written, so that the join deals hot classes anew
-        reps = classes.join(filled.select("hi", "lo", F.col("id").alias("rep"), "n_shingles", "bands", "sig"), ["hi", "lo", "rep"]).dropDuplicates(["hi", "lo", "rep"])
-        keys = reps.select("hi", "lo", "rep", F.posexplode("bands").alias("band", "key"))
+        reps = classes.join(filled.select("hi", "lo", F.col("id").alias("rep"), "bands"), ["hi", "lo", "rep"]).dropDuplicates(["hi", "lo", "rep"])
+        keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
         shared = keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        self.members = cut(keys.join(cut(shared), ["band", "key"]).select("band", "key", "rep", "pivot", "size"))
+        self.members = cut(keys.join(cut(shared), ["band", "key"]).select("band", "key", "rep", "pivot"))
         self.sets = cut(self._sets())
-        self.sigs = reps.select("rep", "sig", "n_shingles").groupBy("rep").agg(F.min(F.struct("sig", "n_shingles")).alias("x")).select("rep", "x.*")
-        first = self._verified(self._pivots())
-        self.links = cut(first)
-        second = self._verified(self._crossing(components(self.links)))
-        self.links = cut(self.links.unionByName(second))
-        self.component = cut(components(self.links))
+        self.links = cut(self._verified(self._pivots()))
+        self.component = components(self.links)
+        for forest in (True, False):
+            more = cut(self._verified(self._crossing(self.component, forest)))
+            if not more.isEmpty():
+                self.links = self.links.unionByName(more)
+                self.component = components(self.links)
 
     def _sets(self) -> DataFrame:
-        """rep, shingle set of the classes that share a bucket; a Bloom filter keeps other texts out of the shuffle."""
+        """rep, set and codes of the classes that share a bucket; a Bloom filter keeps other texts out of the shuffle."""
         need = self.members.select(F.col("rep").alias("id")).distinct()
         keyed = need.select(F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo"))
         maybe = Bloom.build(keyed).column(self.spark, "hi", "lo")
@@ -190,19 +244,23 @@ class NearDup:
 
         def make():
             def each(b):
-                return {"rep": b.column("id").to_pylist(), "items": [shingles(t).view(np.int64) for t in b.column("txt").to_pylist()]}
+                sets = [shingles(t) for t in b.column("txt").to_pylist()]
+                return {"rep": b.column("id").to_pylist(), "items": [s.view(np.int64) for s in sets], "codes": [codes(s) for s in sets]}
 
             return each
 
-        return map_arrow(texts.join(need, "id", "left_semi").groupBy("id").agg(F.min("txt").alias("txt")), make, "rep long, items array<long>")
+        return map_arrow(texts.join(need, "id", "left_semi").groupBy("id").agg(F.min("txt").alias("txt")), make, "rep long, items array<long>, codes binary")
 
     def _pivots(self) -> DataFrame:
         """One pair a class at most: with the pivot it shares most buckets with, the smallest of equals."""
         pairs = self.members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
         return pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("neg"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.neg")).alias("b"))
 
-    def _crossing(self, component: DataFrame) -> DataFrame:
-        """Pairs of classes that share a bucket, are in different components and have similar signatures."""
+    def _crossing(self, component: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of classes that share a bucket, are in different components and may be similar enough.
+
+        With `forest`, a block of a bucket reports no pair between components that its likelier pairs connect.
+        """
         known = self.members.join(component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
         known = known.select("band", "key", "rep", "comp")
         mixed = known.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.mode("comp").alias("main"), F.count("*").alias("size"))
@@ -215,22 +273,38 @@ class NearDup:
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
         asks = rows.where("apart").select("band", "key", "rep", "comp", F.lit(True).alias("asks"), of("n_apart", 1).alias("i"), every("size").alias("j"))
         told = rows.select("band", "key", "rep", "comp", "apart", of("size", 2).alias("j"), every("n_apart").alias("i"))
-        rows = asks.withColumn("apart", F.lit(True)).unionByName(told.withColumn("asks", F.lit(False))).join(self.sigs, "rep")
-
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, y = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-            if not len(x) or not len(y):
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            sx, sy = (np.stack([np.frombuffer(s, np.uint32) for s in p["sig"]]) for p in (x, y))
-            rep, comp, n, apart = (y[k].to_numpy() for k in ("rep", "comp", "n_shingles", "apart"))
-            out = []
-            for k, (r, c, m) in enumerate(zip(x["rep"].to_numpy(), x["comp"].to_numpy(), x["n_shingles"].to_numpy(), strict=True)):
-                fit = (comp != c) & (~apart | (rep > r)) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
-                fit[fit] = (sy[fit] == sx[k]).sum(axis=1) * 2 >= COORDINATES
-                out += [(r, q) for q in rep[fit]]
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-        return rows.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        rows = asks.withColumn("apart", F.lit(True)).unionByName(told.withColumn("asks", F.lit(False))).join(self.sets.select("rep", "codes"), "rep")
+
+        def compare(g: dict[str, list]) -> dict[str, list]:
+            kinds = [np.uint16 if len(c) <= 2 * WIDE else np.uint32 for c in g["codes"]]
+            sets = [np.frombuffer(c, k) for c, k in zip(g["codes"], kinds, strict=True)]
+            sizes, rep, comp, apart = np.array([len(x) for x in sets]), np.array(g["rep"]), np.array(g["comp"]), np.array(g["apart"])
+            asks = np.array(g["asks"])
+            told, found = np.flatnonzero(~asks), []
+            for k in np.flatnonzero(asks):
+                fit = told[(comp[told] != comp[k]) & (~apart[told] | (rep[told] > rep[k])) & (DENOMINATOR * np.minimum(sizes[told], sizes[k]) >= NUMERATOR * np.maximum(sizes[told], sizes[k]))]
+                most = common_bound(sets[k], [sets[i] for i in fit])
+                most = np.minimum(most, np.minimum(sizes[fit], sizes[k])) if len(fit) else most
+                ok = DENOMINATOR * most >= NUMERATOR * (sizes[fit] + sizes[k] - most)
+                found += [(m / (sizes[i] + sizes[k] - m), k, i) for i, m in zip(fit[ok], most[ok], strict=True)]
+            if forest:
+                root: dict[int, int] = {}
+
+                def find(c):
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                kept = []
+                for x, k, i in sorted(found, key=lambda f: (-f[0], rep[f[1]], rep[f[2]])):
+                    p, q = find(int(comp[k])), find(int(comp[i]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        kept.append((x, k, i))
+                found = kept
+            return {"a": [int(rep[k]) for _, k, _ in found], "b": [int(rep[i]) for _, _, i in found]}
+
+        return grouped(rows, ["band", "key", "i", "j"], compare, "a long, b long").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
