@@ -38,5 +38,5 @@ def feature(geometry: Column, properties: Sequence[str], digits: int = 7) -> Col
 
 def station_payload(stations: DataFrame, series: DataFrame, key: str) -> DataFrame:
     """key, payload: a station's metadata with its values by slot, as JSON; stations without values have an empty map."""
-    flows = series.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "value")))).alias("flows"))
+    flows = series.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda s: F.struct(s["slot"].cast("string"), s["value"]))).alias("flows"))
     return stations.join(flows, key, "left").select(key, F.to_json(F.struct(*stations.columns, F.coalesce("flows", F.create_map().cast("map<string,double>")).alias("flows")), {"ignoreNullFields": "false"}).alias("payload"))
