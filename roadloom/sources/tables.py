@@ -42,6 +42,7 @@ def require_sources(spark: SparkSession, folder: str, names: Sequence[str]) -> N
 
 def sniff(spark: SparkSession, path: str, lines: int = 200) -> str:
     """The first encoding whose reading of the file's head has no replacement character."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else CSV readers refuse gbk
     for e in ENCODINGS[:-1]:
         head = spark.read.option("encoding", e).csv(path, schema="v string", sep="\u0001").limit(lines)
         if head.where(F.col("v").contains("�")).isEmpty():
