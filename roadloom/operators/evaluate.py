@@ -156,3 +156,25 @@ def regression_metrics(rows: DataFrame, y: str, pred: str) -> DataFrame:
     return rows.agg(F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae"), (1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(pred), 2)), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
+
+
+def relabel(draws: DataFrame, group: list[str], k: str, intensity: str) -> DataFrame:
+    """Adds label: the rank of a cluster's mean intensity inside its group, ties to the smaller cluster."""
+    w = Window.partitionBy(*group).orderBy(intensity, k)
+    return draws.withColumn("label", F.row_number().over(w))
+
+
+def total_flow(counts: DataFrame, t: str, y: str, rate: str | None = None) -> DataFrame:
+    return counts.groupBy(t).agg(F.sum(y).alias("total"), *([F.sum(rate).alias("rate")] if rate else []))
+
+
+def split_profile(counts: DataFrame, t: str, y: str, train: int, steps_day: int) -> DataFrame:
+    """split, hour, mean, p10, p90 of counts before and after the last training step."""
+    rows = counts.withColumn("split", F.when(F.col(t) <= train, "train").otherwise("test")).withColumn("hour", F.floor(F.pmod(F.col(t) - 1, F.lit(steps_day)) * 24 / steps_day).cast("int"))
+    q = F.percentile(y, F.array(F.lit(0.1), F.lit(0.9)))
+    return rows.groupBy("split", "hour").agg(F.avg(y).alias("mean"), q.alias("q")).select("split", "hour", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
+
+
+def forecast_error(bands: DataFrame, truth: DataFrame) -> DataFrame:
+    """h, edge, error: |mean - rate| of bands (h, edge, mean) and truth (h, edge, rate)."""
+    return bands.join(truth.select("h", "edge", "rate"), ["h", "edge"]).select("h", "edge", F.abs(F.col("mean") - F.col("rate")).alias("error"))

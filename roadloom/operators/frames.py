@@ -110,3 +110,30 @@ def peaks(rows: DataFrame, key: str, frame: str, value: str) -> DataFrame:
     """First frame with each key's largest value."""
     best = F.min(F.struct((-F.col(value)).alias("v"), F.col(frame).alias("f")))
     return rows.groupBy(key).agg(best.alias("m")).select(key, F.col("m.f").alias("peak_frame"), (-F.col("m.v")).alias("peak"))
+
+
+def color_breaks(rows: DataFrame, value: str, quantiles=(0.15, 0.30, 0.45, 0.60, 0.75, 0.90), digits: int = 1) -> DataFrame:
+    """breaks: quantiles of all finite cells, rounded half to even."""
+    ok = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
+    return ok.agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("q")).select(F.transform("q", lambda x: F.bround(x, digits)).alias("breaks"))
+
+
+def in_view(rows: DataFrame, kinds=None, group: tuple[str, object] | None = None, contains: tuple[str, str] | None = None, kind: str = "kind") -> DataFrame:
+    """Rows of the chosen kinds, of one group, and whose id contains a text (case matters)."""
+    out = rows.where(F.col(kind).isin(*kinds)) if kinds is not None else rows
+    out = out.where(F.col(group[0]) == group[1]) if group else out
+    return out.where(F.col(contains[0]).contains(contains[1])) if contains else out
+
+
+def view_mean(rows: DataFrame, value: str) -> DataFrame:
+    ok = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
+    return rows.agg(F.count("*").alias("shown"), F.count(ok).alias("with_value"), F.avg(ok).alias("mean"))
+
+
+def frames_payload(segments: DataFrame, frames: DataFrame, key: str, frame: str, value: str, digits: int = 3) -> DataFrame:
+    """key, payload: a segment's record with its values by frame as JSON, for maps; absent frames are null."""
+    span = frames.agg(F.min(frame).alias("a"), F.max(frame).alias("b"))  # one row
+    of = frames.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(frame), F.bround(value, digits)))).alias("_m"))
+    out = segments.join(of, key, "left").crossJoin(F.broadcast(span))
+    values = F.transform(F.sequence("a", "b"), lambda f: F.try_element_at("_m", f))
+    return out.select(key, F.to_json(F.struct(*segments.columns, values.alias("values")), {"ignoreNullFields": "false"}).alias("payload"))

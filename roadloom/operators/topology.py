@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A graph of more edges than this is not sent to the executors; distances are then relaxed by joins.
@@ -174,3 +174,46 @@ def route_confidence(snap_a, snap_b, ratio, points):
 
 def route_budget(length_m):
     return F.least(F.lit(18000.0), F.greatest(8 * length_m + 900, F.lit(700.0)))
+
+
+def incident(edges: DataFrame, node: int) -> DataFrame:
+    """Edges that start or end at a node."""
+    return edges.where((F.col("from") == node) | (F.col("to") == node))
+
+
+def way_graph(points: DataFrame, digits: int = 7) -> DataFrame:
+    """from, to, way, length of way points (way, pos, lon, lat, x, y): nodes are points merged at rounded coordinates.
+
+    Ways are taken in both directions; steps of no length are left out. A node's id is the hash of its coordinates.
+    """
+    w = Window.partitionBy("way").orderBy("pos")
+    node = F.xxhash64(F.round(F.col("lon") * 10**digits).cast("bigint"), F.round(F.col("lat") * 10**digits).cast("bigint"))
+    p = points.withColumn("node", node).withColumn("_n", F.lead(F.struct("node", "x", "y")).over(w)).where(F.col("_n").isNotNull() & (F.col("node") != F.col("_n.node")))
+    p = p.withColumn("length", F.hypot(F.col("x") - F.col("_n.x"), F.col("y") - F.col("_n.y"))).where(F.col("length") > 0)
+    both = F.array(F.struct(F.col("node").alias("from"), F.col("_n.node").alias("to")), F.struct(F.col("_n.node").alias("from"), F.col("node").alias("to")))
+    return p.select(F.explode(both).alias("e"), "way", "length").select("e.from", "e.to", "way", "length")
+
+
+def route_edges(edges: DataFrame, nodes: DataFrame, graph: DataFrame, snap: float = 260.0) -> DataFrame:
+    """Routes of model edges (edge, ax, ay, bx, by, length) over a way graph with nodes (pid, px, py).
+
+    Both ends snap to their exact nearest node within `snap`; the path may cost what the edge's length allows; the
+    ways are listed once each in order, and a confidence is given. Edges without a route have a null path.
+    """
+    from roadloom.operators.spatial import nearest_points
+
+    ends = {k: nearest_points(edges.select(F.col("edge").alias("id"), F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y")), nodes, snap).select(F.col("id").alias("edge"), F.col("nearest").alias(f"{k}_node"), F.col("dist").alias(f"{k}_snap")) for k in "ab"}
+    asked = edges.join(ends["a"], "edge").join(ends["b"], "edge").withColumn("budget", route_budget(F.col("length")))
+    found = routes(asked.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), "budget").distinct(), graph)
+    out = asked.join(found, (F.col("a_node") == F.col("source")) & (F.col("b_node") == F.col("target")) & (asked["budget"] == found["budget"]), "left")
+    ratio = F.try_divide("cost", F.greatest("length", F.lit(1.0)))
+    out = out.select("edge", "a_snap", "b_snap", F.when(F.size("path") > 0, F.col("path")).alias("path"), "cost", ratio.alias("ratio"))
+    return out.withColumn("confidence", F.when(F.col("path").isNotNull(), route_confidence(F.col("a_snap"), F.col("b_snap"), F.col("ratio"), F.size("path"))))
+
+
+def path_ways(paths: DataFrame, graph: DataFrame) -> DataFrame:
+    """edge, ways: the way of each step of a path, the least id where several run there, each once and in order."""
+    steps = paths.where(F.size("path") > 1).select("edge", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("from"), F.slice("path", 2, F.size("path") - 1).alias("to"))).alias("pos", "s"))
+    way = graph.groupBy("from", "to").agg(F.min("way").alias("way"))
+    hit = steps.select("edge", "pos", F.col("s.from").alias("from"), F.col("s.to").alias("to")).join(way, ["from", "to"])
+    return hit.groupBy("edge").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way"))), lambda s: s["way"])).alias("ways"))

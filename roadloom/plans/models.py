@@ -41,13 +41,13 @@ def _neighbourhood(spark):
 
 
 @register()
-def sandnm_fit(spark, sf):
+def neighbourhood_fit(spark, sf):
     sim, blocks = _neighbourhood(spark)
     return chains.pair_draws(chains.fit_edges(blocks, sim["pairs"], iters=30, burn=10, shrink=True), sim["pairs"])
 
 
 @register()
-def sandnm_forecast(spark, sf):
+def neighbourhood_forecast(spark, sf):
     sim, blocks = _neighbourhood(spark)
     fits = chains.fit_edges(blocks, sim["pairs"], iters=30, burn=10)
     last = sim["train"].where("t = 96").select("edge", "y")

@@ -10,7 +10,7 @@ from roadloom.functions import scalars as S
 from roadloom.operators import spatial, topology
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import EDGES_SQL, TRIPS_SQL, nation_edges, table
-from roadloom.sources import sinks
+from roadloom.sources import sinks, tables
 
 RELATIONS = (("upstream", "a.\"from\" = b.\"to\"", "from"), ("downstream", "a.\"to\" = b.\"from\"", "to"), ("share_from", "a.\"from\" = b.\"from\"", "from"), ("share_to", "a.\"to\" = b.\"to\"", "to"))
 
@@ -214,3 +214,28 @@ def edge_offsets(spark, sf):
     n = table(spark, sf, "nation")
     x, y = S.aside(F.lit(0.0), F.lit(0.0), F.lit(3.0), F.col("n_regionkey").cast("double"))
     return n.select(F.col("n_nationkey").alias("id"), (F.round(x, 6) + 0.0).alias("ox"), (F.round(y, 6) + 0.0).alias("oy"))
+
+
+@register(f"""WITH {TRIPS_SQL}, {EDGES_SQL} SELECT edge, "from", "to" FROM edges WHERE "from" = 7 OR "to" = 7""")
+def incident_edges(spark, sf):
+    return topology.incident(nation_edges(spark, sf), 7).select("edge", "from", "to")
+
+
+@register("""SELECT user_id AS edge, (max(event_id) % 90 + 0.5)::DOUBLE AS x FROM events WHERE event_id % 3 <> 0 GROUP BY 1""")
+def matched_geometry(spark, sf):
+    point = lambda k: F.array(F.col("event_id") % 90 + F.lit(k).cast("double"), F.lit(1.0))
+    line = F.when(F.col("event_id") % 3 == 0, F.array(point(0.5))).otherwise(F.array(point(0.5), point(1.5)))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("edge"), "event_id", F.to_json(line).alias("geometry"))
+    return tables.matched_geometry(rows, "edge", "geometry", "event_id").select("edge", F.get("points", F.lit(0))["x"].alias("x"))
+
+
+@register()
+def routed_edges(spark, sf):
+    """Routes of synthetic edges over a grid of ways."""
+    nodes, edges = topology.grid(spark, 8, 8)
+    at = nodes.select(F.col("node").alias("pid"), (F.col("x") * 100.0).alias("px"), (F.col("y") * 100.0).alias("py"))
+    graph = edges.select("from", "to", F.lit(100.0).alias("length"), F.col("edge").alias("way"))
+    asked = spark.range(40).select(F.col("id").alias("edge"), ((F.col("id") % 7 + 1) * 100 + 9.0).alias("ax"), ((F.col("id") % 5 + 1) * 100.0).alias("ay"), ((F.col("id") * 3 % 8 + 1) * 100.0).alias("bx"), ((F.col("id") * 5 % 8 + 1) * 100.0).alias("by"))
+    asked = asked.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    out = topology.route_edges(asked, at, graph)
+    return out.join(topology.path_ways(out, graph), "edge", "left")

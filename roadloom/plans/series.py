@@ -284,3 +284,44 @@ def shrinkage_summary(spark, sf):
 def hourly_profile(spark, sf):
     e = table(spark, sf, "events").groupBy("event_type", F.hour("ts").alias("hour"), F.dayofweek("ts").isin(1, 7).alias("weekend"))
     return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.count("*").alias("n"))
+
+
+@register(f"""WITH {DAILY} SELECT t, sum(y) AS total FROM y GROUP BY t""")
+def total_flow(spark, sf):
+    return V.total_flow(daily(spark, sf), "t", "y")
+
+
+@register(f"""WITH {DAILY} SELECT CASE WHEN t <= 20 THEN 'train' ELSE 'test' END AS split, ((t - 1) % 6 * 4)::INT AS hour, round(avg(y) + 1e-9, 6) AS mean, round(quantile_cont(y, 0.1), 6) AS p10, round(quantile_cont(y, 0.9), 6) AS p90 FROM y GROUP BY 1, 2""")
+def split_hour_profile(spark, sf):
+    out = V.split_profile(daily(spark, sf), "t", "y", 20, 6)
+    return out.select("split", "hour", F.round(F.col("mean") + 1e-9, 6).alias("mean"), F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"))
+
+
+@register("""WITH m AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY round(v, 3), event_type)::INT AS label FROM m""")
+def relabel_by_intensity(spark, sf):
+    m = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 3).alias("v"))
+    return V.relabel(m, ["user_id"], "event_type", "v").select("user_id", "event_type", "label")
+
+
+@register("""SELECT unnest([round_even(x, 1) FOR x IN quantile_cont(value, [0.15, 0.30, 0.45, 0.60, 0.75, 0.90])]) AS brk, unnest(range(6))::INT AS i FROM events""")
+def region_breaks(spark, sf):
+    return R.color_breaks(table(spark, sf, "events"), "value").select(F.posexplode("breaks").alias("i", "brk"))
+
+
+@register("""SELECT count(*) AS shown, count(value) FILTER (event_id % 5 <> 0) AS with_value, round(avg(value) FILTER (event_id % 5 <> 0), 6) AS mean FROM events WHERE event_type IN ('click', 'view') AND user_id = 7 AND contains(event_id::VARCHAR, '1')""")
+def view_filter(spark, sf):
+    e = table(spark, sf, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")).otherwise(F.lit(float("nan")))).withColumn("id", F.col("event_id").cast("string"))
+    return R.view_mean(R.in_view(e, ("click", "view"), ("user_id", 7), ("id", "1"), "event_type"), "v").withColumn("mean", F.round("mean", 6))
+
+
+@register("""WITH f AS (SELECT user_id, hour(ts)::INT AS h, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT DISTINCT user_id FROM events) SELECT s.user_id, '{"user_id":' || s.user_id || ',"values":[' || string_agg(CASE WHEN n IS NULL THEN 'null' ELSE n || '.0' END, ',' ORDER BY g.h) || ']}' AS payload FROM s CROSS JOIN range(24) g(h) LEFT JOIN f ON f.user_id = s.user_id AND f.h = g.h GROUP BY 1""")
+def frames_payload(spark, sf):
+    e = table(spark, sf, "events")
+    f = e.groupBy("user_id", F.hour("ts").alias("h")).agg(F.count("*").cast("double").alias("n"))
+    return R.frames_payload(e.select("user_id").distinct(), f, "user_id", "h", "n")
+
+
+@register("""WITH f AS (SELECT day(ts)::INT AS h, user_id AS edge, avg(value) AS m, min(value) AS r FROM events GROUP BY 1, 2) SELECT h, edge, round(abs(m - r), 6) AS error FROM f""")
+def forecast_error(spark, sf):
+    f = table(spark, sf, "events").groupBy(F.dayofmonth("ts").alias("h"), F.col("user_id").alias("edge")).agg(F.avg("value").alias("mean"), F.min("value").alias("rate"))
+    return V.forecast_error(f.select("h", "edge", "mean"), f.select("h", "edge", "rate")).withColumn("error", F.round("error", 6))

@@ -121,3 +121,26 @@ def manifest(files: DataFrame, pattern: str = r"(\d{4})_(\d{2})(?:_(\d{2}))?") -
     """name, year, month, day, length of raw files; a name without a date fails where it is read."""
     part = lambda i: F.nullif(F.regexp_extract("name", pattern, i), F.lit("")).try_cast("int")
     return files.select("name", part(1).alias("year"), part(2).alias("month"), part(3).alias("day"), "length")
+
+
+def day_slice(rows: DataFrame, ts: str, day: str, frames: int = 288) -> DataFrame:
+    """Rows of [day, day + 1), a range that reaches the scan; fails unless the day has exactly `frames` times."""
+    out = rows.where((F.col(ts) >= F.lit(day).cast("timestamp_ntz")) & (F.col(ts) < F.expr(f"timestamp_ntz '{day}' + interval 1 day")))
+    n = out.select(ts).distinct().count()
+    if n != frames:
+        raise ValueError(f"{day} has {n} frames; {frames} are needed")
+    return out
+
+
+def matched_geometry(rows: DataFrame, key: str, geometry: str, ordinal: str) -> DataFrame:
+    """key, points: JSON coordinate lists of at least two points; of a key's rows the last one counts."""
+    points = F.transform(F.from_json(geometry, "array<array<double>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    ok = rows.withColumn("_points", points).where(F.size("_points") >= 2)
+    return ok.groupBy(key).agg(F.max_by("_points", ordinal).alias("points"))
+
+
+def metric_flow(metric: str, occupancy: DataFrame | None, counts: DataFrame) -> tuple[DataFrame, str]:
+    """The flow behind a metric, and what it is based on: occupancy for density and congestion where there is one."""
+    if metric in ("density", "congestion") and occupancy is not None:
+        return occupancy.withColumn("x", F.col("avg_vehicles")).withColumn("flow_basis", F.lit("time_weighted_occupancy")), "time_weighted_occupancy"
+    return counts.withColumn("flow_basis", F.lit("period_count")), "period_count"

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from roadloom.operators import spatial
+from roadloom.operators import spatial, topology
 from roadloom.sources import sinks, tables
 from roadloom.streaming import flows
 
@@ -119,3 +119,21 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("frames").count() > 0
+
+
+def test_day_slice_and_metric_source(spark):
+    rows = spark.sql("select timestamp_ntz '2019-07-31' + make_interval(0,0,0,0,0,5*id,0) as ts, id from range(400)")
+    assert tables.day_slice(rows, "ts", "2019-07-31").count() == 288
+    try:
+        tables.day_slice(rows, "ts", "2019-08-01")
+        raise AssertionError
+    except ValueError as e:
+        assert "112" in str(e)
+    occ, n = spark.createDataFrame([(1, 2.5)], "edge int, avg_vehicles double"), spark.createDataFrame([(1, 9.0)], "edge int, x double")
+    assert tables.metric_flow("density", occ, n)[0].first().x == 2.5 and tables.metric_flow("rate", occ, n)[1] == "period_count" and tables.metric_flow("density", None, n)[1] == "period_count"
+
+
+def test_way_graph(spark):
+    pts = [(1, 0, 0.0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 3.0, 4.0), (2, 0, 1.0, 0.0, 3.0, 4.0), (2, 1, 1.0, 0.0, 3.0, 4.0), (2, 2, 2.0, 0.0, 6.0, 8.0)]
+    g = topology.way_graph(spark.createDataFrame(pts, "way int, pos int, lon double, lat double, x double, y double")).collect()
+    assert len(g) == 4 and all(r.length == 5 for r in g) and len({r["from"] for r in g}) == 3
