@@ -142,7 +142,7 @@ def render(steps, texts: list, last: bool, entered: int = START) -> list[str]:
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row a turn: conv_id, turn, role, new_role, action, inserted, cost, seq, fragment.
 
-    `seq` orders the fragments of a conversation; `cost` is the turn's share of the conversation's repair, with
+    `seq` is the turn's place in its conversation, from 0; `cost` is the turn's share of the conversation's repair, with
     that of replies inserted at the end on its last turn.
     """
     spark = session(turns)
@@ -157,10 +157,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("stretch", stretch)
 
     def make():
-        state = {"key": None, "m": None, "at": 0}
+        state = {"key": None, "m": None, "at": 0, "n": 0}
 
         def emit():
-            return {"conv_id": [state["key"][0]], "part": [state["key"][1]], "stretch": [state["key"][2]], "first": [state["at"]], "m": [state["m"].ravel().tolist()]}
+            return {"conv_id": [state["key"][0]], "part": [state["key"][1]], "stretch": [state["key"][2]], "first": [state["at"]], "n": [state["n"]], "m": [state["m"].ravel().tolist()]}
 
         def each(b):
             cols = [b.column(k).to_pylist() for k in ("conv_id", "part", "stretch", "at", "role")]
@@ -168,7 +168,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
                 if state["key"] != key:
                     if state["key"] is not None:
                         yield emit()
-                    state.update(key=key, m=reduce_roles([]), at=at)
+                    state.update(key=key, m=reduce_roles([]), at=at, n=0)
+                state["n"] += 1
                 state["m"] = product(state["m"], _MATRIX[_known(role)])
 
         def close():
@@ -178,7 +179,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
         each.close = close
         return each
 
-    pieces = map_arrow(rows.select("conv_id", "part", "stretch", "at", "role"), make, "conv_id long, part int, stretch long, first long, m array<long>")
+    pieces = map_arrow(rows.select("conv_id", "part", "stretch", "at", "role"), make, "conv_id long, part int, stretch long, first long, n long, m array<long>")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first").reset_index(drop=True)
@@ -192,10 +193,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
             leave.append(int((front + m[:, leave[-1]]).argmin()))
         leave = leave[::-1]
         n = len(pdf)
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "stretch": pdf["stretch"], "enter": leave[:-1], "leave": leave[1:], "last": [k == n - 1 for k in range(n)], "tail": [int(FINAL[end]) if k == n - 1 else 0 for k in range(n)], "base": 0})
+        return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "stretch": pdf["stretch"], "enter": leave[:-1], "leave": leave[1:], "last": [k == n - 1 for k in range(n)], "tail": [int(FINAL[end]) if k == n - 1 else 0 for k in range(n)], "base": pdf["n"].cumsum() - pdf["n"]})
 
     ways = pieces.groupBy("conv_id").applyInPandas(plan, "conv_id long, part int, stretch long, enter int, leave int, last boolean, tail long, base long")
-    ways = cut(ways.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("stretch").alias("s"), "enter", "leave", "last", "tail"))
+    ways = cut(ways.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("stretch").alias("s"), "enter", "leave", "last", "tail", "base"))
     both = rows.join(ways, rows["conv_id"].eqNullSafe(ways["c"]) & (rows["part"] == ways["p"]) & (rows["stretch"] == ways["s"]))
 
     def repaired(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,12 +209,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
         cost[-1] += tail
         return pd.DataFrame({
             "conv_id": pdf["conv_id"], "turn": pdf["turn"], "role": roles, "new_role": [ROLES[s[0] - 1] for s in steps], "action": [s[1] for s in steps],
-            "inserted": [None if s[2] is None else ROLES[s[2] - 1] for s in steps], "cost": cost, "seq": pdf["at"], "fragment": render(steps, texts, last, enter),
+            "inserted": [None if s[2] is None else ROLES[s[2] - 1] for s in steps], "cost": cost, "seq": pdf["base"] + pdf.index, "fragment": render(steps, texts, last, enter),
         })
 
     return both.groupBy("conv_id", "part", "stretch").applyInPandas(repaired, "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, seq long, fragment string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """`seq` depends on the partitioning, so it is left out here."""
-    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("seq")
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
