@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.sources.lineage import cut
+
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
@@ -82,12 +84,13 @@ def merge_links(links: DataFrame, ordinal: str) -> DataFrame:
 def dense_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """0-based row numbers in a global order, without sorting everything in one task.
 
-    Rows are range-partitioned; each partition numbers its own and adds the sizes of those before it.
+    Rows are range-partitioned; each partition numbers its own and adds the sizes of those before it. Bounds are
+    sampled, so the dealt rows are fixed by a checkpoint before they are counted and numbered.
     """
     if name in df.columns:
         df = df.drop(name)
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    parts = parts.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    parts = cut(parts).withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = parts.groupBy("_part").count()
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
     return parts.join(F.broadcast(before), "_part").withColumn(name, (F.col("_nth") + F.col("_before")).cast("bigint")).drop("_at", "_part", "_nth", "_before")

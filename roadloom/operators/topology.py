@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.sources.lineage import cut
+
 #: A graph of more edges than this is not sent to the executors; distances are then relaxed by joins.
 MAX_BROADCAST_EDGES = 5_000_000
 
@@ -150,7 +152,7 @@ def routes(asked: DataFrame, edges: DataFrame) -> DataFrame:
     return asked.select("source", "target", "budget").mapInPandas(run, "source long, target long, budget double, path array<long>, cost double")
 
 
-def relax_distances(sources: DataFrame, edges: DataFrame, rounds: int, cut=lambda df: df.checkpoint()) -> DataFrame:
+def relax_distances(sources: DataFrame, edges: DataFrame, rounds: int, cut=cut) -> DataFrame:
     """source, node, distance within `rounds` hops, by joins alone: for graphs beyond a broadcast."""
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"))
     step = edges.select("from", "to", F.coalesce("length", F.lit(1.0)).alias("l"))
