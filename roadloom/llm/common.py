@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
+    if at is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        at = sc._jsc.sc().getCheckpointDir().get()
     if at is None:
         at = spark.conf.get("roadloom.checkpoint.dir", None)
         if at is None:
@@ -100,6 +102,35 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def grouped(df: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
+    """each(columns of one group as lists) -> dict of columns, over groups that are small enough for a task's memory."""
+
+    def make():
+        held: dict[str, list] = {}
+
+        def batch(b):
+            cols = {k: b.column(k).to_pylist() for k in b.schema.names}
+            marks = list(zip(*(cols[k] for k in keys), strict=True))
+            start = 0
+            for i in range(1, len(marks) + 1):
+                if i == len(marks) or marks[i] != marks[start]:
+                    if held and tuple(held[k][0] for k in keys) != marks[start]:
+                        yield each(dict(held))
+                        held.clear()
+                    for k, v in cols.items():
+                        held.setdefault(k, []).extend(v[start:i])
+                    start = i
+
+        def close():
+            if held:
+                yield each(dict(held))
+
+        batch.close = close
+        return batch
+
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), make, schema)
+
+
 def attach(docs: DataFrame, column, fields: list[str]) -> DataFrame:
     """All columns of `docs` and the fields of a struct column; a field replaces a column of its name."""
     mine = [c for c in docs.columns if c.lower() not in {f.lower() for f in fields}]
@@ -115,6 +146,22 @@ def held_out(doc_id) -> object:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def sample_by_class(rows: DataFrame, kind: str, most: int) -> DataFrame:
+    """At most `most` rows (doc_id, kind) of each class, the first by a hash of doc_id.
+
+    Classes are counted, and a hash threshold lets about four times `most` of each through before rows are ranked,
+    so that no task ranks a whole class.
+    """
+    unit = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    rows = rows.select("doc_id", kind).withColumn("h", unit)
+    share = {r[kind]: min(1.0, 4.0 * most / r["n"]) for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}
+    if not share:
+        return rows.select("doc_id", kind)
+    limit = F.coalesce(*(F.when(F.col(kind) == k, F.lit(v)) for k, v in sorted(share.items(), key=str)))
+    nth = F.row_number().over(Window.partitionBy(kind).orderBy("h", "doc_id"))
+    return rows.where(F.col("h") <= limit).withColumn("nth", nth).where(F.col("nth") <= most).select("doc_id", kind)
+
+
 def bits_of(hi: np.ndarray, lo: np.ndarray, bits: int, hashes: int = 4) -> np.ndarray:
     """Bit positions (hashes x n) of 128-bit keys by double hashing; bits is a power of two."""
     a, b = hi.astype(np.uint64), lo.astype(np.uint64) | np.uint64(1)

@@ -8,17 +8,18 @@ SAMPLE_PER_LANG documents of each language, first by a hash of their identifier.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text when no row can
 be learned from; ties go to the language first by code point; an empty table gives no rows; rows that repeat are
-each predicted; columns other than doc_id, text and (for learning) lang are not read.
+each predicted; rows without an identifier
+are not learned from; columns other than doc_id, text and (for learning) lang are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import attach, held_out, session
+from roadloom.llm.common import attach, held_out, sample_by_class, session
 
 HIDDEN, WINDOW, LANES = 6, 128, 2048
 SAMPLE_PER_LANG = 300
@@ -185,9 +186,8 @@ class Tagger:
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, steps: int = 260, batch: int = 192, width: int = 48, hidden: int = HIDDEN, seed: int = 0) -> Tagger:
     """Fit on rows that are not held out and have a language, at most `per_lang` documents of each."""
-    known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"])).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = known.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id", "lang").collect()
+    known = docs.where(docs["doc_id"].isNotNull() & docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
+    picked = sample_by_class(known, "lang", per_lang).collect()
     if not picked:
         return Tagger([], None)
     rows = docs.where(docs["doc_id"].isin(sorted({r.doc_id for r in picked})) & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "lang", "text").collect()

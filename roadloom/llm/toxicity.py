@@ -20,10 +20,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import attach, held_out, session
+from roadloom.llm.common import attach, held_out, sample_by_class, session
 
 #: Bounds of the sample that the classifier is fitted on, and of the lexicon.
 SAMPLE_PER_CLASS, LEXICON_TERMS = 1000, 400
@@ -206,9 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     """Fit on labelled rows that are not held out, at most `per_class` documents of each class, first by hash."""
     session(docs)
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    picked = {r.doc_id: r.toxic for r in known.withColumn("nth", nth).where(F.col("nth") <= per_class).collect()}
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = {r.doc_id: r.toxic for r in sample_by_class(known, "toxic", per_class).collect()}
     rows = docs.where(docs["doc_id"].isin(sorted(picked)) & docs["text"].isNotNull()).select("doc_id", "text").collect() if picked else []
     rows.sort(key=lambda r: (r.doc_id, r.text))
     texts, y = [r.text for r in rows], np.array([float(picked[r.doc_id] == 1) for r in rows])
