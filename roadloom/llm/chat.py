@@ -18,11 +18,10 @@ own; an empty table gives no rows; of equal costs the choice first in the order
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import cut, map_arrow, session
+from roadloom.llm.common import cut, grouped, map_arrow, session
 
 ROLES = ("system", "user", "assistant")
 #: Costs of an edit: merging with the same role, relabelling, inserting an empty message.
@@ -181,9 +180,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     pieces = map_arrow(rows.select("conv_id", "part", "stretch", "at", "role"), make, "conv_id long, part int, stretch long, first long, n long, m array<long>")
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first").reset_index(drop=True)
-        ms = [np.array(m, np.int64).reshape(4, 4) for m in pdf["m"]]
+    def plan(g: dict[str, list]) -> dict[str, list]:
+        order = np.argsort(np.array(g["first"], np.int64))
+        ms = [np.array(g["m"][k], np.int64).reshape(4, 4) for k in order]
         fronts = [np.array([0, _BIG, _BIG, _BIG], np.int64)]
         for m in ms:
             fronts.append((fronts[-1][:, None] + m).min(axis=0))
@@ -192,27 +191,28 @@ def format_chats(turns: DataFrame) -> DataFrame:
         for m, front in zip(reversed(ms), reversed(fronts[:-1]), strict=True):
             leave.append(int((front + m[:, leave[-1]]).argmin()))
         leave = leave[::-1]
-        n = len(pdf)
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "stretch": pdf["stretch"], "enter": leave[:-1], "leave": leave[1:], "last": [k == n - 1 for k in range(n)], "tail": [int(FINAL[end]) if k == n - 1 else 0 for k in range(n)], "base": pdf["n"].cumsum() - pdf["n"]})
+        n = np.array([g["n"][k] for k in order])
+        out = {k: [g[k][i] for i in order] for k in ("conv_id", "part", "stretch")}
+        return out | {"enter": leave[:-1], "leave": leave[1:], "last": [k == len(n) - 1 for k in range(len(n))], "tail": [0] * (len(n) - 1) + [int(FINAL[end])], "base": np.cumsum(n) - n}
 
-    ways = pieces.groupBy("conv_id").applyInPandas(plan, "conv_id long, part int, stretch long, enter int, leave int, last boolean, tail long, base long")
+    ways = grouped(pieces, ["conv_id"], plan, "conv_id long, part int, stretch long, enter int, leave int, last boolean, tail long, base long")
     ways = cut(ways.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("stretch").alias("s"), "enter", "leave", "last", "tail", "base"))
     both = rows.join(ways, rows["conv_id"].eqNullSafe(ways["c"]) & (rows["part"] == ways["p"]) & (rows["stretch"] == ways["s"]))
 
-    def repaired(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at").reset_index(drop=True)
-        roles = [None if pd.isna(r) else r for r in pdf["role"]]
-        enter, last, tail = int(pdf["enter"].iloc[0]), bool(pdf["last"].iloc[0]), int(pdf["tail"].iloc[0])
-        steps = trace(roles, enter, int(pdf["leave"].iloc[0]))
-        texts = [None if pd.isna(t) else t for t in pdf["text"]]
+    def repaired(g: dict[str, list]) -> dict[str, list]:
+        order = sorted(range(len(g["at"])), key=g["at"].__getitem__)
+        g = {k: [v[i] for i in order] for k, v in g.items()}
+        steps = trace(g["role"], g["enter"][0], g["leave"][0])
         cost = [s[3] for s in steps]
-        cost[-1] += tail
-        return pd.DataFrame({
-            "conv_id": pdf["conv_id"], "turn": pdf["turn"], "role": roles, "new_role": [ROLES[s[0] - 1] for s in steps], "action": [s[1] for s in steps],
-            "inserted": [None if s[2] is None else ROLES[s[2] - 1] for s in steps], "cost": cost, "seq": pdf["base"] + pdf.index, "fragment": render(steps, texts, last, enter),
-        })
-
-    return both.groupBy("conv_id", "part", "stretch").applyInPandas(repaired, "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, seq long, fragment string")
+        cost[-1] += g["tail"][0]
+        return {
+            "conv_id": g["conv_id"], "turn": g["turn"], "role": g["role"], "new_role": [ROLES[s[0] - 1] for s in steps], "action": [s[1] for s in steps],
+            "inserted": [None if s[2] is None else ROLES[s[2] - 1] for s in steps], "cost": cost, "seq": [g["base"][0] + k for k in range(len(steps))],
+            "fragment": render(steps, g["text"], g["last"][0], g["enter"][0]),
+        }
+
+    columns = ["conv_id", "part", "stretch", "turn", "role", "text", "at", "enter", "leave", "last", "tail", "base"]
+    return grouped(both.select(*columns), ["conv_id", "part", "stretch"], repaired, "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, seq long, fragment string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

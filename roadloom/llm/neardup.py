@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Bloom, cut, map_arrow, session
+from roadloom.llm.common import Bloom, cut, grouped, map_arrow, session
 
 WORDS, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
@@ -138,35 +138,6 @@ def common_bound(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
 
 
-def grouped(df: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
-    """each(columns of one group as lists) -> dict of columns, over groups that are small enough for a task's memory."""
-
-    def make():
-        held: dict[str, list] = {}
-
-        def batch(b):
-            cols = {k: b.column(k).to_pylist() for k in b.schema.names}
-            marks = list(zip(*(cols[k] for k in keys), strict=True))
-            start = 0
-            for i in range(1, len(marks) + 1):
-                if i == len(marks) or marks[i] != marks[start]:
-                    if held and tuple(held[k][0] for k in keys) != marks[start]:
-                        yield each(dict(held))
-                        held.clear()
-                    for k, v in cols.items():
-                        held.setdefault(k, []).extend(v[start:i])
-                    start = i
-
-        def close():
-            if held:
-                yield each(dict(held))
-
-        batch.close = close
-        return batch
-
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), make, schema)
-
-
 def described(docs: DataFrame) -> DataFrame:
     """id, n_shingles, the set's digest (hi, lo) and bands of every row; nulls for an empty set."""
 
