@@ -153,12 +153,16 @@ class Deduped:
         """Hits whose bytes differ from the kept row's: hi, lo, id and a strong hash of the text."""
         hits = self._maybe().where("maybe").select("hi", "lo", "id", "txt")
         kept = self.repeated.select("hi", "lo", F.col("keep_key").alias("id"))
-        kept = hits.join(kept, ["hi", "lo", "id"]).groupBy("hi", "lo").agg(F.min("txt").alias("kept_txt"))
+        # Grouped with the id, which a digest has one of, so that this join is dealt by id too and not by hot digests.
+        kept = hits.join(kept, ["hi", "lo", "id"]).groupBy("hi", "lo", "id").agg(F.min("txt").alias("kept_txt")).drop("id")
         pairs = hits.join(kept, ["hi", "lo"])
         return pairs.where("txt <> kept_txt").select("hi", "lo", "id", F.sha2(F.col("txt").cast("binary"), 512).alias("strong"))
 
     def _resolved(self, columns: list[str]) -> DataFrame:
-        """`columns` of the digested rows with keep_key and group_size; only possible hits are shuffled."""
+        """`columns` of the digested rows with keep_key and group_size; only possible hits are shuffled.
+
+        Where texts share a digest, `columns` hold the text (txt), by which those rows are told apart.
+        """
         rows = self._maybe().select(*columns, "hi", "lo", "id", "maybe")
         alone = rows.where("not maybe").select(*columns, "id", F.col("id").alias("keep_key"), F.lit(1).cast("long").alias("group_size"))
         hits = rows.where("maybe").join(self.repeated, ["hi", "lo"], "left")
@@ -169,10 +173,7 @@ class Deduped:
             lost = self.collided.groupBy("hi", "lo").agg(F.count("*").alias("lost"))
             own = self.collided.groupBy("hi", "lo", "strong").agg(best("id").alias("own_key"), F.count("*").alias("own_n"))
             own = self.collided.select("hi", "lo", "id", "strong").distinct().join(own, ["hi", "lo", "strong"])
-            if "sha" not in columns:
-                raise ValueError("collided rows are told apart by their text hash")
-            own = own.select("hi", "lo", "id", "own_key", "own_n", F.col("strong"))
-            hits = hits.withColumn("strong", F.sha2(F.col("txt").cast("binary"), 512)) if "txt" in columns else hits
+            hits = hits.withColumn("strong", F.sha2(F.col("txt").cast("binary"), 512))
             hits = hits.join(lost, ["hi", "lo"], "left").join(own, ["hi", "lo", "id", "strong"], "left")
             found = hits.select(*columns, "id", F.coalesce("own_key", "keep_key", "id").alias("keep_key"), F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0)), F.lit(1)).alias("group_size"))
         return alone.unionByName(found)
@@ -196,7 +197,9 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", **options) -> DataFrame
     return Deduped(docs, keep, **options).verdicts()
 
 
-QUERY = lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
+def query(spark, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
+
 
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -8,7 +8,7 @@ QUERIES = {
     "op1_chat": chat.query,
     "op2_toxicity": toxicity.query,
     "op3_media": media.query,
-    "op4_exact_dedup": exact_dedup.QUERY,
+    "op4_exact_dedup": exact_dedup.query,
     "op5_token_counts": token_counts.query,
     "op6_minhash": neardup.query,
     "op7_secrets": secrets.query,
