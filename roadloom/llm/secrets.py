@@ -3,7 +3,8 @@
 Base spans are regular expressions. The method adds more: a value that stands after a credential word is cut into
 the spans that are cheapest to guess (common words, dates, repeats, keyboard walks, and brute force for the rest)
 by dynamic programming over its positions; the cost of a segmentation is the sum of log10 guesses of its spans
-plus one for each join. A value of LOG_GUESSES or more is reported as a span of kind `guess`.
+plus 0.3 for each join. A value of LOG_GUESSES or more is reported as a span of kind `guess`. Values of any length
+are read whole; the work grows in proportion to the length (times its logarithm where a repeat or walk is long).
 
 Defined results: a null text counts as empty and has no span; base spans stay whatever the cost; an added span
 that an assign span covers is not listed again; repeated rows are each scanned; other columns are not read.
@@ -25,10 +26,12 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words before a value that make it a credential; wider than the base pattern.
-CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret|login|pin)\b["']?\x20*(?:[:=]|\bis\b)\x20*(?:bearer\x20+)?["']?)([^\s"'<>,;]{6,200})""")
+CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret|login|pin)\b["']?\x20*(?:[:=]|\bis\b)\x20*(?:bearer\x20+)?["']?)([^\s"'<>,;]{6,})""")
 _HINT = re.compile(r"(?ai:pass|pwd|secret|token|key|auth|bearer|credential|login|pin)")
 KINDS = ("assign", "access", "hex", "guess")
 LOG_GUESSES = 10.0
+#: Costs of values up to this length are remembered.
+CACHED = 200
 #: Common password words, by rank.
 COMMON = (
     "password love admin welcome monkey dragon master shadow sunshine princess football baseball secret hello summer winter spring "
@@ -49,43 +52,104 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33 if c.isascii() else 100
 
 
-@lru_cache(20_000)
+class _Starts:
+    """The cheapest of the starts i that are held, where a segment from i to j costs base + log(j - i).
+
+    `log` is concave, so of two starts the earlier one, once as cheap, stays so: the starts that can still win form a
+    stack, the newest on top, each with the position from which the one below is as cheap.
+    """
+
+    def __init__(self, log, n: int):
+        self.log, self.n, self.held = log, n, []
+
+    def cost(self, start: tuple[int, float], j: int) -> float:
+        return start[1] + self.log(j - start[0])
+
+    def _until(self, new: tuple[int, float], old: tuple[int, float], j: int) -> int:
+        """The first position after j where `old` costs no more than `new`, n + 1 if there is none."""
+        lo, hi = j, self.n + 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if self.cost(old, mid) <= self.cost(new, mid) else (mid, hi)
+        return hi
+
+    def top(self, j: int) -> tuple[int, float] | None:
+        while len(self.held) > 1 and self.held[-1][2] <= j:
+            self.held.pop()
+        return self.held[-1][:2] if self.held else None
+
+    def push(self, i: int, base: float, j: int) -> None:
+        """Start i may be used from position j on."""
+        new, old = (i, base), self.top(j)
+        if old and self.cost(old, j) <= self.cost(new, j):
+            return
+        while self.held:
+            until = self._until(new, self.held[-1][:2], j)
+            if len(self.held) == 1 or until < self.held[-1][2]:
+                break
+            self.held.pop()
+        self.held.append((i, base, until if self.held else self.n + 1))
+
+
 def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     """(log10 guesses, segments) of the cheapest segmentation; segments are (kind, start, end)."""
+    return _cached(value) if len(value) <= CACHED else _cheapest(value)
+
+
+def _cheapest(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
+    logs = [math.log10(_alphabet(c)) for c in value]
     best, how = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
+    join = lambda i: 0.3 if i else 0.0
+    walk_log = lambda m: math.log10(45 * 2) + 0.4 * (m - 2) ** 0.5 + math.log10(m)
+    walks, walked = _Starts(walk_log, n), 0
+    units = range(1, min(8, n // 2) + 1)
+    repeats = {u: [_Starts(lambda m, u=u: math.log10(m / u), n) for _ in range(u)] for u in units}
+    repeated = dict.fromkeys(units, 0)
+    brute, run = 0, 0.0
 
     def offer(i: int, j: int, kind: str, log: float) -> None:
-        cost = best[i] + log + (0.3 if i else 0.0)
+        cost = best[i] + log + join(i)
         if cost < best[j] - 1e-12:
             best[j], how[j] = cost, (kind, i)
 
-    for i in range(n):
-        run = 0.0
-        for j in range(i + 1, n + 1):  # brute force
-            run += math.log10(_alphabet(value[j - 1]))
-            offer(i, j, "brute", run)
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):  # words, capitals and substitutions
+    for j in range(1, n + 1):
+        if best[j - 1] + join(j - 1) < best[brute] + join(brute) + run - 1e-12:  # brute force: a span goes on or starts anew
+            brute, run = j - 1, 0.0
+        run += logs[j - 1]
+        offer(brute, j, "brute", run)
+        for i in range(max(0, j - _LONGEST), j - 2):  # words, capitals and substitutions
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.8)):
                 if form in _RANK:
                     upper = sum(c.isupper() for c in value[i:j])
                     offer(i, j, "word", math.log10(_RANK[form] + 1) + extra + (0.3 if upper in (1, j - i) else 0.3 * upper))
-        for p in _DATES:
-            for j in range(i + 4, min(n, i + 10) + 1):
+        for i in range(max(0, j - 10), j - 3):
+            for p in _DATES:
                 if p.fullmatch(value, i, j):
                     offer(i, j, "date", math.log10(150) if j - i == 4 else math.log10(365.25 * 150) + (0.6 if not value[i:j].isdigit() else 0))
-        for unit in range(1, min(8, (n - i) // 2) + 1):  # repeats of a unit
-            times = 1
-            while value[i + unit * times : i + unit * (times + 1)] == value[i : i + unit]:
-                times += 1
-                if unit * times >= 3:
-                    offer(i, i + unit * times, "repeat", sum(math.log10(_alphabet(c)) for c in value[i : i + unit]) + math.log10(times))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _WALK:  # keyboard walks
-            j += 1
-            if j - i >= 3:
-                offer(i, j, "walk", math.log10(45 * 2) + 0.4 * (j - i - 2) ** 0.5 + math.log10(j - i))
+        for u in units:  # repeats of a unit
+            if j <= u or value[j - 1] != value[j - 1 - u]:
+                if repeated[u]:
+                    repeated[u] = 0
+                    for starts in repeats[u]:
+                        starts.held.clear()
+                continue
+            repeated[u] += 1
+            starts, i = repeats[u][j % u], j - max(2 * u, 3)
+            if i >= 0 and repeated[u] >= j - i - u:
+                starts.push(i, best[i] + join(i) + sum(logs[i : i + u]), j)
+            if found := starts.top(j):
+                offer(found[0], j, "repeat", sum(logs[found[0] : found[0] + u]) + math.log10((j - found[0]) // u))
+        if j > 1 and low[j - 2 : j] in _WALK:  # keyboard walks
+            walked += 1
+            if walked >= 2:
+                walks.push(j - 3, best[j - 3] + join(j - 3), j)
+            if found := walks.top(j):
+                offer(found[0], j, "walk", walk_log(j - found[0]))
+        elif walked:
+            walked = 0
+            walks.held.clear()
     out, j = [], n
     while j:
         kind, i = how[j]
@@ -94,12 +158,15 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     return best[n], tuple(reversed(out))
 
 
+_cached = lru_cache(20_000)(_cheapest)
+
+
 def spans(text: str, log_guesses: float = LOG_GUESSES) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses or nan) by start, then kind; code points, end exclusive."""
     out = []
     if _HINT.search(text):
         assigned = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        out += [("assign", m.start(), m.end(), guess_cost(m[2][:200])[0]) for m in assigned]
+        out += [("assign", m.start(), m.end(), guess_cost(m[2])[0]) for m in assigned]
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
             if not any(x.start() < b and a < x.end() for x in assigned) and (cost := guess_cost(m[1])[0]) >= log_guesses and _mixed(m[1]):

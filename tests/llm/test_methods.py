@@ -264,6 +264,20 @@ def test_guess_cost_is_least():
     assert secrets.guess_cost("password")[0] < secrets.guess_cost("qwertyui")[0] < secrets.guess_cost("xK9mQ2vL")[0]
 
 
+def test_long_values_are_whole():
+    """Values have no length limit, their cost is that of the whole value, and long repeats and walks stay quick."""
+    r = random.Random(5)
+    jwt = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789") for _ in range(600))
+    (got,) = secrets.spans(f"Authorization: Bearer {jwt} end")
+    assert got[:3] == ("guess", 22, 622) and got[3] > 600
+    (got,) = secrets.spans(f"token={jwt}")
+    assert got[:3] == ("assign", 0, 606) and got[3] == secrets.guess_cost(jwt)[0] > 600
+    for v in ("a" * 30_000, "qw" * 15_000, "qwertyuiopoiuytrewq" * 1500):
+        cost, parts = secrets.guess_cost(v)
+        assert parts[-1][2] == len(v) and cost < len(v)
+    assert secrets.guess_cost("qw" * 15_000)[0] < 8
+
+
 def test_chat_cost_against_brute_force():
     def brute(roles):
         best = [1 << 40]
