@@ -7,13 +7,16 @@ plus 0.3 for each join. A value of LOG_GUESSES or more is reported as a span of
 are read whole; the work grows in proportion to the length (times its logarithm where a repeat or walk is long).
 
 Defined results: a null text counts as empty and has no span; base spans stay whatever the cost; an added span
-that an assign span covers is not listed again; repeated rows are each scanned; other columns are not read.
+that one assign span contains entirely is not listed again, one that reaches beyond it is; after 'is', a value of
+letters only (and final marks) is prose and not listed, after ':' or '=' the guess cost alone decides; repeated
+rows are each scanned; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -26,7 +29,7 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words before a value that make it a credential; wider than the base pattern.
-CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret|login|pin)\b["']?\x20*(?:[:=]|\bis\b)\x20*(?:bearer\x20+)?["']?)([^\s"'<>,;]{6,})""")
+CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret|login|pin)\b["']?\x20*([:=]|\bis\b)\x20*(?:bearer\x20+)?["']?)([^\s"'<>,;]{6,})""")
 _HINT = re.compile(r"(?ai:pass|pwd|secret|token|key|auth|bearer|credential|login|pin)")
 KINDS = ("assign", "access", "hex", "guess")
 LOG_GUESSES = 10.0
@@ -168,8 +171,8 @@ def spans(text: str, log_guesses: float = LOG_GUESSES) -> list[tuple[str, int, i
         assigned = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         out += [("assign", m.start(), m.end(), guess_cost(m[2])[0]) for m in assigned]
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            if not any(x.start() < b and a < x.end() for x in assigned) and (cost := guess_cost(m[1])[0]) >= log_guesses and _mixed(m[1]):
+            a, b = m.span(2)
+            if (m[1] in ":=" or _mixed(m[2])) and not _within(a, b, assigned) and (cost := guess_cost(m[2])[0]) >= log_guesses:
                 out.append(("guess", a, b, cost))
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), math.nan) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -177,8 +180,14 @@ def spans(text: str, log_guesses: float = LOG_GUESSES) -> list[tuple[str, int, i
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _within(a: int, b: int, assigned: list[re.Match]) -> bool:
+    """Does one of the matches, which are in order and apart, contain a to b?"""
+    k = bisect_right(assigned, a, key=lambda m: m.start()) - 1
+    return k >= 0 and b <= assigned[k].end()
+
+
 def _mixed(value: str) -> bool:
-    """Prose after a credential word is letters and at most a final mark; a credential holds a digit or a sign inside."""
+    """Prose after a credential word and 'is' is letters and at most a final mark; a credential holds a digit or a sign inside."""
     return any(not c.isalpha() for c in value.rstrip(".!?:)]}"))
 
 

@@ -278,6 +278,14 @@ def test_long_values_are_whole():
     assert secrets.guess_cost("qw" * 15_000)[0] < 8
 
 
+def test_added_spans_are_dropped_only_as_documented():
+    listed = lambda text: [(k, text[a:b]) for k, a, b, _ in secrets.spans(text)]
+    assert listed("password=Summer2024!x#9Qz") == [("assign", "password=Summer2024"), ("guess", "Summer2024!x#9Qz")]
+    assert listed("password=xK9mQ2vL7w") == [("assign", "password=xK9mQ2vL7w")]
+    assert listed("pwd: XqZvKwRtYbLm") == [("guess", "XqZvKwRtYbLm")] and listed("pwd: password") == []
+    assert listed("the secret is understanding everything") == []
+
+
 def test_chat_cost_against_brute_force():
     def brute(roles):
         best = [1 << 40]
