@@ -59,9 +59,11 @@ def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float =
     return best.select("id", "m.way", "m.seg", "m.dist")
 
 
-def match_edges(edges: DataFrame, segments: DataFrame, size: float = 220.0, end_limit: float = 90.0, mid_limit: float = 160.0) -> DataFrame:
+def match_edges(edges: DataFrame, segments: DataFrame, size: float = 220.0, end_limit: float = 90.0, mid_limit: float = 160.0, others: bool = False) -> DataFrame:
     """Best way of each edge (edge, ax, ay, bx, by, length) among segments (way, seg, ax, ay, bx, by, at), `at` the chainage.
 
+    With `others`, edges and ways are one set, and an edge is not matched to the way of its own number.
+
     score = max(start, end) + 0.45 mid + 18 min(length penalty, 4); the least score wins, then the least way.
     """
     spot = lambda name, x, y: F.struct(F.lit(name).alias("spot"), x.alias("x"), y.alias("y"))
@@ -69,7 +71,8 @@ def match_edges(edges: DataFrame, segments: DataFrame, size: float = 220.0, end_
     q = edges.select("edge", "length", F.explode(F.array(spot("start", c["ax"], c["ay"]), spot("mid", (c["ax"] + c["bx"]) / 2, (c["ay"] + c["by"]) / 2), spot("end", c["bx"], c["by"]))).alias("s"))
     q = q.select("edge", "length", "s.*").withColumn("cell", F.explode(around(F.col("x"), F.col("y"), size, mid_limit)))
     s = segments.withColumn("cell", F.explode(covered(*c.values(), size)))
-    hit = q.join(s, "cell").withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by"))
+    hit = q.join(s, "cell")
+    hit = (hit.where("edge <> way") if others else hit).withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by"))
     along = F.col("at") + F.col("p.t") * F.hypot(c["bx"] - c["ax"], c["by"] - c["ay"])
     near = hit.groupBy("edge", "length", "way", "spot").agg(F.min(F.struct(F.col("p.dist").alias("dist"), along.alias("along"))).alias("m"))
     each = near.groupBy("edge", "length", "way").agg(*(F.max(F.when(F.col("spot") == k, F.col("m"))).alias(k) for k in ("start", "mid", "end")))

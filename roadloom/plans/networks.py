@@ -127,8 +127,8 @@ c AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) <= 1e-12 THEN 0 ELS
 d AS (SELECT *, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (byy - ay), 2)) AS dist FROM c)"""
 
 
-def _segments(spark, sf):
-    p = _points(spark, sf).where("vec_id % 5 <> 0")
+def _segments(spark, sf, where: str = "vec_id % 5 <> 0"):
+    p = _points(spark, sf).where(where)
     return p.select(F.col("vec_id").alias("way"), F.lit(0).alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("x2") / 4).alias("bx"), (F.col("y") + F.col("y2") / 4).alias("by"), F.array(F.col("vec_id") % 5).alias("routes"))
 
 
@@ -146,9 +146,10 @@ def stations_on_roads(spark, sf):
 
 @register()
 def match_edges(spark, sf):
-    p = _points(spark, sf).where("vec_id % 5 = 0")
+    """Every point's segment as an edge, against the segments of all other points."""
+    p = _points(spark, sf)
     edges = p.select(F.col("vec_id").alias("edge"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("x2") / 4).alias("bx"), (F.col("y") + F.col("y2") / 4).alias("by"))
-    return spatial.match_edges(edges.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), _segments(spark, sf).withColumn("at", F.lit(0.0)))
+    return spatial.match_edges(edges.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), _segments(spark, sf, "true").withColumn("at", F.lit(0.0)), others=True)
 
 
 @register("""WITH p AS (SELECT l_orderkey AS way, l_linenumber AS pos, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) = 1))

@@ -49,7 +49,7 @@ segments AS (SELECT a.path, (a.k - 1)::INT AS step, a.node AS "from", b.node AS
 
 
 def nation_edges(spark, sf_dir) -> DataFrame:
-    """edge, from, to, length: trips' nation pairs whose sum of keys is even, a fixed sparse network."""
+    """edge, from, to, length: trips' nation pairs whose sum of keys is a multiple of 4, a fixed sparse network."""
     e = trips(spark, sf_dir).where((F.col("from") != F.col("to")) & ((F.col("from") + F.col("to")) % 4 == 0))
     e = e.groupBy("from", "to").agg(F.count("*").alias("n"))
     return e.select((F.col("from") * 100 + F.col("to")).cast("bigint").alias("edge"), F.col("from").cast("bigint").alias("from"), F.col("to").cast("bigint").alias("to"), (F.abs(F.col("from") - F.col("to")) + 0.5).alias("length"))

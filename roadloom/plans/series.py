@@ -185,8 +185,10 @@ def log_harmonic_mean(spark, sf):
 DAILY = """y AS (SELECT e.edge, g.t::INT AS t, coalesce(c.y, 0)::DOUBLE AS y FROM (SELECT DISTINCT user_id AS edge FROM events WHERE user_id < 60) e CROSS JOIN range(1, 31) g(t) LEFT JOIN (SELECT user_id, day(ts) AS t, count(*) AS y FROM events GROUP BY 1, 2) c ON c.user_id = e.edge AND c.t = g.t)"""
 
 
-def daily(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 60")
+def daily(spark, sf, below: int | None = 60):
+    """edge (user), t (day), y (events) of the users below `below`, as the oracle SQL has it, or of all where it is None."""
+    e = table(spark, sf, "events")
+    e = e if below is None else e.where(F.col("user_id") < below)
     counts = e.groupBy(F.col("user_id").alias("edge"), F.dayofmonth("ts").alias("t")).agg(F.count("*").cast("double").alias("y"))
     spine = e.select(F.col("user_id").alias("edge")).distinct().select("edge", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("t"))
     return spine.join(counts, ["edge", "t"], "left").na.fill(0.0, ["y"])
