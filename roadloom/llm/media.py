@@ -1,14 +1,16 @@
 """Media columns: WAV samples, short-time Fourier transforms, and spectral-peak pair fingerprints.
 
 A payload (bytes, padded with zeros to a positive multiple of 64) is stored losslessly as an unsigned 8-bit mono
-WAV by the wave module and read back by it. Frames of FRAME samples, HOP apart, are windowed and transformed; a
+WAV by the wave module and read back by it. Frames of FRAME samples start every HOP samples, so that they overlap
+and each sample beyond the first tenth of a frame is near the middle of some; they are windowed and transformed. A
 *peak* is a bin that is the largest of its band in the frame and above the frame's mean; each peak is paired with
-the strongest peak of every band in the next FAN frames that are in reach, and a pair's hash packs both
-frequencies and their distance in frames. The fingerprint is the array of (time code, hash), where the time code
-is the frame of the first peak.
+the peaks of the bands in reach in its own frame and in those that start 1 to FAN whole frame lengths later, and a
+pair's hash packs both frequencies and their distance in frame lengths. The fingerprint is the array of (time code,
+hash), where the time code is the frame of the first peak. As frames overlap, a passage shares most of its hashes
+with a copy of it that stands at another offset.
 
 Defined results: a null text counts as empty, and an empty payload is 64 zero bytes; equal payloads have equal
-results; a payload shorter than a frame is one zero-filled frame; long payloads are transformed in blocks of
+results; frames that reach beyond the end are filled with zeros; long payloads are transformed in blocks of
 BLOCK_FRAMES frames, so memory stays bounded, with no change at the seams; repeated rows are each stored.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import attach, session
 
 UNIT, RATE = 64, 8000
-FRAME, HOP, FAN, BLOCK_FRAMES = 1024, 1024, 2, 512
+FRAME, HOP, FAN, BLOCK_FRAMES = 1024, 128, 2, 512
 #: Band edges in bins; one peak a band and frame.
 BANDS = (4, 24, 64, 160, 512)
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -79,18 +81,19 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(time codes, hashes) of all pairs of peaks in neighbouring bands at most FAN frames apart, by time, then hash."""
+    """(time codes, hashes) of all pairs of peaks in neighbouring bands 0 to FAN frame lengths apart, by time, then hash."""
     b, p = peaks(samples)
     times, hashes = [], []
     bands = b.shape[1]
-    for gap in range(FAN + 1):
+    for far in range(FAN + 1):
+        gap = far * (FRAME // HOP)
         if gap >= len(b):
             break
         for i in range(bands):
-            for j in (range(i + 1, bands) if gap == 0 else range(max(0, i - 1), min(bands, i + 2))):
+            for j in (range(i + 1, bands) if far == 0 else range(max(0, i - 1), min(bands, i + 2))):
                 t = np.flatnonzero(p[: len(b) - gap, i] & p[gap:, j])
                 times.append(t)
-                hashes.append(b[t, i].astype(np.int64) << 20 | b[t + gap, j] << 8 | gap)
+                hashes.append(b[t, i].astype(np.int64) << 20 | b[t + gap, j] << 8 | far)
     t, h = np.concatenate(times), np.concatenate(hashes)
     order = np.lexsort((h, t))
     return t[order], h[order]

@@ -238,6 +238,19 @@ def test_spectra_have_no_seams(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, media.fingerprint(x), strict=True))
 
 
+def test_shifted_and_changed_passages(texts):
+    """A passage behind another head shares most hashes, and bytes that a frame's edge weighs down still count."""
+    long = [t.encode() for _, t, _ in texts if len(t.encode()) > 6000][:8]
+    pairs = lambda data: set(media.fingerprint(np.frombuffer(media.pad(data), np.uint8))[1].tolist())
+    assert long
+    for data in long:
+        whole = pairs(data[:6000])
+        assert pairs(data[:2028] + b"#" * 40 + data[2068:6000]) != whole
+        for head in (300, 512):
+            moved = pairs(b"~" * head + data[:6000])
+            assert len(whole & moved) / len(whole) > 0.4
+
+
 def test_tone_is_the_peak():
     t = np.arange(media.FRAME)
     x = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME)).astype(np.uint8)
