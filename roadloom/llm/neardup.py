@@ -5,8 +5,8 @@ applied to the set, a second one pi is shifted circularly by k = 1..K, and coord
 pi(sigma(x) - k) over the set. BANDS bands of ROWS coordinates are hashed; with 32 x 4, a pair of Jaccard
 similarity 0.75 shares no band with probability 5e-6, and a likelier miss needs a less similar pair.
 
-Equal sets form one *class*, represented by its smallest identifier, before anything is paired, so a group of
-copies costs one row. Links are found in waves, all confirmed on the full sets:
+Equal sets form one *class*, keyed by the set's digest (in the graph by the first 64 of its 128 bits, as wide as a
+shingle's hash), before anything is paired, so a group of copies costs one row. Links are found in waves, all confirmed on the full sets:
 
 1. every class is compared with one *pivot*, the smallest member of a bucket it is in (of several, the pivot it
    shares most buckets with). Components of these links collapse most of a group of near copies in linear time.
@@ -21,8 +21,9 @@ Components are found by alternating large-star and small-star steps on the links
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer than five
 words make one shingle; rows that repeat an identifier are one document whose sets are all linked; a null
-identifier is treated as larger than any other and reported as null; an empty table gives no rows; other columns
-are carried untouched by `keep_rows`.
+identifier is treated as larger than any other and reported as null, and rows that have it are documents of their
+own, one a set (of linked ones without any identifier, one set is kept); an empty table gives no rows; other columns
+are carried untouched by `keep_rows`, which drops rows by identifier and text.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import Bloom, cut, grouped, map_arrow, session
@@ -139,25 +140,29 @@ def common_bound(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, the set's digest (hi, lo) and bands of every row; nulls for an empty set."""
+    """id, th (the text's hash), n_shingles, the set's digest (hi, lo) and bands of every row; nulls for an empty set."""
 
     def make():
         def each(b):
-            out = {k: [] for k in ("id", "n_shingles", "hi", "lo", "bands")}
-            for i, text in zip(b.column("id").to_pylist(), b.column("txt").to_pylist(), strict=True):
+            out = {k: [] for k in ("id", "th", "n_shingles", "hi", "lo", "bands")}
+            for i, th, text in zip(*(b.column(k).to_pylist() for k in ("id", "th", "txt")), strict=True):
                 s = shingles(text)
                 hi, lo = _digest(s) if len(s) else (None, None)
-                for k, v in zip(out, (i, len(s), hi, lo, bands(signature(s)) if len(s) else None), strict=True):
+                for k, v in zip(out, (i, th, len(s), hi, lo, bands(signature(s)) if len(s) else None), strict=True):
                     out[k].append(v)
             return out
 
         return each
 
-    return map_arrow(_keyed(docs).select("id", "txt"), make, "id long, n_shingles long, hi long, lo long, bands array<long>")
+    return map_arrow(_keyed(docs), make, "id long, th long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE)).alias("id"), docs["text"].alias("txt"))
+    return docs.select(_id(docs).alias("id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("txt"))
+
+
+def _id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,13 +197,14 @@ class NearDup:
         self.spark, self.docs = session(docs), docs
         self.rows = cut(described(docs))
         filled = self.rows.where("n_shingles > 0")
-        classes = cut(filled.groupBy("hi", "lo").agg(F.min("id").alias("rep")))  # written, so that the join deals hot classes anew
-        reps = classes.join(filled.select("hi", "lo", F.col("id").alias("rep"), "bands"), ["hi", "lo", "rep"]).dropDuplicates(["hi", "lo", "rep"])
-        keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+        least = filled.groupBy("hi", "lo").agg(F.min(F.struct("id", "th")).alias("m"))
+        self.classes = cut(least.select("hi", "lo", "m.id", "m.th"))  # written, so that the join deals hot classes anew
+        reps = self.classes.join(filled.select("hi", "lo", "id", "th", "bands"), ["hi", "lo", "id", "th"]).dropDuplicates(["hi", "lo", "id", "th"])
+        keys = reps.select(F.col("hi").alias("rep"), F.posexplode("bands").alias("band", "key"))
         shared = keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
         self.members = cut(keys.join(cut(shared), ["band", "key"]).select("band", "key", "rep", "pivot"))
         self.sets = cut(self._sets())
-        self.links = cut(self._verified(self._pivots()))
+        self.links = cut(self._verified(self._pivots()).unionByName(self._same(filled)))
         self.component = components(self.links)
         for forest in (True, False):
             more = cut(self._verified(self._crossing(self.component, forest)))
@@ -208,24 +214,30 @@ class NearDup:
 
     def _sets(self) -> DataFrame:
         """rep, set and codes of the classes that share a bucket; a Bloom filter keeps other texts out of the shuffle."""
-        need = self.members.select(F.col("rep").alias("id")).distinct()
-        keyed = need.select(F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo"))
-        maybe = Bloom.build(keyed).column(self.spark, "hi", "lo")
-        texts = _keyed(self.docs).withColumns({"hi": F.xxhash64("id"), "lo": F.xxhash64("id", F.lit(1))}).where(maybe).select("id", "txt")
+        need = cut(self.members.select("rep").distinct().join(self.classes.select(F.col("hi").alias("rep"), "id", "th"), "rep"))
+        bits = {"hi": F.xxhash64("id", "th"), "lo": F.xxhash64("id", "th", F.lit(1))}
+        maybe = Bloom.build(need.select(*(v.alias(k) for k, v in bits.items()))).column(self.spark, "hi", "lo")
+        texts = _keyed(self.docs).withColumns(bits).where(maybe).select("id", "th", "txt").join(need, ["id", "th"])
 
         def make():
             def each(b):
                 sets = [shingles(t) for t in b.column("txt").to_pylist()]
-                return {"rep": b.column("id").to_pylist(), "items": [s.view(np.int64) for s in sets], "codes": [codes(s) for s in sets]}
+                return {"rep": b.column("rep").to_pylist(), "items": [s.view(np.int64) for s in sets], "codes": [codes(s) for s in sets]}
 
             return each
 
-        return map_arrow(texts.join(need, "id", "left_semi").groupBy("id").agg(F.min("txt").alias("txt")), make, "rep long, items array<long>, codes binary")
+        return map_arrow(texts.groupBy("id", "th", "rep").agg(F.min("txt").alias("txt")), make, "rep long, items array<long>, codes binary")
+
+    def _same(self, filled: DataFrame) -> DataFrame:
+        """Links of the sets of one identifier; a null joins nothing."""
+        known = filled.where(F.col("id") != _NONE)
+        several = cut(known.groupBy("id").agg(F.min("hi").alias("b"), F.max("hi").alias("most")).where("b <> most").select("id", "b"))
+        return known.select("id", F.col("hi").alias("a")).join(several, "id").where("a <> b").select("a", "b").distinct()
 
     def _pivots(self) -> DataFrame:
         """One pair a class at most: with the pivot it shares most buckets with, the smallest of equals."""
         pairs = self.members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
-        return pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("neg"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.neg")).alias("b"))
+        return pairs.groupBy("rep").agg(F.max(F.struct("n", F.bitwise_not("pivot").alias("neg"))).alias("best")).select(F.col("rep").alias("a"), F.bitwise_not("best.neg").alias("b"))
 
     def _crossing(self, component: DataFrame, forest: bool) -> DataFrame:
         """Pairs of classes that share a bucket, are in different components and may be similar enough.
@@ -284,21 +296,26 @@ class NearDup:
         common = F.size(F.array_intersect("sa", "sb"))
         return both.withColumn("common", common).where(DENOMINATOR * F.col("common") >= NUMERATOR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
+    def _marked(self) -> DataFrame:
+        """id, th, n_shingles, comp (the smallest identifier of the component) and kept of every row."""
+        filled = self.rows.where("n_shingles > 0").select("id", "th", "n_shingles", "hi", "lo")
+        classes = self.classes.join(self.component, F.col("hi") == F.col("node"), "left")
+        classes = cut(classes.select("hi", "lo", "id", F.coalesce("component", "hi").alias("in")))
+        first = cut(classes.groupBy("in").agg(F.min(F.struct("id", "hi")).alias("m")).select("in", F.col("m.id").alias("comp"), F.col("m.hi").alias("first")))
+        classes = cut(classes.select("hi", "lo", "in").join(first, "in").select("hi", "lo", "comp", "first"))
+        kept = (F.col("id") == F.col("comp")) & ((F.col("id") != _NONE) | (F.col("hi") == F.col("first")))
+        out = filled.join(classes, ["hi", "lo"]).select("id", "th", "n_shingles", "comp", kept.alias("kept"))
+        return out.unionByName(self.rows.where("n_shingles = 0").select("id", "th", "n_shingles", F.col("id").alias("comp"), F.lit(True).alias("kept")))
+
     def verdicts(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row."""
-        filled = self.rows.where("n_shingles > 0").select("id", "n_shingles", "hi", "lo")
-        classes = filled.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-        classes = classes.join(self.component, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("comp"))
-        out = filled.join(classes, ["hi", "lo"]).select("id", "n_shingles", "comp")
-        out = out.unionByName(self.rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("comp")))
         real = lambda c: F.when(F.col(c) != _NONE, F.col(c))
-        return out.select(real("id").alias("doc_id"), "n_shingles", real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+        return self._marked().select(real("id").alias("doc_id"), "n_shingles", real("comp").alias("component_id"), "kept")
 
     def keep_rows(self) -> DataFrame:
         """The rows of `docs` that stay: one of each component, with its columns."""
-        verdicts = self.verdicts()
-        gone = verdicts.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-        return self.docs.join(gone, self.docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+        gone = self._marked().where("not kept").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+        return self.docs.join(gone, (_id(self.docs) == gone["gone_id"]) & (F.xxhash64(self.docs["text"]) == gone["gone_th"]), "left_anti")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -66,6 +66,21 @@ def test_near(docs, empty):
     assert kept.columns == docs.columns and 10 not in [r.doc_id for r in kept.collect()]
 
 
+def test_near_with_shared_and_null_ids(spark):
+    text = lambda c, n=40: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, text("a")), (2, text("b")), (3, text("c"))]
+    rows += [(None, text("a") + " end"), (None, text("x")), (None, text("b") + " end"), (None, text("y")), (None, text("y") + " end"), (None, text("z"))]
+    rows += [(7, text("c") + " end"), (7, text("m")), (8, text("m") + " end"), (9, text("m"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near = neardup.NearDup(docs)
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id or 0, r.kept) for r in near.verdicts().collect())
+    nulls = [(c, k) for i, _, c, k in got if not i]
+    assert sorted(nulls)[-2:] == [(1, False), (2, False)] and sorted(nulls)[:4] == [(0, False), (0, True), (0, True), (0, True)]
+    assert [(i, c, k) for i, _, c, k in got if i] == [(1, 1, True), (2, 2, True), (3, 3, True), (7, 3, False), (7, 3, False), (8, 3, False), (9, 3, False)]
+    left = [(r.doc_id, r.text) for r in near.keep_rows().collect()]
+    assert sorted(i or 0 for i, _ in left) == [0, 0, 0, 1, 2, 3] and {(None, text("x")), (None, text("z"))} <= set(left)
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs).toPandas()
     assert len(got) == len(ROWS) and (got["taken"] <= 2 * got["size"]).all()
