@@ -3,7 +3,8 @@
 The network reads a text's UTF-8 bytes in windows of WINDOW bytes, forward and backward, and labels every byte
 position with a distribution over the learned languages; a document's probabilities are the mean over all its
 positions. It is trained in numpy by backpropagation through time on a bounded sample of labelled rows: at most
-SAMPLE_PER_LANG documents of each language, first by a hash of their identifier. Gates are piecewise linear
+SAMPLE_PER_LANG documents of each language, first by a hash of their identifier, of which all bytes are in the
+windows that batches are drawn from. Gates are piecewise linear
 (clipped) so that inference is a few vector operations a byte: windows of many documents advance together.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text when no row can
@@ -199,14 +200,14 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, steps: int = 260, ba
         b = np.frombuffer(r.text.encode(), np.uint8)
         if len(b):
             x, _ = windows(b, np.array([0, len(b)]), width)
-            pick = rng.permutation(len(x))[:24]
-            xs.append(x[pick])
-            ys += [langs.index(r.lang)] * len(pick)
+            xs.append(x)
+            ys += [langs.index(r.lang)] * len(x)
     if not xs:
         return Tagger([], None)
     x, y = np.concatenate(xs), np.array(ys)
     share = np.bincount(y, minlength=len(langs))
-    even = np.concatenate([rng.choice(np.flatnonzero(y == k), max(share), replace=True) for k in range(len(langs)) if share[k]])
+    most = max(share)  # all windows of every language, the fewer ones filled up by repeats
+    even = np.concatenate([np.r_[at, rng.choice(at, most - len(at))] for at in (np.flatnonzero(y == k) for k in range(len(langs)) if share[k])])
     net = ByteGRU(len(langs), hidden, seed)
     net.fit(x[even], y[even], steps, batch)
     return Tagger(langs, net)

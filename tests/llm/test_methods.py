@@ -154,6 +154,15 @@ def test_language_held_out(spark, texts):
     assert np.mean([got[i].lang_pred == lang for i, lang in held]) >= 0.95
 
 
+def test_training_sees_all_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.ByteGRU, "fit", lambda self, x, y, *a: seen.append(x))
+    text = " ".join(str(k) for k in range(2000))
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1][:1]
+    langid.train(spark.createDataFrame([(i, text, "en") for i in ids], "doc_id long, text string, lang string"))
+    assert {bytes(w[w < 256].astype("uint8")) for w in seen[0]} >= {text.encode()[k : k + 48] for k in range(0, 48 * (len(text) // 48), 48)}
+
+
 def test_gru_gradient():
     net = langid.ByteGRU(3, 4, 5)
     rng = np.random.default_rng(0)
