@@ -22,7 +22,7 @@ import wave
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,29 +112,54 @@ def summary(times: np.ndarray, hashes: np.ndarray) -> str:
     return f"{len(x)}:{np.packbits(bits).tobytes().hex()}"
 
 
-_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_FIELDS = [x.split()[0] for x in _SCHEMA.split(", ")]
+_STORED = "n_bytes long, fingerprint array<struct<time:int,hash:long>>, media binary"
+_DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_PAIR = pa.struct([("time", pa.int32()), ("hash", pa.int64())])
 
 
-def store(docs: DataFrame, media: bool = True) -> DataFrame:
-    """All columns of `docs` with the record of the stored text, its fingerprint, and, where `media`, the WAV itself."""
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """All columns of `docs` with the stored text's record: n_bytes, digests, fingerprint and the WAV as media.
+
+    The digests are taken from the media and fingerprint columns, the payload being read back from the WAV.
+    """
     session(docs)
-    schema = _SCHEMA + ", fingerprint array<struct<time:int,hash:long>>" + ", media binary" * media if media else _SCHEMA
-
-    @F.pandas_udf(schema)
-    def stored(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text.tolist():
-            data = (t or "").encode()
-            wav = to_wav(pad(data))
+
+    @F.arrow_udf(_STORED)
+    def stored(text: pa.Array) -> pa.Array:
+        sizes, ends, times, hashes, wavs = [], [0], [], [], []
+        for t in text:
+            data = (t.as_py() or "").encode()
+            wavs.append(to_wav(pad(data)))
+            at, h = fingerprint(np.frombuffer(from_wav(wavs[-1]), np.uint8))
+            sizes.append(len(data))
+            ends.append(ends[-1] + len(h))
+            times.append(at.astype(np.int32))
+            hashes.append(h)
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *times])), pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]))], fields=list(_PAIR))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(wavs, pa.binary())], names=_names(_STORED))
+
+    @F.arrow_udf(_DIGESTS)
+    def digests(media: pa.Array, pairs: pa.Array) -> pa.Array:
+        out, flat, ends = [], pairs.flatten(), np.cumsum([0, *pairs.value_lengths().to_pylist()])
+        times, hashes = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("time", "hash"))
+        for m, a, b in zip(media, ends, ends[1:], strict=False):
+            wav = m.as_py()
             payload = from_wav(wav)
-            times, hashes = fingerprint(np.frombuffer(payload, np.uint8))
-            row = [len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), summary(times, hashes)]
-            out.append(row + [[{"time": a, "hash": h} for a, h in zip(times.tolist(), hashes.tolist(), strict=True)], wav] if media else row)
-        return pd.DataFrame(out, columns=_FIELDS + ["fingerprint", "media"] * media)
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), summary(times[a:b], hashes[a:b])))
+        kinds = [pa.string() if x.endswith(" string") else pa.int64() for x in _DIGESTS.split(", ")]
+        cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_names(_DIGESTS))
 
-    return attach(docs, stored(docs["text"]), _FIELDS + ["fingerprint", "media"] * media)
+    out = attach(docs, stored(docs["text"]), _names(_STORED))
+    out = attach(out, digests(out["media"], out["fingerprint"]), _names(_DIGESTS))
+    mine = ["n_bytes", *_names(_DIGESTS), "fingerprint", "media"]
+    return out.select(*(F.col(f"`{c}`") for c in out.columns if c not in mine), *mine)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), media=False).drop("text")
+    """The digests and the fingerprint; the WAV is made, stored as a column and digested, and left out of the result."""
+    return store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text", "media")

@@ -127,6 +127,19 @@ def test_media(docs, empty):
     assert media.store(empty).count() == 0
 
 
+def test_media_query_returns_the_fingerprint(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = media.query(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        payload = media.pad((texts[r.doc_id] or "").encode())
+        times, hashes = media.fingerprint(np.frombuffer(payload, np.uint8))
+        assert [tuple(x) for x in r.fingerprint] == list(zip(times.tolist(), hashes.tolist(), strict=True))
+        assert r.feature == media.summary(times, hashes) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert r.media_sha256 == hashlib.sha256(media.to_wav(payload)).hexdigest() and r.media_bytes == len(payload) + 44
+
+
 def test_secrets(docs, empty, spark):
     assert all(len(r["secrets"]) == 0 for r in secrets.scan(docs).collect())
     assert secrets.scan(empty).count() == 0
