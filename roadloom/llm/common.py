@@ -81,6 +81,10 @@ def one_thread() -> None:
         os.environ.setdefault(k, "1")
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict] | dict | None]], schema: str) -> DataFrame:
     """mapInArrow where `make()` is called once a task and its result once a batch; columns come back as a dict."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -95,9 +99,9 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
             if b.num_rows:
                 out = each(b)
                 for o in [out] if isinstance(out, dict) else out or ():
-                    yield pa.RecordBatch.from_arrays([pa.array(o[f.name], f.type) for f in arrow], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([_column(o[f.name], f.type) for f in arrow], schema=arrow)
         for o in getattr(each, "close", tuple)() or ():
-            yield pa.RecordBatch.from_arrays([pa.array(o[f.name], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([_column(o[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -6,16 +6,20 @@ pi(sigma(x) - k) over the set. BANDS bands of ROWS coordinates are hashed; with
 similarity 0.75 shares no band with probability 5e-6, and a likelier miss needs a less similar pair.
 
 Equal sets form one *class*, keyed by the set's digest (in the graph by the first 64 of its 128 bits, as wide as a
-shingle's hash), before anything is paired, so a group of copies costs one row. Links are found in waves, all confirmed on the full sets:
-
-1. every class is compared with one *pivot*, the smallest member of a bucket it is in (of several, the pivot it
-   shares most buckets with). Components of these links collapse most of a group of near copies in linear time.
-2. In buckets that still hold several components, the members outside the largest one meet all members in blocks,
-   and each pair of blocks is a task of its own. Short codes of the shingles give an upper bound of the common
-   shingles that is never too low; of the pairs that pass it, a block reports only a spanning forest over
-   components, likeliest first, so what is reported grows with the members and not with their pairs.
-3. Pairs that pass between components which are still apart (where a reported pair failed on the full sets) are
-   all confirmed. As codes rarely collide, these are few.
+shingle's hash), before anything is paired, so a group of copies costs one row. Links are found in two ways, both
+confirmed on the full sets:
+
+1. *Rounds of hubs.* The hub of a bucket is the member whose 32 buckets hold the most members: an original that its
+   copies were made from has more company than they have. Every class is compared with one hub, of the buckets it is
+   in the one it shares most buckets with, and links are contracted to components. In later rounds a bucket's hub is
+   the best member outside its largest component. A round costs at most one pair a class. Rounds end when one
+   joins less than ROUND_SHARE of the pairs it asked; that decides about cost alone, as the next step is complete.
+2. *Blocks.* In buckets that still hold several components, the members outside the largest one meet all members,
+   in blocks of BLOCK members, and each pair of blocks is a task of its own. Codes are joined once a member, before
+   members are dealt to blocks. 32-bit codes of the shingles give an upper bound of the common shingles that is never
+   too low; of the pairs that pass it, a block reports only a spanning forest over components, likeliest first, so
+   what is reported grows with the members and not with their pairs. Should a reported pair fail on the full sets,
+   the step is repeated over the contracted components with other codes, until all that is reported is confirmed.
 
 Components are found by alternating large-star and small-star steps on the links, as tables, never on the driver.
 
@@ -40,8 +44,8 @@ WORDS, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK = 256
-#: Sets of more shingles than this have 32-bit codes.
-WIDE = 4096
+#: Rounds of hubs end when one joins less than this share of its pairs.
+ROUND_SHARE = 0.05
 _NONE = (1 << 63) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -120,23 +124,29 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def codes(s: np.ndarray) -> bytes:
-    """Short codes of a set: 16 bits each, 32 for a large set."""
-    return s.astype(np.uint16 if len(s) <= WIDE else np.uint32).tobytes()
+def codes(s: np.ndarray, salt: int = 0) -> np.ndarray:
+    """32-bit codes of a set; another salt gives independent ones."""
+    with np.errstate(over="ignore"):
+        return (_mix64(s + _U(salt)) if salt else s).astype(np.uint32)
+
 
+def common_bound(mine: np.ndarray, others: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """For each of `others`, at least as many as the shingles that it shares with `mine`, from codes alone.
 
-def common_bound(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """For each of `others`, at least as many as the shingles that it shares with `mine`, from codes alone."""
-    if not others:
-        return np.zeros(0, np.int64)
-    if mine.dtype == np.uint16 or any(o.dtype == np.uint16 for o in others):
-        table = np.zeros(1 << 16, bool)
-        table[mine.astype(np.uint16)] = True
-        hit = table[np.concatenate([o.astype(np.uint16) for o in others])]
-    else:
-        hit = np.isin(np.concatenate(others), mine)
+    `table` marks the low 16 bits of `mine`: most others fail on those; what may pass is counted on all 32.
+    """
     sizes = np.array([len(o) for o in others])
-    return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    most = np.add.reduceat(table[np.concatenate(others).astype(np.uint16)], ends - sizes, dtype=np.int64)
+    for i in np.flatnonzero(passes(most, sizes, len(mine))):
+        most[i] = np.isin(others[i], mine).sum()
+    return most
+
+
+def passes(common: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """May sets of `sizes`, with at most `common` shingles in a set of `size`, be similar enough?"""
+    common = np.minimum(common, np.minimum(sizes, size))
+    return DENOMINATOR * common >= NUMERATOR * (sizes + size - common)
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -183,7 +193,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = cut(small.where("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
         if state == seen:
             break
         seen = state
@@ -201,16 +211,32 @@ class NearDup:
         self.classes = cut(least.select("hi", "lo", "m.id", "m.th"))  # written, so that the join deals hot classes anew
         reps = self.classes.join(filled.select("hi", "lo", "id", "th", "bands"), ["hi", "lo", "id", "th"]).dropDuplicates(["hi", "lo", "id", "th"])
         keys = reps.select(F.col("hi").alias("rep"), F.posexplode("bands").alias("band", "key"))
-        shared = keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        self.members = cut(keys.join(cut(shared), ["band", "key"]).select("band", "key", "rep", "pivot"))
+        shared = cut(keys.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"))
+        members = cut(keys.join(shared, ["band", "key"]).select("band", "key", "rep", "size"))
+        company = members.groupBy("rep").agg(F.sum("size").alias("company"))
+        self.members = cut(members.join(company, "rep").select("band", "key", "rep", "company"))
         self.sets = cut(self._sets())
-        self.links = cut(self._verified(self._pivots()).unionByName(self._same(filled)))
+        self.links = cut(self._same(filled))
         self.component = components(self.links)
-        for forest in (True, False):
-            more = cut(self._verified(self._crossing(self.component, forest)))
-            if not more.isEmpty():
-                self.links = self.links.unionByName(more)
-                self.component = components(self.links)
+        self.asked: DataFrame | None = None
+        self.rounds: list[tuple[str, int, int]] = []  # (step, pairs asked or reported, links), for reports
+        while self._round("hubs", self._hubs()) >= ROUND_SHARE:
+            pass
+        salt = 0
+        while self._round("blocks", self._crossing(salt)) < 1:
+            salt += 1
+
+    def _round(self, step: str, pairs: DataFrame) -> float:
+        """Verify pairs and contract their links; the share of pairs that are links (1 of none)."""
+        pairs = cut(pairs)
+        links = cut(self._verified(pairs))
+        n, found = pairs.count(), links.count()
+        self.rounds.append((step, n, found))
+        self.asked = pairs if self.asked is None else self.asked.unionByName(pairs)
+        if found:
+            self.links = self.links.unionByName(links)
+            self.component = components(self.links)
+        return found / n if n else float(step == "blocks")
 
     def _sets(self) -> DataFrame:
         """rep, set and codes of the classes that share a bucket; a Bloom filter keeps other texts out of the shuffle."""
@@ -222,7 +248,7 @@ class NearDup:
         def make():
             def each(b):
                 sets = [shingles(t) for t in b.column("txt").to_pylist()]
-                return {"rep": b.column("rep").to_pylist(), "items": [s.view(np.int64) for s in sets], "codes": [codes(s) for s in sets]}
+                return {"rep": b.column("rep").to_pylist(), "items": [s.view(np.int64) for s in sets], "codes": [codes(s).tobytes() for s in sets]}
 
             return each
 
@@ -234,61 +260,90 @@ class NearDup:
         several = cut(known.groupBy("id").agg(F.min("hi").alias("b"), F.max("hi").alias("most")).where("b <> most").select("id", "b"))
         return known.select("id", F.col("hi").alias("a")).join(several, "id").where("a <> b").select("a", "b").distinct()
 
-    def _pivots(self) -> DataFrame:
-        """One pair a class at most: with the pivot it shares most buckets with, the smallest of equals."""
-        pairs = self.members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
-        return pairs.groupBy("rep").agg(F.max(F.struct("n", F.bitwise_not("pivot").alias("neg"))).alias("best")).select(F.col("rep").alias("a"), F.bitwise_not("best.neg").alias("b"))
-
-    def _crossing(self, component: DataFrame, forest: bool) -> DataFrame:
+    def _mixed(self) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets that hold several: the main one, sizes, and the hub."""
+        known = self.members.join(self.component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
+        known = cut(known.select("band", "key", "rep", "company", "comp"))
+        each = cut(known.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("company", "rep", "comp")).alias("best")))
+        mixed = each.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+        mixed = cut(mixed.select("band", "key", F.col("main.comp").alias("main"), F.col("main.n").alias("n_main"), "size"))
+        # Where components are single members, the largest one is any of them, and none is left out.
+        hub = each.join(mixed, ["band", "key"]).where("comp <> main or n_main = 1").groupBy("band", "key").agg(F.max("best").alias("hub"))
+        return known, mixed.join(hub, ["band", "key"])
+
+    def _hubs(self) -> DataFrame:
+        """One pair a class at most: with the hub that it shares most buckets with, in other components, not asked yet."""
+        known, mixed = self._mixed()
+        pairs = known.join(mixed, ["band", "key"]).where("comp <> hub.comp").groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.count("*").alias("n"), F.max("hub.company").alias("company"))
+        if self.asked is not None:
+            pairs = pairs.join(self.asked, ["a", "b"], "left_anti")
+        return pairs.groupBy("a").agg(F.max(F.struct("n", "company", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+    def _crossing(self, salt: int) -> DataFrame:
         """Pairs of classes that share a bucket, are in different components and may be similar enough.
 
-        With `forest`, a block of a bucket reports no pair between components that its likelier pairs connect.
+        A block of a bucket reports no pair between components that its likelier pairs connect.
         """
-        known = self.members.join(component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        known = known.select("band", "key", "rep", "comp")
-        mixed = known.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.mode("comp").alias("main"), F.count("*").alias("size"))
-        mixed = cut(mixed.where("c0 <> c1").select("band", "key", "main", "size"))
-        rows = cut(known.join(mixed, ["band", "key"]).withColumn("apart", F.col("comp") != F.col("main")))
-        apart = cut(rows.groupBy("band", "key").agg(F.count_if("apart").alias("n_apart")))
-        rows = rows.join(apart, ["band", "key"])
-        # Members outside the bucket's main component meet all members: block i of those, block j of all.
-        of = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(n) / BLOCK))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
-        asks = rows.where("apart").select("band", "key", "rep", "comp", F.lit(True).alias("asks"), of("n_apart", 1).alias("i"), every("size").alias("j"))
-        told = rows.select("band", "key", "rep", "comp", "apart", of("size", 2).alias("j"), every("n_apart").alias("i"))
-        rows = asks.withColumn("apart", F.lit(True)).unionByName(told.withColumn("asks", F.lit(False))).join(self.sets.select("rep", "codes"), "rep")
+        known, mixed = self._mixed()
+        rows = known.drop("company").join(mixed.drop("hub"), ["band", "key"]).join(self._coded(salt), "rep")
+        rows = rows.select("band", "key", "rep", "comp", (F.col("comp") != F.col("main")).alias("apart"), "codes", "size", (F.col("size") - F.col("n_main")).alias("n_apart"))
+        # Members outside the bucket's main component (block i of those) meet all members (block j of all).
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+        nth = lambda n, s: F.pmod(F.xxhash64("rep", F.lit(s)), blocks(n))
+        rows = rows.withColumn("at_i", nth("n_apart", 1)).withColumn("at_j", nth("size", 2))
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
+        told = F.transform(upto("n_apart"), lambda i: F.struct(i.alias("i"), F.col("at_j").alias("j")))
+        asks = F.transform(F.filter(upto("size"), lambda j: F.col("apart") & (j != F.col("at_j"))), lambda j: F.struct(F.col("at_i").alias("i"), j.alias("j")))
+        rows = rows.withColumn("cell", F.explode(F.concat(told, asks)))
+        rows = rows.select("band", "key", "cell.i", "cell.j", "rep", "comp", "apart", (F.col("apart") & (F.col("cell.i") == F.col("at_i"))).alias("asks"), (F.col("cell.j") == F.col("at_j")).alias("told"), "codes")
 
         def compare(g: dict[str, list]) -> dict[str, list]:
-            kinds = [np.uint16 if len(c) <= 2 * WIDE else np.uint32 for c in g["codes"]]
-            sets = [np.frombuffer(c, k) for c, k in zip(g["codes"], kinds, strict=True)]
+            sets = [np.frombuffer(x, np.uint32) for x in g["codes"]]
             sizes, rep, comp, apart = np.array([len(x) for x in sets]), np.array(g["rep"]), np.array(g["comp"]), np.array(g["apart"])
-            asks = np.array(g["asks"])
-            told, found = np.flatnonzero(~asks), []
-            for k in np.flatnonzero(asks):
-                fit = told[(comp[told] != comp[k]) & (~apart[told] | (rep[told] > rep[k])) & (DENOMINATOR * np.minimum(sizes[told], sizes[k]) >= NUMERATOR * np.maximum(sizes[told], sizes[k]))]
-                most = common_bound(sets[k], [sets[i] for i in fit])
-                most = np.minimum(most, np.minimum(sizes[fit], sizes[k])) if len(fit) else most
-                ok = DENOMINATOR * most >= NUMERATOR * (sizes[fit] + sizes[k] - most)
-                found += [(m / (sizes[i] + sizes[k] - m), k, i) for i, m in zip(fit[ok], most[ok], strict=True)]
-            if forest:
-                root: dict[int, int] = {}
-
-                def find(c):
-                    while root.get(c, c) != c:
-                        c = root[c]
-                    return c
-
-                kept = []
-                for x, k, i in sorted(found, key=lambda f: (-f[0], rep[f[1]], rep[f[2]])):
-                    p, q = find(int(comp[k])), find(int(comp[i]))
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        kept.append((x, k, i))
-                found = kept
-            return {"a": [int(rep[k]) for _, k, _ in found], "b": [int(rep[i]) for _, _, i in found]}
+            table, found = np.zeros(1 << 16, bool), []
+            told = np.flatnonzero(g["told"])
+            for k in np.flatnonzero(g["asks"]):
+                other = told[(comp[told] != comp[k]) & (~apart[told] | (rep[told] > rep[k]))]
+                fit = other[passes(np.minimum(sizes[other], sizes[k]), sizes[other], sizes[k])]
+                if len(fit):
+                    low = sets[k].astype(np.uint16)
+                    table[low] = True
+                    most = common_bound(sets[k], [sets[i] for i in fit], table)
+                    table[low] = False
+                    for m, i in zip(most, fit, strict=True):
+                        if passes(m, sizes[i], sizes[k]):
+                            m = min(m, sizes[i], sizes[k])
+                            found.append((m / (sizes[i] + sizes[k] - m), k, i))
+            root: dict[int, int] = {}
+
+            def find(c):
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            kept = []
+            for _, k, i in sorted(found, key=lambda f: (-f[0], rep[f[1]], rep[f[2]])):
+                p, q = find(int(comp[k])), find(int(comp[i]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    kept.append((int(rep[k]), int(rep[i])))
+            return {"a": [a for a, _ in kept], "b": [b for _, b in kept]}
 
         return grouped(rows, ["band", "key", "i", "j"], compare, "a long, b long").distinct()
 
+    def _coded(self, salt: int) -> DataFrame:
+        """rep and codes; those of another salt are made anew."""
+        if not salt:
+            return self.sets.select("rep", "codes")
+
+        def make():
+            def each(b):
+                return {"rep": b.column("rep"), "codes": [codes(np.array(x, np.int64).view(np.uint64), salt).tobytes() for x in b.column("items").to_pylist()]}
+
+            return each
+
+        return map_arrow(self.sets.select("rep", "items"), make, "rep long, codes binary")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         a, b = (self.sets.select(F.col("rep").alias(k), F.col("items").alias(f"s{k}")) for k in "ab")

@@ -64,12 +64,21 @@ def near_rows(seed=0):
 
 
 def test_near_against_brute_force(spark, texts, monkeypatch):
+    """With hubs; and without, so that every link is the blocks', with codes that collide, so that they are repeated."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    for rows in (near_rows(), near_rows(1)):
+    real, no_hubs = neardup.codes, lambda self: self._crossing(0).where("false")
+    steps = set()
+    for rows, hubs, code in ((near_rows(), None, real), (near_rows(1), no_hubs, None)):
+        if hubs:
+            monkeypatch.setattr(neardup.NearDup, "_hubs", hubs)
+        monkeypatch.setattr(neardup, "codes", code or (lambda s, salt=0: real(s, salt) % np.uint32(8) if salt < 1 else real(s, salt)))
         want = neardup.brute_force(rows)
-        got = neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        near = neardup.NearDup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        got = near.verdicts().collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+        steps |= {(s, n > found) for s, n, found in near.rounds}
+    assert ("blocks", True) in steps
 
 
 def test_components_of_a_chain(spark):
