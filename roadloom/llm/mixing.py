@@ -4,14 +4,17 @@ A source with target T and size S takes each of its documents T / S times on ave
 certain and one more with the fractional probability. Pivotal rounding settles the fractions: two documents
 trade probability, in proportion to their words, until one of them is at 0 or 1. A trade keeps every document's
 expected copies and the source's expected *words* exactly, so a source misses its target by less than one
-document. Documents are dealt to leaves of a few thousand by a hash of their identifier; each leaf leaves at
-most one fraction per source, and these residuals meet in a reduction tree, LEAF_FANOUT nodes at a time. A hot
-source has as many leaves as its rows ask for. The generator of a node is seeded by source, level and node, so
-reruns and retried tasks agree.
+document. Documents are dealt to leaves of a few thousand by a hash of their identifier, their text, and, for rows
+that are equal in both, the number of the row among those; each leaf leaves at most one fraction per source, and
+these residuals meet in a reduction tree, LEAF_FANOUT nodes at a time. A hot source, or one repeated row, has as many
+leaves as its rows ask for. The generator of a node is seeded by source, level and node, so reruns and retried tasks
+agree. Sources may be many (hosts, say): their totals and targets stay in tables, and only sums over all of them are
+read by the driver.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a null source is a source, listed last;
-a source without words has target 0; rows that repeat an identifier are separate rows here; an empty table
-gives no rows.
+a source without words has target 0; rows that repeat an identifier are separate rows; an empty table gives no rows;
+texts of any length are counted whole; of `docs`, only doc_id, text and source are read by `mix`, whatever other
+columns are named, and `mixed_rows` returns the columns of `docs` as they are.
 """
 
 from __future__ import annotations
@@ -21,17 +24,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import cut, session
+from roadloom.operators.clean import dense_index
 
 LEAF_ROWS, LEAF_FANOUT = 2048, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: dict, weights: Sequence[float], budget: float, cap: float) -> dict:
-    """Words each source is to give: `budget` times all words shared by weight, each at most `cap` times its own."""
+    """Words each source is to give, in memory, as `_plan` has them in tables: `budget` times all words shared by weight, each at most `cap` times its own."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
     left, free, out = budget * sum(sizes.values()), set(order), {}
@@ -88,47 +92,81 @@ def _settle(level: int, last: bool, seed: int):
     return settle
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, copies, taken.
+def _plan(rows: DataFrame, weights: Sequence[float], budget: float, cap: float) -> DataFrame:
+    """src, source_size, n, target of every source, as `targets` has them, by aggregates alone.
 
-    Targets come from one total per source on the driver: sources are a catalogue, not documents.
+    A source is capped when the words left for each unit of weight would give it more than its cap; capping one
+    raises that level for the others, so it rises until no source is newly capped.
     """
-    session(docs)
+    totals = cut(rows.groupBy(F.col("source").alias("src")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    rank = dense_index(totals.withColumn("last", F.col("src").isNull()), ["last", "src"], "rank").drop("last")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    plan = cut(rank.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(cap)))
+    words = plan.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("most") < F.col("weight") * level
+        n, given, left = plan.agg(F.count_if(over), F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == capped or not left:
+            break
+        capped, level = n, (budget * words - (given or 0.0)) / left
+    return plan.select("src", "source_size", "n", F.least("most", F.col("weight") * level).alias("target"))
+
+
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(docs["doc_id"], docs["source"], size.alias("size"), F.xxhash64(docs["doc_id"], F.length(docs["text"])).alias("id")))
-    found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
-    sizes = {r.source: r.words for r in found}
-    want = targets(sizes, weights, budget, cap)
-    plan = rows.sparkSession.createDataFrame(
-        [(s, int(n), float(want[s]), want[s] / n if n else 0.0, max(1, -(-r.n // LEAF_ROWS))) for r in found for s, n in [(r.source, r.words)]],
-        "src string, source_size long, target double, rate double, leaves long",
-    )
+    return docs.select(docs["doc_id"], docs["source"], size.alias("size"), key.alias("key"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """One row per row of `docs`: doc_id, source, size, source_size, target, copies, taken."""
+    return _mixed(_keyed(docs, F.xxhash64(docs["doc_id"], docs["text"])), weights, budget, cap, seed).drop("key")
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """`mix` of rows (doc_id, source, size, key), with their key."""
+    session(rows)
+    rows = rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("rows"))
+    rows = rows.select("doc_id", "source", "size", "key", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("nth"))
+    rows = cut(rows.withColumn("id", F.xxhash64("key", "nth")).drop("nth"))
+    plan = cut(_plan(rows, weights, budget, cap))
+    most = max(1, -(-(plan.agg(F.max("n")).first()[0] or 0) // LEAF_ROWS))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["src"]))
-    whole = F.floor(F.col("rate") + 1e-12)
-    rows = rows.select("doc_id", "source", "size", "id", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("p"), F.pmod(F.col("id"), F.col("leaves")).alias("node"))
-    kind, levels, most, done = rows.schema, 0, max([1, *(-(-r.n // LEAF_ROWS) for r in found)]), []
+    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    whole = F.floor(rate + 1e-12)
+    leaves = F.greatest(F.ceil(F.col("n") / LEAF_ROWS), F.lit(1))
+    rows = rows.select("doc_id", "source", "size", "key", "id", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"), F.pmod("id", leaves).alias("node"))
+    kind, level, done = rows.schema, 0, []
     while True:
         last = most == 1
-        rows = cut(rows.groupBy("source", "node").applyInPandas(_settle(levels, last, seed), kind))
+        rows = cut(rows.groupBy("source", "node").applyInPandas(_settle(level, last, seed), kind))
         if last:
             done.append(rows)
             break
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(rows.where(~open_))
         rows = rows.where(open_).withColumn("node", F.floor(F.col("node") / LEAF_FANOUT))
-        levels, most = levels + 1, -(-most // LEAF_FANOUT)
+        level, most = level + 1, -(-most // LEAF_FANOUT)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("whole") + F.round("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Rows sharing an identifier share its largest count."""
-    copies = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_times")).withColumnRenamed("doc_id", "_mix_id")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
-    return out.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), copies["_times"])).alias("_copy")).select(*(docs[f"`{c}`"] for c in docs.columns))
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Rows are told apart by all their columns; rows that are equal in all are taken as often as the mix takes them together.
+    """
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    key = F.xxhash64(*(docs[f"`{c}`"] for c in plain))
+    taken = _mixed(_keyed(docs, key), **options).groupBy("key").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    taken = cut(taken.withColumnRenamed("key", "_key"))
+    found = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), key.alias("_key")).join(taken, "_key")
+    again = found.where("rows > 1").groupBy("_key", "times").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    found = found.where("rows = 1").select("row", "times").unionByName(again.select("row", "times"))
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_exact(docs, empty):
         exact_dedup.exact_dedup(docs, "any")
 
 
+def test_exact_keeps_the_same_of_repeated_rows(spark):
+    rows = [(1, "t", "b"), (1, "t", "a"), (1, "t", "c"), (0, "t", "a")]
+    for order in (rows, rows[::-1]):
+        left = exact_dedup.Deduped(spark.createDataFrame(order, "doc_id long, text string, txt string").repartition(3), "largest").keep_rows()
+        assert left.columns == ["doc_id", "text", "txt"] and [tuple(r) for r in left.collect()] == [(1, "t", "a")]
+
+
 def test_near(docs, empty):
     got = by_id(neardup.near_dedup(docs))
     assert got[1]["component_id"] == got[5]["component_id"] == got[None]["component_id"] == 1 and not got[None]["kept"]

@@ -25,8 +25,8 @@ def test_exact_against_sql(spark):
     duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
     want = sorted(duckdb.sql(exact_dedup.ORACLE).fetchall())
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for bits, memtable in ((128, 100_000), (2, 16)):  # the second forces collisions, flushes and merges
-        got = exact_dedup.exact_dedup(docs, "largest", digest_bits=bits, memtable_rows=memtable).collect()
+    for bits, memtable, held in ((128, 100_000, 10**6), (2, 16, 10**6), (128, 8, 24)):  # the second forces collisions, flushes and merges, the third many runs
+        got = exact_dedup.exact_dedup(docs, "largest", digest_bits=bits, memtable_rows=memtable, held_rows=held).collect()
         assert sorted(tuple(r) for r in got) == want
 
 
@@ -107,6 +107,34 @@ def test_mix_meets_targets(spark, monkeypatch, leaf):
     by = got.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
     assert ((by.target - by.taken).abs() <= by.most).all() and abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-6
     assert got.copies.between(0, 2).all()
+    want = mixing.targets(by["size"].to_dict(), (5, 2, 1), 1.5, 2.0)
+    assert all(abs(by.target[s] - v) < 1e-6 for s, v in want.items())
+
+
+def test_plan_of_many_sources(spark):
+    r = random.Random(2)
+    sizes = {f"s{k}": r.choice([0, 1, 3, 50, 4000]) for k in range(60)} | {None: 700}
+    rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+    got = {x.src: x.target for x in mixing._plan(rows, (5, 2, 1), 1.5, 2.0).collect()}
+    want = mixing.targets(sizes, (5, 2, 1), 1.5, 2.0)
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Rows without or with one identifier are rounded one by one and spread over leaves; the rows taken are the mix's."""
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 16)
+    text = lambda k: " ".join(["w"] * (k % 5 + 1))
+    rows = [(None, "same words here", "a", 0)] * 300 + [(7, text(k), "a", k) for k in range(60)] + [(k, text(k), "b", k) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long").repartition(4)
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows)
+    taken = got.groupby("source").agg(t=("target", "first"), taken=("taken", "sum"))
+    assert ((taken.t - taken.taken).abs() <= 5).all()
+    left = mixing.mixed_rows(docs)
+    out = left.toPandas()
+    words = out.assign(n=out.text.str.split().str.len()).groupby("source").n.sum()
+    assert left.columns == docs.columns and ((taken.t - words).abs() <= 5).all()
+    assert out[out.doc_id.notna()].groupby(["doc_id", "text", "source", "copies"]).size().max() <= 2
 
 
 def test_pivot_keeps_expectations():
