@@ -4,11 +4,14 @@ A text is prefixed by a space mark, spaces become space marks, and it is cut int
 The distinct words of a batch are grouped by length, and the words of one length advance together: rolling
 hashes give the hash of every substring that ends at a position, a binary search probes the sorted piece keys,
 and vectorised maxima store the score and the backpointer (the length of the last piece; of equals the shortest).
-A character that is no piece is encoded as its UTF-8 bytes, and so is a space mark that the text itself holds.
+A word over LONG characters has few or no equals, so its positions take the place of the words in the probing: all
+pieces that end in a block of BLOCK positions are looked up together, and the same maxima advance over them. A key
+found must also have the piece's length, and the pieces of a word, put together, must be the word. A character that is no piece is encoded as its UTF-8 bytes, and so is a space mark that the text itself holds.
 Decoding concatenates the pieces' bytes, so that decode(encode(text)) == text for every text.
 
-Defined results: a null text has null ids and 0 tokens, an empty text has none; words over LONG characters are
-advanced alone by the same recurrence; repeated rows are each encoded; other columns stay untouched.
+Defined results: a null text has null ids and 0 tokens, an empty text has none; texts and words of any length are
+encoded whole; repeated rows are each encoded; an empty table gives no rows; columns of `docs` named as a result are
+replaced by it, all others stay untouched.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import attach, session
 from roadloom.llm.vocab import MODEL_FILE, SPACE, Pieces, load
 
-LONG = 40
+LONG, BLOCK = 40, 4096
 MEMO_WORDS = 250_000
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -52,6 +55,7 @@ class Codec:
         self.keys = np.array(sorted(by_hash), np.uint64)
         self.ids = np.array([by_hash[int(k)][1] for k in self.keys], np.int32)
         self.scores = np.array([by_hash[int(k)][2] for k in self.keys], np.float64)
+        self.lengths = np.array([len(by_hash[int(k)][0]) for k in self.keys], np.int64)
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(max(LONG, vocab.longest) + 1, _P)], dtype=np.uint64)
         self.byte_ids = np.array(vocab.byte_ids, np.int32)
@@ -86,55 +90,57 @@ class Codec:
             start = slice(e - 1, e - m - 1 if e > m else None, -1)  # of the last piece, shortest piece first
             with np.errstate(over="ignore"):
                 key = _mix(h[e] - h[start] * self.powers[1 : m + 1, None])
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            score = best[start] + np.where(self.keys[at] == key, self.scores[at], -np.inf)
+            at, found = self._probe(key, np.arange(1, m + 1)[:, None])
+            score = best[start] + found
             k = score.argmax(axis=0)
             top, raw = score[k, lanes], best[e - 1] + width[:, e - 1] * self.v.byte_score
             best[e], up = np.maximum(top, raw), top > raw
             back[e], place[e] = np.where(up, k + 1, 1), np.where(up, at[k, lanes], -1)
         return back, place
 
-    def _single(self, codes: list[int]) -> list[int]:
-        """The same recurrence for one long word."""
-        text = "".join(chr(c) if c != _LITERAL else "" for c in codes)
-        pieces, longest = self.v.pieces, self.v.longest
-        best, back = [0.0], [0]
-        for e in range(1, len(codes) + 1):
-            raw = chr(codes[e - 1] if codes[e - 1] != _LITERAL else _MARK).encode()
-            top, how = best[e - 1] + len(raw) * self.v.byte_score, [-1, *raw]
-            for k in range(1, min(e, longest) + 1):
-                found = pieces.get(text[e - k : e])
-                if found and _LITERAL not in codes[e - k : e] and best[e - k] + found[1] > top:
-                    top, how = best[e - k] + found[1], [k, found[0]]
-            best.append(top)
-            back.append(how)
-        out, e = [], len(codes)
-        while e:
-            k, *ids = back[e]
-            out.append([self.v.byte_ids[b] for b in ids] if k < 0 else ids)
-            e -= max(1, k)
-        return [i for part in reversed(out) for i in part]
+    def _probe(self, key: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the sorted keys, and the scores of those that are pieces of the length (-inf for the others)."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where((self.keys[at] == key) & (self.lengths[at] == length), self.scores[at], -np.inf)
+
+    def _long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_viterbi of one long word (L), with the probes of a block of positions made together."""
+        length, longest = len(codes), self.v.longest
+        h = self._prefix(codes[None, :].astype(np.uint64))[:, 0]
+        best = np.full(longest + length + 1, -np.inf)  # `longest` places before the start, which no piece reaches
+        best[longest] = 0
+        back, place = np.ones((length + 1, 1), np.int8), np.full((length + 1, 1), -1, np.int32)
+        width = np.select([codes < 0x80, codes < 0x800, (codes < 0x10000) | (codes == _LITERAL)], [1, 2, 3], 4) * self.v.byte_score
+        k = np.arange(1, longest + 1)
+        for lo in range(1, length + 1, BLOCK):
+            ends = np.arange(lo, min(length, lo + BLOCK - 1) + 1)
+            inside = k[None, :] <= ends[:, None]
+            with np.errstate(over="ignore"):
+                key = _mix(h[ends][:, None] - h[np.where(inside, ends[:, None] - k, 0)] * self.powers[k])
+            at, found = self._probe(key, k)
+            found[~inside] = -np.inf
+            for i, e in enumerate(range(lo, int(ends[-1]) + 1)):
+                score = best[longest + e - 1 : e - 1 if e else None : -1] + found[i]
+                j = score.argmax()
+                raw = best[longest + e - 1] + width[e - 1]
+                if score[j] > raw:
+                    best[longest + e], back[e, 0], place[e, 0] = score[j], j + 1, at[i, j]
+                else:
+                    best[longest + e] = raw
+        return back, place
 
     def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
-            if length > LONG:
-                for w in group:
-                    self._store([w], np.array(self._single(self._codes(w)), np.int32), None)
-                continue
-            for lo in range(0, len(group), 4096):
-                part = group[lo : lo + 4096]
+            for lo in range(0, len(group), 4096 if length <= LONG else 1):
+                part = group[lo : lo + (4096 if length <= LONG else 1)]
                 codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), length).astype(np.int64)
                 codes = np.where(codes == _MARK, _LITERAL, np.where(codes == 32, _MARK, codes))
-                back, place = self._viterbi(codes)
+                back, place = self._viterbi(codes) if length <= LONG else self._long(codes[0])
                 self._trace(part, codes, back, place)
 
-    @staticmethod
-    def _codes(word: str) -> list[int]:
-        return [_LITERAL if c == SPACE else _MARK if c == " " else ord(c) for c in word]
-
     def _trace(self, words: list[str], codes: np.ndarray, back: np.ndarray, place: np.ndarray) -> None:
         """Follow all words' backpointers together; ids are written from the last slot backwards."""
         n, length = codes.shape
@@ -154,10 +160,12 @@ class Codec:
                 out[i, slot[i] : slot[i] + len(raw)] = self.byte_ids[list(raw)]
             at[rows] -= k
             rows = rows[at[rows] > 0]
-        self._store(words, out[out >= 0], 4 * length - slot)
+        ids = out[out >= 0]
+        if _gather(self.out_bytes, self.out_at[ids], self.out_len[ids]).tobytes() != "".join(words).encode():
+            raise ValueError("a substring's hash is that of another piece")
+        self._store(words, ids, 4 * length - slot)
 
-    def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray | None) -> None:
-        counts = np.array([len(ids)]) if counts is None else counts
+    def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         first, n = len(self.index), len(words)
         while len(self.starts) < first + n:
             self.starts, self.counts = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.counts, np.zeros_like(self.counts)]
