@@ -3,13 +3,16 @@
 Base spans are regular expressions. The method adds more: a value that stands after a credential word is cut into
 the spans that are cheapest to guess (common words, dates, repeats, keyboard walks, and brute force for the rest)
 by dynamic programming over its positions; the cost of a segmentation is the sum of log10 guesses of its spans
-plus 0.3 for each join. A value of LOG_GUESSES or more is reported as a span of kind `guess`. Values of any length
-are read whole; the work grows in proportion to the length (times its logarithm where a repeat or walk is long).
+plus 0.3 for each join. A word costs by its rank: common passwords first, then the DICTIONARY most frequent words of
+all texts of the corpus. A value of LOG_GUESSES or more is reported as a span of kind `guess`. Values of any length
+are read whole; the work grows in proportion to the length (times its logarithm where a repeat or walk is long), and
+units of a repeat are found by comparing the value with itself at every distance.
 
 Defined results: a null text counts as empty and has no span; base spans stay whatever the cost; an added span
 that one assign span contains entirely is not listed again, one that reaches beyond it is; after 'is', a value of
 letters only (and final marks) is prose and not listed, after ':' or '=' the guess cost alone decides; repeated
-rows are each scanned; other columns are not read.
+rows are each scanned; of words as frequent as each other the first by code point ranks first; an empty table gives no
+rows; other columns than text are not read, and one named secrets is replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,8 @@ CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token
 _HINT = re.compile(r"(?ai:pass|pwd|secret|token|key|auth|bearer|credential|login|pin)")
 KINDS = ("assign", "access", "hex", "guess")
 LOG_GUESSES = 10.0
+#: Words of the corpus that have a rank, and the lengths of those.
+DICTIONARY, WORD_CHARS = 20_000, (4, 24)
 #: Costs of values up to this length are remembered.
 CACHED = 200
 #: Common password words, by rank.
@@ -45,8 +52,6 @@ COMMON = (
 #: Keyboard rows and the digit pad's columns.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qaz", "wsx", "edc", "rfv", "tgb", "yhn", "ujm", "147", "258", "369", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
-_RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
 _WALK = {a + b for r in ROWS for s in (r, r[::-1]) for a, b in zip(s, s[1:], strict=False)}
 _DATES = [re.compile(p) for p in (r"(19|20)\d\d", r"(19|20)\d\d[-/._]?(0?[1-9]|1[0-2])[-/._]?(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|[12]\d|3[01])[-/._]?(0?[1-9]|1[0-2])[-/._]?(19|20)?\d\d")]
 
@@ -94,85 +99,109 @@ class _Starts:
         self.held.append((i, base, until if self.held else self.n + 1))
 
 
-def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
-    """(log10 guesses, segments) of the cheapest segmentation; segments are (kind, start, end)."""
-    return _cached(value) if len(value) <= CACHED else _cheapest(value)
-
-
-def _cheapest(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET)
-    logs = [math.log10(_alphabet(c)) for c in value]
-    best, how = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
-    join = lambda i: 0.3 if i else 0.0
-    walk_log = lambda m: math.log10(45 * 2) + 0.4 * (m - 2) ** 0.5 + math.log10(m)
-    walks, walked = _Starts(walk_log, n), 0
-    units = range(1, min(8, n // 2) + 1)
-    repeats = {u: [_Starts(lambda m, u=u: math.log10(m / u), n) for _ in range(u)] for u in units}
-    repeated = dict.fromkeys(units, 0)
-    brute, run = 0, 0.0
-
-    def offer(i: int, j: int, kind: str, log: float) -> None:
-        cost = best[i] + log + join(i)
-        if cost < best[j] - 1e-12:
-            best[j], how[j] = cost, (kind, i)
-
-    for j in range(1, n + 1):
-        if best[j - 1] + join(j - 1) < best[brute] + join(brute) + run - 1e-12:  # brute force: a span goes on or starts anew
-            brute, run = j - 1, 0.0
-        run += logs[j - 1]
-        offer(brute, j, "brute", run)
-        for i in range(max(0, j - _LONGEST), j - 2):  # words, capitals and substitutions
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.8)):
-                if form in _RANK:
-                    upper = sum(c.isupper() for c in value[i:j])
-                    offer(i, j, "word", math.log10(_RANK[form] + 1) + extra + (0.3 if upper in (1, j - i) else 0.3 * upper))
-        for i in range(max(0, j - 10), j - 3):
-            for p in _DATES:
-                if p.fullmatch(value, i, j):
-                    offer(i, j, "date", math.log10(150) if j - i == 4 else math.log10(365.25 * 150) + (0.6 if not value[i:j].isdigit() else 0))
-        for u in units:  # repeats of a unit
-            if j <= u or value[j - 1] != value[j - 1 - u]:
-                if repeated[u]:
-                    repeated[u] = 0
-                    for starts in repeats[u]:
-                        starts.held.clear()
-                continue
-            repeated[u] += 1
-            starts, i = repeats[u][j % u], j - max(2 * u, 3)
-            if i >= 0 and repeated[u] >= j - i - u:
-                starts.push(i, best[i] + join(i) + sum(logs[i : i + u]), j)
-            if found := starts.top(j):
-                offer(found[0], j, "repeat", sum(logs[found[0] : found[0] + u]) + math.log10((j - found[0]) // u))
-        if j > 1 and low[j - 2 : j] in _WALK:  # keyboard walks
-            walked += 1
-            if walked >= 2:
-                walks.push(j - 3, best[j - 3] + join(j - 3), j)
-            if found := walks.top(j):
-                offer(found[0], j, "walk", walk_log(j - found[0]))
-        elif walked:
-            walked = 0
-            walks.held.clear()
-    out, j = [], n
-    while j:
-        kind, i = how[j]
-        out.append((kind, i, j))
-        j = i
-    return best[n], tuple(reversed(out))
-
-
-_cached = lru_cache(20_000)(_cheapest)
-
-
-def spans(text: str, log_guesses: float = LOG_GUESSES) -> list[tuple[str, int, int, float]]:
+def periods(value: str) -> list[tuple[int, int, int]]:
+    """(unit, start, end) of the longest stretches where a unit repeats at least once more, units that repeat themselves left out."""
+    a, out = np.frombuffer(value.encode("utf-32-le"), np.uint32), []
+    for u in range(1, len(value) // 2 + 1):
+        same = a[u:] == a[:-u]
+        if np.count_nonzero(same) < max(u, 2):
+            continue
+        edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if e - s >= max(u, 2) and not any(u % d == 0 and s0 <= s and e + u <= e0 for d, s0, e0 in out):
+                out.append((u, s, e + u))
+    return out
+
+
+class Guesser:
+    """Guess costs with a dictionary of ranked words; costs of short values are remembered, up to a bound."""
+
+    def __init__(self, words: Sequence[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*COMMON, *words):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self._remembered = lru_cache(20_000)(self._cheapest)
+
+    def cost(self, value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+        """(log10 guesses, segments) of the cheapest segmentation; segments are (kind, start, end)."""
+        return self._remembered(value) if len(value) <= CACHED else self._cheapest(value)
+
+    def _cheapest(self, value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+        n, low = len(value), value.lower()
+        if len(low) != n:  # a few capitals lower to two characters
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        plain = low.translate(LEET)
+        logs = [math.log10(_alphabet(c)) for c in value]
+        sums = np.r_[0.0, np.cumsum(logs)].tolist()
+        best, how = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
+        join = lambda i: 0.3 if i else 0.0
+        walk_log = lambda m: math.log10(45 * 2) + 0.4 * (m - 2) ** 0.5 + math.log10(m)
+        walks, walked = _Starts(walk_log, n), 0
+        repeats = sorted((s + max(2 * u, 3), u, s, e, [_Starts(lambda m, u=u: math.log10(m / u), n) for _ in range(u)]) for u, s, e in periods(value))
+        live, later = [], 0
+        brute, run = 0, 0.0
+
+        def offer(i: int, j: int, kind: str, log: float) -> None:
+            cost = best[i] + log + join(i)
+            if cost < best[j] - 1e-12:
+                best[j], how[j] = cost, (kind, i)
+
+        for j in range(1, n + 1):
+            if best[j - 1] + join(j - 1) < best[brute] + join(brute) + run - 1e-12:  # brute force: a span goes on or starts anew
+                brute, run = j - 1, 0.0
+            run += logs[j - 1]
+            offer(brute, j, "brute", run)
+            for i in range(max(0, j - self.longest), j - 2):  # words, capitals and substitutions
+                for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.8)):
+                    if form in self.rank:
+                        upper = sum(c.isupper() for c in value[i:j])
+                        offer(i, j, "word", math.log10(self.rank[form] + 1) + extra + (0.3 if upper in (1, j - i) else 0.3 * upper))
+            for i in range(max(0, j - 10), j - 3):
+                for p in _DATES:
+                    if p.fullmatch(value, i, j):
+                        offer(i, j, "date", math.log10(150) if j - i == 4 else math.log10(365.25 * 150) + (0.6 if not value[i:j].isdigit() else 0))
+            while later < len(repeats) and repeats[later][0] <= j:
+                live.append(repeats[later])
+                later += 1
+            live = [r for r in live if r[3] >= j]
+            for _, u, first, _, starts in live:
+                held = starts[j % u]
+                i = j - u * max(2, -(-3 // u))
+                if i >= first:
+                    held.push(i, best[i] + join(i) + sums[i + u] - sums[i], j)
+                if found := held.top(j):
+                    offer(found[0], j, "repeat", sums[found[0] + u] - sums[found[0]] + math.log10((j - found[0]) // u))
+            if j > 1 and low[j - 2 : j] in _WALK:  # keyboard walks
+                walked += 1
+                if walked >= 2:
+                    walks.push(j - 3, best[j - 3] + join(j - 3), j)
+                if found := walks.top(j):
+                    offer(found[0], j, "walk", walk_log(j - found[0]))
+            elif walked:
+                walked = 0
+                walks.held.clear()
+        out, j = [], n
+        while j:
+            kind, i = how[j]
+            out.append((kind, i, j))
+            j = i
+        return best[n], tuple(reversed(out))
+
+
+_COMMON_ONLY = Guesser()
+guess_cost = _COMMON_ONLY.cost
+
+
+def spans(text: str, log_guesses: float = LOG_GUESSES, guesser: Guesser = _COMMON_ONLY) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses or nan) by start, then kind; code points, end exclusive."""
     out = []
     if _HINT.search(text):
         assigned = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        out += [("assign", m.start(), m.end(), guess_cost(m[2])[0]) for m in assigned]
+        out += [("assign", m.start(), m.end(), guesser.cost(m[2])[0]) for m in assigned]
         for m in CONTEXT.finditer(text):
             a, b = m.span(2)
-            if (m[1] in ":=" or _mixed(m[2])) and not _within(a, b, assigned) and (cost := guess_cost(m[2])[0]) >= log_guesses:
+            if (m[1] in ":=" or _mixed(m[2])) and not _within(a, b, assigned) and (cost := guesser.cost(m[2])[0]) >= log_guesses:
                 out.append(("guess", a, b, cost))
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), math.nan) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -191,13 +220,24 @@ def _mixed(value: str) -> bool:
     return any(not c.isalpha() for c in value.rstrip(".!?:)]}"))
 
 
-def scan(docs: DataFrame, log_guesses: float = LOG_GUESSES) -> DataFrame:
-    """All columns of `docs` with secrets: kind, start, end, log_guesses of every span."""
-    session(docs)
+def learn_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The `size` most frequent words (letters only, lower case) of all texts, by rank; counted over the whole corpus."""
+    least, most = WORD_CHARS
+    words = F.regexp_extract_all(F.lower(docs["text"]), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{least},{most}}}(?!\p{{L}})"), F.lit(0))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def scan(docs: DataFrame, log_guesses: float = LOG_GUESSES, words: Sequence[str] | None = None) -> DataFrame:
+    """All columns of `docs` with secrets: kind, start, end, log_guesses of every span; `words` are learned where not given."""
+    shared = session(docs).sparkContext.broadcast(list(learn_words(docs) if words is None else words))  # DICTIONARY words of 24 letters at most
+    guessers: list[Guesser] = []
 
     @F.pandas_udf("secrets array<struct<kind:string,start:int,end:int,log_guesses:double>>")
     def found(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"secrets": [[{"kind": k, "start": a, "end": b, "log_guesses": None if c != c else c} for k, a, b, c in spans(t or "", log_guesses)] for t in text.tolist()]})
+        if not guessers:
+            guessers.append(Guesser(shared.value))
+        return pd.DataFrame({"secrets": [[{"kind": k, "start": a, "end": b, "log_guesses": None if c != c else c} for k, a, b, c in spans(t or "", log_guesses, guessers[0])] for t in text.tolist()]})
 
     return attach(docs, found(docs["text"]), ["secrets"])
 

@@ -345,6 +345,52 @@ def test_guess_cost_is_least():
     assert secrets.guess_cost("password")[0] < secrets.guess_cost("qwertyui")[0] < secrets.guess_cost("xK9mQ2vL")[0]
 
 
+def plain_cost(value, rank):
+    """The cheapest of all segmentations: the cost of every span by its definition, spans of any kind between any two places."""
+    low, plain, logs = value.lower(), value.lower().translate(secrets.LEET), [np.log10(secrets._alphabet(c)) for c in value]
+    keys = {(a, b) for row in secrets.ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:], strict=False)}
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        ways = []
+        for i in range(j):
+            m, raw = j - i, value[i:j]
+            costs = [sum(logs[i:j])]
+            upper = sum(c.isupper() for c in raw)
+            for form, extra in ((low[i:j], 0), (plain[i:j], 0.8)):
+                if m >= 3 and form in rank:
+                    costs.append(np.log10(rank[form] + 1) + extra + (0.3 if upper in (1, m) else 0.3 * upper))
+            if any(p.fullmatch(raw) for p in secrets._DATES):
+                costs.append(np.log10(150) if m == 4 else np.log10(365.25 * 150) + (0 if raw.isdigit() else 0.6))
+            costs += [sum(logs[i : i + u]) + np.log10(m // u) for u in range(1, m // 2 + 1) if m >= 3 and m % u == 0 and raw == raw[:u] * (m // u)]
+            if m >= 3 and all(p in keys for p in zip(low[i:j], low[i + 1 : j], strict=False)):
+                costs.append(np.log10(90) + 0.4 * (m - 2) ** 0.5 + np.log10(m))
+            ways.append(best[i] + min(costs) + (0.3 if i else 0))
+        best.append(min(ways))
+    return best[-1]
+
+
+def test_guess_cost_against_brute_force():
+    r = random.Random(8)
+    parts = ("pass", "qwe", "rty", "1984", "aa", "ab", "Sun", "shine", "7", "!", "12", "zx", "2020-01-3", "xyzw", "river", "R1ver")
+    guesser = secrets.Guesser(["river", "table"])
+    for _ in range(500):
+        v = "".join(r.choice(parts) for _ in range(r.randint(1, 5)))
+        v = v + v if r.random() < 0.2 else "".join(r.choice("ab1") for _ in range(r.randint(1, 14))) if r.random() < 0.3 else v
+        cost, spans = guesser.cost(v)
+        assert abs(cost - plain_cost(v, guesser.rank)) < 1e-9, v
+        assert [a for _, a, _ in spans] == [0, *[b for _, _, b in spans[:-1]]]
+
+
+def test_words_are_ranked_over_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "Horse battery staple horse " * 3), (2, "battery horse1 x correct"), (3, None), (4, "")], "doc_id long, text string")
+    words = secrets.learn_words(docs)
+    assert words == ["horse", "battery", "staple", "correct"] and secrets.learn_words(docs, 2) == words[:2]
+    value = "correct-horse-battery"
+    assert secrets.Guesser(words).cost(value)[0] < secrets.LOG_GUESSES < secrets.guess_cost(value)[0]
+    unit = "xK9mQ2vL7wTz"
+    assert secrets.guess_cost(unit * 2)[0] < secrets.guess_cost(unit)[0] + 0.5
+
+
 def test_long_values_are_whole():
     """Values have no length limit, their cost is that of the whole value, and long repeats and walks stay quick."""
     r = random.Random(5)
