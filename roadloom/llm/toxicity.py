@@ -3,13 +3,17 @@
 *Lexicon.* Learned from a bounded sample of labelled rows: whole words, and word beginnings, that toxic documents
 hold far more often than others. *Match.* The trie of the lexicon is walked together with the Levenshtein
 automaton of a text's word, row by row; a state whose row exceeds the allowed distance prunes the whole subtree,
-so one walk tests all terms. Long terms allow one edit, short ones none. An entry marked as a beginning accepts
-whatever follows. *Context.* Around every hit a window of words is read: quotation marks and reporting words
+so one walk tests all terms. Long terms allow one edit, short ones none; an edit is a character too many, missing or
+changed, or two neighbours swapped. An entry marked as a beginning accepts whatever follows, and allows an edit
+likewise. *Context.* Around every hit a window of words is read: quotation marks and reporting words
 around it, and its distance to other hits, make the difference between quoting and abuse. *Score.* A logistic
 regression over counts of exact, misspelled and beginning hits, their density, and the context sums.
 
 Defined results: null and empty texts have no hit and get the score of such a text; without labelled rows of both
-kinds every score is 0; repeated rows are each scored; only doc_id (for the split), text and labels are read.
+kinds every score is 0; repeated rows are each scored; of terms as near as each other the whole one, then the first by
+code point is the hit; an identifier that is repeated among labels counts as toxic where one says so, and is learned
+from with its first text; texts of any length are read whole; an empty table gives no rows; only doc_id (for the
+split), text and labels are read; columns of `docs` named as a result are replaced by it, all others stay untouched.
 """
 
 from __future__ import annotations
@@ -46,29 +50,38 @@ class Trie:
 
     def __init__(self, terms):
         self.root: dict = {}
-        self.heads, self.tails, self.beginnings = set(), set(), set()
+        self.whole, self.heads, self.tails, self.middles = set(), set(), set(), set()
         for t in sorted(terms):
             node, body = self.root, t.rstrip("*")
             for c in body:
                 node = node.setdefault(c, {})
             node.setdefault("", set()).add(t)
-            if t[-1] == "*" or len(t) < FUZZY_FROM:
-                self.beginnings.add(body)
+            if len(body) < FUZZY_FROM:
+                self.whole.add(body)
+                continue
+            h = (len(body) + 1) // 2
+            self.heads |= {body[:h], body[: h - 1] + body[h]}  # the second where the swap is across the middle
+            if t[-1] == "*":
+                self.middles |= {(at, body[h:]) for at in (h - 1, h, h + 1)}
             else:
-                self.heads.add(body[: (len(t) + 1) // 2])
-                self.tails.add(body[(len(t) + 1) // 2 :])
-        self.sizes = [sorted({len(x) for x in group}) for group in (self.beginnings, self.heads, self.tails)]
+                self.tails.add(body[h:])
+        self.sizes = [sorted({len(x) for x in group}) for group in (self.whole, self.heads, self.tails)]
+        self.spans = sorted({(at, len(x)) for at, x in self.middles})
 
     def possible(self, word: str) -> bool:
-        """One edit leaves a term's first or second half whole; a word without any such half matches nothing."""
+        """One edit leaves a term's first or second half whole, or swaps across its middle; other words match nothing."""
         n, h, t = self.sizes
-        return any(word[:k] in self.beginnings for k in n) or any(word[:k] in self.heads for k in h) or any(word[-k:] in self.tails for k in t)
+        return (
+            any(word[:k] in self.whole for k in n) or any(word[:k] in self.heads for k in h) or any(word[-k:] in self.tails for k in t)
+            or any((at, word[at : at + k]) in self.middles for at, k in self.spans)
+        )
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, distance) of the nearest accepted term: the word's Levenshtein automaton meets the trie.
 
-        The automaton's state is two bit sets of positions in the word, reached with 0 and with at most 1 edit.
-        Whole terms count before beginnings, then the smaller distance, then code point order.
+        The automaton's state is three bit sets of positions in the word: reached with 0 edits, with at most 1, and
+        with a character read ahead of its left neighbour, which a swap completes. Whole terms count before
+        beginnings, then the smaller distance, then code point order.
         """
         if not self.possible(word):
             return None
@@ -76,24 +89,23 @@ class Trie:
         for k, c in enumerate(word):
             at[c] = at.get(c, 0) | 2 << k
         best, full, end = None, (2 << len(word)) - 1, 1 << len(word)
-        stack = [(self.root, 1, 3 & full)]
+        stack = [(self.root, 1, 3 & full, 0)]
         while stack:
-            node, r0, r1 = stack.pop()
+            node, r0, r1, ahead = stack.pop()
             for t in node.get("", ()):
-                if t[-1] == "*":
-                    d = 0 if r0 else None
-                else:
-                    d = 0 if r0 & end else 1 if r1 & end and len(t) >= FUZZY_FROM else None
-                if d is not None:
-                    found = (t[-1] == "*", d, t)
+                begins = t[-1] == "*"
+                done0, done1 = (r0, r1) if begins else (r0 & end, r1 & end)
+                if done0 or done1 and len(t) - begins >= FUZZY_FROM:
+                    found = (begins, 0 if done0 else 1, t)
                     best = found if best is None or found < best else best
             for c, child in node.items():
                 if c:
                     here = at.get(c, 0)
                     n0 = r0 << 1 & here
-                    n1 = (r1 << 1 & here | r0 | r0 << 1 | n0 << 1) & full
-                    if n0 | n1:
-                        stack.append((child, n0, n1))
+                    n1 = (r1 << 1 & here | r0 | r0 << 1 | n0 << 1 | ahead << 2 & here << 1) & full
+                    swap = r0 & here >> 2
+                    if n0 | n1 | swap:
+                        stack.append((child, n0, n1, swap))
         return None if best is None else (best[2], best[1])
 
 
@@ -120,7 +132,8 @@ def learn_lexicon(toxic: list[str], other: list[str]) -> list[str]:
     for t, _, _ in found:
         if len(terms) >= LEXICON_TERMS:
             break
-        if not any(u[-1] == "*" and t.rstrip("*").startswith(u[:-1]) for u in terms):
+        # A whole term stays beside its beginning, as only it can be hit exactly; a longer beginning does not.
+        if t[-1] != "*" or not any(u[-1] == "*" and t.startswith(u[:-1]) for u in terms):
             terms.append(t)
     return sorted(terms)
 
@@ -169,7 +182,7 @@ class Scorer:
         words = max(1, text.count(" ") + 1)
         exact = sum(1 for x in h if x[3] == 0 and x[2][-1] != "*")
         fuzzy = sum(1 for x in h if x[3] > 0)
-        start = sum(1 for x in h if x[2][-1] == "*")
+        start = sum(1 for x in h if x[3] == 0 and x[2][-1] == "*")
         quoted = sum(x[4] for x in h)
         near = sum(1 for x, y in zip(h, h[1:], strict=False) if y[0] - x[1] < 60)
         # What beginnings would give by chance grows with the text, so counts are set against its length.
@@ -208,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = {r.doc_id: r.toxic for r in sample_by_class(known, "toxic", per_class).collect()}
-    rows = docs.where(docs["doc_id"].isin(sorted(picked)) & docs["text"].isNotNull()).select("doc_id", "text").collect() if picked else []
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows = docs.where(docs["doc_id"].isin(sorted(picked)) & docs["text"].isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if picked else []
+    rows.sort(key=lambda r: r.doc_id)
     texts, y = [r.text for r in rows], np.array([float(picked[r.doc_id] == 1) for r in rows])
     if not len(y) or y.min() == y.max():
         return Scorer([])

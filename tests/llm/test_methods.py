@@ -264,32 +264,45 @@ def test_toxicity_held_out(spark):
 
 def test_levenshtein_walk_against_brute_force():
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        """With swaps of neighbours as one edit."""
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
         for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
             for j, z in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != z))
-        return row[-1]
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != z))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == z:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
 
     r = random.Random(1)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(3, 8)))
-    terms = {word() for _ in range(25)} | {word()[:4] + "*" for _ in range(3)}
+    terms = {word() for _ in range(25)} | {word()[:k] + "*" for k in (4, 5, 6, 6)}
     trie = toxicity.Trie(terms)
     for _ in range(1500):
         w, want = word(), []
         for t in terms:
-            if t[-1] == "*":
-                want += [(True, 0, t)] if w.startswith(t[:-1]) else []
-            elif (d := distance(w, t)) <= (1 if len(t) >= toxicity.FUZZY_FROM else 0):
-                want.append((False, d, t))
-        assert trie.match(w) == ((min(want)[2], min(want)[1]) if want else None)
+            body, begins = t.rstrip("*"), t[-1] == "*"
+            d = min(distance(w[:k], body) for k in range(len(w) + 1)) if begins else distance(w, body)
+            if d <= (1 if len(body) >= toxicity.FUZZY_FROM else 0):
+                want.append((begins, d, t))
+        assert trie.match(w) == ((min(want)[2], min(want)[1]) if want else None), w
+    assert toxicity.Trie(["idiot*"]).match("idoitic") == ("idiot*", 1) and toxicity.Trie(["idiot"]).match("idoit") == ("idiot", 1)
+
+
+def test_context_changes_the_score():
+    """A fitted model scores a quoted term below the same term in abuse."""
+    toxic = [f"you are an idiot and {w} too you moron" for w in "abcdefghijkl"]
+    other = [f"he wrote \"idiot\" in his {w} note, the term \"moron\" was reported" for w in "abcdefghijkl"] + [f"a quiet day by the sea {w}" for w in "abcdefghijkl"]
+    s = toxicity.Scorer(["idiot", "moron"])
+    s.fit(toxic + other, np.array([1.0] * len(toxic) + [0.0] * len(other)))
+    abuse, quote = s.score(["you idiot, you total moron", "she said \"idiot\" and wrote \"moron\" there"])
+    assert abuse > 0.7 > 0.3 > quote
 
 
 def test_quotation_context():
     s = toxicity.Scorer(["idiot", "moron"])
     (hit,) = s.hits('he said "idiot" to them')
     assert hit[2] == "idiot" and hit[4] > 0.9
-    (hit,) = s.hits("you are an idoit".replace("idoit", "idiott"))
+    (hit,) = s.hits("you are an idoit")
     assert hit[3] == 1 and hit[4] == 0
 
 
