@@ -6,13 +6,16 @@ message, or preceded by an inserted empty message; each choice has a cost, and d
 cheapest legal sequence. The recurrence is a product of small (min, +) matrices, one a turn, and the product is
 associative: conversations are range-partitioned by (conv_id, turn), so that a long one spans several tasks; each
 task reduces its stretch to one matrix, the stretches of a conversation are multiplied in order, and every stretch
-is then traced on its own from the state that it is entered in. No task ever holds a whole conversation.
+is then traced on its own from the state that it is entered in. Only conversations of several stretches take part in
+that; one that lies inside a stretch is settled with it. Steps are planned from roles alone: texts stay in the JVM,
+where each gets its prefix and suffix, so that no task holds the texts of a stretch, and none a whole conversation.
 
 The rendered conversation is one fragment a turn, in order of seq: concatenated, they are the repaired text.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; an unknown or null role can only be
 relabelled or merged; a null text is empty; a null conv_id is a conversation; repeated rows are turns of their
-own; an empty table gives no rows; of equal costs the choice first in the order keep, merge, relabel, insert wins.
+own; an empty table gives no rows; texts of any length are rendered whole; of equal costs the choice first in the order
+keep, merge, relabel, insert wins; columns other than conv_id, turn, role and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ ROLES = ("system", "user", "assistant")
 MERGE, RELABEL, INSERT = 1, 2, 3
 START, S, U, A = range(4)
 _NEXT = {START: (S, U), S: (U,), U: (A,), A: (U,)}
-#: Turns of one stretch at most; longer runs inside a task are cut so that traces stay small.
+#: Turns of one stretch at most; longer runs inside a task are cut so that traces stay small (roles, no texts).
 STRETCH = 20_000
 _BIG = 1 << 40
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
@@ -116,17 +119,17 @@ def _message(role: int, text: str = "") -> str:
     return OPEN.format(ROLES[role - 1]) + text
 
 
-def render(steps, texts: list, last: bool, entered: int = START) -> list[str]:
-    """The fragments of a stretch's turns; `last` closes the conversation."""
+def frames(steps, last: bool, entered: int = START) -> list[tuple[str, str]]:
+    """What stands before and after the text of each of a stretch's turns; `last` closes the conversation."""
     out, q = [], entered
-    for (p, action, inserted, _), text in zip(steps, texts, strict=True):
+    for p, action, inserted, _ in steps:
         if action == "merge":
-            out.append("\n" + (text or ""))
+            out.append(("\n", ""))
         else:
             head = CLOSE if q != START else ""
             if inserted is not None:
                 head += _message(inserted) + CLOSE
-            out.append(head + _message(p, text or ""))
+            out.append((head + _message(p), ""))
         q = p
     if last and out:
         tail = CLOSE
@@ -134,7 +137,7 @@ def render(steps, texts: list, last: bool, entered: int = START) -> list[str]:
             tail += _message(U) + CLOSE
         if q != A:
             tail += _message(A) + CLOSE
-        out[-1] += tail
+        out[-1] = (out[-1][0], tail)
     return out
 
 
@@ -152,33 +155,47 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
     rows = cut(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     # A stretch: a run of one conversation inside a task, cut where it grows long. `at` rises along the order.
-    stretch = F.floor(F.col("at") % F.lit(1 << 33) / STRETCH)
-    rows = rows.withColumn("stretch", stretch)
+    roles = rows.select("conv_id", "part", F.floor(F.col("at") % F.lit(1 << 33) / STRETCH).alias("stretch"), "at", "role")
 
     def make():
-        state = {"key": None, "m": None, "at": 0, "n": 0}
-
-        def emit():
-            return {"conv_id": [state["key"][0]], "part": [state["key"][1]], "stretch": [state["key"][2]], "first": [state["at"]], "n": [state["n"]], "m": [state["m"].ravel().tolist()]}
+        state = {"key": None, "m": None, "at": 0, "n": 0, "before": None}
+
+        def emit(after):
+            """The open stretch; it is whole where the stretches around it, in this task, are of other conversations."""
+            key, m = state["key"], state["m"]
+            ends = [x is not None and x[0] != key[0] for x in (state["before"], after)]
+            whole, way = all(ends), {}
+            if whole:
+                total = m[START] + FINAL
+                leave = int(total.argmin())
+                way = {"enter": START, "leave": leave, "last": True, "tail": int(FINAL[leave]), "base": 0}
+            state["before"] = key
+            row = {"conv_id": key[0], "part": key[1], "stretch": key[2], "first": state["at"], "n": state["n"], "m": None if whole else m.ravel().tolist()}
+            return {k: [v] for k, v in (row | {k: way.get(k) for k in ("enter", "leave", "last", "tail", "base")}).items()}
 
         def each(b):
             cols = [b.column(k).to_pylist() for k in ("conv_id", "part", "stretch", "at", "role")]
+            out: dict[str, list] = {}
             for *key, at, role in zip(*cols, strict=True):
                 if state["key"] != key:
                     if state["key"] is not None:
-                        yield emit()
+                        for k, v in emit(key).items():
+                            out.setdefault(k, []).extend(v)
                     state.update(key=key, m=reduce_roles([]), at=at, n=0)
                 state["n"] += 1
                 state["m"] = product(state["m"], _MATRIX[_known(role)])
+            if out:
+                yield out
 
         def close():
             if state["key"] is not None:
-                yield emit()
+                yield emit(None)
 
         each.close = close
         return each
 
-    pieces = map_arrow(rows.select("conv_id", "part", "stretch", "at", "role"), make, "conv_id long, part int, stretch long, first long, n long, m array<long>")
+    way = "enter int, leave int, last boolean, tail long, base long"
+    pieces = cut(map_arrow(roles, make, f"conv_id long, part int, stretch long, first long, n long, m array<long>, {way}"))
 
     def plan(g: dict[str, list]) -> dict[str, list]:
         order = np.argsort(np.array(g["first"], np.int64))
@@ -195,24 +212,27 @@ def format_chats(turns: DataFrame) -> DataFrame:
         out = {k: [g[k][i] for i in order] for k in ("conv_id", "part", "stretch")}
         return out | {"enter": leave[:-1], "leave": leave[1:], "last": [k == len(n) - 1 for k in range(len(n))], "tail": [0] * (len(n) - 1) + [int(FINAL[end])], "base": np.cumsum(n) - n}
 
-    ways = grouped(pieces, ["conv_id"], plan, "conv_id long, part int, stretch long, enter int, leave int, last boolean, tail long, base long")
-    ways = cut(ways.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("stretch").alias("s"), "enter", "leave", "last", "tail", "base"))
-    both = rows.join(ways, rows["conv_id"].eqNullSafe(ways["c"]) & (rows["part"] == ways["p"]) & (rows["stretch"] == ways["s"]))
+    keys = ["conv_id", "part", "stretch"]
+    whole = pieces.where("m is null").select(*keys, "enter", "leave", "last", "tail", "base")
+    spread = grouped(pieces.where("m is not null").select(*keys, "first", "n", "m"), ["conv_id"], plan, f"conv_id long, part int, stretch long, {way}")
+    ways = whole.unionByName(spread).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("stretch").alias("s"), "enter", "leave", "last", "tail", "base")
+    both = roles.join(ways, roles["conv_id"].eqNullSafe(ways["c"]) & (roles["part"] == ways["p"]) & (roles["stretch"] == ways["s"])).drop("c", "p", "s")
 
-    def repaired(g: dict[str, list]) -> dict[str, list]:
+    def planned(g: dict[str, list]) -> dict[str, list]:
         order = sorted(range(len(g["at"])), key=g["at"].__getitem__)
         g = {k: [v[i] for i in order] for k, v in g.items()}
         steps = trace(g["role"], g["enter"][0], g["leave"][0])
         cost = [s[3] for s in steps]
         cost[-1] += g["tail"][0]
+        around = frames(steps, g["last"][0], g["enter"][0])
         return {
-            "conv_id": g["conv_id"], "turn": g["turn"], "role": g["role"], "new_role": [ROLES[s[0] - 1] for s in steps], "action": [s[1] for s in steps],
-            "inserted": [None if s[2] is None else ROLES[s[2] - 1] for s in steps], "cost": cost, "seq": [g["base"][0] + k for k in range(len(steps))],
-            "fragment": render(steps, g["text"], g["last"][0], g["enter"][0]),
+            "at": g["at"], "new_role": [ROLES[s[0] - 1] for s in steps], "action": [s[1] for s in steps], "inserted": [None if s[2] is None else ROLES[s[2] - 1] for s in steps],
+            "cost": cost, "seq": [g["base"][0] + k for k in range(len(steps))], "prefix": [x for x, _ in around], "suffix": [x for _, x in around],
         }
 
-    columns = ["conv_id", "part", "stretch", "turn", "role", "text", "at", "enter", "leave", "last", "tail", "base"]
-    return grouped(both.select(*columns), ["conv_id", "part", "stretch"], repaired, "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, seq long, fragment string")
+    steps = grouped(both, keys, planned, "at long, new_role string, action string, inserted string, cost long, seq long, prefix string, suffix string")
+    fragment = F.concat("prefix", F.coalesce("text", F.lit("")), "suffix").alias("fragment")
+    return rows.join(steps, "at").select("conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "seq", fragment)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

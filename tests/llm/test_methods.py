@@ -427,25 +427,43 @@ def test_added_spans_are_dropped_only_as_documented():
     assert listed("the secret is understanding everything") == []
 
 
+def legal(roles):
+    """An optional system turn, then user and assistant in turn, ending with the assistant; nothing at all is legal too."""
+    body = roles[1:] if roles[:1] == ["system"] else roles
+    return not roles or (len(body) > 0 and len(body) % 2 == 0 and all(r == ("user", "assistant")[k % 2] for k, r in enumerate(body)))
+
+
 def test_chat_cost_against_brute_force():
+    """Every sequence of edits, judged by what the rendered roles are and not by the automaton's table."""
+
     def brute(roles):
-        best = [1 << 40]
+        best = 1 << 40
 
-        def go(i, q, c):
+        def go(i, out, cost):
+            nonlocal best
+            if cost >= best:
+                return
             if i == len(roles):
-                best[0] = min(best[0], c + int(chat.FINAL[q]))
+                for tail in ([], ["assistant"], ["user", "assistant"]):
+                    if legal(out + tail):
+                        best = min(best, cost + chat.INSERT * len(tail))
                 return
-            for p, (k, _, _) in chat._TABLE[chat._known(roles[i])][q].items():
-                go(i + 1, p, c + k)
+            for role in ("system", "user", "assistant"):
+                change = 0 if role == roles[i] else chat.RELABEL
+                if out and out[-1] == role:
+                    go(i + 1, out, cost + chat.MERGE + change)
+                go(i + 1, [*out, role], cost + change)
+                for empty in ("user", "assistant"):
+                    go(i + 1, [*out, empty, role], cost + change + chat.INSERT)
 
-        go(0, chat.START, 0)
-        return best[0]
+        go(0, [], 0)
+        return best
 
     r = random.Random(0)
-    for _ in range(200):
-        roles = [r.choice(["user", "assistant", "system", "tool", None]) for _ in range(r.randint(1, 6))]
+    for _ in range(60):
+        roles = [r.choice(["user", "assistant", "system", "tool", None]) for _ in range(r.randint(1, 4))]
         cost, steps = chat.repair(roles)
-        assert cost == brute(roles) == sum(s[3] for s in steps) + chat.FINAL[steps[-1][0]]
+        assert cost == brute(roles) == sum(s[3] for s in steps) + chat.FINAL[steps[-1][0]], roles
 
 
 def test_chat_repairs(spark, monkeypatch):
@@ -468,3 +486,6 @@ def test_chat_repairs(spark, monkeypatch):
     monkeypatch.setattr(chat, "STRETCH", 2)
     assert rendered(df.repartition(5)) == got
     assert chat.format_chats(df.limit(0)).count() == 0
+    long = [(1, 0, "user", "x" * 70_000, 5, "q"), (1, 1, "assistant", None, 5, "q")]
+    out = chat.format_chats(spark.createDataFrame(long, "conv_id long, turn long, role string, text string, part int, prefix string")).orderBy("seq").collect()
+    assert [r.fragment for r in out] == ["<|user|>\n" + "x" * 70_000, "<|end|>\n<|assistant|>\n<|end|>\n"]
