@@ -5,12 +5,14 @@ position with a distribution over the learned languages; a document's probabilit
 positions. It is trained in numpy by backpropagation through time on a bounded sample of labelled rows: at most
 SAMPLE_PER_LANG documents of each language, first by a hash of their identifier, of which all bytes are in the
 windows that batches are drawn from. Gates are piecewise linear
-(clipped) so that inference is a few vector operations a byte: windows of many documents advance together.
+(clipped, with the gradient of that) so that inference is a few vector operations a byte: windows of many documents
+advance together.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text when no row can
 be learned from; ties go to the language first by code point; an empty table gives no rows; rows that repeat are
-each predicted; rows without an identifier
-are not learned from; columns other than doc_id, text and (for learning) lang are not read.
+each predicted; rows without an identifier are not learned from, and of rows that repeat identifier and language the
+first text is; texts of any length are read whole, in windows; columns other than doc_id, text and (for learning) lang
+are not read; columns of `docs` named lang_pred or score are replaced, all others stay untouched.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ class ByteGRU:
         dl = (q - hot) * real[:, None] / total
         grad["O"], grad["b"] = np.einsum("tcn,tkn->ck", dl, both), dl.sum(axis=(0, 2))[:, None]
         dboth = np.einsum("ck,tcn->tkn", self.p["O"], dl)
-        slope = lambda v, lo, hi: np.where((v > lo) & (v < hi), 1.0, 0.05).astype(np.float32)
+        slope = lambda v, lo, hi: ((v > lo) & (v < hi)).astype(np.float32)
         for d in "fb":
             dh, part = np.zeros_like(dboth[0, :h]), dboth[:, :h] if d == "f" else dboth[:, h:]
             for t, state, gn, zr, gate, pre, cand in reversed(runs[d][1]):
@@ -191,8 +193,8 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, steps: int = 260, ba
     picked = sample_by_class(known, "lang", per_lang).collect()
     if not picked:
         return Tagger([], None)
-    rows = docs.where(docs["doc_id"].isin(sorted({r.doc_id for r in picked})) & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
+    rows = docs.where(docs["doc_id"].isin(sorted({r.doc_id for r in picked})) & docs["lang"].isNotNull() & docs["text"].isNotNull()).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.lang))
     langs = sorted({r.lang for r in rows})
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -217,6 +219,7 @@ def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """All columns of `docs` with lang_pred and score (replacing columns of those names)."""
     spark = session(docs)
     shared = spark.sparkContext.broadcast(tagger)
+
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         return label_texts(shared.value, text.tolist())
