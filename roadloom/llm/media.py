@@ -11,7 +11,8 @@ with a copy of it that stands at another offset.
 
 Defined results: a null text counts as empty, and an empty payload is 64 zero bytes; equal payloads have equal
 results; frames that reach beyond the end are filled with zeros; long payloads are transformed in blocks of
-BLOCK_FRAMES frames, so memory stays bounded, with no change at the seams; repeated rows are each stored.
+BLOCK_FRAMES frames, so memory stays bounded, with no change at the seams; repeated rows are each stored; an empty
+table gives no rows; columns of `docs` named as a result are replaced by it, all others stay untouched.
 """
 
 from __future__ import annotations

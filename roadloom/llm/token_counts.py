@@ -6,8 +6,10 @@ segmentation has, depend on the prefix alone, so they are computed once when the
 words below it. Terminals store the count, and a text's count is the sum over its words. A character that is no
 piece counts as its UTF-8 bytes; of equal scores the shortest last piece wins.
 
-Defined results: a null text or one without words has 0 words and 0 tokens; repeated rows are each counted; other
-columns stay untouched. The trie is dropped and rebuilt beyond MAX_NODES, which changes no result.
+Defined results: a null text or one without words has 0 words and 0 tokens; repeated rows are each counted; texts of
+any length are counted whole; an empty table gives no rows; columns of `docs` named n_words or n_tokens are replaced,
+all others stay untouched. Before a word that would bring it beyond MAX_NODES the trie is dropped and rebuilt, which
+changes no result; a single longer word is a trie of its own.
 """
 
 from __future__ import annotations
@@ -65,12 +67,18 @@ class Trie:
     def tokens(self, text: str | None) -> tuple[int, int]:
         """(words, tokens) of a text."""
         words = text.encode().split() if text else []
-        if len(self.score) > self.max_nodes:
-            self._clear()
-        terminal = self.terminal
-        for w in sorted(set(words).difference(terminal)):
-            terminal[w] = self.insert(w.decode())
-        return len(words), sum(map(terminal.__getitem__, words))
+        terminal, here = self.terminal, set(words)
+        new = sorted(here.difference(terminal))
+        if len(self.score) + sum(map(len, new)) + len(new) <= self.max_nodes:
+            for w in new:
+                terminal[w] = self.insert(w.decode())
+            return len(words), sum(map(terminal.__getitem__, words))
+        counts = {w: terminal[w] for w in here.difference(new)}
+        for w in new:  # the trie may be dropped between two words of a text
+            if len(self.score) + len(w) + 1 > self.max_nodes:
+                self._clear()
+            counts[w] = self.terminal[w] = self.insert(w.decode())
+        return len(words), sum(map(counts.__getitem__, words))
 
 
 def count_tokens(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:

@@ -202,7 +202,8 @@ def test_words_of_any_length():
 
 def test_token_counts_agree_with_encoding(texts):
     trie = token_counts.Trie(vocab.load(), max_nodes=5000)
-    for _, text, _ in texts[:60]:
+    for _, text, _ in [*texts, (0, "x" * 9000 + " yy " + "z" * 3000 + " yy", "")]:
+        text = text or ""
         words = text.split()
         assert trie.tokens(text) == (len(words), sum(len(CODEC.encode(w)) for w in words))
 
@@ -324,6 +325,30 @@ def test_spectra_have_no_seams(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, media.fingerprint(x), strict=True))
 
 
+def test_spectra_and_pairs_against_brute_force():
+    """The definition's Fourier sums, band maxima and pairs of peaks, written out."""
+    x = np.random.default_rng(3).integers(0, 256, 2500).astype(np.uint8)
+    got = np.concatenate(list(media.spectra(x)))
+    n, frames = media.FRAME, -(-len(x) // media.HOP)
+    padded = np.r_[x.astype(float) - 128, np.zeros(n + frames * media.HOP)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    want = np.stack([np.abs(turn @ (padded[t * media.HOP : t * media.HOP + n] * np.hanning(n))) for t in range(frames)])
+    assert got.shape == want.shape and np.allclose(got, want, rtol=1e-3, atol=0.05)
+    peak = {}
+    for t, row in enumerate(got):
+        level = row[media.BANDS[0] : media.BANDS[-1]].mean()
+        for k, (a, b) in enumerate(zip(media.BANDS, media.BANDS[1:], strict=False)):
+            if row[a:b].max() > level + 1e-3:
+                peak[t, k] = a + int(row[a:b].argmax())
+    step, pairs = media.FRAME // media.HOP, []
+    for (t, i), f in peak.items():
+        for far in range(media.FAN + 1):
+            for j in range(len(media.BANDS) - 1):
+                if (j > i if far == 0 else abs(i - j) <= 1) and (g := peak.get((t + far * step, j))) is not None:
+                    pairs.append((t, f << 20 | g << 8 | far))
+    assert sorted(pairs) == list(zip(*(v.tolist() for v in media.fingerprint(x)), strict=True))
+
+
 def test_shifted_and_changed_passages(texts):
     """A passage behind another head shares most hashes, and bytes that a frame's edge weighs down still count."""
     long = [t.encode() for _, t, _ in texts if len(t.encode()) > 6000][:8]
