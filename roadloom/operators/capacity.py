@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators.kernels import QuantileBooster
+from roadloom.operators.quantiles import quantiles
 
 
 def features(links: DataFrame, stats: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def features(links: DataFrame, stats: DataFrame) -> DataFrame:
 
     Lengths are clipped to [0.005, their 99.5 % quantile]; the quantile is one row, so the join copies one row.
     """
-    top = links.where(F.col("length").isNotNull() & ~F.isnan("length") & (F.abs("length") < float("inf"))).agg(F.percentile("length", F.lit(0.995)).alias("_top"))
+    top = quantiles(links, [], "length", (0.995,)).select(F.col("q")[0].alias("_top"))
     out = links.join(stats, "edge", "left").crossJoin(F.broadcast(top))
     out = out.withColumn("length", F.least(F.greatest("length", F.lit(0.005)), "_top")).withColumn("storage", F.col("length") * F.col("lanes") * F.col("jam"))
     return out.select(

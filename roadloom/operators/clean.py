@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from roadloom.sources.lineage import cut
 
 
+#: Link attributes that a merged pair takes the mean, or the first present value, of.
+LINK_MEANS = ("speed", "jam_density", "wave_speed")
+LINK_FIRSTS = ("link_type", "name", "link_type_name", "geometry", "original_geometry")
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -21,6 +26,21 @@ def optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
 
 
+def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have every key."""
+    return df.na.drop(subset=list(keys))
+
+
+def completed(agents: DataFrame, flag: str = "complete_flag") -> DataFrame:
+    """Agents whose flag is c, without regard to case and blanks; all of them where there is no such column."""
+    return agents.where(F.lower(F.trim(F.col(flag))) == "c") if flag in agents.columns else agents
+
+
+def without(df: DataFrame, column: str, excluded: Sequence) -> DataFrame:
+    """Rows whose value is not among the excluded ones; a null is not."""
+    return df.where(F.coalesce(~F.col(column).isin(*excluded), F.lit(True))) if excluded else df
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The first row of each key by an explicit order; input order does not exist."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -67,18 +87,25 @@ def direct(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merge_links(links: DataFrame, ordinal: str) -> DataFrame:
-    """One row a directed pair, with the dense edge_index by (from, to)."""
+    """One row a directed pair, with the dense edge_index by (from, to).
+
+    Means, first values and link_keys are of the columns that `links` has. Only the pairs themselves are numbered, and the
+    wide rows meet them afterwards.
+    """
+    have = lambda names: [c for c in names if c in links.columns]
     out = links.groupBy("from_node_id", "to_node_id").agg(
         F.min("length").alias("length"),
         F.coalesce(F.sum("lanes"), F.lit(0.0)).alias("lanes"),
         F.coalesce(F.sum("capacity"), F.lit(0.0)).alias("capacity"),
-        F.avg("speed").alias("speed"),
-        first_present("name", ordinal).alias("name"),
+        *(F.avg(c).alias(c) for c in have(LINK_MEANS)),
+        *(first_present(c, ordinal).alias(c) for c in have(LINK_FIRSTS)),
         joined_distinct("direction_flag").alias("direction_flag"),
         joined_in_order("link_id", ordinal).alias("link_ids"),
+        *([joined_in_order("link_key", ordinal).alias("link_keys")] if "link_key" in links.columns else []),
     )
     out = out.withColumn("edge_id", F.concat_ws("->", "from_node_id", "to_node_id"))
-    return dense_index(out, ["from_node_id", "to_node_id"], "edge_index")
+    keys = dense_index(links.select("from_node_id", "to_node_id").distinct(), ["from_node_id", "to_node_id"], "edge_index")
+    return out.join(keys, out["from_node_id"].eqNullSafe(keys["from_node_id"]) & out["to_node_id"].eqNullSafe(keys["to_node_id"])).select(*(out[c] for c in out.columns), "edge_index")
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -92,5 +119,6 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     parts = cut(parts).withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = parts.groupBy("_part").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
+    # One row a partition, so their running sum may be one task's.
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     return parts.join(F.broadcast(before), "_part").withColumn(name, (F.col("_nth") + F.col("_before")).cast("bigint")).drop("_at", "_part", "_nth", "_before")

@@ -126,17 +126,14 @@ def lag_correlation(series: DataFrame, pairs: DataFrame) -> DataFrame:
 def chain_diagnostics(draws: DataFrame, name: str, it: str, value: str, lags=(1, 10, 30)) -> DataFrame:
     """n, mean, sd, autocorrelations, ess (by initial positive pairs of the listed lags' geometric decay) and mcse.
 
-    Chains of fewer than ten finite draws have nulls. A lag is a self-join on (chain, position).
+    Chains of fewer than ten finite draws have nulls. All lags are read from one window over the chain's order.
     """
     rows = draws.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(name).orderBy(it)))
-    base = rows.groupBy(name).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.var_pop(value).alias("_v"))
-    out = base
-    for lag in lags:
-        later = rows.select(F.col(name), (F.col("_k") - lag).alias("_k"), F.col(value).alias("_later"))
-        pair = rows.join(later, [name, "_k"]).join(base.select(name, "mean"), name)
-        cov = pair.groupBy(name).agg(F.sum((F.col(value) - F.col("mean")) * (F.col("_later") - F.col("mean"))).alias("_c"))
-        out = out.join(cov, name, "left").withColumn(f"acf_{lag}", F.try_divide("_c", F.col("n") * F.col("_v"))).drop("_c")
+    order = Window.partitionBy(name).orderBy(it)
+    rows = rows.withColumn("_m", F.avg(value).over(Window.partitionBy(name))).withColumn("_d", F.col(value) - F.col("_m"))
+    rows = rows.withColumns({f"_c{lag}": F.col("_d") * F.lead("_d", lag).over(order) for lag in lags})
+    out = rows.groupBy(name).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.var_pop(value).alias("_v"), *(F.sum(f"_c{lag}").alias(f"_c{lag}") for lag in lags))
+    out = out.withColumns({f"acf_{lag}": F.try_divide(f"_c{lag}", F.col("n") * F.col("_v")) for lag in lags})
     r = F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.coalesce(f"acf_{lags[0]}", F.lit(0.0))))
     out = out.withColumn("ess", F.col("n") * (1 - r) / (1 + r)).withColumn("mcse", F.try_divide("sd", F.sqrt("ess")))
     few = F.col("n") < 10
@@ -152,8 +149,8 @@ def shrinkage_summary(draws: DataFrame, truth: DataFrame, threshold: float = 0.0
     return s.withColumn("true_active", active).withColumn("outcome", outcome)
 
 
-def regression_metrics(rows: DataFrame, y: str, pred: str) -> DataFrame:
-    return rows.agg(F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae"), (1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(pred), 2)), F.var_pop(y) * F.count(y))).alias("r2"))
+def regression_metrics(rows: DataFrame, y: str, pred: str, keys=()) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae"), (1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(pred), 2)), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.quantiles import quantiles
+
 
 def resample(rows: DataFrame, key: str, ts: str, value: str, minutes: int = 15) -> DataFrame:
     """key, slot, value: the mean of each slot from a key's first to its last, null in slots without rows."""
@@ -32,7 +34,8 @@ def busiest_day(rows: DataFrame, ts: str, value: str, complete: int) -> DataFram
 
 def frame_stats(rows: DataFrame, frame: str, value: str) -> DataFrame:
     active = F.when(F.col(value) > 0, F.col(value))
-    return rows.groupBy(frame).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.95)).alias("p95"), F.count(active).alias("active"), F.avg(active).alias("active_mean"), F.max(value).alias("max"))
+    out = rows.groupBy(frame).agg(F.avg(value).alias("mean"), F.count(active).alias("active"), F.avg(active).alias("active_mean"), F.max(value).alias("max"))
+    return out.join(quantiles(rows, [frame], value, (0.95,)).select(frame, F.col("q")[0].alias("p95")), frame, "left")
 
 
 def congestion_runs(rows: DataFrame, key: str, time: str, value: str, threshold: float) -> DataFrame:
@@ -112,10 +115,9 @@ def peaks(rows: DataFrame, key: str, frame: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(best.alias("m")).select(key, F.col("m.f").alias("peak_frame"), (-F.col("m.v")).alias("peak"))
 
 
-def color_breaks(rows: DataFrame, value: str, quantiles=(0.15, 0.30, 0.45, 0.60, 0.75, 0.90), digits: int = 1) -> DataFrame:
+def color_breaks(rows: DataFrame, value: str, at=(0.15, 0.30, 0.45, 0.60, 0.75, 0.90), digits: int = 1) -> DataFrame:
     """breaks: quantiles of all finite cells, rounded half to even."""
-    ok = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    return ok.agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("q")).select(F.transform("q", lambda x: F.bround(x, digits)).alias("breaks"))
+    return quantiles(rows, [], value, at).select(F.transform("q", lambda x: F.bround(x, digits)).alias("breaks"))
 
 
 def in_view(rows: DataFrame, kinds=None, group: tuple[str, object] | None = None, contains: tuple[str, str] | None = None, kind: str = "kind") -> DataFrame:

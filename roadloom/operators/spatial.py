@@ -19,31 +19,48 @@ def around(x, y, size: float, radius: float) -> Column:
 
 
 def covered(ax, ay, bx, by, size: float) -> Column:
-    """All cells of a segment's bounding box."""
+    """All cells that a segment passes, column by column: as many as it is long, not as many as its bounding box holds.
+
+    A column's part of the segment is widened by a billionth of a cell, so that rounding loses no cell.
+    """
     f = lambda v: F.floor(v / size)
-    xs, ys = F.sequence(f(F.least(ax, bx)), f(F.greatest(ax, bx))), F.sequence(f(F.least(ay, by)), f(F.greatest(ay, by)))
-    return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+    lx, hx, ly, hy = F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by)
+    slope = F.coalesce(F.try_divide(by - ay, bx - ax), F.lit(0.0))
+    flat = hx - lx <= 1e-12 * size  # straight up, all within one column
+    eps = 1e-9 * size
+
+    def column(i):
+        at = lambda x: F.when(flat, None).otherwise(ay + (F.least(F.greatest(x, lx), hx) - ax) * slope)
+        a, b = at(i * size), at((i + 1) * size)
+        lo, hi = F.greatest(F.coalesce(F.least(a, b) - eps, ly), ly), F.least(F.coalesce(F.greatest(a, b) + eps, hy), hy)
+        return F.transform(F.sequence(f(F.least(lo, hi)), f(F.greatest(lo, hi))), lambda j: F.struct(i.alias("cx"), j.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(f(lx), f(hx)), column))
+
 
+def nearest_points(queries: DataFrame, points: DataFrame, radius: float, others: bool = False) -> DataFrame:
+    """id, nearest, dist of queries (id, x, y) whose nearest point (pid, px, py) is within radius; ties to the least pid.
 
-def nearest_points(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """id, nearest, dist of queries (id, x, y) whose nearest point (pid, px, py) is within radius; ties to the least pid."""
+    With `others`, both are one set, and a point is not its own nearest; likewise below.
+    """
     q = queries.select("id", "x", "y", F.explode(around(F.col("x"), F.col("y"), radius, radius)).alias("cell"))
     p = points.select("pid", "px", "py", cell(F.col("px"), F.col("py"), radius).alias("cell"))
-    near = q.join(p, "cell").withColumn("dist", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("dist") <= radius)
+    near = q.join(p, "cell").withColumn("dist", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where((F.col("dist") <= radius) & ((F.col("id") != F.col("pid")) if others else F.lit(True)))
     return near.groupBy("id").agg(F.min(F.struct("dist", "pid")).alias("m")).select("id", F.col("m.pid").alias("nearest"), F.col("m.dist").alias("dist"))
 
 
-def nearest_segments(queries: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+def nearest_segments(queries: DataFrame, segments: DataFrame, radius: float, size: float | None = None, others: bool = False) -> DataFrame:
     """id, way, seg, dist, t of queries (id, x, y) and segments (way, seg, ax, ay, bx, by) within radius."""
     size = size or radius
     q = queries.select("id", "x", "y", F.explode(around(F.col("x"), F.col("y"), size, radius)).alias("cell"))
     s = segments.withColumn("cell", F.explode(covered(*(F.col(c) for c in ("ax", "ay", "bx", "by")), size)))
-    hit = q.join(s, "cell").withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("p.dist") <= radius)
+    hit = q.join(s, "cell").where((F.col("id") != F.col("way")) if others else F.lit(True))
+    hit = hit.withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("p.dist") <= radius)
     best = hit.groupBy("id").agg(F.min(F.struct(F.col("p.dist").alias("dist"), "way", "seg", F.col("p.t").alias("t"))).alias("m"))
     return best.select("id", "m.way", "m.seg", "m.dist", "m.t")
 
 
-def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float = 250.0) -> DataFrame:
+def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float = 250.0, others: bool = False) -> DataFrame:
     """Nearest segment of each station (id, x, y, route); segments (way, seg, ax, ay, bx, by, routes).
 
     A segment that carries the station's route comes first; any other counts only where no segment anywhere has
@@ -54,6 +71,7 @@ def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float =
     q = asked.select("id", "x", "y", "route", "_has", F.explode(around(F.col("x"), F.col("y"), radius, radius)).alias("cell"))
     s = segments.withColumn("cell", F.explode(covered(*(F.col(c) for c in ("ax", "ay", "bx", "by")), radius)))
     hit = q.join(s, "cell").where(F.col("_has").isNull() | F.array_contains("routes", F.col("route")))
+    hit = hit.where(F.col("id") != F.col("way")) if others else hit
     hit = hit.withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("p.dist") <= radius)
     best = hit.groupBy("id").agg(F.min(F.struct(F.col("p.dist").alias("dist"), "way", "seg")).alias("m"))
     return best.select("id", "m.way", "m.seg", "m.dist")
@@ -104,3 +122,9 @@ def subline(points: str, start: Column, end: Column) -> Column:
     inner = F.transform(F.filter(points, lambda p: (p["at"] > lo + 1e-9) & (p["at"] < hi - 1e-9)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     line = F.concat(F.array(at(lo)), inner, F.array(at(hi)))
     return F.when(end < start, F.reverse(line)).otherwise(line)
+
+
+def around_match(points: str, at: Column, half: float = 260.0) -> Column:
+    """The part of a way within `half` metres of chainage on either side of a match, cut off at the way's ends."""
+    last = F.element_at(F.transform(points, lambda p: p["at"]), -1)
+    return subline(points, F.greatest(at - half, F.lit(0.0)), F.least(at + half, last))

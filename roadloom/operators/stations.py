@@ -25,7 +25,10 @@ def weighted(value: str, weight: str, policy: str = "strict") -> Column:
 
 
 def month_summary(rows: DataFrame) -> DataFrame:
-    """station, month, ts, samples, flow, speed -> records, sums, counts, plain and weighted means, first and last time."""
+    """station, month, ts, samples, flow, speed -> records, sums, counts, plain and weighted means, first and last time.
+
+    With month as a number and ts as a date, nothing but the few result rows needs formatting, and the aggregate hashes.
+    """
     return rows.groupBy("station", "month").agg(
         F.count("*").alias("records"),
         F.coalesce(F.sum("samples"), F.lit(0.0)).alias("samples_sum"),
@@ -82,9 +85,18 @@ def classify(names: DataFrame, name: str, patterns: Sequence[tuple[str, str]]) -
 
 
 def anomalies(files: DataFrame) -> DataFrame:
-    """kind, name, length -> one row: totals, unknown, empty, repeated names."""
+    """kind, name, length -> one row: totals, unknown, empty, repeated names, the years, months and days in names, and a code.
+
+    The code is 0 where nothing is odd, 1 where a name is unknown or repeated or a file empty, 2 where there is no file.
+    """
     once = files.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isNull()).alias("unknown"), F.count_if(F.col("length") == 0).alias("empty"))
-    return once.agg(F.sum("n").alias("total"), F.sum("unknown").alias("unknown"), F.sum("empty").alias("empty"), F.count_if(F.col("n") > 1).alias("repeated"))
+    part = lambda i: F.nullif(F.regexp_extract("name", r"(\d{4})_(\d{2})(?:_(\d{2}))?", i), F.lit("")).try_cast("int")
+    out = once.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"), F.coalesce(F.sum("empty"), F.lit(0)).alias("empty"), F.count_if(F.col("n") > 1).alias("repeated"),
+        *(F.array_join(F.array_sort(F.collect_set(part(i))), ",").alias(k) for i, k in ((1, "years"), (2, "months"), (3, "days"))),
+    )
+    odd = (F.col("unknown") > 0) | (F.col("empty") > 0) | (F.col("repeated") > 0)
+    return out.withColumn("code", F.when(F.col("total") == 0, 2).when(odd, 1).otherwise(0))
 
 
 def edge_statistics(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadloom.sources.lineage import cut
 
-#: A graph of more edges than this is not sent to the executors; distances are then relaxed by joins.
+#: A graph of more edges than this is not sent to the executors; distances are then relaxed by joins, with equal results.
 MAX_BROADCAST_EDGES = 5_000_000
 
 
@@ -78,12 +78,9 @@ def with_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """Adjacency of weighted edges, on the driver behind a check of its size, for Dijkstra tasks."""
+    """Adjacency of weighted edges, on the driver, for Dijkstra tasks; callers check its size."""
 
     def __init__(self, edges: DataFrame, length: str = "length", undirected: bool = False):
-        n = edges.count()
-        if n > MAX_BROADCAST_EDGES:
-            raise ValueError(f"{n} edges: use relax_distances")
         self.adjacent: dict[int, list[tuple[int, float]]] = {}
         for r in edges.select("from", "to", F.coalesce(length, F.lit(1.0)).alias("l")).collect():
             self.adjacent.setdefault(r["from"], []).append((r["to"], float(r["l"])))
@@ -129,7 +126,12 @@ class Graph:
 
 
 def k_nearest(nodes: DataFrame, edges: DataFrame, k: int = 10, radius: float | None = None) -> DataFrame:
-    """node, neighbor, distance, rank."""
+    """node, neighbor, distance, rank: the k nearest other nodes, or all within a radius, by distance, then node."""
+    if edges.count() > MAX_BROADCAST_EDGES:
+        best = _settled(nodes.select(F.col("node").cast("long").alias("source")).distinct(), edges, k if radius is None else None, radius)
+        best = best.where("source <> node").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance", "node")))
+        best = best.where(F.col("rank") <= k) if radius is None else best
+        return best.select(F.col("source").alias("node"), F.col("node").alias("neighbor"), "distance", "rank")
     graph = nodes.sparkSession.sparkContext.broadcast(Graph(edges))
 
     def run(batches):
@@ -141,7 +143,12 @@ def k_nearest(nodes: DataFrame, edges: DataFrame, k: int = 10, radius: float | N
 
 
 def routes(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """asked (source, target, budget) with path and cost; an unreachable target has an empty path and a null cost."""
+    """asked (source, target, budget) with path and cost; an unreachable target has an empty path and a null cost.
+
+    Of equally short ways, each node's least predecessor is taken.
+    """
+    if edges.count() > MAX_BROADCAST_EDGES:
+        return _routes_by_joins(asked, edges)
     graph = asked.sparkSession.sparkContext.broadcast(Graph(edges))
 
     def run(batches):
@@ -152,6 +159,46 @@ def routes(asked: DataFrame, edges: DataFrame) -> DataFrame:
     return asked.select("source", "target", "budget").mapInPandas(run, "source long, target long, budget double, path array<long>, cost double")
 
 
+def _settled(sources: DataFrame, edges: DataFrame, k: int | None = None, radius: float | None = None, budget: bool = False) -> DataFrame:
+    """source, node, distance of all that is reached from each source, by joins: rounds of relaxing what the last one improved.
+
+    A distance beyond the radius, beyond the source's budget, or beyond the k-th of those found (which only shrink) is
+    dropped where it arises, as nothing nearer can come of it.
+    """
+    keep = ["source", *(["budget"] if budget else [])]
+    step = edges.select(F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.coalesce("length", F.lit(1.0)).cast("double").alias("l"))
+    best = cut(sources.select(*keep, F.col("source").alias("node"), F.lit(0.0).alias("distance")).withColumn("new", F.lit(True)))
+    while not best.where("new").isEmpty():
+        more = best.where("new").join(step, F.col("node") == F.col("from")).select(*keep, F.col("to").alias("node"), (F.col("distance") + F.col("l")).alias("distance"))
+        more = more.where(F.col("distance") <= F.lit(radius)) if radius is not None else more
+        more = more.where(F.col("distance") <= F.col("budget")) if budget else more
+        both = best.select(*keep, "node", "distance", F.lit(1).alias("old")).unionByName(more.withColumn("old", F.lit(0)))
+        both = both.groupBy(*keep, "node").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old") == 1, F.col("distance"))).alias("was"))
+        both = both.withColumn("new", F.col("was").isNull() | (F.col("distance") < F.col("was"))).drop("was")
+        if k is not None:  # ranks are of one source's reached nodes, k and those that are as near
+            nth = Window.partitionBy(*keep).orderBy("distance")
+            both = both.withColumn("_nth", F.rank().over(nth)).where(F.col("_nth") <= k + 1).drop("_nth")
+        best = cut(both)
+    return best.drop("new")
+
+
+def _routes_by_joins(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """`routes` for graphs beyond a broadcast: distances within each source's largest budget, then predecessors, walked back."""
+    ask = cut(asked.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.col("budget").cast("double").alias("budget")))
+    reach = cut(_settled(ask.groupBy("source").agg(F.max("budget").alias("budget")), edges, budget=True).select("source", "node", "distance"))
+    step = edges.select(F.col("from").cast("long").alias("p"), F.col("to").cast("long").alias("node"), F.coalesce("length", F.lit(1.0)).cast("double").alias("l"))
+    before = reach.select("source", F.col("node").alias("p"), F.col("distance").alias("pd"))
+    via = reach.where("source <> node").join(step, "node").join(before, ["source", "p"]).where(F.col("pd") + F.col("l") == F.col("distance"))
+    via = cut(via.groupBy("source", "node").agg(F.min(F.struct("pd", "p")).alias("m")).select("source", "node", F.col("m.p").alias("p")))
+    found = ask.distinct().join(reach, (ask["source"] == reach["source"]) & (ask["target"] == reach["node"])).where(F.col("distance") <= F.col("budget"))
+    walk = cut(found.select(ask["source"], "target", "budget", F.col("distance").alias("cost"), F.array("target").alias("path"), F.col("target").alias("at")))
+    while not walk.where("at <> source").isEmpty():
+        on = walk.join(via.select(F.col("source").alias("s"), F.col("node").alias("at_"), "p"), (F.col("source") == F.col("s")) & (F.col("at") == F.col("at_")), "left")
+        walk = cut(on.select("source", "target", "budget", "cost", F.when(F.col("at") != F.col("source"), F.concat(F.array("p"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("at") != F.col("source"), F.col("p")).otherwise(F.col("at")).alias("at")))
+    out = ask.alias("a").join(walk.alias("w"), (F.col("a.source") == F.col("w.source")) & (F.col("a.target") == F.col("w.target")) & (F.col("a.budget") == F.col("w.budget")), "left")
+    return out.select("a.source", "a.target", "a.budget", F.coalesce("w.path", F.array().cast("array<long>")).alias("path"), "w.cost")
+
+
 def relax_distances(sources: DataFrame, edges: DataFrame, rounds: int, cut=cut) -> DataFrame:
     """source, node, distance within `rounds` hops, by joins alone: for graphs beyond a broadcast."""
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"))

@@ -112,44 +112,50 @@ def _points(spark, sf):
     return e.select("vec_id", at(0).alias("x"), at(1).alias("y"), at(2).alias("x2"), at(3).alias("y2"))
 
 
-@register("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y FROM embeddings), q AS (FROM p WHERE vec_id % 3 = 0), s AS (FROM p WHERE vec_id % 3 <> 0)
-SELECT q.vec_id AS id, s.vec_id AS nearest, round(sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)), 6) AS dist FROM q JOIN s ON sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)) <= 20
+@register("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y FROM embeddings), q AS (FROM p), s AS (FROM p)
+SELECT q.vec_id AS id, s.vec_id AS nearest, round(sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)), 6) AS dist FROM q JOIN s ON q.vec_id <> s.vec_id AND sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)) <= 20
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)), s.vec_id) = 1""")
 def cell_join_nearest(spark, sf):
     p = _points(spark, sf)
-    out = spatial.nearest_points(p.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "x", "y"), p.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py")), 20.0)
+    out = spatial.nearest_points(p.select(F.col("vec_id").alias("id"), "x", "y"), p.select(F.col("vec_id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py")), 20.0, others=True)
     return out.withColumn("dist", F.round("dist", 6))
 
 
 SEGMENTS = """p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, embedding[3]::DOUBLE * 1000 AS x2, embedding[4]::DOUBLE * 1000 AS y2 FROM embeddings),
-q AS (SELECT vec_id AS id, x, y, vec_id % 7 AS route FROM p WHERE vec_id % 5 = 0), s AS (SELECT vec_id AS way, x AS ax, y AS ay, x + x2 / 4 AS bx, y + y2 / 4 AS byy, vec_id % 5 AS r FROM p WHERE vec_id % 5 <> 0),
-c AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) <= 1e-12 THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)))) END AS t FROM q JOIN s ON abs(x - ax) < 400 AND abs(y - ay) < 400),
+q AS (SELECT vec_id AS id, x, y, vec_id % 7 AS route FROM p), s AS (SELECT vec_id AS way, x AS ax, y AS ay, x + x2 / 4 AS bx, y + y2 / 4 AS byy, vec_id % 5 AS r FROM p),
+c AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) <= 1e-12 THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)))) END AS t FROM q JOIN s ON id <> way AND abs(x - ax) < 400 AND abs(y - ay) < 400),
 d AS (SELECT *, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (byy - ay), 2)) AS dist FROM c)"""
 
 
-def _segments(spark, sf, where: str = "vec_id % 5 <> 0"):
-    p = _points(spark, sf).where(where)
+def _segments(spark, sf):
+    p = _points(spark, sf)
     return p.select(F.col("vec_id").alias("way"), F.lit(0).alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("x2") / 4).alias("bx"), (F.col("y") + F.col("y2") / 4).alias("by"), F.array(F.col("vec_id") % 5).alias("routes"))
 
 
 @register(f"WITH {SEGMENTS} SELECT id, way, round(dist, 6) AS dist, round(t, 6) AS t FROM d WHERE dist <= 60 QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, way) = 1")
 def nearest_segments(spark, sf):
-    q = _points(spark, sf).where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "x", "y")
-    return spatial.nearest_segments(q, _segments(spark, sf), 60.0).select("id", "way", F.round("dist", 6).alias("dist"), F.round("t", 6).alias("t"))
+    q = _points(spark, sf).select(F.col("vec_id").alias("id"), "x", "y")
+    return spatial.nearest_segments(q, _segments(spark, sf), 60.0, others=True).select("id", "way", F.round("dist", 6).alias("dist"), F.round("t", 6).alias("t"))
 
 
 @register(f"WITH {SEGMENTS} SELECT id, way, round(dist, 6) AS dist FROM d WHERE dist <= 60 AND (r = route OR route NOT IN (SELECT r FROM s)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, way) = 1")
 def stations_on_roads(spark, sf):
-    q = _points(spark, sf).where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "x", "y", (F.col("vec_id") % 7).alias("route"))
-    return spatial.stations_on_roads(q, _segments(spark, sf), 60.0).select("id", "way", F.round("dist", 6).alias("dist"))
+    q = _points(spark, sf).select(F.col("vec_id").alias("id"), "x", "y", (F.col("vec_id") % 7).alias("route"))
+    return spatial.stations_on_roads(q, _segments(spark, sf), 60.0, others=True).select("id", "way", F.round("dist", 6).alias("dist"))
 
 
-@register()
+@register("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS ax, embedding[2]::DOUBLE * 1000 AS ay, embedding[1]::DOUBLE * 1000 + embedding[3]::DOUBLE * 1000 / 4 AS bx, embedding[2]::DOUBLE * 1000 + embedding[4]::DOUBLE * 1000 / 4 AS byy FROM embeddings),
+e AS (SELECT vec_id AS edge, sqrt(pow(bx - ax, 2) + pow(byy - ay, 2)) AS length, unnest(['start', 'mid', 'end']) AS spot, unnest([ax, (ax + bx) / 2, bx]) AS x, unnest([ay, (ay + byy) / 2, byy]) AS y FROM p),
+c AS (SELECT edge, length, spot, vec_id AS way, x, y, ax, ay, bx, byy, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) <= 1e-12 THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)))) END AS t FROM e JOIN p ON vec_id <> edge),
+d AS (SELECT edge, length, way, spot, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (byy - ay), 2)) AS dist, t * sqrt(pow(bx - ax, 2) + pow(byy - ay, 2)) AS along FROM c),
+s AS (SELECT edge, length, way, max(dist) FILTER (spot = 'start') AS ds, max(dist) FILTER (spot = 'mid') AS dm, max(dist) FILTER (spot = 'end') AS de, max(along) FILTER (spot = 'start') AS s0, max(along) FILTER (spot = 'end') AS s1 FROM d GROUP BY 1, 2, 3 HAVING ds <= 90 AND de <= 90 AND dm <= 160)
+SELECT edge, round(greatest(ds, de) + 0.45 * dm + 18 * least(abs(abs(s1 - s0) - length) / greatest(length, 1), 4), 5) AS score, way, round(s0, 5) AS from_at, round(s1, 5) AS to_at FROM s
+QUALIFY row_number() OVER (PARTITION BY edge ORDER BY greatest(ds, de) + 0.45 * dm + 18 * least(abs(abs(s1 - s0) - length) / greatest(length, 1), 4), way) = 1""")
 def match_edges(spark, sf):
     """Every point's segment as an edge, against the segments of all other points."""
     p = _points(spark, sf)
     edges = p.select(F.col("vec_id").alias("edge"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("x2") / 4).alias("bx"), (F.col("y") + F.col("y2") / 4).alias("by"))
-    return spatial.match_edges(edges.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), _segments(spark, sf, "true").withColumn("at", F.lit(0.0)), others=True)
+    return spatial.match_edges(edges.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), _segments(spark, sf).withColumn("at", F.lit(0.0)), others=True).withColumns({c: F.round(c, 5) for c in ("score", "from_at", "to_at")})
 
 
 @register("""WITH p AS (SELECT l_orderkey AS way, l_linenumber AS pos, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) = 1))
@@ -176,7 +182,7 @@ def _poly(k):
     return f"({k[0]!r} + {k[1]!r} * u + {k[2]!r} * v + {k[3]!r} * u * u + {k[4]!r} * u * v + {k[5]!r} * v * v)"
 
 
-@register(f"""SELECT id, round({_poly(S.LON_COEFFICIENTS)}, 6) AS lon, round({_poly(S.LAT_COEFFICIENTS)}, 6) AS lat FROM (SELECT i AS id, (500000 + (i % 40) * 700 - 514717.3157977706) / 10000.0 AS u, (280000 + (i // 40) * 700 - 291482.63714945794) / 10000.0 AS v FROM range(1600) t(i))""")
+@register(f"""SELECT id, round({_poly(S.LON_COEFFICIENTS)}, 6) AS lon, round({_poly(S.LAT_COEFFICIENTS)}, 6) AS lat FROM (SELECT i AS id, (500000 + (i % 40) * 700 - {S.LOCAL_ORIGIN[0]!r}) / {S.LOCAL_SCALE!r} AS u, (280000 + (i // 40) * 700 - {S.LOCAL_ORIGIN[1]!r}) / {S.LOCAL_SCALE!r} AS v FROM range(1600) t(i))""")
 def local_to_wgs84(spark, sf):
     lon, lat = S.local_to_wgs84(500000 + (F.col("id") % 40) * 700, 280000 + F.floor(F.col("id") / 40) * 700)
     return spark.range(1600).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))

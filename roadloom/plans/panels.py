@@ -32,7 +32,7 @@ def weighted_edge_flow(spark, sf):
 s AS (SELECT time_bin, "from" AS node, 0::DOUBLE AS i, x AS o FROM f UNION ALL SELECT time_bin, "to", x, 0 FROM f)
 SELECT time_bin, node, sum(i) AS in_flow, sum(o) AS out_flow, sum(o) - sum(i) AS net_flow FROM s GROUP BY ALL""")
 def node_flow(spark, sf):
-    return panel.node_flow(panel.edge_flow(trips(spark, sf)))
+    return panel.node_moves(trips(spark, sf))
 
 
 @register(f"""WITH {FLOW} SELECT time_bin, {', '.join(f"coalesce(sum(x) FILTER (\"to\" = '{k}'), 0)::DOUBLE AS {k}" for k in ("click", "error", "purchase", "signup", "view"))}
@@ -103,7 +103,10 @@ def semicolon_parse(spark, sf):
 def _links(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     direction = F.when(F.col("o_orderstatus") == "F", -1).when(F.col("o_orderstatus") == "P", 2).otherwise(1)
-    return o.select(F.col("o_orderkey").alias("link_id"), F.col("c_nationkey").cast("bigint").alias("from_node_id"), (F.col("o_orderkey") % 25).alias("to_node_id"), direction.alias("direction"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("length"), F.lit(1.0).alias("lanes"), F.col("o_totalprice").alias("capacity"), F.col("o_totalprice").alias("speed"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("name"))
+    return o.select(F.col("o_orderkey").alias("link_id"), F.col("c_nationkey").cast("bigint").alias("from_node_id"), (F.col("o_orderkey") % 25).alias("to_node_id"), direction.alias("direction"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("length"), F.lit(1.0).alias("lanes"), F.col("o_totalprice").alias("capacity"), F.col("o_totalprice").alias("speed"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("name"),
+                    F.when(F.col("o_orderkey") % 4 != 1, F.col("o_totalprice") / 2).alias("jam_density"), (F.col("o_orderkey") % 40).alias("wave_speed"), F.when(F.col("o_orderkey") % 5 > 1, F.col("o_orderkey") % 9).alias("link_type"),
+                    F.when(F.col("o_orderkey") % 5 > 2, F.col("o_orderstatus")).alias("link_type_name"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("L"), F.col("o_orderkey"))).alias("geometry"), F.when(F.col("o_orderkey") % 8 < 3, F.concat(F.lit("O"), F.col("o_orderkey"))).alias("original_geometry"),
+                    F.when(F.col("o_orderkey") % 6 != 0, F.concat(F.lit("k"), F.col("o_orderkey"))).alias("link_key"))
 
 
 def _nodes(spark, sf):
@@ -111,7 +114,9 @@ def _nodes(spark, sf):
 
 
 LINKS_SQL = """l AS (SELECT o_orderkey AS link_id, c_nationkey::BIGINT AS u, o_orderkey % 25 AS v, CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'P' THEN 2 ELSE 1 END AS d,
-    CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS length, o_totalprice AS capacity, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS name FROM orders JOIN customer ON c_custkey = o_custkey),
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS length, o_totalprice AS capacity, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS name,
+    CASE WHEN o_orderkey % 4 <> 1 THEN o_totalprice / 2 END AS jam, o_orderkey % 40 AS wave, CASE WHEN o_orderkey % 5 > 1 THEN o_orderkey % 9 END AS kind, CASE WHEN o_orderkey % 5 > 2 THEN o_orderstatus END AS kind_name,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'L' || o_orderkey END AS geom, CASE WHEN o_orderkey % 8 < 3 THEN 'O' || o_orderkey END AS ogeom, CASE WHEN o_orderkey % 6 <> 0 THEN 'k' || o_orderkey END AS key FROM orders JOIN customer ON c_custkey = o_custkey),
 ways AS (SELECT u AS f, v AS t, 'forward' AS flag, l.* FROM l WHERE d <> -1 UNION ALL SELECT v, u, 'reverse', l.* FROM l WHERE d IN (-1, 0, 2)),
 dir AS (SELECT w.*, CASE WHEN w.length > 0 THEN w.length ELSE sqrt(pow((a.n_nationkey - b.n_nationkey) * 3000.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4000.0, 2)) / 1000 END AS len
   FROM ways w LEFT JOIN nation a ON a.n_nationkey = f LEFT JOIN nation b ON b.n_nationkey = t)"""
@@ -123,11 +128,13 @@ def directed_expansion(spark, sf):
 
 
 @register(f"""WITH {LINKS_SQL}, g AS (SELECT f AS from_node_id, t AS to_node_id, round(min(len), 6) AS length, count(*)::DOUBLE AS lanes, round(sum(capacity), 2) AS capacity, round(avg(capacity) + 1e-7, 4) AS speed,
+  round(avg(jam) + 1e-7, 4) AS jam_density, round(avg(wave) + 1e-9, 6) AS wave_speed, arg_min(kind, link_id) FILTER (kind IS NOT NULL) AS link_type, arg_min(kind_name, link_id) FILTER (kind_name IS NOT NULL) AS link_type_name,
+  arg_min(geom, link_id) FILTER (geom IS NOT NULL) AS geometry, arg_min(ogeom, link_id) FILTER (ogeom IS NOT NULL) AS original_geometry, md5(string_agg(coalesce(key, 'nan'), ';' ORDER BY link_id)) AS link_keys,
   arg_min(name, link_id) FILTER (name IS NOT NULL) AS name, string_agg(DISTINCT flag, ';' ORDER BY flag) AS direction_flag, md5(string_agg(link_id::VARCHAR, ';' ORDER BY link_id)) AS link_ids FROM dir GROUP BY 1, 2)
 SELECT *, from_node_id || '->' || to_node_id AS edge_id, (row_number() OVER (ORDER BY from_node_id, to_node_id) - 1)::BIGINT AS edge_index FROM g""")
 def link_dedup(spark, sf):
     out = clean.merge_links(clean.direct(_links(spark, sf), _nodes(spark, sf)), "link_id")
-    return out.withColumns({"length": F.round("length", 6), "capacity": F.round("capacity", 2), "speed": F.round(F.col("speed") + 1e-7, 4), "link_ids": F.md5(F.col("link_ids").cast("binary"))})
+    return out.withColumns({"length": F.round("length", 6), "capacity": F.round("capacity", 2), "speed": F.round(F.col("speed") + 1e-7, 4), "jam_density": F.round(F.col("jam_density") + 1e-7, 4), "wave_speed": F.round(F.col("wave_speed") + 1e-9, 6)}).withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("link_ids", "link_keys")})
 
 
 @register("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""")

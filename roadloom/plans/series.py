@@ -165,11 +165,14 @@ def draw_quantiles(spark, sf):
     return out.select("chain", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "lower", "median", "upper")))
 
 
-@register(f"""WITH {DRAWS}, b AS (SELECT chain, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, var_pop(value) AS v FROM r GROUP BY 1), c AS (SELECT x.chain, sum((x.value - m) * (y.value - m)) AS c FROM r x JOIN r y ON y.chain = x.chain AND y.iter = x.iter + 1 JOIN b ON b.chain = x.chain GROUP BY 1)
-SELECT b.chain, n, round(CASE WHEN n >= 10 THEN m END, 6) AS mean, round(CASE WHEN n >= 10 THEN sd END, 6) AS sd, round(CASE WHEN n >= 10 THEN c / (n * v) END, 6) AS acf_1 FROM b LEFT JOIN c ON c.chain = b.chain""")
+@register(f"""WITH {DRAWS}, b AS (SELECT chain, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, var_pop(value) AS v FROM r GROUP BY 1), c AS (SELECT x.chain, y.iter - x.iter AS lag, sum((x.value - m) * (y.value - m)) AS c FROM r x JOIN r y ON y.chain = x.chain AND y.iter - x.iter IN (1, 10, 30) JOIN b ON b.chain = x.chain GROUP BY 1, 2),
+a AS (SELECT b.*, (SELECT c FROM c WHERE c.chain = b.chain AND lag = 1) / (n * v) AS a1, (SELECT c FROM c WHERE c.chain = b.chain AND lag = 10) / (n * v) AS a10, (SELECT c FROM c WHERE c.chain = b.chain AND lag = 30) / (n * v) AS a30 FROM b),
+e AS (SELECT *, n * (1 - r) / (1 + r) AS ess FROM (SELECT *, greatest(0, least(0.999, coalesce(a1, 0))) AS r FROM a))
+SELECT chain, n, round(CASE WHEN n >= 10 THEN m END, 6) AS mean, round(CASE WHEN n >= 10 THEN sd END, 6) AS sd, round(CASE WHEN n >= 10 THEN a1 END, 6) AS acf_1, round(CASE WHEN n >= 10 THEN a10 END, 6) AS acf_10, round(CASE WHEN n >= 10 THEN a30 END, 6) AS acf_30,
+round(CASE WHEN n >= 10 THEN ess END, 5) AS ess, round(CASE WHEN n >= 10 THEN sd / sqrt(ess) END, 6) AS mcse FROM e""")
 def mcmc_diag(spark, sf):
     out = V.chain_diagnostics(_draws(spark, sf), "chain", "iter", "value")
-    return out.select("chain", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "acf_1")))
+    return out.select("chain", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "acf_1", "acf_10", "acf_30")), F.round("ess", 5).alias("ess"), F.round("mcse", 6).alias("mcse"))
 
 
 @register("""SELECT user_id, round(m + ln(s), 6) AS lse FROM (SELECT user_id, max(value) AS m, sum(exp(value - mx)) AS s FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS mx FROM events) GROUP BY 1)""")
@@ -182,25 +185,24 @@ def log_harmonic_mean(spark, sf):
     return V.log_harmonic_mean(table(spark, sf, "events"), ["user_id"], "value").withColumn("log_marginal", F.round("log_marginal", 6))
 
 
-DAILY = """y AS (SELECT e.edge, g.t::INT AS t, coalesce(c.y, 0)::DOUBLE AS y FROM (SELECT DISTINCT user_id AS edge FROM events WHERE user_id < 60) e CROSS JOIN range(1, 31) g(t) LEFT JOIN (SELECT user_id, day(ts) AS t, count(*) AS y FROM events GROUP BY 1, 2) c ON c.user_id = e.edge AND c.t = g.t)"""
+DAILY = """y AS (SELECT e.edge, g.t::INT AS t, coalesce(c.y, 0)::DOUBLE AS y FROM (SELECT DISTINCT user_id AS edge FROM events) e CROSS JOIN range(1, 31) g(t) LEFT JOIN (SELECT user_id, day(ts) AS t, count(*) AS y FROM events GROUP BY 1, 2) c ON c.user_id = e.edge AND c.t = g.t)"""
 
 
-def daily(spark, sf, below: int | None = 60):
-    """edge (user), t (day), y (events) of the users below `below`, as the oracle SQL has it, or of all where it is None."""
+def daily(spark, sf):
+    """edge (user), t (day), y (events) of all users."""
     e = table(spark, sf, "events")
-    e = e if below is None else e.where(F.col("user_id") < below)
     counts = e.groupBy(F.col("user_id").alias("edge"), F.dayofmonth("ts").alias("t")).agg(F.count("*").cast("double").alias("y"))
     spine = e.select(F.col("user_id").alias("edge")).distinct().select("edge", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("t"))
     return spine.join(counts, ["edge", "t"], "left").na.fill(0.0, ["y"])
 
 
-@register(f"""WITH {DAILY}, p AS (SELECT a.edge AS target, b.edge AS source FROM (SELECT DISTINCT edge FROM y) a JOIN (SELECT DISTINCT edge FROM y) b ON a.edge = b.edge OR b.edge = (a.edge + 1) % 60),
+@register(f"""WITH {DAILY}, p AS (SELECT a.edge AS target, b.edge AS source FROM (SELECT DISTINCT edge FROM y) a JOIN (SELECT DISTINCT edge FROM y) b ON a.edge = b.edge OR b.edge = a.edge + 1),
 j AS (SELECT p.target, p.source, u.y AS x, v.y AS y FROM p JOIN y u ON u.edge = p.source JOIN y v ON v.edge = p.target AND v.t = u.t + 1), s AS (SELECT target, source, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM j GROUP BY 1, 2)
 SELECT target, source, n, round(CASE WHEN n * xx - sx * sx > 1e-9 AND n * yy - sy * sy > 1e-9 THEN (n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy)) END, 6) AS correlation FROM s""")
 def lag_correlation(spark, sf):
     y = daily(spark, sf)
     ids = y.select("edge").distinct()
-    pairs = ids.select(F.col("edge").alias("target"), F.explode(F.array(F.col("edge"), (F.col("edge") + 1) % 60)).alias("source")).distinct()
+    pairs = ids.select(F.col("edge").alias("target"), F.explode(F.array(F.col("edge"), F.col("edge") + 1)).alias("source"))
     return V.lag_correlation(y, pairs).withColumn("correlation", F.round("correlation", 6))
 
 
@@ -260,26 +262,26 @@ def interval_coverage(spark, sf):
     return y.join(q, "edge").select("y", F.col("q")[0].alias("a"), F.col("q")[1].alias("b")).agg(F.round(V.coverage(None, "y", "a", "b"), 6).alias("coverage"))
 
 
-@register("""SELECT p_partkey, round(density, 6) AS density, round(congestion, 6) AS congestion, round(rate, 6) AS rate, round(saturation, 6) AS saturation FROM (SELECT p_partkey, x / (greatest(len, 1e-6) * 2) AS density, x / (greatest(len, 1e-6) * 2 * 150) AS congestion, x * 12 AS rate, x / greatest(cap, 1) AS saturation
+@register("""SELECT p_partkey, round(density, 6) AS density, round(congestion, 6) AS congestion, round(rate, 6) AS rate, round(saturation, 6) AS saturation, round(storage, 6) AS storage, round(capacity_ratio, 6) AS capacity_ratio FROM (SELECT p_partkey, greatest(len, 1e-6) * 2 * 150 AS storage, x * 12 / 1800.0 AS capacity_ratio, x / (greatest(len, 1e-6) * 2) AS density, x / (greatest(len, 1e-6) * 2 * 150) AS congestion, x * 12 AS rate, x / greatest(cap, 1) AS saturation
 FROM (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 1000 AS len, p_size / 30.0 AS cap FROM part))""")
 def flow_measures(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 1000).alias("len"), (F.col("p_size") / 30.0).alias("cap"), F.lit(2.0).alias("lanes"), F.lit(150.0).alias("jam"), F.lit(1800.0).alias("lc"))
     m = S.flow_measures("x", "len", "lanes", "jam", "lc", "cap")
-    return p.select("p_partkey", *(F.round(m[k], 6).alias(k) for k in ("density", "congestion", "rate", "saturation")))
+    return p.select("p_partkey", *(F.round(m[k], 6).alias(k) for k in ("density", "congestion", "rate", "saturation", "storage", "capacity_ratio")))
 
 
-@register("""SELECT l_returnflag, round(avg(abs(l_extendedprice - l_quantity * 3000)), 4) AS mae, round(1 - sum(pow(l_extendedprice - l_quantity * 3000, 2)) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1""")
+@register("""SELECT l_returnflag, round(avg(abs(l_extendedprice - l_quantity * 3000)), 4) AS mae, round(1 - sum(pow(l_extendedprice - l_quantity * 3000, 2)) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem GROUP BY 1""")
 def regression_metrics(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'A'").withColumn("p", F.col("l_quantity") * 3000)
-    return V.regression_metrics(rows, "l_extendedprice", "p").select(F.lit("A").alias("l_returnflag"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
+    rows = table(spark, sf, "lineitem").withColumn("p", F.col("l_quantity") * 3000)
+    return V.regression_metrics(rows, "l_extendedprice", "p", ["l_returnflag"]).select("l_returnflag", F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
-@register("""WITH d AS (SELECT user_id AS target, event_id % 3 AS source, value / 1000 AS l FROM events) SELECT target, source, round(avg(l), 6) AS mean, avg(l) > 0.03 AS selected, target % 3 = source AS true_active,
+@register("""WITH d AS (SELECT user_id AS target, event_id % 3 AS source, value / 1000 AS l, value AS theta FROM events) SELECT target, source, round(avg(l), 6) AS mean, round(quantile_cont(l, 0.025) + 1e-9, 6) AS lower, round(quantile_cont(l, 0.5) + 1e-9, 6) AS median, round(quantile_cont(l, 0.975) + 1e-9, 6) AS upper, round(avg(abs(theta)), 5) AS abs_theta, avg(l) > 0.03 AS selected, target % 3 = source AS true_active,
 CASE WHEN avg(l) > 0.03 AND target % 3 = source THEN 'TP' WHEN avg(l) > 0.03 THEN 'FP' WHEN target % 3 = source THEN 'FN' ELSE 'TN' END AS outcome FROM d GROUP BY 1, 2""")
 def shrinkage_summary(spark, sf):
     d = table(spark, sf, "events").select(F.col("user_id").alias("target"), (F.col("event_id") % 3).alias("source"), (F.col("value") / 1000).alias("lambda"), F.col("value").alias("theta"))
     truth = d.select("target", (F.col("target") % 3).alias("source")).distinct().withColumn("true_active", F.lit(True))
-    return V.shrinkage_summary(d, truth).select("target", "source", F.round("mean", 6).alias("mean"), "selected", "true_active", "outcome")
+    return V.shrinkage_summary(d, truth).select("target", "source", F.round("mean", 6).alias("mean"), *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("lower", "median", "upper")), F.round("abs_theta", 5).alias("abs_theta"), "selected", "true_active", "outcome")
 
 
 @register("""SELECT event_type, hour(ts)::INT AS hour, dayofweek(ts) IN (0, 6) AS weekend, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(*) AS n FROM events GROUP BY 1, 2, 3""")

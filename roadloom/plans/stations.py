@@ -15,9 +15,10 @@ ROWS = """r AS (SELECT l_suppkey AS station, strftime(l_shipdate, '%Y-%m') AS mo
 
 
 def _rows(spark, sf):
+    """Months are numbers and times dates until the few groups are formatted."""
     return table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("station"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.when(F.col("l_linenumber") == 4, 0.0).otherwise(F.col("l_quantity")).alias("samples"),
-        F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice")).alias("flow"), F.col("l_discount").alias("speed"), F.date_format("l_shipdate", "MM/dd/yyyy").alias("ts"),
+        F.col("l_suppkey").alias("station"), (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("month"), F.when(F.col("l_linenumber") == 4, 0.0).otherwise(F.col("l_quantity")).alias("samples"),
+        F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice")).alias("flow"), F.col("l_discount").alias("speed"), F.to_date("l_shipdate").alias("ts"),
     )
 
 
@@ -26,6 +27,8 @@ round(sum(flow * samples) FILTER (samples > 0 AND flow IS NOT NULL) / nullif(sum
 round(sum(speed * samples) FILTER (samples > 0) / nullif(sum(samples) FILTER (samples > 0), 0) + 1e-8, 6) AS speed_weighted, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY 1, 2""")
 def station_month_stats(spark, sf):
     out = O.month_summary(_rows(spark, sf))
+    out = out.withColumns({"month": F.date_format("first_ts", "yyyy-MM"), "first_ts": F.date_format("first_ts", "MM/dd/yyyy"), "last_ts": F.date_format("last_ts", "MM/dd/yyyy")})
+    # The nudges, here and in the SQL, keep means that end in a 5 from being rounded apart by the order of addition.
     return out.withColumns({c: F.round(F.col(c) + 10.0 ** (-d - 3 + (d == 6)), d) for c, d in (("flow_mean", 4), ("flow_weighted", 4), ("speed_mean", 6), ("speed_weighted", 6))})
 
 
@@ -100,7 +103,8 @@ def classify_files(spark, sf):
     return O.classify(_files(spark, sf), "name", PATTERNS).groupBy("kind").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
-@register(f"""WITH {FILES}, n AS (SELECT name, count(*) AS c FROM f GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (name LIKE '%odd%') AS unknown, count(*) FILTER (length = 0) AS empty, (SELECT count(*) FROM n WHERE c > 1) AS repeated FROM f""")
+@register(f"""WITH {FILES}, n AS (SELECT name, count(*) AS c FROM f GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (name LIKE '%odd%') AS unknown, count(*) FILTER (length = 0) AS empty, (SELECT count(*) FROM n WHERE c > 1) AS repeated,
+string_agg(DISTINCT regexp_extract(name, '(\\d{{4}})_(\\d{{2}})', 1), ',' ORDER BY regexp_extract(name, '(\\d{{4}})_(\\d{{2}})', 1)) AS years, array_to_string(list_sort(list_distinct(list(regexp_extract(name, '(\\d{{4}})_(\\d{{2}})', 2)::INT))), ',') AS months, '' AS days, 1 AS code FROM f""")
 def file_anomalies(spark, sf):
     return O.anomalies(O.classify(_files(spark, sf), "name", PATTERNS))
 

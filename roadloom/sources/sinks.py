@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """A table; CSV has a header. Rows are dealt by the partition columns first, so each folder gets few files."""
+    """A table; CSV has a header, and quotes inside quoted fields are doubled. Rows are dealt by the partition columns first, so each folder gets few files."""
     df = df.repartition(*partition) if partition else df
     w = df.write.mode("overwrite").partitionBy(*partition) if partition else df.write.mode("overwrite")
-    w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path)
+    w.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else w.format(fmt).save(path)
 
 
 def summary_lines(one: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from roadloom.functions.scalars import fold_fields
 
 ENCODINGS = ("utf-8", "gbk", "iso-8859-1")
+#: Columns that one aggregate takes.
+WIDE = 200
 #: Column names of header-less station files, by position.
 STATION_DAY = "timestamp station district route direction_of_travel lane_type station_length samples percentage_observed total_flow delay_35 delay_40 delay_45 delay_50 delay_55 delay_60".split()
 STATION_5MIN = "timestamp station district freeway direction_of_travel lane_type station_length samples percentage_observed total_flow average_occupancy average_speed".split() + [
@@ -21,9 +23,17 @@ NOT_ROADS = ("bridleway", "bus_stop", "construction", "corridor", "cycleway", "e
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, length of the files of a folder in any file system Spark reads."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", "length")
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """path, name, length of the files under a folder, empty ones too, in any file system Spark reads.
+
+    The driver asks the file system, as it does before every scan; readers of files leave empty ones out.
+    """
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found, rows = at.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getPath().getName(), f.getLen()))
+    return spark.createDataFrame(sorted(rows), "path string, name string, length long").where(~F.col("name").rlike("^[._].*(crc|SUCCESS)$"))
 
 
 def find_file(spark: SparkSession, folder: str, candidates: Sequence[str]) -> str | None:
@@ -40,29 +50,66 @@ def require_sources(spark: SparkSession, folder: str, names: Sequence[str]) -> N
         raise FileNotFoundError(", ".join(missing))
 
 
-def sniff(spark: SparkSession, path: str, lines: int = 200) -> str:
-    """The first encoding whose reading of the file's head has no replacement character."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else CSV readers refuse gbk
-    for e in ENCODINGS[:-1]:
-        head = spark.read.option("encoding", e).csv(path, schema="v string", sep="\u0001").limit(lines)
-        if head.where(F.col("v").contains("�")).isEmpty():
-            return e
+def _decoded(spark: SparkSession, df: DataFrame, encoding: str) -> DataFrame:
+    """Columns that were read as iso-8859-1, which keeps every byte, in their real encoding.
+
+    Readers and decode() refuse gbk unless a session setting allows it. An expression keeps what it was made with, so
+    the setting is put back at once.
+    """
+    if encoding == ENCODINGS[-1]:
+        return df
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        out = df.select(*(F.decode(F.encode(F.col(f"`{c}`"), "ISO-8859-1"), encoding).alias(c) for c in df.columns))
+        out.schema  # noqa: B018
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return out
+
+
+def _bytes(spark: SparkSession, path: str):
+    return spark.read.option("encoding", "ISO-8859-1")
+
+
+def sniff(spark: SparkSession, path: str) -> str:
+    """The first encoding in which no line of the file has a replacement character; a file is searched until one is found."""
+    lines = _bytes(spark, path).csv(path, schema="v string", sep="\u0001", quote="")
+    key, malformed = "spark.sql.legacy.codingErrorAction", None
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")  # decode() gives replacement characters instead of failing
+    try:
+        for e in ENCODINGS[:-1]:
+            malformed = _decoded(spark, lines, e).where(F.col("v").contains("�"))
+            if malformed.isEmpty():
+                return e
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return ENCODINGS[-1]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; header names trimmed, unnamed and blank columns left out, malformed lines dropped."""
-    df = spark.read.option("encoding", sniff(spark, path)).option("mode", "DROPMALFORMED").csv(path, header=True)
-    clean = [c.replace("﻿", "").strip() for c in df.columns]
-    df = df.toDF(*(c or f"_c{i}" for i, c in enumerate(clean)))
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith(("_c", "Unnamed"))))
+def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """All columns as text, or as `types` says; header names trimmed, unnamed and blank columns left out, malformed lines dropped.
+
+    Quotes inside quoted fields are doubled, and nothing else is an escape, so no byte of a two-byte character is one.
+    """
+    encoding = sniff(spark, path)
+    df = _bytes(spark, path).option("mode", "DROPMALFORMED").option("escape", '"').csv(path, header=True)
+    blank = [f"_c{i}" == c for i, c in enumerate(df.columns)]  # how the reader names a column without a name, at its place
+    names = [c if encoding == ENCODINGS[-1] else c.encode("latin-1").decode(encoding) for c in df.columns]
+    names = [c.replace("\ufeff", "").strip() for c in names]
+    df = df.toDF(*(f"_{i}" for i in range(len(names))))
+    keep = [i for i, c in enumerate(names) if c and not blank[i] and not c.startswith("Unnamed")]
+    df = _decoded(spark, df.select(*(F.col(f"_{i}") for i in keep)), encoding).toDF(*(names[i] for i in keep))
+    return df.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in types.items() if c in df.columns}) if types else df
 
 
 def read_positional(spark: SparkSession, path: str, names: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     """A header-less CSV by column names; only `keep` is parsed. A row of one field or none is left out."""
-    df = spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("mode", "PERMISSIVE").csv(path)
-    df = df.where(F.col(names[1]).isNotNull())
-    return df.select(*keep) if keep else df
+    rows = spark.read.text(path).where(F.regexp_replace("value", '"[^"]*"', "").contains(","))  # a separator outside quotes
+    fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"escape": '"'})
+    return rows.select(fields.alias("_f")).select(*(F.col(f"_f.`{n}`").alias(n) for n in (keep or names)))
 
 
 def read_hour(spark: SparkSession, path: str) -> DataFrame:
@@ -105,9 +152,19 @@ def with_row_index(spark: SparkSession, path: str, name: str = "node_id") -> Dat
 
 
 def column_stats(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """name, min, max, nulls of sensor columns with a positive maximum, in one pass and without a wide result."""
-    long = table.unpivot([], list(columns), "name", "value")
-    return long.groupBy("name").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("nulls")).where(F.col("max") > 0)
+    """name, min, max, nulls of sensor columns with a positive maximum.
+
+    Columns are aggregated in place, WIDE at a time, each group reading its own columns only; a Parquet scan skips the rest.
+    Nothing is turned into a row a cell, and a group's result is one row, turned afterwards.
+    """
+    out = None
+    for lo in range(0, len(columns), WIDE):
+        part = list(columns[lo : lo + WIDE])
+        one = table.agg(*(f.alias(f"{k}{i}") for i, c in enumerate(part) for k, f in (("a", F.min(F.col(f"`{c}`").cast("double"))), ("b", F.max(F.col(f"`{c}`").cast("double"))), ("n", F.count_if(F.col(f"`{c}`").isNull())))))
+        rows = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(part)))).alias("s")
+        found = one.select(rows).select("s.*").where(F.col("max") > 0)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def line_summary(spark: SparkSession, path: str) -> DataFrame:

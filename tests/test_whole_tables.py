@@ -35,5 +35,6 @@ def test_every_edge_is_matched_among_all_others(spark):
         ok = (dist[0] <= 90) & (dist[2] <= 90) & (dist[1] <= 160) & (ids != i)
         if ok.any():
             want[int(i)] = float(score[ok].min())
+    want = {k: round(v, 5) for k, v in want.items()}
     got = {r.edge: r.score for r in catalogue.QUERIES["match_edges"](spark, sf).collect()}
     assert got == pytest.approx(want) and any(i % 5 for i in got)
