@@ -35,7 +35,7 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own, with a local master only."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if at is None and sc._jsc.sc().getCheckpointDir().isDefined():
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     if at is None:
         at = spark.conf.get("roadloom.checkpoint.dir", None)
         if at is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             at = "file://" + tempfile.mkdtemp(prefix="roadloom-")
             spark.conf.set("roadloom.checkpoint.dir", at)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -55,6 +57,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of `table_path` that nothing reads any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _ship(spark: SparkSession) -> None:
     """Send this package to the executors where PYTHONPATH doesn't already lead to it."""
     places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
