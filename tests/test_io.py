@@ -17,6 +17,75 @@ def test_csv_encodings(spark, tmp_path):
         assert got.columns == ["id", "name"] and [r.name for r in got.collect()] == ["道路", "b"]
 
 
+def test_late_bytes_and_odd_headers(spark, tmp_path):
+    """The first character that tells the encoding may stand anywhere; headers that only begin like nameless ones stay."""
+    lines = ["_code,_c9,,name,Unnamed: 4"] + [f"{k},b,x,plain,y" for k in range(400)] + ["400,b,x,道路\"边\",y"]
+    (tmp_path / "late.csv").write_bytes("\n".join(lines).encode("gbk"))
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    got = tables.read_csv(spark, str(tmp_path / "late.csv"))
+    assert got.columns == ["_code", "_c9", "name"] and got.where("_code = 400").first()["name"].startswith("道路")
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+    (tmp_path / "utf.csv").write_bytes("\n".join(lines).encode())
+    assert tables.read_csv(spark, str(tmp_path / "utf.csv")).where("_code = 400").first()["name"].startswith("道路")
+
+
+def test_rows_with_an_empty_second_field(spark, tmp_path):
+    (tmp_path / "day.txt").write_text('t1,,11,5\n"a,b"\nend\nt2,7,11,5\n')
+    rows = tables.read_positional(spark, str(tmp_path), ["timestamp", "station", "district"]).collect()
+    assert [(r.timestamp, r.station) for r in rows] == [("t1", None), ("t2", "7")]
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    from roadloom.operators.quantiles import quantiles
+
+    r = random.Random(3)
+    rows = [(k % 3 if k % 11 else None, None if k % 7 == 0 else float(r.choice([1, 2, 2, 5, 9, r.random()]))) for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    at = (0.0, 0.1, 0.5, 0.95, 1.0)
+    for key in (0, 1, 2, None):
+        want = np.quantile([v for k, v in rows if k == key and v is not None], at)
+        got = [x.q for x in quantiles(df, ["k"], "v", at).collect() if x.k == key]
+        assert np.allclose(got[0], want)
+    assert np.allclose(quantiles(df, [], "v", at).first().q, np.quantile([v for _, v in rows if v is not None], at))
+
+
+def test_cells_of_a_segment(spark):
+    """Every cell that a point of the segment is in, and no more than its length needs."""
+    r = random.Random(9)
+    rows = [(k, *(r.uniform(-40, 40) for _ in range(4))) for k in range(150)] + [(900, 1.0, -9.0, 1.0, 20.0), (901, -3.0, 4.0, 25.0, 4.0), (902, 2.0, 2.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, ax double, ay double, bx double, by double")
+    got = {x.id: {tuple(c) for c in x.c} for x in df.select("id", spatial.covered(*(F.col(c) for c in ("ax", "ay", "bx", "by")), 5.0).alias("c")).collect()}
+    for k, ax, ay, bx, by in rows:
+        at = {(int((ax + t / 999 * (bx - ax)) // 5), int((ay + t / 999 * (by - ay)) // 5)) for t in range(1000)}
+        assert at <= got[k] and len(got[k]) <= len(at) + 4
+
+
+def test_routes_by_joins(spark, monkeypatch):
+    """Beyond the bound of a broadcast, neighbours, radii and paths are the same."""
+    r = random.Random(11)
+    edges = spark.createDataFrame([(a, b, float(r.randint(1, 9))) for a in range(30) for b in r.sample(range(30), 3) if a != b] + [(0, 1, None)], "from long, to long, length double")
+    nodes = spark.range(0, 30, 3).toDF("node")
+    asked = spark.createDataFrame([(a, (a * 7 + 3) % 32, b) for a in range(0, 30, 2) for b in (6.0, 40.0)], "source long, target long, budget double")
+
+    def found():
+        near = [sorted(map(tuple, topology.k_nearest(nodes, edges, 4, x).collect())) for x in (None, 9.0)]
+        return near, sorted(((x.source, x.target, x.budget, tuple(x.path), x.cost) for x in topology.routes(asked, edges).collect()), key=str)
+
+    want = found()
+    monkeypatch.setattr(topology, "MAX_BROADCAST_EDGES", 10)
+    assert found() == want
+
+
+def test_run_names(spark):
+    from roadloom.operators import selection
+
+    assert selection.next_name("a", []) == "a" and selection.next_name("a", ["a", "a_2"]) == "a_3"
+    lines = selection.report(spark.createDataFrame([(1.0, "x"), (3.0, "x"), (None, "y")], "v double, k string"), ["v"], ["k"])
+    assert "  mean: 2.0" in lines and "  p50: 2.0" in lines and lines[-2:] == ["  x: 2", "  y: 1"]
+
+
 def test_finding_files(spark, tmp_path):
     (tmp_path / "Node.CSV").write_text("x")
     assert tables.find_file(spark, str(tmp_path), ["node.csv"]).endswith("Node.CSV") and tables.find_file(spark, str(tmp_path), ["link.csv"]) is None
