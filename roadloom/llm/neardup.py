@@ -128,17 +128,24 @@ def codes(s: np.ndarray, salt: int = 0) -> np.ndarray:
         return (_mix64(s + _U(salt)) if salt else s).astype(np.uint32)
 
 
-def common_bound(mine: np.ndarray, others: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    """For each of `others`, at least as many as the shingles that it shares with `mine`, from codes alone.
+class Marks:
+    """Sets of a block by the low 16 bits of their codes, laid out once, for an upper bound of what each shares with a set."""
 
-    `table` marks the low 16 bits of `mine`: most others fail on those; what may pass is counted on all 32.
-    """
-    sizes = np.array([len(o) for o in others])
-    ends = np.cumsum(sizes)
-    most = np.add.reduceat(table[np.concatenate(others).astype(np.uint16)], ends - sizes, dtype=np.int64)
-    for i in np.flatnonzero(passes(most, sizes, len(mine))):
-        most[i] = np.isin(others[i], mine).sum()
-    return most
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets], np.int64)
+        self.low = np.concatenate(sets).astype(np.uint16) if sets else np.zeros(0, np.uint16)
+        self.starts, self.table = np.cumsum(self.sizes) - self.sizes, np.zeros(1 << 16, bool)
+
+    def common(self, mine: np.ndarray) -> np.ndarray:
+        """For each set, at least as many as the shingles that it shares with `mine`.
+
+        Most fail on the low bits; what may pass is counted on all 32.
+        """
+        low = mine.astype(np.uint16)
+        self.table[low] = True
+        most = np.add.reduceat(self.table[self.low], self.starts, dtype=np.int64)
+        self.table[low] = False
+        return most
 
 
 def passes(common: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
@@ -296,21 +303,18 @@ class NearDup:
 
         def compare(g: dict[str, list]) -> dict[str, list]:
             sets = [np.frombuffer(x, np.uint32) for x in g["codes"]]
-            sizes, rep, comp, apart = np.array([len(x) for x in sets]), np.array(g["rep"]), np.array(g["comp"]), np.array(g["apart"])
-            table, found = np.zeros(1 << 16, bool), []
-            told = np.flatnonzero(g["told"])
-            for k in np.flatnonzero(g["asks"]):
-                other = told[(comp[told] != comp[k]) & (~apart[told] | (rep[told] > rep[k]))]
-                fit = other[passes(np.minimum(sizes[other], sizes[k]), sizes[other], sizes[k])]
-                if len(fit):
-                    low = sets[k].astype(np.uint16)
-                    table[low] = True
-                    most = common_bound(sets[k], [sets[i] for i in fit], table)
-                    table[low] = False
-                    for m, i in zip(most, fit, strict=True):
-                        if passes(m, sizes[i], sizes[k]):
-                            m = min(m, sizes[i], sizes[k])
-                            found.append((m / (sizes[i] + sizes[k] - m), k, i))
+            rep, comp, apart = np.array(g["rep"]), np.array(g["comp"]), np.array(g["apart"])
+            told, found = np.flatnonzero(g["told"]), []
+            marks = Marks([sets[i] for i in told])
+            for k in np.flatnonzero(g["asks"]) if len(told) else ():
+                size = len(sets[k])
+                most = marks.common(sets[k])
+                fit = (comp[told] != comp[k]) & (~apart[told] | (rep[told] > rep[k])) & passes(most, marks.sizes, size)
+                for i in np.flatnonzero(fit):
+                    m = int(np.isin(marks.sets[i], sets[k]).sum())
+                    if passes(m, marks.sizes[i], size):
+                        m = min(m, marks.sizes[i], size)
+                        found.append((m / (marks.sizes[i] + size - m), k, told[i]))
             root: dict[int, int] = {}
 
             def find(c):
