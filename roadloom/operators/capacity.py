@@ -28,13 +28,22 @@ def features(links: DataFrame, stats: DataFrame) -> DataFrame:
 NUMERIC = ("lanes", "speed", "jam", "log_length", "log_lane_capacity", "log_storage")
 
 
-def fit_capacity(rows: DataFrame, least_active: int = 12, least_rows: int = 100, alpha: float = 0.9, **options) -> DataFrame:
-    """rows with model_capacity, capacity, basis and fold: trained on active edges outside the fold of a hash.
+#: Most rows that the model is fitted on.
+TRAINING_ROWS = 200_000
 
-    One row an edge and a road network's worth of them: the model is fitted in one task on the training rows, and
-    applied to all rows in parallel.
+
+def fit_capacity(rows: DataFrame, least_active: int = 12, least_rows: int = 100, alpha: float = 0.9, most_rows: int = TRAINING_ROWS, **options) -> DataFrame:
+    """rows with model_capacity, capacity and basis: trained on active edges outside the fold of a hash.
+
+    The model is fitted on the driver, on at most `most_rows` training rows (all of them in most networks, else about that
+    many by a hash threshold and the first of those), and applied to all rows in parallel.
     """
-    train = rows.where((F.col("active") >= least_active) & (F.pmod(F.xxhash64("edge"), F.lit(5)) != 0)).toPandas()
+    usable = rows.where((F.col("active") >= least_active) & (F.pmod(F.xxhash64("edge"), F.lit(5)) != 0))
+    n = usable.count()
+    if n > most_rows:
+        spread = (F.xxhash64("edge", F.lit(1)).cast("double") + 2.0**63) / 2.0**64
+        usable = usable.where(spread <= min(1.0, 1.2 * most_rows / n)).orderBy(spread, "edge").limit(most_rows)
+    train = usable.toPandas()
     if len(train) < least_rows:
         raise ValueError(f"{len(train)} active edges; at least {least_rows} are needed")
     kinds = sorted(train["kind"].dropna().unique())

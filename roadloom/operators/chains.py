@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.scalars import lag_input, season
+from roadloom.functions.scalars import dot, lag_input, season
 from roadloom.operators.evaluate import kept
 from roadloom.operators.kernels import cluster_chain, edge_chain
 
@@ -54,8 +54,11 @@ def cluster_draws(counts: DataFrame, design: DataFrame, k: int, chains: int = 1,
 
 
 def chain_summary(draws: DataFrame, burn: int) -> DataFrame:
-    """quantity, k, mean after burn-in."""
-    return kept(draws.where(F.col("quantity") != "z"), burn).groupBy("quantity", "k").agg(F.avg("value").alias("mean"))
+    """quantity, k, mean after burn-in; ari and acc, which only chains with a truth have, are listed where any ari is positive."""
+    rows = kept(draws.where(F.col("quantity") != "z"), burn).groupBy("quantity", "k").agg(F.avg("value").alias("mean"), F.max("value").alias("_top"))
+    known = rows.where("quantity = 'ari' and _top > 0").select(F.lit(True).alias("_known")).limit(1)
+    out = rows.join(known, F.lit(True), "left")  # one row at most
+    return out.where(~F.col("quantity").isin("ari", "acc") | F.col("_known")).drop("_top", "_known")
 
 
 def trace(draws: DataFrame, kind: str = "trace") -> DataFrame:
@@ -99,6 +102,13 @@ def pair_draws(fits: DataFrame, pairs: DataFrame, harmonics: int = 2) -> DataFra
     return each.select("target", "source", "draw", lam.alias("lambda"), (lam * F.get("state", F.col("j") + base)).alias("theta"))
 
 
+def scaled_eta(x, beta, lam, base: int) -> Column:
+    """The predictor of a design row: its base entries by beta, the others by beta and lambda."""
+    x, beta, lam = (F.col(c) if isinstance(c, str) else c for c in (x, beta, lam))
+    scale = F.concat(F.array_repeat(F.lit(1.0), base), lam)
+    return dot(F.zip_with(x, beta, lambda a, b: a * b), scale)
+
+
 def picked_draws(saved: int, most: int = 80) -> list[int]:
     """Evenly spaced draws, halves rounded to even, each once."""
     n = min(most, saved)

@@ -42,9 +42,12 @@ def without(df: DataFrame, column: str, excluded: Sequence) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """The first row of each key by an explicit order; input order does not exist."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """The first row of each key by an explicit order, nulls first; input order does not exist.
+
+    An aggregate, so that hot keys are combined before the shuffle and nothing is sorted.
+    """
+    row, by = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order)
+    return df.groupBy(*keys).agg(F.min_by(row, by).alias("_first")).select("_first.*")
 
 
 def latest(df: DataFrame, key: str, when: str, ordinal: str) -> DataFrame:

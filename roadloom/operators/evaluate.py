@@ -59,7 +59,7 @@ def allocation(counts: DataFrame, rates: DataFrame, weights: DataFrame) -> DataF
 
     ln p = ln(pi + 1e-16) + sum_t (y eta - exp(eta)), normalised by its largest value.
     """
-    score = counts.join(F.broadcast(rates), "t").groupBy("edge", "cluster").agg(F.sum(F.col("y") * F.col("eta") - F.exp("eta")).alias("s"))
+    score = counts.join(rates, "t").groupBy("edge", "cluster").agg(F.sum(F.col("y") * F.col("eta") - F.exp("eta")).alias("s"))
     score = score.join(weights, "cluster").withColumn("s", F.col("s") + F.ln(F.col("pi") + 1e-16))
     w = Window.partitionBy("edge")
     e = F.exp(F.col("s") - F.max("s").over(w))

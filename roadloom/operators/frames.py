@@ -132,6 +132,16 @@ def view_mean(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.count("*").alias("shown"), F.count(ok).alias("with_value"), F.avg(ok).alias("mean"))
 
 
+def congestion_payload(rows: DataFrame, frame: str, key: str, value: str, threshold: float, digits: int = 4) -> DataFrame:
+    """frame, payload: each frame's statistics, its hottest segment (the least key of equals), and how long segments have
+    been at or above the threshold, as JSON."""
+    runs = congestion_runs(rows, key, frame, value, threshold)
+    lasting = runs.groupBy(frame).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), F.col("streak").alias("frames")))), lambda s: F.array(s["id"].cast("long"), s["frames"].cast("long"))).alias("duration"))
+    hot = rows.groupBy(frame).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col(key).alias("k"))).alias("_m"), F.bround(F.avg(value), digits).alias("mean"), F.bround(F.max(value), digits).alias("max"), F.count_if(F.col(value) >= threshold).alias("congested"))
+    out = hot.join(lasting, frame, "left").withColumn("hottest", F.col("_m.k"))
+    return out.select(frame, F.to_json(F.struct("mean", "max", "congested", "hottest", F.coalesce("duration", F.array().cast("array<array<bigint>>")).alias("duration"))).alias("payload"))
+
+
 def frames_payload(segments: DataFrame, frames: DataFrame, key: str, frame: str, value: str, digits: int = 3) -> DataFrame:
     """key, payload: a segment's record with its values by frame as JSON, for maps; absent frames are null."""
     span = frames.agg(F.min(frame).alias("a"), F.max(frame).alias("b"))  # one row

@@ -23,6 +23,25 @@ def cholesky(a: np.ndarray, jitters=(0.0, 1e-10, 1e-8, 1e-6, 1e-4)) -> np.ndarra
     raise np.linalg.LinAlgError("not positive definite after jitter")
 
 
+def safe_cholesky(a: np.ndarray, jitter: float = 1e-8, tries: int = 6) -> np.ndarray:
+    """Lower factor of a symmetrised matrix with jitter from the first try on, ten times as much at each of `tries` more."""
+    if jitter < 1e-8:
+        jitter = 1e-8
+    return cholesky(a, tuple(jitter * 10.0**k for k in range(tries + 1)))
+
+
+def inverse(a: np.ndarray, **options) -> np.ndarray:
+    """Inverse of a positive definite matrix by its factor."""
+    low = safe_cholesky(a, **options)
+    half = np.linalg.solve(low, np.eye(len(low)))
+    return half.T @ half
+
+
+def normal_by_factor(mean: np.ndarray, low: np.ndarray, rng) -> np.ndarray:
+    """A draw with a covariance whose lower factor is given."""
+    return mean + low @ rng.standard_normal(len(mean))
+
+
 def normal(mean: np.ndarray, cov: np.ndarray, rng) -> np.ndarray:
     return mean + cholesky(cov) @ rng.standard_normal(len(mean))
 

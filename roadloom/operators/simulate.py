@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadloom.operators.topology import grid, lag_sources, pair_table
+from roadloom.operators.topology import grid, lag_sources, pair_table, with_truth
 
 #: Log profile of each cluster, base, morning, evening, weekend.
 PROFILES = ((2.0, 1.5, 1.3, 0.7), (5.0, 2.5, 2.0, 0.6), (10.0, 3.5, 3.0, 0.5))
@@ -30,20 +31,29 @@ def design(index: DataFrame) -> DataFrame:
 
 def cluster_counts(index: DataFrame, edges: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """counts (edge, t, y) and truth (edge, z): Poisson counts of equal clusters around the fixed profiles."""
-    spark, rows = index.sparkSession, index.orderBy("t").collect()
-    rng = np.random.default_rng(seed)
-    z = rng.permutation(np.arange(edges) % len(PROFILES))
+    spark, rows = index.sparkSession, index.orderBy("t").collect()  # the index alone, one row a step
     t = np.array([r.t for r in rows])
     drift = 0.1 * np.sin(2 * math.pi * t / len(t))
     flags = np.array([[r.morning, r.evening, r.weekend] for r in rows], float)
     rate = np.stack([np.exp(math.log(b) + drift + flags @ np.log([m, e, w])) for b, m, e, w in PROFILES])
-    y = rng.poisson(rate[z])
-    counts = spark.createDataFrame([(i + 1, int(s), float(v)) for i in range(edges) for s, v in zip(t, y[i], strict=True)], "edge long, t int, y double")
-    return counts, spark.createDataFrame([(i + 1, int(c) + 1) for i, c in enumerate(z)], "edge long, z int")
+    # Clusters of equal size, dealt by the order of a hash; an edge's draws come from a generator of its own.
+    place = F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    truth = spark.range(1, edges + 1).select(F.col("id").alias("edge"), (place % len(PROFILES) + 1).cast("int").alias("z"))
+
+    def draw(batches):
+        for p in batches:
+            for e, z in zip(p["edge"], p["z"], strict=True):
+                yield pd.DataFrame({"edge": e, "t": t.astype("int32"), "y": np.random.default_rng([seed, int(e)]).poisson(rate[z - 1]).astype(float)})
+
+    return truth.mapInPandas(draw, "edge long, t int, y double"), truth
 
 
 def neighbourhood_counts(spark: SparkSession, nx: int = 4, ny: int = 4, steps_day: int = 48, days: int = 14, train_days: int = 10, seed: int = 1) -> dict[str, DataFrame]:
-    """nodes, edges, pairs (broad), truth (active pairs), train and test counts of the adaptive neighbourhood process."""
+    """nodes, edges, the pair tables of both rules (origin, pairs: the broad one) and the broad one with truth (marked), the
+    active pairs (truth), train and test counts of the adaptive neighbourhood process.
+
+    Every step feeds the next of all edges, so one process makes them; its size is that of the parameters, not of data.
+    """
     nodes, edges = grid(spark, ny, nx)
     broad = pair_table(edges, nodes, "two_endpoint", "broad")
     true = {(r.target, r.source) for r in lag_sources(edges, "origin").collect()}
@@ -66,4 +76,4 @@ def neighbourhood_counts(spark: SparkSession, nx: int = 4, ny: int = 4, steps_da
     counts = spark.createDataFrame(out, "edge long, t int, y double, rate double")
     truth = spark.createDataFrame([(t, s, True) for t, s in sorted(true)], "target long, source long, true_active boolean")
     split = train_days * steps_day
-    return {"nodes": nodes, "edges": edges, "pairs": broad, "truth": truth, "train": counts.where(F.col("t") <= split), "test": counts.where(F.col("t") > split)}
+    return {"nodes": nodes, "edges": edges, "pairs": broad, "origin": pair_table(edges, nodes, "origin", "origin"), "marked": with_truth(broad, truth), "truth": truth, "train": counts.where(F.col("t") <= split), "test": counts.where(F.col("t") > split)}

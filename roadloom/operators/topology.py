@@ -260,9 +260,13 @@ def route_edges(edges: DataFrame, nodes: DataFrame, graph: DataFrame, snap: floa
     return out.withColumn("confidence", F.when(F.col("path").isNotNull(), route_confidence(F.col("a_snap"), F.col("b_snap"), F.col("ratio"), F.size("path"))))
 
 
-def path_ways(paths: DataFrame, graph: DataFrame) -> DataFrame:
-    """edge, ways: the way of each step of a path, the least id where several run there, each once and in order."""
+def path_ways(paths: DataFrame, graph: DataFrame, kind: str | None = None) -> DataFrame:
+    """edge, ways: the way of each step of a path, the least id where several run there, each once and in order.
+
+    With `kind`, a column of the graph such as the highway class, also kinds: those of the ways, each once and in order.
+    """
     steps = paths.where(F.size("path") > 1).select("edge", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("from"), F.slice("path", 2, F.size("path") - 1).alias("to"))).alias("pos", "s"))
-    way = graph.groupBy("from", "to").agg(F.min("way").alias("way"))
+    way = graph.groupBy("from", "to").agg(F.min("way").alias("way"), *([F.min_by(kind, "way").alias("kind")] if kind else []))
     hit = steps.select("edge", "pos", F.col("s.from").alias("from"), F.col("s.to").alias("to")).join(way, ["from", "to"])
-    return hit.groupBy("edge").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way"))), lambda s: s["way"])).alias("ways"))
+    listed = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda s: s[c])).alias(f"{c}s")
+    return hit.groupBy("edge").agg(listed("way"), *([listed("kind")] if kind else []))

@@ -241,8 +241,8 @@ def routed_edges(spark, sf):
     """Routes of synthetic edges over a grid of ways."""
     nodes, edges = topology.grid(spark, 8, 8)
     at = nodes.select(F.col("node").alias("pid"), (F.col("x") * 100.0).alias("px"), (F.col("y") * 100.0).alias("py"))
-    graph = edges.select("from", "to", F.lit(100.0).alias("length"), F.col("edge").alias("way"))
+    graph = edges.select("from", "to", F.lit(100.0).alias("length"), F.col("edge").alias("way"), F.when(F.col("edge") % 3 == 0, "primary").otherwise("service").alias("highway"))
     asked = spark.range(40).select(F.col("id").alias("edge"), ((F.col("id") % 7 + 1) * 100 + 9.0).alias("ax"), ((F.col("id") % 5 + 1) * 100.0).alias("ay"), ((F.col("id") * 3 % 8 + 1) * 100.0).alias("bx"), ((F.col("id") * 5 % 8 + 1) * 100.0).alias("by"))
     asked = asked.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
     out = topology.route_edges(asked, at, graph)
-    return out.join(topology.path_ways(out, graph), "edge", "left")
+    return out.join(topology.path_ways(out, graph, "highway"), "edge", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.functions import scalars as S
-from roadloom.operators import clean, evaluate, panel, simulate, spatial, topology
+from roadloom.operators import clean, evaluate, frames, panel, simulate, spatial, topology
 from roadloom.operators import selection as L
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import EDGES_SQL, STEPS_SQL, TRIPS_SQL, event_moves, nation_edges, paths, table, trips
@@ -160,6 +160,14 @@ def flow_payload(spark, sf):
     return L.flow_payload(f, "user_id", "x")
 
 
+@register("""WITH h AS (SELECT day(ts)::INT AS f, user_id AS id, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2), b AS (SELECT f, row_number() OVER (ORDER BY f) AS r FROM (SELECT DISTINCT f FROM h)),
+c AS (SELECT id, h.f, r, r - row_number() OVER (PARTITION BY id ORDER BY r) AS g FROM h JOIN b ON b.f = h.f WHERE v >= 3), s AS (SELECT f, id, row_number() OVER (PARTITION BY id, g ORDER BY r) AS n FROM c), d AS (SELECT f, string_agg('[' || id || ',' || n || ']', ',' ORDER BY id) AS d FROM s GROUP BY 1)
+SELECT h.f AS frame, '{"mean":' || round_even(avg(v), 4)::DOUBLE || ',"max":' || max(v) || ',"congested":' || count(*) FILTER (v >= 3) || ',"hottest":' || arg_min(id, (-v, id)) || ',"duration":[' || coalesce(any_value(d.d), '') || ']}' AS payload FROM h LEFT JOIN d ON d.f = h.f GROUP BY h.f""")
+def congestion_payload(spark, sf):
+    h = table(spark, sf, "events").groupBy(F.dayofmonth("ts").alias("frame"), F.col("user_id").alias("id")).agg(F.count("*").cast("double").alias("v"))
+    return frames.congestion_payload(h, "frame", "id", "v", 3.0)
+
+
 @register("""SELECT count(l_quantity) AS count, round(avg(l_extendedprice) + 1e-7, 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std, min(l_extendedprice) AS min, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90,
 round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, max(l_extendedprice) AS max FROM lineitem""")
 def describe_report(spark, sf):

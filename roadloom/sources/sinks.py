@@ -26,6 +26,24 @@ def summary_json(one: DataFrame) -> DataFrame:
     return one.select(F.to_json(F.struct(*one.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def progress_line(name: str, i: int, n: int, elapsed: float) -> str:
+    """A console line of step i of n, i from 1, with the time that is left if steps go on as the i - 1 before."""
+    left = elapsed * (n - (i - 1)) / (i - 1) if i > 1 else None
+    return f"{name} {i}/{n} ({100 * i // n} %)" + (f", about {left:.0f} s left" if left is not None else "")
+
+
+def html_page(title: str, payloads: Sequence[str]) -> str:
+    """A page that draws the features of `window.NETWORK` by longitude and latitude; payloads are scripts such as `js_payload` gives."""
+    safe = title.replace("&", "&amp;").replace("<", "&lt;")
+    script = "".join(f"<script>{p.replace('</', '<\\/')}</script>" for p in payloads)
+    draw = (
+        "const c=document.getElementById('map'),g=c.getContext('2d'),f=(window.NETWORK||{features:[]}).features,p=f.flatMap(x=>x.geometry.coordinates);"
+        "const a=i=>p.reduce((m,q)=>[Math.min(m[0],q[i]),Math.max(m[1],q[i])],[1e9,-1e9]),[x0,x1]=a(0),[y0,y1]=a(1),s=Math.min(c.width/(x1-x0||1),c.height/(y1-y0||1));"
+        "f.forEach(x=>{g.beginPath();x.geometry.coordinates.forEach((q,i)=>g[i?'lineTo':'moveTo']((q[0]-x0)*s,c.height-(q[1]-y0)*s));g.stroke()});"
+    )
+    return f"<!doctype html><meta charset=utf-8><title>{safe}</title><h1>{safe}</h1><canvas id=map width=1200 height=800></canvas>{script}<script>{draw}</script>"
+
+
 def js_payload(df: DataFrame, name: str, column: str = "value") -> DataFrame:
     return df.select(F.concat(F.lit(f"window.{name} = "), F.col(column), F.lit(";")).alias("value"))
 

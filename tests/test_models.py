@@ -140,3 +140,36 @@ def test_paths_against_floyd_warshall(spark):
     assert cost == d[1, 25] and path[0] == 1 and path[-1] == 25 and graph.path(1, 1) == ([1], 0) and graph.path(1, 25, 0.5) == ([], big)
     relaxed = {(r.source, r.node): r.distance for r in topology.relax_distances(nodes, edges, 8, cut=lambda x: x).where("source = 1").collect()}
     assert all(abs(relaxed[1, j] - d[1, j]) < 1e-9 for j in range(1, 26))
+
+
+def test_factors():
+    a = np.array([[4.0, 1.0], [1.0, 3.0]])
+    assert np.allclose(kernels.inverse(a) @ a, np.eye(2), atol=1e-6)
+    low = kernels.safe_cholesky(np.array([[1.0, 1.0], [1.0, 1.0 - 1e-7]]))  # needs more than the first jitter
+    assert np.isfinite(low).all() and low[1, 1] > 0
+    rng = np.random.default_rng(0)
+    draws = np.stack([kernels.normal_by_factor(np.array([1.0, 2.0]), kernels.cholesky(a), rng) for _ in range(4000)])
+    assert np.allclose(draws.mean(0), [1, 2], atol=0.1) and np.allclose(np.cov(draws.T), a, atol=0.3)
+
+
+def test_scaled_eta(spark):
+    row = spark.createDataFrame([([1.0, 0.5, 2.0, 3.0], [0.1, 0.2, 0.3, 0.4], [0.5, 2.0])], "x array<double>, b array<double>, l array<double>")
+    assert abs(row.select(chains.scaled_eta("x", "b", "l", 2).alias("e")).first().e - (0.1 + 0.1 + 0.3 + 2.4)) < 1e-12
+
+
+def test_simulated_clusters(spark):
+    counts, truth = simulate.cluster_counts(simulate.time_index(spark, days=2), 12)
+    again, _ = simulate.cluster_counts(simulate.time_index(spark, days=2), 12)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(counts) == rows(again) and counts.count() == 12 * 96
+    assert [r.n for r in truth.groupBy("z").agg(F.count("*").alias("n")).orderBy("z").collect()] == [4, 4, 4]
+    means = {r.z: r.m for r in counts.join(truth, "edge").groupBy("z").agg(F.avg("y").alias("m")).collect()}
+    assert means[1] < means[2] < means[3]
+
+
+def test_pages_and_progress():
+    from roadloom.sources import sinks
+
+    assert sinks.progress_line("sweep", 3, 10, 4.0) == "sweep 3/10 (30 %), about 16 s left" and sinks.progress_line("sweep", 1, 10, 0) == "sweep 1/10 (10 %)"
+    page = sinks.html_page("a <b>", ['window.NETWORK = {"features":[]};', 'window.X = "</script>";'])
+    assert "a &lt;b>" in page and page.count("</script>") == 3
