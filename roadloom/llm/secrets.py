@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import attach, session
+from roadloom.llm.common import attach, cut, session
+from roadloom.operators.clean import dense_index
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -221,11 +222,21 @@ def _mixed(value: str) -> bool:
 
 
 def learn_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The `size` most frequent words (letters only, lower case) of all texts, by rank; counted over the whole corpus."""
+    """The `size` most frequent words (letters only, lower case) of all texts, by rank; counted over the whole corpus.
+
+    Counts by powers of two tell from where on words may rank, so that few are numbered, and only the ranked ones are sent.
+    """
     least, most = WORD_CHARS
     words = F.regexp_extract_all(F.lower(docs["text"]), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{least},{most}}}(?!\p{{L}})"), F.lit(0))
-    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    counts = cut(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    level, above = F.floor(F.log2("n")).cast("int"), 0
+    least = 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):  # 64 rows at most
+        least, above = r.level, above + r.words
+        if above >= size:
+            break
+    ranked = dense_index(counts.where(level >= least).withColumn("less", -F.col("n")), ["less", "w"], "place").where(F.col("place") < size)
+    return [r.w for r in sorted(ranked.select("place", "w").collect())]
 
 
 def scan(docs: DataFrame, log_guesses: float = LOG_GUESSES, words: Sequence[str] | None = None) -> DataFrame:

@@ -379,6 +379,19 @@ def test_base_spans():
     assert secrets.spans("the pwd is xK9$mQ2vL7#w")[0][0] == "guess" and secrets.spans("auth: password1") == []
 
 
+def test_base_columns_and_sizes_against_sql(spark):
+    """What SQL can say of two queries: the base counts of secrets, and sizes and totals of the mix."""
+    sf = "/root/testdata/sf0.01"
+    docs = f"'{sf}/documents.parquet'"
+    assign = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+    long = lambda pattern, group, n: f"len(list_filter(regexp_extract_all(coalesce(text, ''), $p{n}$" + pattern + f"$p{n}$, {group}), lambda x: len(x) >= {n}))"
+    want = duckdb.sql(f"select doc_id, {long(assign, 1, 6)}, {long('AKIA[A-Z0-9]+', 0, 20)}, {long('[0-9a-f]+', 0, 24)} from {docs} order by 1").fetchall()
+    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in QUERIES["op7_secrets"](spark, sf).collect())
+    assert got == want and all(sum(r[k] for r in want) for k in (1, 3))
+    want = duckdb.sql(rf"select doc_id, size, sum(size) over (partition by source)::bigint from (select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from {docs}) order by 1").fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size) for r in QUERIES["op9_mixing"](spark, sf).collect()) == want
+
+
 def test_guess_cost_is_least():
     """The dynamic program's segments cost what it says, and cheaper material is cheaper."""
     for v in ("password123", "qwerty1984", "aaaaaaaa", "P@ssw0rd", "2020-01-31x", "zq8!kd0Lm"):
