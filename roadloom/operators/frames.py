@@ -100,13 +100,20 @@ def nearest_rank(rows: DataFrame, key: str, value: str, quantiles) -> DataFrame:
     return counts.groupBy(key).agg(F.array(*(F.min(F.when(F.col("hi") > at(q), F.col(value))) for q in quantiles)).alias("breaks"))
 
 
-def sensor_links(sensors: DataFrame, key: str, group: list[str], order: str, distance, limit: float) -> DataFrame:
-    """key, next_key, dist of consecutive sensors of a group no farther apart than `limit`; `distance` takes (row, next)."""
+def sensor_links(sensors: DataFrame, key: str, group: list[str], order: str, distance, limit: float, value: str | None = None) -> DataFrame:
+    """key, next_key, dist of consecutive sensors of a group no farther apart than `limit`; `distance` takes (row, next).
+
+    With `value`, also link_value: the mean of both sensors' values, or the one that is there.
+    """
     w = Window.partitionBy(*group).orderBy(order, key)
     after = F.lead(F.struct(*sensors.columns)).over(w)
     out = sensors.withColumn("_next", after).where(F.col("_next").isNotNull())
     out = out.withColumn("dist", distance(lambda c: F.col(c), lambda c: F.col(f"_next.{c}")))
-    return out.where(F.col("dist") <= limit).select(*group, key, F.col(f"_next.{key}").alias("next_key"), "dist")
+    mean = []
+    if value:
+        a, b = F.col(value), F.col(f"_next.{value}")
+        mean = [F.coalesce((a + b) / 2, a, b).alias("link_value")]
+    return out.where(F.col("dist") <= limit).select(*group, key, F.col(f"_next.{key}").alias("next_key"), "dist", *mean)
 
 
 def peaks(rows: DataFrame, key: str, frame: str, value: str) -> DataFrame:

@@ -155,3 +155,11 @@ def metric_basis(spark, sf):
     dense, _ = tables.metric_flow("density", o.where("o_orderkey % 2 = 0"), o)
     flow, _ = tables.metric_flow("flow", o, o.where("o_orderkey % 2 <> 0"))
     return dense.select("o_orderkey", "flow_basis", "x").unionByName(flow.select("o_orderkey", "flow_basis", "x"))
+
+
+@register("""SELECT c_custkey::VARCHAR AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def missing_list(spark, sf):
+    """SK4: the plain list of stations without metadata, written and read back."""
+    path = scratch(spark, "list")
+    sinks.write_list(table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti"), "c_custkey", path)
+    return spark.read.schema("value string").text(path)

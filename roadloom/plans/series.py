@@ -108,10 +108,11 @@ def grid_thinning_topk(spark, sf):
     return R.thin(table(spark, sf, "part").join(v, "p_partkey"), "p_size", "p_retailprice", "v", "p_partkey")
 
 
-@register("""WITH n AS (SELECT s_nationkey, s_suppkey, s_acctbal, lead(s_suppkey) OVER w AS next_key, lead(s_acctbal) OVER w AS b FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey))
-SELECT s_nationkey, s_suppkey, next_key, round(b - s_acctbal, 4) AS dist FROM n WHERE next_key IS NOT NULL AND b - s_acctbal <= 850""")
+@register("""WITH n AS (SELECT s_nationkey, s_suppkey, s_acctbal, lead(s_suppkey) OVER w AS next_key, lead(s_acctbal) OVER w AS b, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END AS v, CASE WHEN lead(s_suppkey) OVER w % 3 <> 0 THEN lead(s_suppkey) OVER w END AS v2 FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey))
+SELECT s_nationkey, s_suppkey, next_key, round(b - s_acctbal, 4) AS dist, coalesce((v + v2) / 2, v, v2)::DOUBLE AS link_value FROM n WHERE next_key IS NOT NULL AND b - s_acctbal <= 850""")
 def sensor_links_lead(spark, sf):
-    out = R.sensor_links(table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), "s_suppkey", ["s_nationkey"], "s_acctbal", lambda a, b: b("s_acctbal") - a("s_acctbal"), 850.0)
+    sensors = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey").cast("double")).alias("v"))
+    out = R.sensor_links(sensors, "s_suppkey", ["s_nationkey"], "s_acctbal", lambda a, b: b("s_acctbal") - a("s_acctbal"), 850.0, "v")
     return out.withColumn("dist", F.round("dist", 4))
 
 

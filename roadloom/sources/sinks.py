@@ -15,6 +15,11 @@ def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: st
     w.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else w.format(fmt).save(path)
 
 
+def write_list(df: DataFrame, column: str, path: str) -> None:
+    """A plain list: one value a line, sorted; no line at all where there is no value."""
+    df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value"), F.col(column).alias("_at")).orderBy("_at").select("value").write.mode("overwrite").text(path)
+
+
 def summary_lines(one: DataFrame) -> DataFrame:
     """value: one `name: value` line per column of a one-row frame, in column order."""
     names = one.columns
