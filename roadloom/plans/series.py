@@ -277,12 +277,12 @@ def regression_metrics(spark, sf):
     return V.regression_metrics(rows, "l_extendedprice", "p", ["l_returnflag"]).select("l_returnflag", F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
-@register("""WITH d AS (SELECT user_id AS target, event_id % 3 AS source, value / 1000 AS l, value AS theta FROM events) SELECT target, source, round(avg(l), 6) AS mean, round(quantile_cont(l, 0.025) + 1e-9, 6) AS lower, round(quantile_cont(l, 0.5) + 1e-9, 6) AS median, round(quantile_cont(l, 0.975) + 1e-9, 6) AS upper, round(avg(abs(theta)), 5) AS abs_theta, avg(l) > 0.03 AS selected, target % 3 = source AS true_active,
+@register("""WITH d AS (SELECT user_id AS target, event_id % 3 AS source, value / 1000 AS l, value AS theta FROM events) SELECT target, source, round(avg(l) + 1e-9, 6) AS mean, round(quantile_cont(l, 0.025) + 1e-9, 6) AS lower, round(quantile_cont(l, 0.5) + 1e-9, 6) AS median, round(quantile_cont(l, 0.975) + 1e-9, 6) AS upper, round(avg(abs(theta)) + 1e-8, 5) AS abs_theta, avg(l) > 0.03 AS selected, target % 3 = source AS true_active,
 CASE WHEN avg(l) > 0.03 AND target % 3 = source THEN 'TP' WHEN avg(l) > 0.03 THEN 'FP' WHEN target % 3 = source THEN 'FN' ELSE 'TN' END AS outcome FROM d GROUP BY 1, 2""")
 def shrinkage_summary(spark, sf):
     d = table(spark, sf, "events").select(F.col("user_id").alias("target"), (F.col("event_id") % 3).alias("source"), (F.col("value") / 1000).alias("lambda"), F.col("value").alias("theta"))
     truth = d.select("target", (F.col("target") % 3).alias("source")).distinct().withColumn("true_active", F.lit(True))
-    return V.shrinkage_summary(d, truth).select("target", "source", F.round("mean", 6).alias("mean"), *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("lower", "median", "upper")), F.round("abs_theta", 5).alias("abs_theta"), "selected", "true_active", "outcome")
+    return V.shrinkage_summary(d, truth).select("target", "source", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean", "lower", "median", "upper")), F.round(F.col("abs_theta") + 1e-8, 5).alias("abs_theta"), "selected", "true_active", "outcome")
 
 
 @register("""SELECT event_type, hour(ts)::INT AS hour, dayofweek(ts) IN (0, 6) AS weekend, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(*) AS n FROM events GROUP BY 1, 2, 3""")
