@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadloom.llm import chat, exact_dedup, langid, media, mixing, neardup, pieces, secrets, token_counts, toxicity
+from roadloom.llm import chat, exact_dedup, fim, langid, media, mixing, neardup, pieces, runs, secrets, token_counts, toxicity, wrappers
 
 QUERIES = {
     "op1_chat": chat.query,
@@ -15,7 +15,11 @@ QUERIES = {
     "op8_pieces": pieces.query,
     "op9_mixing": mixing.query,
     "op10_langid": langid.query,
+    "op11_wrappers": wrappers.query,
+    "op12_fim": fim.query,
+    "op13_runs": runs.query,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op12_fim": fim.ORACLE,
 }
