@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import on_segment
+from roadloom.sources.lineage import cut
 
 
 def cell(x, y, size: float) -> Column:
@@ -77,28 +78,136 @@ def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float =
     return best.select("id", "m.way", "m.seg", "m.dist")
 
 
-def match_edges(edges: DataFrame, segments: DataFrame, size: float = 220.0, end_limit: float = 90.0, mid_limit: float = 160.0, others: bool = False) -> DataFrame:
+#: A search starts in the largest square of a point that holds at most this many segments' middles.
+FEW = 64
+#: Squares are halved this often at most, and not below a quarter of the segments' mean length.
+LEVELS = 8
+#: A way's sketch: its segments where it has so many at most, else the bounds of so many stretches.
+SKETCH = 8
+
+
+def _near_boxes(x, y, reach: float) -> Column:
+    """Whether a stretch of the sketch may be within reach."""
+    away = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
+    return F.exists("sketch", lambda b: F.hypot(away(x, b["lx"], b["hx"]), away(y, b["ly"], b["hy"])) <= reach)
+
+
+def _place(x, y, b, of=lambda b, k: b[k]) -> Column:
+    """struct(dist, along) of the point of a segment that is nearest to a spot."""
+    p = on_segment(x, y, *(of(b, k) for k in ("ax", "ay", "bx", "by")))
+    return F.struct(p["dist"].alias("dist"), (of(b, "at") + p["t"] * F.hypot(of(b, "bx") - of(b, "ax"), of(b, "by") - of(b, "ay"))).alias("along"))
+
+
+def sketches(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(short, long): segments with the sketch of their way, which is its segments where it has SKETCH at most, else boxes
+    around SKETCH stretches of it."""
+    n = segments.groupBy("way").agg(F.count("*").alias("_n"))
+    ways = segments.join(n, "way")
+    short, long = ways.where(F.col("_n") <= SKETCH).drop("_n"), ways.where(F.col("_n") > SKETCH).drop("_n")
+    whole = short.groupBy("way").agg(F.collect_list(F.struct("ax", "ay", "bx", "by", "at")).alias("sketch"))
+    place = F.floor(F.percent_rank().over(Window.partitionBy("way").orderBy("seg")) * (SKETCH - 1e-9)).alias("_k")
+    both = lambda f, c: f(F.col(f"a{c}"), F.col(f"b{c}"))
+    box = long.select("way", place, both(F.least, "x").alias("lx"), both(F.least, "y").alias("ly"), both(F.greatest, "x").alias("hx"), both(F.greatest, "y").alias("hy"))
+    box = box.groupBy("way", "_k").agg(*(F.min(c).alias(c) for c in ("lx", "ly")), *(F.max(c).alias(c) for c in ("hx", "hy")))
+    box = box.groupBy("way").agg(F.collect_list(F.struct("lx", "ly", "hx", "hy")).alias("sketch"))
+    return short.join(whole, "way"), long.join(box, "way")
+
+
+def start_levels(points: DataFrame, middles: DataFrame, size: float, deepest: int) -> DataFrame:
+    """points (id, x, y) with level: the least k at which the square of side size / 2 ** k around the point's place holds
+    at most FEW of `middles` (x, y), or `deepest`. Counts of coarser squares are sums of finer ones: a quadtree by counts."""
+    side = size / 2**deepest
+    counts = middles.groupBy(cell(F.col("x"), F.col("y"), side).alias("cell")).agg(F.count("*").alias("n"))
+    at = points.withColumn("_cell", cell(F.col("x"), F.col("y"), side)).withColumn("level", F.lit(deepest))
+    for k in range(deepest - 1, -1, -1):
+        up = F.struct(*(F.floor(F.col(f"cell.{c}") / 2).alias(c) for c in ("cx", "cy")))
+        counts = counts.select(up.alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n"))
+        at = at.withColumn("_cell", F.struct(*(F.floor(F.col(f"_cell.{c}") / 2).alias(c) for c in ("cx", "cy"))))
+        at = at.join(counts.select(F.col("cell").alias("_cell"), "n"), "_cell", "left")
+        at = at.withColumn("level", F.when((F.coalesce("n", F.lit(0)) <= FEW) & (F.col("level") == k + 1), F.lit(k)).otherwise(F.col("level"))).drop("n")
+    return at.drop("_cell")
+
+
+def match_edges(edges: DataFrame, segments: DataFrame, end_limit: float = 90.0, mid_limit: float = 160.0, others: bool = False) -> DataFrame:
     """Best way of each edge (edge, ax, ay, bx, by, length) among segments (way, seg, ax, ay, bx, by, at), `at` the chainage.
 
     With `others`, edges and ways are one set, and an edge is not matched to the way of its own number.
 
     score = max(start, end) + 0.45 mid + 18 min(length penalty, 4); the least score wins, then the least way.
+
+    Squares are searched by increasing distance: an edge starts with a reach that fits the density at its start (an
+    adaptive quadtree over segments) and doubles it until its best score is within the reach, as no way farther from an
+    end, or whose score is less, can then be missing. In a round, an edge meets the segments in the squares around its
+    start. A way of few segments travels with them, so its score is known there and only each edge's best is shuffled. A
+    longer one stays a candidate if boxes around its stretches are near enough to the edge's other two spots, and its
+    distances come from its segments in the spots' squares.
     """
-    spot = lambda name, x, y: F.struct(F.lit(name).alias("spot"), x.alias("x"), y.alias("y"))
     c = {k: F.col(k) for k in ("ax", "ay", "bx", "by")}
-    q = edges.select("edge", "length", F.explode(F.array(spot("start", c["ax"], c["ay"]), spot("mid", (c["ax"] + c["bx"]) / 2, (c["ay"] + c["by"]) / 2), spot("end", c["bx"], c["by"]))).alias("s"))
-    q = q.select("edge", "length", "s.*").withColumn("cell", F.explode(around(F.col("x"), F.col("y"), size, mid_limit)))
-    s = segments.withColumn("cell", F.explode(covered(*c.values(), size)))
-    hit = q.join(s, "cell")
-    hit = (hit.where("edge <> way") if others else hit).withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by"))
-    along = F.col("at") + F.col("p.t") * F.hypot(c["bx"] - c["ax"], c["by"] - c["ay"])
-    near = hit.groupBy("edge", "length", "way", "spot").agg(F.min(F.struct(F.col("p.dist").alias("dist"), along.alias("along"))).alias("m"))
-    each = near.groupBy("edge", "length", "way").agg(*(F.max(F.when(F.col("spot") == k, F.col("m"))).alias(k) for k in ("start", "mid", "end")))
-    each = each.where((F.col("start.dist") <= end_limit) & (F.col("end.dist") <= end_limit) & (F.col("mid.dist") <= mid_limit))
-    penalty = F.abs(F.abs(F.col("end.along") - F.col("start.along")) - F.col("length")) / F.greatest("length", F.lit(1.0))
-    score = F.greatest("start.dist", "end.dist") + 0.45 * F.col("mid.dist") + 18 * F.least(penalty, F.lit(4.0))
-    best = each.groupBy("edge").agg(F.min(F.struct(score.alias("score"), "way", F.col("start.along").alias("from_at"), F.col("end.along").alias("to_at"))).alias("m"))
-    return best.select("edge", "m.*")
+    middle = segments.select(((c["ax"] + c["bx"]) / 2).alias("x"), ((c["ay"] + c["by"]) / 2).alias("y"), F.hypot(c["bx"] - c["ax"], c["by"] - c["ay"]).alias("l"))
+    mean = middle.agg(F.avg("l")).first()[0] or 0.0
+    deepest = 0
+    while deepest < LEVELS and 2 * end_limit / 2 ** (deepest + 1) >= mean / 2:
+        deepest += 1
+    left = cut(start_levels(edges.withColumns({"x": c["ax"], "y": c["ay"]}), middle, 2 * end_limit, deepest).drop("x", "y"))
+    ways = tuple(cut(w) for w in sketches(segments))
+    ways = tuple(w for w in ways if not w.isEmpty()) or ways[:1]
+    found = []
+    for k in range(deepest, -1, -1):
+        now = left.where(F.col("level") >= k)
+        if now.isEmpty():
+            continue
+        last, reach = k == 0, end_limit / 2**k
+        best = cut(_within(now.drop("level"), ways, reach, mid_limit if last else min(mid_limit, reach / 0.45), others))
+        done = best if last else best.where(F.col("score") <= reach)
+        found.append(done)
+        if last:
+            break
+        left = left.join(done.select("edge"), "edge", "left_anti")
+        left = cut(left) if k % 2 else left
+    out = found[0] if found else _within(left.drop("level"), ways, end_limit, mid_limit, others)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _within(edges: DataFrame, ways: tuple[DataFrame, ...], reach: float, mid_reach: float, others: bool) -> DataFrame:
+    """edge, score, way, from_at, to_at: the best way that has both ends of an edge within `reach` and the middle within `mid_reach`."""
+    size = 2 * reach
+    c = {k: F.col(k) for k in ("ax", "ay", "bx", "by")}
+    spots = {"start": (c["ax"], c["ay"], reach), "mid": ((c["ax"] + c["bx"]) / 2, (c["ay"] + c["by"]) / 2, mid_reach), "end": (c["bx"], c["by"], reach)}
+    at = lambda name: (F.col(f"{name}_x"), F.col(f"{name}_y"))
+    q = edges.select("edge", "length", *(v.alias(f"{name}_{a}") for name, (x, y, _) in spots.items() for a, v in (("x", x), ("y", y))))
+    probe = q.withColumn("cell", F.explode(around(*at("start"), size, reach)))
+    out = None
+    for w in ways:
+        s = w.select("way", *c, "at", "sketch", F.explode(covered(*c.values(), size)).alias("cell"))
+        near = probe.join(s, "cell")
+        near = near.where("edge <> way") if others else near
+        near = near.where(on_segment(*at("start"), *c)["dist"] <= reach)
+        if "at" in w.schema["sketch"].dataType.elementType.names:
+            each = near.select("edge", "length", "way", *(_least(name, at(name)) for name in spots))
+        else:
+            for name in ("mid", "end"):
+                near = near.where(_near_boxes(*at(name), spots[name][2]))
+            ask = near.select("way", *q.columns).distinct()
+            where = F.array(*(F.struct(F.lit(name).alias("spot"), *(v.alias(k) for k, v in zip("xy", at(name), strict=True)), F.lit(float(r)).alias("within")) for name, (_, _, r) in spots.items()))
+            ask = ask.select("edge", "length", "way", F.explode(where).alias("p")).select("edge", "length", "way", "p.*")
+            ask = ask.withColumn("cell", F.explode(around(F.col("x"), F.col("y"), size, F.col("within"))))
+            hit = ask.join(s.drop("sketch"), ["way", "cell"]).withColumn("p", _place(F.col("x"), F.col("y"), None, lambda _, k: F.col(k)))
+            spot = lambda name: F.min(F.when(F.col("spot") == name, F.col("p"))).alias(name)
+            each = hit.where(F.col("p.dist") <= F.col("within")).groupBy("edge", "length", "way").agg(*map(spot, spots))
+        for name, (_, _, r) in spots.items():
+            each = each.where(F.col(f"{name}.dist") <= r)
+        penalty = F.abs(F.abs(F.col("end.along") - F.col("start.along")) - F.col("length")) / F.greatest("length", F.lit(1.0))
+        score = F.greatest("start.dist", "end.dist") + 0.45 * F.col("mid.dist") + 18 * F.least(penalty, F.lit(4.0))
+        scored = each.select("edge", F.struct(score.alias("score"), "way", F.col("start.along").alias("from_at"), F.col("end.along").alias("to_at")).alias("m"))
+        out = scored if out is None else out.unionByName(scored)
+    return out.groupBy("edge").agg(F.min("m").alias("m")).select("edge", "m.*")
+
+
+def _least(name: str, at: tuple[Column, Column]) -> Column:
+    """The nearest place of a spot on the segments of a sketch."""
+    return F.array_min(F.transform("sketch", lambda b: _place(*at, b))).alias(name)
 
 
 def chainage(points: DataFrame) -> DataFrame:

@@ -1,19 +1,12 @@
-"""Networks: grids, neighbours, pair tables, and shortest paths over a graph of checked size."""
+"""Networks: grids, neighbours, pair tables, and shortest paths by rounds of joins."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.sources.lineage import cut
 
-#: A graph of more edges than this is not sent to the executors; distances are then relaxed by joins, with equal results.
-MAX_BROADCAST_EDGES = 5_000_000
-
 
 def grid(spark: SparkSession, rows: int, cols: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, x, y), and edges (edge, from, to) in both directions between neighbours of a grid, ids from 1."""
@@ -77,119 +70,57 @@ def with_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(truth.select("target", "source", "true_active"), ["target", "source"], "left").withColumn("true_active", F.coalesce("true_active", F.lit(False)))
 
 
-class Graph:
-    """Adjacency of weighted edges, on the driver, for Dijkstra tasks; callers check its size."""
-
-    def __init__(self, edges: DataFrame, length: str = "length", undirected: bool = False):
-        self.adjacent: dict[int, list[tuple[int, float]]] = {}
-        for r in edges.select("from", "to", F.coalesce(length, F.lit(1.0)).alias("l")).collect():
-            self.adjacent.setdefault(r["from"], []).append((r["to"], float(r["l"])))
-            if undirected:
-                self.adjacent.setdefault(r["to"], []).append((r["from"], float(r["l"])))
-        for v in self.adjacent.values():
-            v.sort()
-
-    def reached(self, source: int, radius: float | None = None) -> Iterator[tuple[int, float, int]]:
-        """(node, distance, predecessor) in order of distance, then node."""
-        done, queue = set(), [(0.0, source, source)]
-        while queue:
-            d, u, p = heapq.heappop(queue)
-            if u in done or (radius is not None and d > radius):
-                continue
-            done.add(u)
-            yield u, d, p
-            for v, w in self.adjacent.get(u, ()):
-                if v not in done:
-                    heapq.heappush(queue, (d + w, v, u))
-
-    def nearest(self, source: int, k: int = 10, radius: float | None = None) -> list[tuple[int, float]]:
-        """The k nearest other nodes; with a radius, all within it."""
-        out = []
-        for u, d, _ in self.reached(source, radius):
-            if u != source:
-                out.append((u, d))
-                if radius is None and len(out) >= k:
-                    break
-        return out
-
-    def path(self, source: int, target: int, budget: float = float("inf")) -> tuple[list[int], float]:
-        """Nodes and cost of a shortest path within a budget; ([], inf) where there is none."""
-        before = {}
-        for u, d, p in self.reached(source, budget):
-            before[u] = p
-            if u == target:
-                out = [u]
-                while out[-1] != source:
-                    out.append(before[out[-1]])
-                return out[::-1], d
-        return [], float("inf")
-
-
 def k_nearest(nodes: DataFrame, edges: DataFrame, k: int = 10, radius: float | None = None) -> DataFrame:
     """node, neighbor, distance, rank: the k nearest other nodes, or all within a radius, by distance, then node."""
-    if edges.count() > MAX_BROADCAST_EDGES:
-        best = _settled(nodes.select(F.col("node").cast("long").alias("source")).distinct(), edges, k if radius is None else None, radius)
-        best = best.where("source <> node").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance", "node")))
-        best = best.where(F.col("rank") <= k) if radius is None else best
-        return best.select(F.col("source").alias("node"), F.col("node").alias("neighbor"), "distance", "rank")
-    graph = nodes.sparkSession.sparkContext.broadcast(Graph(edges))
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(int(s), u, d, i) for s in pdf["node"] for i, (u, d) in enumerate(graph.value.nearest(int(s), k, radius), 1)]
-            yield pd.DataFrame(rows, columns=["node", "neighbor", "distance", "rank"])
-
-    return nodes.select("node").mapInPandas(run, "node long, neighbor long, distance double, rank int")
-
-
-def routes(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """asked (source, target, budget) with path and cost; an unreachable target has an empty path and a null cost.
-
-    Of equally short ways, each node's least predecessor is taken.
-    """
-    if edges.count() > MAX_BROADCAST_EDGES:
-        return _routes_by_joins(asked, edges)
-    graph = asked.sparkSession.sparkContext.broadcast(Graph(edges))
-
-    def run(batches):
-        for pdf in batches:
-            found = [graph.value.path(int(s), int(t), float(b)) for s, t, b in zip(pdf["source"], pdf["target"], pdf["budget"], strict=True)]
-            yield pdf.assign(path=[p for p, _ in found], cost=[c if p else None for p, c in found])[["source", "target", "budget", "path", "cost"]]
-
-    return asked.select("source", "target", "budget").mapInPandas(run, "source long, target long, budget double, path array<long>, cost double")
+    best = _settled(nodes.select(F.col("node").cast("long").alias("source")).distinct(), edges, k if radius is None else None, radius)
+    best = best.where("source <> node").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance", "node")))
+    best = best.where(F.col("rank") <= k) if radius is None else best
+    return best.select(F.col("source").alias("node"), F.col("node").alias("neighbor"), "distance", "rank")
 
 
 def _settled(sources: DataFrame, edges: DataFrame, k: int | None = None, radius: float | None = None, budget: bool = False) -> DataFrame:
-    """source, node, distance of all that is reached from each source, by joins: rounds of relaxing what the last one improved.
+    """source, node, distance, level of all that is reached from each source, by joins: rounds of relaxing what the last one improved.
 
-    A distance beyond the radius, beyond the source's budget, or beyond the k-th of those found (which only shrink) is
-    dropped where it arises, as nothing nearer can come of it.
+    Nodes are ordered by distance, then level: how many edges of no length end a way at least. A distance beyond the
+    radius, beyond the source's budget, or beyond the k-th of those found (which only shrink) is dropped where it arises,
+    as nothing nearer can come of it.
     """
     keep = ["source", *(["budget"] if budget else [])]
-    step = edges.select(F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.coalesce("length", F.lit(1.0)).cast("double").alias("l"))
-    best = cut(sources.select(*keep, F.col("source").alias("node"), F.lit(0.0).alias("distance")).withColumn("new", F.lit(True)))
+    step = _steps(edges)
+    start = sources.select(*keep, F.col("source").alias("node"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("level")).alias("at"))
+    best = cut(start.withColumn("new", F.lit(True)))
     while not best.where("new").isEmpty():
-        more = best.where("new").join(step, F.col("node") == F.col("from")).select(*keep, F.col("to").alias("node"), (F.col("distance") + F.col("l")).alias("distance"))
-        more = more.where(F.col("distance") <= F.lit(radius)) if radius is not None else more
-        more = more.where(F.col("distance") <= F.col("budget")) if budget else more
-        both = best.select(*keep, "node", "distance", F.lit(1).alias("old")).unionByName(more.withColumn("old", F.lit(0)))
-        both = both.groupBy(*keep, "node").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old") == 1, F.col("distance"))).alias("was"))
-        both = both.withColumn("new", F.col("was").isNull() | (F.col("distance") < F.col("was"))).drop("was")
+        at = F.struct((F.col("at.distance") + F.col("l")).alias("distance"), F.when(F.col("l") == 0, F.col("at.level") + 1).otherwise(0).alias("level"))
+        more = best.where("new").join(step, F.col("node") == F.col("from")).select(*keep, F.col("to").alias("node"), at.alias("at"))
+        more = more.where(F.col("at.distance") <= F.lit(radius)) if radius is not None else more
+        more = more.where(F.col("at.distance") <= F.col("budget")) if budget else more
+        both = best.select(*keep, "node", "at", F.lit(True).alias("old")).unionByName(more.withColumn("old", F.lit(False)))
+        both = both.groupBy(*keep, "node").agg(F.min("at").alias("at"), F.min(F.when(F.col("old"), F.col("at"))).alias("was"))
+        both = both.withColumn("new", F.col("was").isNull() | (F.col("at") < F.col("was"))).drop("was")
         if k is not None:  # ranks are of one source's reached nodes, k and those that are as near
-            nth = Window.partitionBy(*keep).orderBy("distance")
+            nth = Window.partitionBy(*keep).orderBy("at.distance")
             both = both.withColumn("_nth", F.rank().over(nth)).where(F.col("_nth") <= k + 1).drop("_nth")
         best = cut(both)
-    return best.drop("new")
+    return best.select(*keep, "node", "at.*")
+
 
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.coalesce("length", F.lit(1.0)).cast("double").alias("l"))
 
-def _routes_by_joins(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """`routes` for graphs beyond a broadcast: distances within each source's largest budget, then predecessors, walked back."""
+
+def routes(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """asked (source, target, budget) with path and cost; an unreachable target has an empty path and a null cost.
+
+    Nodes are settled by distance, then by how many edges of no length lead to them there, then by id, and each keeps
+    the predecessor that was settled first, as label-setting searches do. Distances are found within each source's
+    largest budget, predecessors by a join, and all paths are walked back at once, an edge a round.
+    """
     ask = cut(asked.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.col("budget").cast("double").alias("budget")))
-    reach = cut(_settled(ask.groupBy("source").agg(F.max("budget").alias("budget")), edges, budget=True).select("source", "node", "distance"))
-    step = edges.select(F.col("from").cast("long").alias("p"), F.col("to").cast("long").alias("node"), F.coalesce("length", F.lit(1.0)).cast("double").alias("l"))
-    before = reach.select("source", F.col("node").alias("p"), F.col("distance").alias("pd"))
-    via = reach.where("source <> node").join(step, "node").join(before, ["source", "p"]).where(F.col("pd") + F.col("l") == F.col("distance"))
-    via = cut(via.groupBy("source", "node").agg(F.min(F.struct("pd", "p")).alias("m")).select("source", "node", F.col("m.p").alias("p")))
+    reach = cut(_settled(ask.groupBy("source").agg(F.max("budget").alias("budget")), edges, budget=True).select("source", "node", "distance", "level"))
+    step = _steps(edges).withColumnsRenamed({"from": "p", "to": "node"})
+    before = reach.select("source", F.col("node").alias("p"), F.col("distance").alias("pd"), F.col("level").alias("pl"))
+    via = reach.where("source <> node").join(step, "node").join(before, ["source", "p"]).where((F.col("pd") + F.col("l") == F.col("distance")) & ((F.col("l") > 0) | (F.col("pl") < F.col("level"))))
+    via = cut(via.groupBy("source", "node").agg(F.min(F.struct("pd", "pl", "p")).alias("m")).select("source", "node", F.col("m.p").alias("p")))
     found = ask.distinct().join(reach, (ask["source"] == reach["source"]) & (ask["target"] == reach["node"])).where(F.col("distance") <= F.col("budget"))
     walk = cut(found.select(ask["source"], "target", "budget", F.col("distance").alias("cost"), F.array("target").alias("path"), F.col("target").alias("at")))
     while not walk.where("at <> source").isEmpty():

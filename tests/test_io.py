@@ -1,5 +1,6 @@
 """Readers, writers, spatial matching and streaming."""
 
+import heapq
 import json
 import random
 
@@ -62,20 +63,63 @@ def test_cells_of_a_segment(spark):
         assert at <= got[k] and len(got[k]) <= len(at) + 4
 
 
-def test_routes_by_joins(spark, monkeypatch):
-    """Beyond the bound of a broadcast, neighbours, radii and paths are the same."""
-    r = random.Random(11)
-    edges = spark.createDataFrame([(a, b, float(r.randint(1, 9))) for a in range(30) for b in r.sample(range(30), 3) if a != b] + [(0, 1, None)], "from long, to long, length double")
-    nodes = spark.range(0, 30, 3).toDF("node")
-    asked = spark.createDataFrame([(a, (a * 7 + 3) % 32, b) for a in range(0, 30, 2) for b in (6.0, 40.0)], "source long, target long, budget double")
+def settled(edges, source):
+    """Label-setting search: node -> (distance, level, predecessor), the predecessor settled first."""
+    near, queue, done, n = {}, [(0.0, 0, source, 0, source)], {}, 0
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, 1.0 if w is None else w))
+    while queue:
+        d, level, u, _, p = heapq.heappop(queue)
+        if u not in done:
+            done[u] = d, level, p
+            for v, w in near.get(u, ()):
+                n += 1
+                heapq.heappush(queue, (d + w, level + 1 if w == 0 else 0, v, n, u))
+    return done
+
+
+def route(edges, source, target, budget):
+    done = settled(edges, source)
+    if target not in done or done[target][0] > budget:
+        return (), None
+    path = [target]
+    while path[-1] != source:
+        path.append(done[path[-1]][2])
+    return tuple(path[::-1]), done[target][0]
+
+
+def check_routes(spark, edges, asked):
+    e = spark.createDataFrame(edges, "from long, to long, length double")
+    got = {(x.source, x.target, x.budget): (tuple(x.path), x.cost) for x in topology.routes(spark.createDataFrame(asked, "source long, target long, budget double"), e).collect()}
+    assert got == {a: route(edges, *a) for a in asked}
+    return got
 
-    def found():
-        near = [sorted(map(tuple, topology.k_nearest(nodes, edges, 4, x).collect())) for x in (None, 9.0)]
-        return near, sorted(((x.source, x.target, x.budget, tuple(x.path), x.cost) for x in topology.routes(asked, edges).collect()), key=str)
 
-    want = found()
-    monkeypatch.setattr(topology, "MAX_BROADCAST_EDGES", 10)
-    assert found() == want
+def test_routes_against_a_search(spark):
+    """Ties, edges of no length (in circles too) and missing lengths on random graphs."""
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = [(a, b, float(r.choice([0, 0, 1, 2, 3]) if seed else r.randint(1, 9))) for a in range(25) for b in r.sample(range(25), 3) if a != b] + [(0, 1, None)]
+        check_routes(spark, edges, [(a, (a * 7 + 3) % 27, b) for a in range(0, 25, 3) for b in (3.0, 40.0)])
+
+
+def test_routes_keep_the_predecessor_settled_first(spark):
+    got = check_routes(spark, [(1, 9, 1.0), (1, 3, 2.0), (9, 20, 2.0), (3, 20, 1.0)], [(1, 20, 9.0)])
+    assert got[(1, 20, 9.0)] == ((1, 9, 20), 3.0)
+    got = check_routes(spark, [(5, 2, 0.0), (2, 3, 0.0), (3, 2, 0.0)], [(5, 3, 1.0), (5, 5, 0.0)])
+    assert got[(5, 3, 1.0)] == ((5, 2, 3), 0.0)
+
+
+def test_nearest_nodes_against_a_search(spark):
+    r = random.Random(11)
+    edges = [(a, b, float(r.randint(0, 9))) for a in range(30) for b in r.sample(range(30), 3) if a != b]
+    e, nodes = spark.createDataFrame(edges, "from long, to long, length double"), spark.range(0, 30, 3).toDF("node")
+    for radius in (None, 9.0):
+        want = set()
+        for s in range(0, 30, 3):
+            order = sorted((d, u) for u, (d, _, _) in settled(edges, s).items() if u != s and (radius is None or d <= radius))
+            want |= {(s, u, d, n + 1) for n, (d, u) in enumerate(order if radius else order[:4])}
+        assert {tuple(x) for x in topology.k_nearest(nodes, e, 4, radius).collect()} == want
 
 
 def test_run_names(spark):

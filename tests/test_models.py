@@ -135,9 +135,10 @@ def test_paths_against_floyd_warshall(spark):
     for r in got:
         assert abs(r.distance - d[r.node, r.neighbor]) < 1e-9
         assert r.distance == sorted(d[r.node, [j for j in range(1, 26) if j != r.node]])[r.rank - 1]
-    graph = topology.Graph(edges)
-    path, cost = graph.path(1, 25)
-    assert cost == d[1, 25] and path[0] == 1 and path[-1] == 25 and graph.path(1, 1) == ([1], 0) and graph.path(1, 25, 0.5) == ([], big)
+    asked = spark.createDataFrame([(1, 25, 1e9), (1, 1, 1.0), (1, 25, 0.5)], "source long, target long, budget double")
+    got = {(r.target, r.budget): (list(r.path), r.cost) for r in topology.routes(asked, edges).collect()}
+    path, cost = got[(25, 1e9)]
+    assert cost == d[1, 25] and path[0] == 1 and path[-1] == 25 and got[(1, 1.0)] == ([1], 0) and got[(25, 0.5)] == ([], None)
     relaxed = {(r.source, r.node): r.distance for r in topology.relax_distances(nodes, edges, 8, cut=lambda x: x).where("source = 1").collect()}
     assert all(abs(relaxed[1, j] - d[1, j]) < 1e-9 for j in range(1, 26))
 
