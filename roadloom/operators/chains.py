@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.scalars import dot, lag_input, season
 from roadloom.operators.evaluate import kept
 from roadloom.operators.kernels import cluster_chain, edge_chain
+from roadloom.operators.quantiles import quantiles
 
 
 def seed_of(*parts: int) -> int:
@@ -150,12 +151,12 @@ def forecast(fits: DataFrame, pairs: DataFrame, last: DataFrame, horizon: int, t
 
 
 def forecast_bands(draws: DataFrame) -> DataFrame:
-    q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
-    return draws.groupBy("h", "edge").agg(F.avg("rate").alias("mean"), q.alias("q")).select("h", "edge", "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    means = draws.groupBy("h", "edge").agg(F.avg("rate").alias("mean"))
+    return means.join(quantiles(draws, ["h", "edge"], "rate", (0.025, 0.975)), ["h", "edge"]).select("h", "edge", "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def forecast_total(draws: DataFrame) -> DataFrame:
     """h, mean, sums of the edges' bounds, and the joint interval from each draw's own total."""
     sums = forecast_bands(draws).groupBy("h").agg(F.sum("mean").alias("mean"), F.sum("lower").alias("sum_lower"), F.sum("upper").alias("sum_upper"))
-    joint = draws.groupBy("draw", "h").agg(F.sum("rate").alias("r")).groupBy("h").agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    joint = quantiles(draws.groupBy("draw", "h").agg(F.sum("rate").alias("r")), ["h"], "r", (0.025, 0.975))
     return sums.join(joint, "h").select("h", "mean", "sum_lower", "sum_upper", F.col("q")[0].alias("joint_lower"), F.col("q")[1].alias("joint_upper"))

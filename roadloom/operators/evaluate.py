@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import poisson_logpmf
+from roadloom.operators.quantiles import quantiles
+from roadloom.operators.scans import BLOCK_ROWS, ONE_TASK_ROWS, Scan, leads
 
 
 def confusion(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -92,9 +94,13 @@ def kept(draws: DataFrame, burn: int, thin: int = 1, it: str = "iter") -> DataFr
 
 
 def draw_summary(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.025, 0.5, 0.975))))
-    out = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("_q"))
-    return out.select(*keys, "mean", "sd", *(F.col("_q")[i].alias(n) for i, n in enumerate(("lower", "median", "upper"))))
+    """mean, sd, and lower, median, upper: the quantiles 0.025, 0.5 and 0.975 of each group's finite values."""
+    found = quantiles(draws, keys, value, (0.025, 0.5, 0.975)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("q").alias("_q"))
+    out = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return out.join(found, same, "left").select(*keys, "mean", "sd", *(F.col("_q")[i].alias(n) for i, n in enumerate(("lower", "median", "upper"))))
 
 
 def fit_scores(rows: DataFrame, t: str, y: str, rate: str, truth: str | None = None) -> DataFrame:
@@ -123,16 +129,18 @@ def lag_correlation(series: DataFrame, pairs: DataFrame) -> DataFrame:
     return sums.select("target", "source", "n", r.alias("correlation"))
 
 
-def chain_diagnostics(draws: DataFrame, name: str, it: str, value: str, lags=(1, 10, 30)) -> DataFrame:
+def chain_diagnostics(draws: DataFrame, name: str, it: str, value: str, lags=(1, 10, 30), one_task: int = ONE_TASK_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
     """n, mean, sd, autocorrelations, ess (by initial positive pairs of the listed lags' geometric decay) and mcse.
 
-    Chains of fewer than ten finite draws have nulls. All lags are read from one window over the chain's order.
+    Chains of fewer than ten finite draws have nulls. Draws are numbered by a segmented scan and lags are read inside
+    blocks of a chain, so a long chain spans many tasks; sums of lagged products are taken about the chain's mean.
     """
     rows = draws.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    order = Window.partitionBy(name).orderBy(it)
-    rows = rows.withColumn("_m", F.avg(value).over(Window.partitionBy(name))).withColumn("_d", F.col(value) - F.col("_m"))
-    rows = rows.withColumns({f"_c{lag}": F.col("_d") * F.lead("_d", lag).over(order) for lag in lags})
-    out = rows.groupBy(name).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.var_pop(value).alias("_v"), *(F.sum(f"_c{lag}").alias(f"_c{lag}") for lag in lags))
+    rows = Scan(rows.select(name, it, value), [name], [it], one_task).number("_i").done()
+    mean = rows.groupBy(name).agg(F.avg(value).alias("_m"))
+    rows = rows.join(mean, name).withColumn("_d", F.col(value) - F.col("_m"))
+    rows = leads(rows, [name], "_i", {f"_n{lag}": (F.col("_d"), lag) for lag in lags}, block)
+    out = rows.groupBy(name).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.var_pop(value).alias("_v"), *(F.sum(F.col("_d") * F.col(f"_n{lag}")).alias(f"_c{lag}") for lag in lags))
     out = out.withColumns({f"acf_{lag}": F.try_divide(f"_c{lag}", F.col("n") * F.col("_v")) for lag in lags})
     r = F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.coalesce(f"acf_{lags[0]}", F.lit(0.0))))
     out = out.withColumn("ess", F.col("n") * (1 - r) / (1 + r)).withColumn("mcse", F.try_divide("sd", F.sqrt("ess")))
@@ -168,8 +176,8 @@ def total_flow(counts: DataFrame, t: str, y: str, rate: str | None = None) -> Da
 def split_profile(counts: DataFrame, t: str, y: str, train: int, steps_day: int) -> DataFrame:
     """split, hour, mean, p10, p90 of counts before and after the last training step."""
     rows = counts.withColumn("split", F.when(F.col(t) <= train, "train").otherwise("test")).withColumn("hour", F.floor(F.pmod(F.col(t) - 1, F.lit(steps_day)) * 24 / steps_day).cast("int"))
-    q = F.percentile(y, F.array(F.lit(0.1), F.lit(0.9)))
-    return rows.groupBy("split", "hour").agg(F.avg(y).alias("mean"), q.alias("q")).select("split", "hour", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
+    means = rows.groupBy("split", "hour").agg(F.avg(y).alias("mean"))
+    return means.join(quantiles(rows, ["split", "hour"], y, (0.1, 0.9)), ["split", "hour"]).select("split", "hour", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
 
 
 def forecast_error(bands: DataFrame, truth: DataFrame) -> DataFrame:

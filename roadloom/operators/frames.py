@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.scalars import congestion
 from roadloom.operators.quantiles import quantiles
+from roadloom.operators.scans import ONE_TASK_ROWS, Scan
 
 
 def resample(rows: DataFrame, key: str, ts: str, value: str, minutes: int = 15) -> DataFrame:
@@ -16,12 +18,10 @@ def resample(rows: DataFrame, key: str, ts: str, value: str, minutes: int = 15)
     return span.select(key, F.explode(F.sequence("a", "b")).alias("slot")).join(means, [key, "slot"], "left")
 
 
-def interpolate(frames: DataFrame, key: str, slot: str = "slot", value: str = "value") -> DataFrame:
+def interpolate(frames: DataFrame, key: str, slot: str = "slot", value: str = "value", one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """Linear over gaps; before the first value it, after the last value that; 0 where a key has none."""
-    w = Window.partitionBy(key).orderBy(slot)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(slot).alias("s"), F.col(value).alias("v")))
-    out = frames.withColumn("_p", F.last(at, ignorenulls=True).over(back)).withColumn("_n", F.first(at, ignorenulls=True).over(ahead))
+    out = Scan(frames, [key], [slot], one_task).last("_p", at).first("_n", at).done()
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * F.try_divide(F.col(slot) - F.col("_p.s"), F.col("_n.s") - F.col("_p.s"))
     return out.withColumn(value, F.coalesce(F.col(value), line, F.col("_p.v"), F.col("_n.v"), F.lit(0.0))).drop("_p", "_n")
 
@@ -38,17 +38,26 @@ def frame_stats(rows: DataFrame, frame: str, value: str) -> DataFrame:
     return out.join(quantiles(rows, [frame], value, (0.95,)).select(frame, F.col("q")[0].alias("p95")), frame, "left")
 
 
-def congestion_runs(rows: DataFrame, key: str, time: str, value: str, threshold: float) -> DataFrame:
+def congestion_frames(rows: DataFrame, key: str, frame: str, speed: str, volume: str) -> DataFrame:
+    """key, frame, congestion: the slowdown against a key's free-flow speed (0.9 of its speeds but 0), weighted by volume
+    against 0.95 of all volumes."""
+    free = quantiles(rows.where(F.col(speed) != 0), [key], speed, (0.9,)).select(F.col(key).alias("_k"), F.col("q")[0].alias("_free"))
+    top = quantiles(rows, [], volume, (0.95,)).select(F.col("q")[0].alias("_top"))  # one row
+    out = rows.join(free, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_free", F.coalesce("_free", F.lit(0.0))).crossJoin(F.broadcast(top))
+    return out.select(key, frame, congestion(speed, "_free", volume, "_top").alias("congestion"))
+
+
+def congestion_runs(rows: DataFrame, key: str, time: str, value: str, threshold: float, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """key, time, streak of congested rows: how many bins in a row, counting only bins that any row has.
 
-    Bins are ranked on their distinct values, which is one row a bin; runs are gaps between that rank and a key's own.
+    Bins are ranked on their distinct values, which is one row a bin; a run starts where the bin before is missing, and a
+    streak is a bin's distance from its run's start.
     """
-    bins = rows.select(time).distinct()
-    ranked = bins.withColumn("_rank", F.row_number().over(Window.orderBy(time)))
-    hot = rows.where(F.col(value) >= threshold).join(ranked, time)
-    own = Window.partitionBy(key).orderBy("_rank")
-    hot = hot.withColumn("_run", F.col("_rank") - F.row_number().over(own))
-    return hot.withColumn("streak", F.row_number().over(Window.partitionBy(key, "_run").orderBy("_rank"))).select(key, time, "streak")
+    ranked = Scan(rows.select(time).distinct(), [], [time], one_task).number("_rank").done()
+    hot = rows.where(F.col(value) >= threshold).join(ranked, time).select(key, time, "_rank")
+    scan = Scan(hot, [key], ["_rank"], one_task).lag("_before", F.col("_rank"))
+    start = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("_rank") - 1), F.col("_rank"))
+    return scan.last("_start", start).done().select(key, time, (F.col("_rank") - F.col("_start") + 1).alias("streak"))
 
 
 def deltas(rows: DataFrame, key: str, time: str, value: str, least: float = 1e-4, digits: int = 4) -> DataFrame:
@@ -100,14 +109,12 @@ def nearest_rank(rows: DataFrame, key: str, value: str, quantiles) -> DataFrame:
     return counts.groupBy(key).agg(F.array(*(F.min(F.when(F.col("hi") > at(q), F.col(value))) for q in quantiles)).alias("breaks"))
 
 
-def sensor_links(sensors: DataFrame, key: str, group: list[str], order: str, distance, limit: float, value: str | None = None) -> DataFrame:
+def sensor_links(sensors: DataFrame, key: str, group: list[str], order: str, distance, limit: float, value: str | None = None, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """key, next_key, dist of consecutive sensors of a group no farther apart than `limit`; `distance` takes (row, next).
 
     With `value`, also link_value: the mean of both sensors' values, or the one that is there.
     """
-    w = Window.partitionBy(*group).orderBy(order, key)
-    after = F.lead(F.struct(*sensors.columns)).over(w)
-    out = sensors.withColumn("_next", after).where(F.col("_next").isNotNull())
+    out = Scan(sensors, group, [order, key], one_task).lead("_next", F.struct(*sensors.columns)).done().where(F.col("_next").isNotNull())
     out = out.withColumn("dist", distance(lambda c: F.col(c), lambda c: F.col(f"_next.{c}")))
     mean = []
     if value:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import on_segment
+from roadloom.operators.scans import ONE_TASK_ROWS, Scan
 from roadloom.sources.lineage import cut
 
 
@@ -210,11 +211,10 @@ def _least(name: str, at: tuple[Column, Column]) -> Column:
     return F.array_min(F.transform("sketch", lambda b: _place(*at, b))).alias(name)
 
 
-def chainage(points: DataFrame) -> DataFrame:
+def chainage(points: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """Adds `at`, the length along each way up to a point; points are way, pos, x, y."""
-    w = Window.partitionBy("way").orderBy("pos")
-    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
-    return points.withColumn("_step", step).withColumn("at", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    scan = Scan(points, ["way"], ["pos"], one_task).lag("_last", F.struct("x", "y"))
+    return scan.sum("at", F.coalesce(F.hypot(F.col("x") - F.col("_last.x"), F.col("y") - F.col("_last.y")), F.lit(0.0))).done().drop("_last")
 
 
 def subline(points: str, start: Column, end: Column) -> Column:

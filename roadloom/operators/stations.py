@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import safe_divide
+from roadloom.operators.quantiles import quantiles
 
 
 def weighted(value: str, weight: str, policy: str = "strict") -> Column:
@@ -101,8 +102,9 @@ def anomalies(files: DataFrame) -> DataFrame:
 
 def edge_statistics(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, exact quantiles (linear interpolation), max and count of each edge."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    out = rows.groupBy(key).agg(F.avg(value).alias("mean"), q.alias("_q"), F.max(value).alias("max"), F.count("*").alias("n"))
+    found = quantiles(rows, [key], value, (0.5, 0.9, 0.95, 0.99)).select(F.col(key).alias("_k"), F.col("q").alias("_q"))
+    out = rows.groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.count("*").alias("n"))
+    out = out.join(found, F.col(key).eqNullSafe(F.col("_k")), "left")
     return out.select(key, "mean", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))), "max", "n")
 
 

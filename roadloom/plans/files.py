@@ -127,11 +127,12 @@ def json_payload(spark, sf):
     return spark.read.text(a).toDF("json").crossJoin(spark.read.text(b).toDF("js"))  # one row each
 
 
-@register("""WITH s AS (SELECT l_suppkey, year(l_shipdate) AS slot, sum(l_quantity) AS value FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1, 2)
-SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"s_nationkey":' || s_nationkey || ',"flows":{' || coalesce(string_agg('"' || slot || '":' || value::BIGINT || '.0', ',' ORDER BY slot), '') || '}}' AS payload FROM supplier LEFT JOIN s ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey""")
+@register("""WITH s AS (SELECT l_suppkey, year(l_shipdate) AS slot, sum(CASE WHEN l_suppkey % 4 <> 0 THEN l_quantity END) AS value FROM lineitem GROUP BY 1, 2)
+SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"s_nationkey":' || s_nationkey || ',"flows":{' || coalesce(string_agg('"' || slot || '":' || coalesce(value::BIGINT || '.0', 'null'), ',' ORDER BY slot), '') || '}}' AS payload FROM supplier LEFT JOIN s ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey""")
 def station_payload(spark, sf):
-    """V6, J15: stations with their series by slot; stations without rows have an empty map."""
-    s = table(spark, sf, "lineitem").where("l_suppkey % 4 <> 0").groupBy(F.col("l_suppkey").alias("s_suppkey"), F.year("l_shipdate").alias("slot")).agg(F.sum("l_quantity").alias("value"))
+    """V6, J15: stations with their series by slot; slots without a value, as every fourth station's, are null."""
+    value = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_quantity"))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), F.year("l_shipdate").alias("slot")).agg(F.sum(value).alias("value"))
     return sinks.station_payload(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), s, "s_suppkey")
 
 

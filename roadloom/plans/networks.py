@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import scalars as S
 from roadloom.operators import spatial, topology
+from roadloom.operators.scans import Scan
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import EDGES_SQL, TRIPS_SQL, nation_edges, table
 from roadloom.sources import sinks, tables
@@ -158,12 +159,13 @@ def match_edges(spark, sf):
     return spatial.match_edges(edges.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), _segments(spark, sf).withColumn("at", F.lit(0.0)), others=True).withColumns({c: F.round(c, 5) for c in ("score", "from_at", "to_at")})
 
 
-@register("""WITH p AS (SELECT l_orderkey AS way, l_linenumber AS pos, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) = 1))
+@register("""WITH p AS (SELECT l_orderkey AS way, l_quantity AS x, l_discount * 100 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount) AS pos FROM lineitem)
 SELECT way, pos, round(sum(s) OVER (PARTITION BY way ORDER BY pos), 6) AS at FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS s FROM p WINDOW w AS (PARTITION BY way ORDER BY pos))""")
 def way_chainage(spark, sf):
-    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
-    once = line.groupBy("way", "pos").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y")).where("n = 1").drop("n")
-    return spatial.chainage(once).select("way", "pos", F.round("at", 6).alias("at"))
+    """Every line of an order as a point of a way: numbered by line, then by its values, as a line may stand there twice."""
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("way"), "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    points = Scan(line, ["way"], ["l_linenumber", "x", "y"]).number("pos").done().select("way", "pos", "x", "y")
+    return spatial.chainage(points).select("way", "pos", F.round("at", 6).alias("at"))
 
 
 @register("""SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(112.0 + x, 6) AS half, round(hav, 4) AS hav FROM (SELECT id, radians(lon - 116.4) * cos(radians(39.9)) * 6371008.8 / 1e5 AS x, radians(lat - 39.9) * 6371008.8 / 1e5 AS y,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from roadloom.functions import scalars as S
 from roadloom.operators import evaluate as V
 from roadloom.operators import frames as R
+from roadloom.operators.quantiles import quantiles
+from roadloom.operators.scans import Scan
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import table
 
@@ -47,10 +49,7 @@ def frame_stats(spark, sf):
 SELECT f.user_id, frame, round(greatest(0, least(1, coalesce(greatest(0, least(1, 1 - s / nullif(free, 0))), 0) * greatest(0, least(1, ln(1 + v) / ln(1 + greatest(1, p95)))))), 6)::DOUBLE AS congestion FROM f JOIN q ON q.user_id = f.user_id CROSS JOIN p""")
 def congestion_frames(spark, sf):
     f = table(spark, sf, "events").groupBy("user_id", F.hour("ts").alias("frame")).agg(F.avg("value").alias("s"), F.count("*").cast("double").alias("v"))
-    free = f.groupBy("user_id").agg(F.coalesce(F.percentile(F.nullif("s", F.lit(0.0)), F.lit(0.9)), F.lit(0.0)).alias("free"))
-    p95 = f.agg(F.percentile("v", F.lit(0.95)).alias("p95"))  # one row
-    out = f.join(free, "user_id").crossJoin(F.broadcast(p95))
-    return out.select("user_id", "frame", F.round(S.congestion("s", "free", "v", "p95"), 6).alias("congestion"))
+    return R.congestion_frames(f, "user_id", "frame", "s", "v").withColumn("congestion", F.round("congestion", 6))
 
 
 HOURLY = """h AS (SELECT user_id, floor(epoch(ts) / 7200)::BIGINT AS k, count(*)::DOUBLE AS x FROM events GROUP BY 1, 2)"""
@@ -154,10 +153,8 @@ DRAWS = """r AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_i
 
 
 def _draws(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf, "events").select(F.col("user_id").alias("chain"), F.row_number().over(w).alias("iter"), "value")
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("chain"), "event_id", "value")
+    return Scan(rows, ["chain"], ["event_id"]).number("iter").done().select("chain", "iter", "value")
 
 
 @register(f"""WITH {DRAWS} SELECT chain, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.975), 6) AS upper FROM r WHERE iter > 10 AND (iter - 10) % 2 = 0 GROUP BY 1""")
@@ -209,10 +206,8 @@ def lag_correlation(spark, sf):
 
 @register(f"""WITH {DAILY} SELECT edge, t, y, round((ln(1 + coalesce(lag(y) OVER (PARTITION BY edge ORDER BY t), 3)) - ln(8)) / 2, 9) AS x FROM y""")
 def lag_inputs(spark, sf):
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.lag("y").over(Window.partitionBy("edge").orderBy("t")), F.lit(3.0))
-    return daily(spark, sf).select("edge", "t", "y", F.round(S.lag_input(before), 9).alias("x"))
+    rows = Scan(daily(spark, sf), ["edge"], ["t"]).lag("before", F.col("y")).done()
+    return rows.select("edge", "t", "y", F.round(S.lag_input(F.coalesce("before", F.lit(3.0))), 9).alias("x"))
 
 
 @register(f"""SELECT t::INT AS t, {', '.join(f"round({f}(2 * {math.pi!r} * {j} * ((t - 1) % 48) / 48), 9) + 0 AS {f}{j}" for j in (1, 2) for f in ("sin", "cos"))} FROM range(1, 201) g(t)""")
@@ -259,8 +254,7 @@ def poisson_scores(spark, sf):
 @register(f"""WITH {DAILY}, q AS (SELECT edge, quantile_cont(y, 0.1) AS a, quantile_cont(y, 0.9) AS b FROM y GROUP BY 1) SELECT round(avg((y.y BETWEEN a AND b)::INT), 6) AS coverage FROM y JOIN q ON q.edge = y.edge""")
 def interval_coverage(spark, sf):
     y = daily(spark, sf)
-    q = y.groupBy("edge").agg(F.percentile("y", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return y.join(q, "edge").select("y", F.col("q")[0].alias("a"), F.col("q")[1].alias("b")).agg(F.round(V.coverage(None, "y", "a", "b"), 6).alias("coverage"))
+    return y.join(quantiles(y, ["edge"], "y", (0.1, 0.9)), "edge").select("y", F.col("q")[0].alias("a"), F.col("q")[1].alias("b")).agg(F.round(V.coverage(None, "y", "a", "b"), 6).alias("coverage"))
 
 
 @register("""SELECT p_partkey, round(density, 6) AS density, round(congestion, 6) AS congestion, round(rate, 6) AS rate, round(saturation, 6) AS saturation, round(storage, 6) AS storage, round(capacity_ratio, 6) AS capacity_ratio FROM (SELECT p_partkey, greatest(len, 1e-6) * 2 * 150 AS storage, x * 12 / 1800.0 AS capacity_ratio, x / (greatest(len, 1e-6) * 2) AS density, x / (greatest(len, 1e-6) * 2 * 150) AS congestion, x * 12 AS rate, x / greatest(cap, 1) AS saturation
