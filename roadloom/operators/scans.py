@@ -44,14 +44,14 @@ class Scan:
     def _state(self, state: Column, carried, add) -> Scan:
         """Join to each partition what `carried(window over a key's partitions)` makes of all its partitions' states."""
         over = Window.partitionBy(*self.keys)
-        per = self.rows.groupBy(*self.group).agg(state.alias("_state"))
-        per = per.withColumn("_parts", F.count("*").over(over)).where(F.col("_parts") > 1)
-        per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)), F.col("_part").alias("_p"), carried(over.orderBy("_part")).alias("_carry"))
-        on = F.col("_part") == F.col("_p")
+        per = self.rows.groupBy(*self.group).agg(state.alias("_scan_state"))
+        per = per.withColumn("_scan_parts", F.count("*").over(over)).where(F.col("_scan_parts") > 1)
+        per = per.select(*(F.col(k).alias(f"_scan_key{i}") for i, k in enumerate(self.keys)), F.col("_part").alias("_scan_part"), carried(over.orderBy("_part")).alias("_scan_carry"))
+        on = F.col("_part") == F.col("_scan_part")
         for i, k in enumerate(self.keys):
-            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            on = on & F.col(k).eqNullSafe(F.col(f"_scan_key{i}"))
         both = self.rows.join(F.broadcast(per), on, "left")  # two rows a partition at most
-        self.rows = add(both).drop("_p", "_carry", *(f"_k{i}" for i in range(len(self.keys))))
+        self.rows = add(both).drop("_scan_part", "_scan_carry", *(f"_scan_key{i}" for i in range(len(self.keys))))
         return self
 
     def sum(self, name: str, value: Column) -> Scan:
@@ -60,8 +60,8 @@ class Scan:
         self.rows = self.rows.withColumn(name, F.sum(v).over(self.window.rowsBetween(Window.unboundedPreceding, 0)))
         if not self.split:
             return self
-        before = lambda w: F.sum("_state").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        return self._state(F.sum(v), before, lambda d: d.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))))
+        before = lambda w: F.sum("_scan_state").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return self._state(F.sum(v), before, lambda d: d.withColumn(name, F.col(name) + F.coalesce("_scan_carry", F.lit(0))))
 
     def number(self, name: str) -> Scan:
         """The row's number in its key, from 1."""
@@ -78,8 +78,8 @@ class Scan:
             self.rows = self.rows.withColumn(name, mine["v"])
             return self
         self.rows = self.rows.withColumn(name, mine)
-        before = lambda w: F.last("_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        return self._state(F.max_by(held, F.when(value.isNotNull(), self._at())), before, lambda d: d.withColumn(name, F.coalesce(name, "_carry")["v"]))
+        before = lambda w: F.last("_scan_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return self._state(F.max_by(held, F.when(value.isNotNull(), self._at())), before, lambda d: d.withColumn(name, F.coalesce(name, "_scan_carry")["v"]))
 
     def first(self, name: str, value: Column) -> Scan:
         """The next value from this row on that is not null."""
@@ -89,16 +89,16 @@ class Scan:
             self.rows = self.rows.withColumn(name, mine["v"])
             return self
         self.rows = self.rows.withColumn(name, mine)
-        after = lambda w: F.first("_state", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-        return self._state(F.min_by(held, F.when(value.isNotNull(), self._at())), after, lambda d: d.withColumn(name, F.coalesce(name, "_carry")["v"]))
+        after = lambda w: F.first("_scan_state", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        return self._state(F.min_by(held, F.when(value.isNotNull(), self._at())), after, lambda d: d.withColumn(name, F.coalesce(name, "_scan_carry")["v"]))
 
     def lag(self, name: str, value: Column) -> Scan:
         """The value of the row before, null at a key's first."""
-        return self._beside(name, value, F.lag, F.max_by, lambda w: F.lag("_state").over(w))
+        return self._beside(name, value, F.lag, F.max_by, lambda w: F.lag("_scan_state").over(w))
 
     def lead(self, name: str, value: Column) -> Scan:
         """The value of the row after, null at a key's last."""
-        return self._beside(name, value, F.lead, F.min_by, lambda w: F.lead("_state").over(w))
+        return self._beside(name, value, F.lead, F.min_by, lambda w: F.lead("_scan_state").over(w))
 
     def _beside(self, name, value, step, pick, carried) -> Scan:
         held = F.struct(value.alias("v"))
@@ -107,7 +107,7 @@ class Scan:
             self.rows = self.rows.withColumn(name, mine["v"])
             return self
         self.rows = self.rows.withColumn(name, mine)
-        return self._state(pick(held, self._at()), carried, lambda d: d.withColumn(name, F.coalesce(name, "_carry")["v"]))
+        return self._state(pick(held, self._at()), carried, lambda d: d.withColumn(name, F.coalesce(name, "_scan_carry")["v"]))
 
 
 def leads(rows: DataFrame, keys: Sequence[str], number: str, values: dict[str, tuple[Column, int]], block: int = BLOCK_ROWS) -> DataFrame:
