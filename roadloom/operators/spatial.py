@@ -87,31 +87,35 @@ LEVELS = 8
 SKETCH = 8
 
 
-def _near_boxes(x, y, reach: float) -> Column:
-    """Whether a stretch of the sketch may be within reach."""
+def _box(x, y, b, reach: float) -> Column:
+    """Whether a box (lx, ly, hx, hy) has a point within reach."""
     away = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
-    return F.exists("sketch", lambda b: F.hypot(away(x, b["lx"], b["hx"]), away(y, b["ly"], b["hy"])) <= reach)
+    return F.hypot(away(x, b("lx"), b("hx")), away(y, b("ly"), b("hy"))) <= reach
 
 
-def _place(x, y, b, of=lambda b, k: b[k]) -> Column:
-    """struct(dist, along) of the point of a segment that is nearest to a spot."""
-    p = on_segment(x, y, *(of(b, k) for k in ("ax", "ay", "bx", "by")))
-    return F.struct(p["dist"].alias("dist"), (of(b, "at") + p["t"] * F.hypot(of(b, "bx") - of(b, "ax"), of(b, "by") - of(b, "ay"))).alias("along"))
+def _place(x, y, of) -> Column:
+    """struct(dist, along) of the point of a segment that is nearest to a spot; `of` gives the segment's columns."""
+    p = on_segment(x, y, *map(of, ("ax", "ay", "bx", "by")))
+    return F.struct(p["dist"].alias("dist"), (of("at") + p["t"] * F.hypot(of("bx") - of("ax"), of("by") - of("ay"))).alias("along"))
 
 
-def sketches(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(short, long): segments with the sketch of their way, which is its segments where it has SKETCH at most, else boxes
-    around SKETCH stretches of it."""
-    n = segments.groupBy("way").agg(F.count("*").alias("_n"))
-    ways = segments.join(n, "way")
-    short, long = ways.where(F.col("_n") <= SKETCH).drop("_n"), ways.where(F.col("_n") > SKETCH).drop("_n")
-    whole = short.groupBy("way").agg(F.collect_list(F.struct("ax", "ay", "bx", "by", "at")).alias("sketch"))
-    place = F.floor(F.percent_rank().over(Window.partitionBy("way").orderBy("seg")) * (SKETCH - 1e-9)).alias("_k")
+def _least(x, y) -> Column:
+    """The nearest place of a spot on the segments of a sketch."""
+    return F.array_min(F.transform("sketch", lambda b: _place(x, y, lambda k: b[k])))
+
+
+def sketches(segments: DataFrame) -> dict[str, DataFrame]:
+    """Segments by the kind of their way, each with the way's box: of one segment ("one"), of SKETCH at most with all of
+    them as `sketch` ("few"), of more with boxes around SKETCH stretches of it as `sketch` ("many")."""
     both = lambda f, c: f(F.col(f"a{c}"), F.col(f"b{c}"))
-    box = long.select("way", place, both(F.least, "x").alias("lx"), both(F.least, "y").alias("ly"), both(F.greatest, "x").alias("hx"), both(F.greatest, "y").alias("hy"))
-    box = box.groupBy("way", "_k").agg(*(F.min(c).alias(c) for c in ("lx", "ly")), *(F.max(c).alias(c) for c in ("hx", "hy")))
-    box = box.groupBy("way").agg(F.collect_list(F.struct("lx", "ly", "hx", "hy")).alias("sketch"))
-    return short.join(whole, "way"), long.join(box, "way")
+    rows = segments.withColumns({"lx": both(F.least, "x"), "ly": both(F.least, "y"), "hx": both(F.greatest, "x"), "hy": both(F.greatest, "y")})
+    bounds = [*(F.min(c).alias(c) for c in ("lx", "ly")), *(F.max(c).alias(c) for c in ("hx", "hy"))]
+    ways = segments.join(rows.groupBy("way").agg(F.count("*").alias("_n"), *bounds), "way")
+    few, many = ways.where((F.col("_n") > 1) & (F.col("_n") <= SKETCH)), rows.join(ways.where(F.col("_n") > SKETCH).select("way").distinct(), "way", "left_semi")
+    whole = few.groupBy("way").agg(F.collect_list(F.struct("ax", "ay", "bx", "by", "at")).alias("sketch"))
+    place = F.floor(F.percent_rank().over(Window.partitionBy("way").orderBy("seg")) * (SKETCH - 1e-9)).alias("_k")
+    boxes = many.select("way", place, "lx", "ly", "hx", "hy").groupBy("way", "_k").agg(*bounds).groupBy("way").agg(F.collect_list(F.struct("lx", "ly", "hx", "hy")).alias("sketch"))
+    return {"one": ways.where("_n = 1").drop("_n"), "few": few.drop("_n").join(whole, "way"), "many": ways.drop("_n").join(boxes, "way")}
 
 
 def start_levels(points: DataFrame, middles: DataFrame, size: float, deepest: int) -> DataFrame:
@@ -147,11 +151,11 @@ def match_edges(edges: DataFrame, segments: DataFrame, end_limit: float = 90.0,
     middle = segments.select(((c["ax"] + c["bx"]) / 2).alias("x"), ((c["ay"] + c["by"]) / 2).alias("y"), F.hypot(c["bx"] - c["ax"], c["by"] - c["ay"]).alias("l"))
     mean = middle.agg(F.avg("l")).first()[0] or 0.0
     deepest = 0
-    while deepest < LEVELS and 2 * end_limit / 2 ** (deepest + 1) >= mean / 2:
+    while deepest < LEVELS and 2 * end_limit / 2 ** (deepest + 1) >= mean / 4:
         deepest += 1
     left = cut(start_levels(edges.withColumns({"x": c["ax"], "y": c["ay"]}), middle, 2 * end_limit, deepest).drop("x", "y"))
-    ways = tuple(cut(w) for w in sketches(segments))
-    ways = tuple(w for w in ways if not w.isEmpty()) or ways[:1]
+    ways = {k: cut(w) for k, w in sketches(segments).items()}
+    ways = {k: w for k, w in ways.items() if k == "one" or not w.isEmpty()}
     found = []
     for k in range(deepest, -1, -1):
         now = left.where(F.col("level") >= k)
@@ -171,32 +175,37 @@ def match_edges(edges: DataFrame, segments: DataFrame, end_limit: float = 90.0,
     return out
 
 
-def _within(edges: DataFrame, ways: tuple[DataFrame, ...], reach: float, mid_reach: float, others: bool) -> DataFrame:
+def _within(edges: DataFrame, ways: dict[str, DataFrame], reach: float, mid_reach: float, others: bool) -> DataFrame:
     """edge, score, way, from_at, to_at: the best way that has both ends of an edge within `reach` and the middle within `mid_reach`."""
     size = 2 * reach
     c = {k: F.col(k) for k in ("ax", "ay", "bx", "by")}
-    spots = {"start": (c["ax"], c["ay"], reach), "mid": ((c["ax"] + c["bx"]) / 2, (c["ay"] + c["by"]) / 2, mid_reach), "end": (c["bx"], c["by"], reach)}
+    spots = {"start": (c["ax"], c["ay"], reach), "end": (c["bx"], c["by"], reach), "mid": ((c["ax"] + c["bx"]) / 2, (c["ay"] + c["by"]) / 2, mid_reach)}
     at = lambda name: (F.col(f"{name}_x"), F.col(f"{name}_y"))
     q = edges.select("edge", "length", *(v.alias(f"{name}_{a}") for name, (x, y, _) in spots.items() for a, v in (("x", x), ("y", y))))
     probe = q.withColumn("cell", F.explode(around(*at("start"), size, reach)))
     out = None
-    for w in ways:
-        s = w.select("way", *c, "at", "sketch", F.explode(covered(*c.values(), size)).alias("cell"))
-        near = probe.join(s, "cell")
+    for kind, w in ways.items():
+        s = w.withColumn("cell", F.explode(covered(*c.values(), size)))
+        near = probe.join(s, "cell").where(on_segment(*at("start"), *c.values())["dist"] <= reach)
         near = near.where("edge <> way") if others else near
-        near = near.where(on_segment(*at("start"), *c)["dist"] <= reach)
-        if "at" in w.schema["sketch"].dataType.elementType.names:
-            each = near.select("edge", "length", "way", *(_least(name, at(name)) for name in spots))
-        else:
-            for name in ("mid", "end"):
-                near = near.where(_near_boxes(*at(name), spots[name][2]))
+        for name in ("end", "mid"):
+            near = near.where(_box(*at(name), F.col, spots[name][2]))
+        if kind == "many":
+            for name in ("end", "mid"):
+                x, y, r = *at(name), spots[name][2]
+                near = near.where(_any_box(x, y, r))
             ask = near.select("way", *q.columns).distinct()
             where = F.array(*(F.struct(F.lit(name).alias("spot"), *(v.alias(k) for k, v in zip("xy", at(name), strict=True)), F.lit(float(r)).alias("within")) for name, (_, _, r) in spots.items()))
             ask = ask.select("edge", "length", "way", F.explode(where).alias("p")).select("edge", "length", "way", "p.*")
             ask = ask.withColumn("cell", F.explode(around(F.col("x"), F.col("y"), size, F.col("within"))))
-            hit = ask.join(s.drop("sketch"), ["way", "cell"]).withColumn("p", _place(F.col("x"), F.col("y"), None, lambda _, k: F.col(k)))
+            hit = ask.join(s.select("way", "cell", *c, "at"), ["way", "cell"]).withColumn("p", _place(F.col("x"), F.col("y"), F.col)).where(F.col("p.dist") <= F.col("within"))
             spot = lambda name: F.min(F.when(F.col("spot") == name, F.col("p"))).alias(name)
-            each = hit.where(F.col("p.dist") <= F.col("within")).groupBy("edge", "length", "way").agg(*map(spot, spots))
+            each = hit.groupBy("edge", "length", "way").agg(*map(spot, spots))
+        else:
+            place = (lambda name: _place(*at(name), F.col)) if kind == "one" else (lambda name: _least(*at(name)))
+            for name in ("end", "mid"):
+                near = near.where(place(name)["dist"] <= spots[name][2])
+            each = near.select("edge", "length", "way", *(place(name).alias(name) for name in spots))
         for name, (_, _, r) in spots.items():
             each = each.where(F.col(f"{name}.dist") <= r)
         penalty = F.abs(F.abs(F.col("end.along") - F.col("start.along")) - F.col("length")) / F.greatest("length", F.lit(1.0))
@@ -206,9 +215,8 @@ def _within(edges: DataFrame, ways: tuple[DataFrame, ...], reach: float, mid_rea
     return out.groupBy("edge").agg(F.min("m").alias("m")).select("edge", "m.*")
 
 
-def _least(name: str, at: tuple[Column, Column]) -> Column:
-    """The nearest place of a spot on the segments of a sketch."""
-    return F.array_min(F.transform("sketch", lambda b: _place(*at, b))).alias(name)
+def _any_box(x, y, reach: float) -> Column:
+    return F.exists("sketch", lambda b: _box(x, y, lambda k: b[k], reach))
 
 
 def chainage(points: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
