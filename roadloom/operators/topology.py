@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.scans import Scan
 from roadloom.sources.lineage import cut
 
 
@@ -35,6 +36,35 @@ def edge_neighbors(edges: DataFrame) -> DataFrame:
     return out
 
 
+#: Edges of a block of a node's list.
+BLOCK_EDGES = 1024
+# Relation, the side of the asked edge and that of its neighbour at the node that they share.
+RELATIONS = (("upstream", "out", "in"), ("downstream", "in", "out"), ("share_from", "out", "out"), ("share_to", "in", "in"))
+
+
+def neighbor_blocks(edges: DataFrame, block: int = BLOCK_EDGES) -> DataFrame:
+    """node, side, block, edges: what starts (out) and ends (in) at each node, in lists of at most `block` edges.
+
+    All neighbour pairs follow from these lists, which are as long as the edges, not as their pairs. Edges are numbered at
+    their node by a segmented scan, so the lists of a hub are made by many tasks.
+    """
+    side = lambda k, at: F.struct(F.lit(k).alias("side"), F.col(at).alias("node"))
+    ends = edges.select("edge", "from", "to", "length", F.explode(F.array(side("out", "from"), side("in", "to"))).alias("e")).select("e.node", "e.side", "edge", "from", "to", "length")
+    ends = Scan(ends, ["node", "side"], ["edge"]).number("_n").done().withColumn("block", F.floor((F.col("_n") - 1) / block))
+    return ends.groupBy("node", "side", "block").agg(F.array_sort(F.collect_list(F.struct("edge", "from", "to", "length"))).alias("edges"))
+
+
+def expand_neighbors(blocks: DataFrame) -> DataFrame:
+    """The rows of `edge_neighbors` from the lists: pairs of blocks are dealt to tasks before any pair of edges is made."""
+    mine = blocks.select("node", F.col("side").alias("_a"), F.col("block").alias("_i"), F.col("edges").alias("_mine"))
+    theirs = blocks.select("node", F.col("side").alias("_b"), F.col("block").alias("_j"), F.col("edges").alias("_theirs"))
+    kind = F.create_map(*(x for r, a, b in RELATIONS for x in (F.lit(f"{a} {b}"), F.lit(r))))
+    both = mine.join(theirs, "node").repartition("node", "_a", "_i", "_b", "_j")
+    pairs = both.select("node", kind[F.concat_ws(" ", "_a", "_b")].alias("relation"), F.explode("_mine").alias("e"), "_theirs").select("node", "relation", "e", F.explode("_theirs").alias("n")).where("e.edge <> n.edge")
+    reverse = (F.col("e.from") == F.col("n.to")) & (F.col("e.to") == F.col("n.from"))
+    return pairs.select(F.col("e.edge").alias("edge"), F.col("n.edge").alias("neighbor"), "relation", F.col("node").alias("shared"), (F.col("e.length") / 2 + F.col("n.length") / 2).alias("distance"), reverse.alias("is_reverse"))
+
+
 def lag_sources(edges: DataFrame, rule: str) -> DataFrame:
     """target, source: the edges whose past enters a target's model, itself included.
 

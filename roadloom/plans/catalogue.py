@@ -26,4 +26,4 @@ def register(sql: str | None = None, name: str | None = None):
     return keep
 
 
-from roadloom.plans import files, models, networks, panels, runs, series, stations  # noqa: E402, F401
+from roadloom.plans import blocks, files, models, networks, panels, runs, series, stations  # noqa: E402, F401

@@ -16,9 +16,12 @@ from roadloom.sources import sinks, tables
 RELATIONS = (("upstream", "a.\"from\" = b.\"to\"", "from"), ("downstream", "a.\"to\" = b.\"from\"", "to"), ("share_from", "a.\"from\" = b.\"from\"", "from"), ("share_to", "a.\"to\" = b.\"to\"", "to"))
 
 
-@register(f"WITH {TRIPS_SQL}, {EDGES_SQL} " + " UNION ALL ".join(
+NEIGHBORS_SQL = f"WITH {TRIPS_SQL}, {EDGES_SQL} " + " UNION ALL ".join(
     f"""SELECT a.edge, b.edge AS neighbor, '{r}' AS relation, a."{s}" AS shared, a.length / 2 + b.length / 2 AS distance, a."from" = b."to" AND a."to" = b."from" AS is_reverse FROM edges a JOIN edges b ON {c} AND a.edge <> b.edge"""
-    for r, c, s in RELATIONS))
+    for r, c, s in RELATIONS)
+
+
+@register(NEIGHBORS_SQL)
 def edge_neighbors(spark, sf):
     return topology.edge_neighbors(nation_edges(spark, sf))
 

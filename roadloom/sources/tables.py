@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,6 +168,36 @@ def column_stats(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+def footer_stats(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """name, min, max, nulls, rows of number columns of a Parquet table, from the files' footers alone.
+
+    Minima, maxima and counts are pushed into the scan, whose tasks read footers and combine the row groups' statistics;
+    no data page is read. A column for which a row group has no statistics (one with NaN, say) is aggregated by a scan of
+    its pages, and it alone. Plans are made in a session of its own, as the push-down is a setting; what comes to the
+    driver is one row a WIDE columns.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+
+    def one(session: SparkSession, part: list[str]) -> list[tuple]:
+        r = session.read.parquet(path).agg(F.count("*").alias("rows"), *(f(f"`{c}`").alias(f"{k}{i}") for i, c in enumerate(part) for k, f in (("a", F.min), ("b", F.max), ("n", F.count)))).first()
+        number = lambda v: None if v is None else float(v)
+        return [(c, number(r[f"a{i}"]), number(r[f"b{i}"]), r["rows"] - r[f"n{i}"], r["rows"]) for i, c in enumerate(part)]
+
+    def found(part: list[str]) -> list[tuple]:
+        try:
+            return one(own, part)
+        except Exception as e:  # Spark's error where a row group has no minimum, maximum or count
+            if not re.search(r"[Nn]o (min/max|number of nulls) (found )?for", str(e)):
+                raise
+        half = len(part) // 2
+        return found(part[:half]) + found(part[half:]) if half else one(spark, part)
+
+    rows = [r for lo in range(0, len(columns), WIDE) for r in found(list(columns[lo : lo + WIDE]))]
+    return spark.createDataFrame(rows, "name string, min double, max double, nulls long, rows long")
+
+
 def line_summary(spark: SparkSession, path: str) -> DataFrame:
     """file, lines, first, last non-blank line; a line's place is its offset in the file."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
