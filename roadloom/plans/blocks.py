@@ -8,8 +8,8 @@ from roadloom.operators import matrices, payloads, topology
 from roadloom.plans.catalogue import register
 from roadloom.plans.networks import NEIGHBORS_SQL
 from roadloom.plans.roles import nation_edges, table
-from roadloom.sources import tables
-from roadloom.sources.lineage import scratch
+from roadloom.sources import remote, tables
+from roadloom.sources.lineage import cut, scratch
 
 NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -81,3 +81,17 @@ def frame_facts(spark, sf):
     """V1: the facts of each frame."""
     f = _flow(spark, sf)
     return payloads.frame_facts(f, "time_bin", "v", "v", 60, f.select("edge").distinct().count(), 2.0)
+
+
+@register("SELECT o_orderkey, o_totalprice FROM orders")
+def remote_columns(spark, sf):
+    """SC14: two columns of a file behind a range server. The server stands on the driver and ends with the query, so the
+    rows are fixed before; with a store that answers ranges, readers ask it and nothing passes the driver."""
+    files = [r.path for r in tables.listing(spark, f"{sf}/orders.parquet").collect()]
+    remote.register(spark)
+    out = None
+    for f in (x for x in files if x.endswith(".parquet")):
+        with remote.Served(spark, f) as s:
+            part = cut(spark.read.format("remote_parquet").option("columns", "o_orderkey,o_totalprice").load(s.url))
+        out = part if out is None else out.unionByName(part)
+    return out

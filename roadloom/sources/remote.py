@@ -1,16 +1,19 @@
-"""Remote files over HTTP: columns of a Parquet file by byte ranges, and downloads that fall back to other endpoints."""
+"""Remote files over HTTP: Parquet files by byte ranges as a data source, and downloads that fall back to other endpoints."""
 
 from __future__ import annotations
 
 import io
+import threading
 import time
 import urllib.parse
 import urllib.request
 from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Ranges no farther apart are asked for as one; requests at once; tries of each.
 GAP, THREADS, TRIES = 64 << 10, 4, 4
@@ -134,6 +137,142 @@ def read_columns(spark: SparkSession, url: str, columns: Sequence[str], gap: int
     return spark.range(0, groups, 1, max(1, groups)).mapInArrow(run, schema)
 
 
+class RemoteGroup(InputPartition):
+    """A row group of a remote file."""
+
+    def __init__(self, url: str, group: int):
+        self.url, self.group = url, group
+
+
+#: Comparisons that a row group's statistics can rule out: may a value v of [lo, hi] pass against x?
+_MAY = {
+    EqualTo: lambda lo, hi, x: lo <= x <= hi,
+    GreaterThan: lambda lo, hi, x: hi > x,
+    GreaterThanOrEqual: lambda lo, hi, x: hi >= x,
+    LessThan: lambda lo, hi, x: lo < x,
+    LessThanOrEqual: lambda lo, hi, x: lo <= x,
+    In: lambda lo, hi, x: any(lo <= v <= hi for v in x),
+}
+
+
+class _RemoteReader(DataSourceReader):
+    def __init__(self, urls: Sequence[str], columns: Sequence[str], gap: int, threads: int):
+        self.urls, self.columns, self.gap, self.threads, self.filters = list(urls), list(columns), gap, threads, []
+
+    def pushFilters(self, filters):  # noqa: N802, the interface's name
+        """All filters are left to Spark as well: statistics rule out row groups, not rows."""
+        self.filters = [f for f in filters if type(f) in _MAY and len(f.attribute) == 1]
+        yield from filters
+
+    def _may_hold(self, group) -> bool:
+        bounds = {c.path_in_schema: c.statistics for c in (group.column(i) for i in range(group.num_columns)) if c.statistics is not None and c.statistics.has_min_max}
+        for f in self.filters:
+            s = bounds.get(f.attribute[0])
+            try:
+                if s is not None and not _MAY[type(f)](s.min, s.max, f.value):
+                    return False
+            except TypeError:  # kinds that don't compare
+                continue
+        return True
+
+    def partitions(self) -> list[RemoteGroup]:
+        out = []
+        for url in self.urls:
+            meta = _open(url, self.gap, self.threads)[1].metadata
+            out += [RemoteGroup(url, g) for g in range(meta.num_row_groups) if self._may_hold(meta.row_group(g))]
+        return out or [RemoteGroup("", -1)]
+
+    def read(self, partition: RemoteGroup):
+        if partition.group < 0:
+            return
+        f, file = _open(partition.url, self.gap, self.threads)
+        f.hold(_chunks(file.metadata, partition.group, self.columns))
+        yield from file.read_row_group(partition.group, columns=self.columns).select(self.columns).to_batches()
+
+
+class RemoteParquet(DataSource):
+    """spark.read.format("remote_parquet"): columns of Parquet files behind HTTP servers that answer byte ranges.
+
+    Options: `path`, the URLs, separated by blanks; `columns`, names separated by commas (all if absent); `gap`, `threads`.
+    A partition is a row group; groups whose statistics rule out a filter are not asked for; a task asks for the chunks of
+    the columns alone. Register with `register(spark)`.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "remote_parquet"
+
+    def _urls(self) -> list[str]:
+        return self.options["path"].split()
+
+    def _columns(self, schema) -> list[str]:
+        return [c.strip() for c in self.options["columns"].split(",")] if self.options.get("columns") else list(schema.names)
+
+    def schema(self):
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        own = _open(self._urls()[0], GAP, THREADS)[1].schema_arrow
+        names = self._columns(own)
+        if missing := [c for c in names if c not in own.names]:
+            raise ValueError(f"missing columns: {', '.join(missing)}")
+        return from_arrow_schema(own.empty_table().select(names).schema)
+
+    def reader(self, schema) -> _RemoteReader:
+        return _RemoteReader(self._urls(), schema.names, int(self.options.get("gap", GAP)), int(self.options.get("threads", THREADS)))
+
+
+def register(spark: SparkSession) -> None:
+    """Make format("remote_parquet") known to a session, filters reaching it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RemoteParquet)
+
+
+class Served:
+    """A file of any file system that Spark reads, behind a range server on the driver: a stand-in for a remote store.
+
+    Use as a context; `url` is its address on the driver's host, `sent` the bytes that were asked for.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        sc = spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        size, outer = fs.getFileStatus(at).getLen(), self
+        self.sent, self.size = 0, size
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):  # noqa: N802, the interface's name
+                first, last = self.headers["Range"].removeprefix("bytes=").split("-")
+                a, b = (int(first), int(last) + 1) if first else (size - int(last), size)
+                stream = fs.open(at)
+                try:
+                    stream.seek(a)
+                    data = bytes(stream.readNBytes(b - a))
+                finally:
+                    stream.close()
+                outer.sent += len(data)
+                self.send_response(206)
+                self.send_header("Content-Range", f"bytes {a}-{b - 1}/{size}")
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+
+            def log_message(self, *_):
+                pass
+
+        host = sc.getConf().get("spark.driver.host", "127.0.0.1")
+        self.server = ThreadingHTTPServer((host, 0), Handler)
+        self.url = f"http://{host}:{self.server.server_address[1]}/"
+
+    def __enter__(self) -> Served:
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
 def fetch(endpoints: Sequence[str], path: str, form: Mapping[str, str] | None = None, timeout: float = 120) -> str:
     """Write what the first endpoint that answers gives to a local path, and return that endpoint; fails naming all errors."""
     body, errors = urllib.parse.urlencode(form).encode() if form else None, []

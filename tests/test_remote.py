@@ -69,3 +69,27 @@ def test_fallback(server, tmp_path):
     assert b"highway" in files["/asked"]
     with pytest.raises(OSError, match="down.*gone"):
         remote.fetch([f"{url}/down", f"{url}/gone"], str(at))
+
+
+def test_data_source(server, spark):
+    """Row groups are partitions, columns alone are asked for, and filters rule out row groups by their statistics."""
+    url, files, log = server
+    table = pa.table({"k": range(40_000), "x": [float(v % 97) for v in range(40_000)], **{f"w{c}": [f"{v * (c + 3)}-{c}" for v in range(40_000)] for c in range(6)}})
+    out = pa.BufferOutputStream()
+    pq.write_table(table, out, row_group_size=4000)
+    files["/t.parquet"] = out.getvalue().to_pybytes()
+    remote.register(spark)
+    read = lambda **o: spark.read.format("remote_parquet").options(gap=0, **o).load(f"{url}/t.parquet")
+    log.clear()
+    both = read(columns="k,x")
+    assert both.columns == ["k", "x"] and both.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, both.collect())) == [(v, float(v % 97)) for v in range(40_000)]
+    asked = sum(b - a for a, b in log)
+    assert asked < len(files["/t.parquet"])
+    log.clear()
+    some = both.where("k >= 30500 AND k < 33000 AND x <> 5")
+    assert sorted(r.k for r in some.collect()) == [v for v in range(30_500, 33_000) if v % 97 != 5]
+    assert some.rdd.getNumPartitions() == 2 and sum(b - a for a, b in log) < asked
+    assert read(columns="k").where("k > 99999").count() == 0 and read().columns == table.schema.names
+    with pytest.raises(Exception, match="missing columns: nope"):
+        read(columns="k,nope").collect()
