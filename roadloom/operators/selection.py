@@ -72,12 +72,20 @@ def side(direction) -> Column:
     return F.when(d.isin("N", "E"), 1).when(d.isin("S", "W"), -1).otherwise(0)
 
 
-def grid_distance(spark: SparkSession, rows: int, cols: int) -> DataFrame:
-    """a, b, distance: Manhattan distances of all nodes of a grid, by arithmetic on a generator and without a join."""
-    a = spark.range(1, rows * cols + 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rows * cols).cast("long"))).alias("b"))
-    at = lambda c: ((F.col(c) - 1) % cols, F.floor((F.col(c) - 1) / cols))
-    (ax, ay), (bx, by) = at("a"), at("b")
-    return a.withColumn("distance", (F.abs(ax - bx) + F.abs(ay - by)).cast("double"))
+#: Nodes of a model network whose distances are all listed.
+MODEL_NODES = 2000
+
+
+def node_distance(nodes: DataFrame) -> DataFrame:
+    """a, b, distance: Manhattan distances of all pairs of a model network's nodes (node, x, y), MODEL_NODES at most.
+
+    A row for each pair is the result; for neighbours of a larger network there are `k_nearest` and the pair tables.
+    """
+    if (n := nodes.count()) > MODEL_NODES:
+        raise ValueError(f"{n} nodes; distances of all pairs are for model networks of {MODEL_NODES} at most")
+    every = nodes.agg(F.collect_list(F.struct("node", "x", "y")).alias("_all"))  # one row, of the size just checked
+    pairs = nodes.crossJoin(F.broadcast(every)).select("node", "x", "y", F.explode("_all").alias("o"))
+    return pairs.select(F.col("node").alias("a"), F.col("o.node").alias("b"), (F.abs(F.col("x") - F.col("o.x")) + F.abs(F.col("y") - F.col("o.y"))).alias("distance"))
 
 
 def mean_intensity(states: DataFrame, eta: str, stored: str | None = None, limit: float = 8.0) -> DataFrame:

@@ -16,11 +16,16 @@ PROFILES = ((2.0, 1.5, 1.3, 0.7), (5.0, 2.5, 2.0, 0.6), (10.0, 3.5, 3.0, 0.5))
 
 
 def time_index(spark: SparkSession, days: int = 28, steps_day: int = 48) -> DataFrame:
-    """t from 1, day, hour, dow from 1, morning, evening, weekend."""
+    """The flags of all steps of so many days."""
+    return flagged(spark.range(days * steps_day), steps_day)
+
+
+def flagged(steps: DataFrame, steps_day: int = 48) -> DataFrame:
+    """t from 1, day, hour, dow from 1, morning, evening, weekend of steps (id, from 0)."""
     k = F.col("id")
     hour = F.floor((k % steps_day) * 24 / steps_day).cast("int")
     dow = (F.floor(k / steps_day) % 7 + 1).cast("int")
-    out = spark.range(days * steps_day).select((k + 1).cast("int").alias("t"), (F.floor(k / steps_day) + 1).cast("int").alias("day"), hour.alias("hour"), dow.alias("dow"))
+    out = steps.select((k + 1).cast("int").alias("t"), (F.floor(k / steps_day) + 1).cast("int").alias("day"), hour.alias("hour"), dow.alias("dow"))
     return out.withColumns({"morning": F.col("hour").isin(7, 8, 9), "evening": F.col("hour").isin(17, 18, 19), "weekend": F.col("dow").isin(6, 7)})
 
 

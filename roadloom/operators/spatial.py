@@ -93,6 +93,18 @@ def _box(x, y, b, reach: float) -> Column:
     return F.hypot(away(x, b("lx"), b("hx")), away(y, b("ly"), b("hy"))) <= reach
 
 
+def _beside(x, y, reach: float) -> Column:
+    """Whether a spot is within reach of the way's box on both axes."""
+    return (x >= F.col("lx") - reach) & (x <= F.col("hx") + reach) & (y >= F.col("ly") - reach) & (y <= F.col("hy") + reach)
+
+
+def _in_line(x, y, reach: float) -> Column:
+    """Whether a spot is within reach of the line through a segment, a billionth more allowed for rounding."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    side = (x - F.col("ax")) * dy - (y - F.col("ay")) * dx
+    return side * side <= (dx * dx + dy * dy) * (reach * reach * (1 + 1e-9)) + 1e-9
+
+
 def _place(x, y, of) -> Column:
     """struct(dist, along) of the point of a segment that is nearest to a spot; `of` gives the segment's columns."""
     p = on_segment(x, y, *map(of, ("ax", "ay", "bx", "by")))
@@ -186,10 +198,11 @@ def _within(edges: DataFrame, ways: dict[str, DataFrame], reach: float, mid_reac
     out = None
     for kind, w in ways.items():
         s = w.withColumn("cell", F.explode(covered(*c.values(), size)))
-        near = probe.join(s, "cell").where(on_segment(*at("start"), *c.values())["dist"] <= reach)
+        near = probe.join(s, "cell")
         near = near.where("edge <> way") if others else near
-        for name in ("end", "mid"):
-            near = near.where(_box(*at(name), F.col, spots[name][2]))
+        for name in spots:  # the join's condition is kept to a few comparisons and products: it is asked for each pair of a square
+            near = near.where(_beside(*at(name), spots[name][2]))
+            near = near.where(_in_line(*at(name), spots[name][2])) if kind == "one" or name == "start" else near
         if kind == "many":
             for name in ("end", "mid"):
                 x, y, r = *at(name), spots[name][2]
@@ -203,16 +216,13 @@ def _within(edges: DataFrame, ways: dict[str, DataFrame], reach: float, mid_reac
             each = hit.groupBy("edge", "length", "way").agg(*map(spot, spots))
         else:
             place = (lambda name: _place(*at(name), F.col)) if kind == "one" else (lambda name: _least(*at(name)))
-            for name in ("end", "mid"):
-                near = near.where(place(name)["dist"] <= spots[name][2])
             each = near.select("edge", "length", "way", *(place(name).alias(name) for name in spots))
-        for name, (_, _, r) in spots.items():
-            each = each.where(F.col(f"{name}.dist") <= r)
         penalty = F.abs(F.abs(F.col("end.along") - F.col("start.along")) - F.col("length")) / F.greatest("length", F.lit(1.0))
         score = F.greatest("start.dist", "end.dist") + 0.45 * F.col("mid.dist") + 18 * F.least(penalty, F.lit(4.0))
-        scored = each.select("edge", F.struct(score.alias("score"), "way", F.col("start.along").alias("from_at"), F.col("end.along").alias("to_at")).alias("m"))
+        ok = (F.col("start.dist") <= reach) & (F.col("end.dist") <= reach) & (F.col("mid.dist") <= mid_reach)
+        scored = each.select("edge", F.when(ok, F.struct(score.alias("score"), "way", F.col("start.along").alias("from_at"), F.col("end.along").alias("to_at"))).alias("m"))
         out = scored if out is None else out.unionByName(scored)
-    return out.groupBy("edge").agg(F.min("m").alias("m")).select("edge", "m.*")
+    return out.groupBy("edge").agg(F.min("m").alias("m")).where(F.col("m").isNotNull()).select("edge", "m.*")
 
 
 def _any_box(x, y, reach: float) -> Column:

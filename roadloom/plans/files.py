@@ -136,16 +136,17 @@ def station_payload(spark, sf):
     return sinks.station_payload(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), s, "s_suppkey")
 
 
-@register("""SELECT name, name = 'Nodes.csv' AS found FROM (VALUES ('Nodes.csv'), ('links_clean.csv'), ('summary.txt')) v(name)""")
+@register("""SELECT lower(n_name) || '.csv' AS name, n_name = 'NATION_7' AS found FROM nation""")
 def found_files(spark, sf):
-    """SC1, SC9, SC23: files of a folder by name, without regard to case, and the list of what must be there."""
+    """SC1, SC9, SC23: files of a folder, one a nation, by name without regard to case, and the list of what must be there."""
     folder = scratch(spark, "folder")
     sc = spark.sparkContext
     fs = sc._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(sc._jsc.hadoopConfiguration())
-    for name in ("Nodes.csv", "links_clean.csv", "summary.txt"):
+    names = [f"{r.n_name.lower()}.csv" for r in table(spark, sf, "nation").select("n_name").collect()]  # a row a file
+    for name in names:
         fs.create(sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")).close()
-    tables.require_sources(spark, folder, ["links_clean.csv"])
-    at = tables.find_file(spark, folder, ["node.csv", "nodes.CSV"])
+    tables.require_sources(spark, folder, names)
+    at = tables.find_file(spark, folder, ["nation.csv", "NATION_7.CSV"])
     return tables.listing(spark, folder).select("name", (F.col("path") == at).alias("found"))
 
 

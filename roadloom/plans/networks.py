@@ -26,14 +26,19 @@ def edge_neighbors(spark, sf):
     return topology.edge_neighbors(nation_edges(spark, sf))
 
 
-GRID = """n AS (SELECT (i + 1)::BIGINT AS node, (i % 4 + 1)::INT AS x, (i // 4 + 1)::INT AS y FROM range(16) t(i)),
-p AS (SELECT a.node AS f, b.node AS t FROM n a JOIN n b ON abs(a.x - b.x) + abs(a.y - b.y) = 1),
+GRID = """n AS (SELECT (s_suppkey + 1)::BIGINT AS node, (s_suppkey % 10 + 1)::INT AS x, (s_suppkey // 10 + 1)::INT AS y FROM supplier WHERE s_suppkey < (SELECT count(*) // 10 * 10 FROM supplier)),
+p AS (SELECT a.node AS f, b.node AS t FROM n a JOIN n b ON (b.x = a.x AND (b.y = a.y + 1 OR b.y = a.y - 1)) OR (b.y = a.y AND (b.x = a.x + 1 OR b.x = a.x - 1))),
 e AS (SELECT row_number() OVER (ORDER BY f, t) AS edge, f, t FROM p)"""
 
 
+def _supplier_grid(spark, sf):
+    """Suppliers as the nodes of a grid, ten a row; a row that isn't full is left out, as a grid is a rectangle."""
+    return topology.grid(spark, table(spark, sf, "supplier").count() // 10, 10)
+
+
 @register(f"""WITH {GRID} SELECT edge, f AS "from", t AS "to" FROM e""")
 def grid_network(spark, sf):
-    return topology.grid(spark, 4, 4)[1].select("edge", "from", "to")
+    return _supplier_grid(spark, sf)[1].select("edge", "from", "to")
 
 
 def _pairs_sql(rule):
@@ -44,7 +49,7 @@ def _pairs_sql(rule):
 
 def _pairs(rule):
     def run(spark, sf):
-        nodes, edges = topology.grid(spark, 4, 4)
+        nodes, edges = _supplier_grid(spark, sf)
         return topology.pair_table(edges, nodes, rule, rule)
 
     return run
@@ -56,7 +61,7 @@ for _r in ("origin", "two_endpoint"):
 
 @register(f"WITH {GRID} SELECT a.edge AS target, s.edge AS source, a.edge = s.edge OR s.f = a.f OR s.t = a.f AS true_active FROM e a JOIN e s ON s.f = a.f OR s.t = a.f OR s.f = a.t OR s.t = a.t")
 def true_pairs(spark, sf):
-    nodes, edges = topology.grid(spark, 4, 4)
+    nodes, edges = _supplier_grid(spark, sf)
     truth = topology.lag_sources(edges, "origin").withColumn("true_active", F.lit(True))
     return topology.with_truth(topology.pair_table(edges, nodes, "two_endpoint", "b"), truth).select("target", "source", "true_active")
 
@@ -103,6 +108,20 @@ def route_costs(spark, sf):
     return topology.routes(asked, nation_edges(spark, sf)).drop("path")
 
 
+VIA = """, q AS (SELECT a.n_nationkey::BIGINT AS source, (a.n_nationkey * 7 + 4) % 25 AS target FROM nation a),
+v AS (SELECT t.source, t.node, arg_min(e."from", (s.distance, e."from")) AS p FROM d8 t JOIN edges e ON e."to" = t.node JOIN d8 s ON s.source = t.source AND s.node = e."from" AND s.distance + e.length = t.distance WHERE t.node <> t.source GROUP BY 1, 2),
+w0 AS (SELECT source, target, target AS here, target::VARCHAR AS path FROM q)"""
+STEP = "SELECT w.source, w.target, coalesce(p, here) AS here, CASE WHEN p IS NULL THEN path ELSE p || '>' || path END AS path"
+
+
+@register(f"WITH {TRIPS_SQL}, {EDGES_SQL}{RECURSE}{VIA}, " + ", ".join(f"w{k + 1} AS ({STEP} FROM w{k} w LEFT JOIN v ON v.source = w.source AND v.node = w.here AND w.here <> w.source)" for k in range(8)) + " SELECT source, target, path FROM w8")
+def route_paths(spark, sf):
+    """GR6: the nodes of each route, every node keeping the predecessor settled first."""
+    n = _nations(spark, sf)
+    asked = n.select(F.col("node").alias("source"), ((F.col("node") * 7 + 4) % 25).alias("target"), F.lit(1e9).alias("budget"))
+    return topology.routes(asked, nation_edges(spark, sf)).select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 @register("""SELECT o_orderkey, CASE WHEN greatest(a, b) > 90 OR r > 4.5 THEN 'low' WHEN p <= 2 THEN 'medium' ELSE 'high' END AS confidence, least(18000, greatest(8 * l + 900, 700))::DOUBLE AS budget
 FROM (SELECT o_orderkey, o_orderkey % 100 AS a, o_custkey % 95 AS b, (o_orderkey % 50) / 10 AS r, o_custkey % 5 AS p, o_totalprice - 1000 AS l FROM orders)""")
 def route_confidence(spark, sf):
@@ -171,39 +190,45 @@ def way_chainage(spark, sf):
     return spatial.chainage(points).select("way", "pos", F.round("at", 6).alias("at"))
 
 
-@register("""SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(112.0 + x, 6) AS half, round(hav, 4) AS hav FROM (SELECT id, radians(lon - 116.4) * cos(radians(39.9)) * 6371008.8 / 1e5 AS x, radians(lat - 39.9) * 6371008.8 / 1e5 AS y,
-2 * 6371000.0 * asin(sqrt(pow(sin(radians(39.9 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(39.9)) * pow(sin(radians(116.4 - lon) / 2), 2))) AS hav FROM (SELECT i AS id, 116 + (i % 40) * 0.02 AS lon, 39.5 + (i // 40) * 0.02 AS lat FROM range(1600) t(i)))""")
-def coord_transforms(spark, sf):
-    g = _grid(spark)
-    x, y = S.project("lon", "lat", 116.4, 39.9)
-    return g.select("id", F.round(x / 1e5, 6).alias("x"), F.round(y / 1e5, 6).alias("y"), F.round(112.0 + x / 1e5, 6).alias("half"), F.round(S.haversine("lon", "lat", F.lit(116.4), F.lit(39.9)), 4).alias("hav"))
+PLACES = "SELECT vec_id AS id, 116.4 + embedding[1]::DOUBLE * 90 AS lon, 39.9 + embedding[2]::DOUBLE * 45 AS lat FROM embeddings"
+
 
+def _places(spark, sf):
+    """Vectors as places, most within the rectangle of the shift and some outside."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (116.4 + at(0) * 90).alias("lon"), (39.9 + at(1) * 45).alias("lat"))
 
-def _grid(spark):
-    return spark.range(1600).select("id", (116 + (F.col("id") % 40) * 0.02).alias("lon"), (39.5 + F.floor(F.col("id") / 40) * 0.02).alias("lat"))
+
+@register(f"""SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(112.0 + x, 6) AS half, round(hav, 4) AS hav FROM (SELECT id, radians(lon - 116.4) * cos(radians(39.9)) * 6371008.8 / 1e5 AS x, radians(lat - 39.9) * 6371008.8 / 1e5 AS y,
+2 * 6371000.0 * asin(sqrt(pow(sin(radians(39.9 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(39.9)) * pow(sin(radians(116.4 - lon) / 2), 2))) AS hav FROM ({PLACES}))""")
+def coord_transforms(spark, sf):
+    x, y = S.project("lon", "lat", 116.4, 39.9)
+    return _places(spark, sf).select("id", F.round(x / 1e5, 6).alias("x"), F.round(y / 1e5, 6).alias("y"), F.round(112.0 + x / 1e5, 6).alias("half"), F.round(S.haversine("lon", "lat", F.lit(116.4), F.lit(39.9)), 4).alias("hav"))
 
 
 def _poly(k):
     return f"({k[0]!r} + {k[1]!r} * u + {k[2]!r} * v + {k[3]!r} * u * u + {k[4]!r} * u * v + {k[5]!r} * v * v)"
 
 
-@register(f"""SELECT id, round({_poly(S.LON_COEFFICIENTS)}, 6) AS lon, round({_poly(S.LAT_COEFFICIENTS)}, 6) AS lat FROM (SELECT i AS id, (500000 + (i % 40) * 700 - {S.LOCAL_ORIGIN[0]!r}) / {S.LOCAL_SCALE!r} AS u, (280000 + (i // 40) * 700 - {S.LOCAL_ORIGIN[1]!r}) / {S.LOCAL_SCALE!r} AS v FROM range(1600) t(i))""")
+@register(f"""SELECT id, round({_poly(S.LON_COEFFICIENTS)}, 6) AS lon, round({_poly(S.LAT_COEFFICIENTS)}, 6) AS lat FROM (SELECT vec_id AS id, (514000 + embedding[1]::DOUBLE * 30000 - {S.LOCAL_ORIGIN[0]!r}) / {S.LOCAL_SCALE!r} AS u, (294000 + embedding[2]::DOUBLE * 30000 - {S.LOCAL_ORIGIN[1]!r}) / {S.LOCAL_SCALE!r} AS v FROM embeddings)""")
 def local_to_wgs84(spark, sf):
-    lon, lat = S.local_to_wgs84(500000 + (F.col("id") % 40) * 700, 280000 + F.floor(F.col("id") / 40) * 700)
-    return spark.range(1600).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 30000
+    lon, lat = S.local_to_wgs84(514000 + at(0), 294000 + at(1))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 _PI = repr(math.pi)
 _RIP = f"(20 * sin(6 * x * {_PI}) + 20 * sin(2 * x * {_PI})) * 2 / 3"
 
 
-@register(f"""WITH g AS (SELECT i AS id, 116 + (i % 40) * 0.02 AS lon, 39.5 + (i // 40) * 0.02 AS lat, 11 + (i % 40) * 0.02 AS x, 4.5 + (i // 40) * 0.02 AS y FROM range(1600) t(i)),
+@register(f"""WITH g AS (SELECT *, lon - 105 AS x, lat - 35 AS y FROM ({PLACES})),
 d AS (SELECT *, -100 + 2 * x + 3 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * sqrt(abs(x)) + {_RIP} + (20 * sin(y * {_PI}) + 40 * sin(y / 3 * {_PI})) * 2 / 3 + (160 * sin(y / 12 * {_PI}) + 320 * sin(y / 30 * {_PI})) * 2 / 3 AS a,
-300 + x + 2 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * sqrt(abs(x)) + {_RIP} + (20 * sin(x * {_PI}) + 40 * sin(x / 3 * {_PI})) * 2 / 3 + (150 * sin(x / 12 * {_PI}) + 300 * sin(x / 30 * {_PI})) * 2 / 3 AS b, 1 - {S.GCJ_EE!r} * pow(sin(radians(lat)), 2) AS m FROM g)
-SELECT id, round(lon + b * 180 / ({S.GCJ_A} / sqrt(m) * cos(radians(lat)) * {_PI}), 6) AS lon, round(lat + a * 180 / (({S.GCJ_A} * (1 - {S.GCJ_EE!r})) / (m * sqrt(m)) * {_PI}), 6) AS lat FROM d""")
+300 + x + 2 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * sqrt(abs(x)) + {_RIP} + (20 * sin(x * {_PI}) + 40 * sin(x / 3 * {_PI})) * 2 / 3 + (150 * sin(x / 12 * {_PI}) + 300 * sin(x / 30 * {_PI})) * 2 / 3 AS b, 1 - {S.GCJ_EE!r} * pow(sin(radians(lat)), 2) AS m,
+lon BETWEEN {S.GCJ_LON[0]!r} AND {S.GCJ_LON[1]!r} AND lat BETWEEN {S.GCJ_LAT[0]!r} AND {S.GCJ_LAT[1]!r} AS inside FROM g)
+SELECT id, round(CASE WHEN inside THEN lon + b * 180 / ({S.GCJ_A} / sqrt(m) * cos(radians(lat)) * {_PI}) ELSE lon END, 6) AS lon, round(CASE WHEN inside THEN lat + a * 180 / (({S.GCJ_A} * (1 - {S.GCJ_EE!r})) / (m * sqrt(m)) * {_PI}) ELSE lat END, 6) AS lat FROM d""")
 def shifted_coordinates(spark, sf):
     lon, lat = S.wgs84_to_gcj02("lon", "lat")
-    return _grid(spark).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return _places(spark, sf).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 @register("""SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k, '[[' || (event_id % 90) || '.5,' || (event_id % 45) || '.25]]' AS geometry FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
@@ -243,11 +268,11 @@ def matched_geometry(spark, sf):
 
 @register()
 def routed_edges(spark, sf):
-    """Routes of synthetic edges over a grid of ways."""
-    nodes, edges = topology.grid(spark, 8, 8)
-    at = nodes.select(F.col("node").alias("pid"), (F.col("x") * 100.0).alias("px"), (F.col("y") * 100.0).alias("py"))
-    graph = edges.select("from", "to", F.lit(100.0).alias("length"), F.col("edge").alias("way"), F.when(F.col("edge") % 3 == 0, "primary").otherwise("service").alias("highway"))
-    asked = spark.range(40).select(F.col("id").alias("edge"), ((F.col("id") % 7 + 1) * 100 + 9.0).alias("ax"), ((F.col("id") % 5 + 1) * 100.0).alias("ay"), ((F.col("id") * 3 % 8 + 1) * 100.0).alias("bx"), ((F.col("id") * 5 % 8 + 1) * 100.0).alias("by"))
-    asked = asked.withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    out = topology.route_edges(asked, at, graph)
+    """Suppliers as model edges, routed over the nations' network: from beside their nation to another one."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("pid"), (F.col("n_nationkey") * 100.0).alias("px"), (F.col("n_regionkey") * 100.0).alias("py"))
+    graph = nation_edges(spark, sf).select("from", "to", (F.col("length") * 100).alias("length"), F.col("edge").alias("way"), F.when(F.col("edge") % 3 == 0, "primary").otherwise("service").alias("highway"))
+    ends = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("edge"), F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") + F.col("s_suppkey")) % 25).cast("long").alias("b"))
+    at = lambda k: n.select(F.col("pid").alias(k), F.col("px").alias(f"{k}x"), F.col("py").alias(f"{k}y"))
+    asked = ends.join(at("a"), "a").join(at("b"), "b").withColumn("ax", F.col("ax") + 9.0).withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    out = topology.route_edges(asked.select("edge", "ax", "ay", "bx", "by", "length"), n, graph)
     return out.join(topology.path_ways(out, graph, "highway"), "edge", "left")

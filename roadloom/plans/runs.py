@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import scalars as S
 from roadloom.operators import clean, evaluate, frames, panel, simulate, spatial, topology
 from roadloom.operators import selection as L
+from roadloom.operators.scans import Scan
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import EDGES_SQL, STEPS_SQL, TRIPS_SQL, event_moves, nation_edges, paths, table, trips
 
@@ -133,9 +134,10 @@ def labels_and_sides(spark, sf):
     return table(spark, sf, "part").select("p_partkey", L.speed_label("p_size").alias("label"), L.side("p_type").alias("side"))
 
 
-@register("""SELECT a.i + 1 AS a, b.i + 1 AS b, (abs(a.i % 5 - b.i % 5) + abs(a.i // 5 - b.i // 5))::DOUBLE AS distance FROM range(20) a(i), range(20) b(i)""")
+@register("""WITH n AS (SELECT n_nationkey::BIGINT AS id, n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y FROM nation), m AS (FROM n) SELECT n.id AS a, m.id AS b, abs(n.x - m.x) + abs(n.y - m.y) AS distance FROM n, m""")
 def grid_distances(spark, sf):
-    return L.grid_distance(spark, 4, 5)
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"))
+    return L.node_distance(n)
 
 
 @register("""SELECT event_id, round(coalesce(CASE WHEN event_id % 2 = 0 THEN value END, exp(greatest(-8, least(8, value / 10 - 4)))), 6) AS intensity FROM events""")
@@ -175,9 +177,12 @@ def describe_report(spark, sf):
     return out.withColumns({"mean": F.round(F.col("mean") + 1e-7, 4), **{c: F.round(c, 4) for c in ("std", "p50", "p75", "p90", "p95", "p99")}})
 
 
-@register("""SELECT pos::INT AS pos, name, value FROM (VALUES (0, 'run', 'peak_2'), (1, 'metric', 'density'), (2, 'edges', '80'), (3, 'output map', 'map.html')) v(pos, name, value)""")
+@register("""SELECT unnest([0, 1, 2, 3])::INT AS pos, unnest(['run', 'metric', 'edges', 'output map']) AS name, unnest(['economy anodized_2', 'density', n::VARCHAR, 'map.html']) AS value FROM (SELECT count(*) AS n FROM part)""")
 def run_manifest(spark, sf):
-    return L.manifest(spark, L.next_name("peak", ["peak", "other"]), {"map": "map.html", "film": None}, {"metric": "density", "edges": 80})
+    """SK10: the manifest of a run over the parts, whose name some part has already."""
+    p = table(spark, sf, "part")
+    taken = [r.name for r in p.select(F.lower(F.regexp_extract("p_type", r"^\\S+ \\S+", 0)).alias("name")).distinct().collect()]  # kinds alone
+    return L.manifest(spark, L.next_name("economy anodized", [*taken, "economy anodized"]), {"map": "map.html", "film": None}, {"metric": "density", "edges": p.count()})
 
 
 @register("""SELECT event_id, round(lon * cos(radians(40.0)) * 111320, 4) AS x, round(lat * 110540, 4) AS y, CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE round_even(v, 3)::DOUBLE::VARCHAR END AS text, CASE WHEN v > 0 THEN round(ln(2 / pi()) - ln(2.5) - ln(1 + pow(v / 2.5, 2)), 6) ELSE '-inf'::DOUBLE END AS prior, (hour(ts) * 12 + minute(ts) // 5)::INT AS slot
@@ -189,17 +194,25 @@ def small_functions(spark, sf):
     return e.select("event_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), S.compact("v").alias("text"), F.round(S.half_cauchy_logpdf("v", F.lit(2.5)), 6).alias("prior"), S.slot_of(F.date_format("ts", "HH:mm")).alias("slot"))
 
 
-@register("""SELECT i + 1 AS id, greatest(c - 260, 0)::DOUBLE AS first_x, least(c + 260, 1000)::DOUBLE AS last_x, 2 + (c - 260 < 300 AND c + 260 > 300)::INT + (c - 260 < 700 AND c + 260 > 700)::INT AS points, 400.0 - c / 10 AS back_x FROM (SELECT i, i * 50.0 AS c FROM range(21) t(i))""")
+@register("""WITH p AS (SELECT l_orderkey AS id, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING)::DOUBLE AS d FROM lineitem), w AS (SELECT id, max(d) AS z, list(d) AS ats FROM p GROUP BY 1)
+SELECT id, greatest(z / 2 - 20, 0) AS first_x, least(z / 2 + 20, z) AS last_x, (2 + len(list_filter(ats, lambda x: x > greatest(z / 2 - 20, 0) + 1e-9 AND x < least(z / 2 + 20, z) - 1e-9)))::INT AS points, z * 0.75 AS back_x FROM w""")
 def sublines(spark, sf):
-    at = lambda x: F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y"), F.lit(float(x)).alias("at"))
-    rows = spark.range(21).withColumn("c", F.col("id") * 50.0).withColumn("p", F.array(*map(at, (0, 300, 700, 1000))))
-    part, back = spatial.around_match("p", F.col("c")), spatial.subline("p", F.lit(400.0) - F.col("c") / 10, F.lit(20.0))
-    return rows.select((F.col("id") + 1).alias("id"), part[0]["x"].alias("first_x"), F.element_at(part, -1)["x"].alias("last_x"), F.size(part).alias("points"), back[0]["x"].alias("back_x"))
-
-
-@register("""SELECT i // 48 + 1 AS day, count(*) AS n, count(*) FILTER ((i % 48) // 2 IN (7, 8, 9)) AS morning, count(*) FILTER ((i % 48) // 2 IN (17, 18, 19)) AS evening, bool_or((i // 48) % 7 + 1 IN (6, 7)) AS weekend, sum(1 + ((i % 48) // 2 IN (7, 8, 9))::INT)::DOUBLE AS design FROM range(28 * 48) t(i) GROUP BY 1""")
+    """orders as straight ways with a point a line; the part around their middle, and a part backwards."""
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_quantity")
+    pts = Scan(line, ["id"], ["l_linenumber", "l_quantity"]).sum("at", F.col("l_quantity").cast("double")).done()
+    at = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"), x.alias("at"))
+    ways = pts.groupBy("id").agg(F.array_sort(F.collect_list(at(F.col("at")))).alias("p"), F.max("at").alias("z"))
+    rows = ways.withColumn("p", F.concat(F.array(at(F.lit(0.0))), "p"))
+    part, back = spatial.around_match("p", F.col("z") / 2, 20.0), spatial.subline("p", F.col("z") * 0.75, F.col("z") * 0.25)
+    return rows.select("id", part[0]["x"].alias("first_x"), F.element_at(part, -1)["x"].alias("last_x"), F.size(part).alias("points"), back[0]["x"].alias("back_x"))
+
+
+@register("""SELECT i // 48 + 1 AS day, count(*) AS n, count(*) FILTER ((i % 48) // 2 IN (7, 8, 9)) AS morning, count(*) FILTER ((i % 48) // 2 IN (17, 18, 19)) AS evening, bool_or((i // 48) % 7 + 1 IN (6, 7)) AS weekend, sum(1 + ((i % 48) // 2 IN (7, 8, 9))::INT)::DOUBLE AS design
+FROM (SELECT DISTINCT (epoch(ts)::BIGINT - 1704067200) // 1800 AS i FROM events) GROUP BY 1""")
 def time_flags(spark, sf):
-    index = simulate.time_index(spark)
+    """F32, R7, G2: the half hours that have events, counted from the first of 2024, with their flags."""
+    slots = table(spark, sf, "events").select(F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 1800).alias("id")).distinct()
+    index = simulate.flagged(slots)
     f = simulate.design(index).select("t", (F.get("f", F.lit(0)) + F.get("f", F.lit(1))).alias("d"))
     out = index.join(f, "t").groupBy("day").agg(F.count("*").alias("n"), F.count_if("morning").alias("morning"), F.count_if("evening").alias("evening"), F.bool_or("weekend").alias("weekend"), F.sum("d").alias("design"))
     return out.withColumn("day", F.col("day").cast("bigint"))

@@ -210,18 +210,23 @@ def lag_inputs(spark, sf):
     return rows.select("edge", "t", "y", F.round(S.lag_input(F.coalesce("before", F.lit(3.0))), 9).alias("x"))
 
 
-@register(f"""SELECT t::INT AS t, {', '.join(f"round({f}(2 * {math.pi!r} * {j} * ((t - 1) % 48) / 48), 9) + 0 AS {f}{j}" for j in (1, 2) for f in ("sin", "cos"))} FROM range(1, 201) g(t)""")
+def _half_hours(spark, sf):
+    """t: the half hours that have events, counted from the first of 2024."""
+    return table(spark, sf, "events").select((F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 1800) + 1).cast("int").alias("t")).distinct()
+
+
+@register(f"""SELECT t::INT AS t, {', '.join(f"round({f}(2 * {math.pi!r} * {j} * ((t - 1) % 48) / 48), 9) + 0 AS {f}{j}" for j in (1, 2) for f in ("sin", "cos"))} FROM (SELECT DISTINCT (epoch(ts)::BIGINT - 1704067200) // 1800 + 1 AS t FROM events)""")
 def season_features(spark, sf):
-    s = spark.range(1, 201).select(F.col("id").cast("int").alias("t")).withColumn("f", S.season("t"))
+    s = _half_hours(spark, sf).withColumn("f", S.season("t"))
     return s.select("t", *((F.round(F.get("f", F.lit(i)), 9) + 0.0).alias(n) for i, n in enumerate(("sin1", "cos1", "sin2", "cos2"))))
 
 
-@register("""SELECT t::INT AS t, round(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT, 9)::DOUBLE AS eta, round(exp(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT), 9) AS lam FROM range(1, 201) g(t)""")
+@register("""SELECT t::INT AS t, round(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT, 9)::DOUBLE AS eta, round(exp(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT), 9) AS lam FROM (SELECT DISTINCT (epoch(ts)::BIGINT - 1704067200) // 1800 + 1 AS t FROM events)""")
 def design_eta(spark, sf):
     t = F.col("t")
     f = F.array(F.lit(1.0), (t % 24).isin(7, 8, 9).cast("double"), (t % 7).isin(6, 0).cast("double"))
     eta = S.dot(f, F.array(*map(F.lit, (1.5, 0.4, -0.3))))
-    return spark.range(1, 201).select(F.col("id").cast("int").alias("t")).select("t", F.round(eta, 9).alias("eta"), F.round(F.exp(eta), 9).alias("lam"))
+    return _half_hours(spark, sf).select("t", F.round(eta, 9).alias("eta"), F.round(F.exp(eta), 9).alias("lam"))
 
 
 @register(f"""WITH {DAILY}, r AS (SELECT c::INT AS cluster, t::INT AS t, 0.3 * c + 0.01 * t AS eta FROM range(1, 4) a(c), range(1, 31) b(t)), s AS (SELECT edge, cluster, sum(y * eta - exp(eta)) + ln(cluster / 6.0 + 1e-16) AS s FROM y JOIN r ON r.t = y.t GROUP BY 1, 2)
