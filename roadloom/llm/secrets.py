@@ -100,18 +100,70 @@ class _Starts:
         self.held.append((i, base, until if self.held else self.n + 1))
 
 
+class _Common:
+    """How far two suffixes agree. For each distance the last answer is held: positions come from the end, so the next pair
+    of that distance is compared up to there and no farther."""
+
+    def __init__(self, value: str):
+        self.s, self.n, self.held = value, len(value), {}
+
+    def ahead(self, i: int, j: int) -> int:
+        """Characters that agree from i < j on."""
+        s, d, done, step = self.s, j - i, 0, 8
+        at, far = self.held.get(d, (self.n, 0))
+        while True:
+            size = min(step, self.n - j - done, max(at - i - done, 0))
+            if size and s[i + done : i + done + size] == s[j + done : j + done + size]:
+                done, step = done + size, 2 * step
+            elif size:
+                while s[i + done] == s[j + done]:
+                    done += 1 if size < 16 or s[i + done : i + done + 8] != s[j + done : j + done + 8] else 8
+                break
+            else:
+                done += far if j + done < self.n else 0
+                break
+        self.held[d] = i, done
+        return done
+
+    def back(self, i: int, j: int) -> int:
+        """Characters that agree before i < j."""
+        s, done, step = self.s, 0, 8
+        while done < i:
+            size = min(step, i - done)
+            if s[i - done - size : i - done] == s[j - done - size : j - done]:
+                done, step = done + size, 2 * step
+            elif size == 1:
+                break
+            else:
+                step = max(1, size // 2)
+        return done
+
+
 def periods(value: str) -> list[tuple[int, int, int]]:
-    """(unit, start, end) of the longest stretches where a unit repeats at least once more, units that repeat themselves left out."""
-    a, out = np.frombuffer(value.encode("utf-32-le"), np.uint32), []
-    for u in range(1, len(value) // 2 + 1):
-        same = a[u:] == a[:-u]
-        if np.count_nonzero(same) < max(u, 2):
-            continue
-        edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if e - s >= max(u, 2) and not any(u % d == 0 and s0 <= s and e + u <= e0 for d, s0, e0 in out):
-                out.append((u, s, e + u))
-    return out
+    """(unit, start, end) of the longest stretches where a unit repeats at least once more, units that repeat themselves left out.
+
+    By Lyndon roots: of any such stretch, the longest word from some position that is less than all its own rotations, in
+    the order of characters or in its reverse, is a unit. Those words come from the next lesser suffix of each position,
+    found from the end with a stack of them, so there are two candidates a position, each extended both ways once.
+    """
+    n, found = len(value), set()
+    for less in (str.__lt__, str.__gt__):
+        common, word, seen = _Common(value), [1] * n, {}
+        for i in range(n - 1, -1, -1):
+            j, agree = i + 1, 0
+            while j < n:
+                agree = 0 if value[i] != value[j] else common.ahead(i, j)
+                if j + agree >= n or not less(value[i + agree], value[j + agree]):  # a suffix of a suffix is less
+                    break
+                j += word[j]
+            u = word[i] = j - i
+            if j >= n or seen.get(u, (n, 0))[0] <= i and j < seen[u][1]:
+                continue
+            start, end = i - common.back(i, j), j + agree
+            seen[u] = start, end
+            if end - start - u >= max(u, 2):
+                found.add((u, start, end))
+    return sorted(found)
 
 
 class Guesser:
