@@ -4,9 +4,10 @@ A text is prefixed by a space mark, spaces become space marks, and it is cut int
 The distinct words of a batch are grouped by length, and the words of one length advance together: rolling
 hashes give the hash of every substring that ends at a position, a binary search probes the sorted piece keys,
 and vectorised maxima store the score and the backpointer (the length of the last piece; of equals the shortest).
-A word over LONG characters has few or no equals, so its positions take the place of the words in the probing: all
-pieces that end in a block of BLOCK positions are looked up together, and the same maxima advance over them. A key
-found must also have the piece's length, and the pieces of a word, put together, must be the word. A character that is no piece is encoded as its UTF-8 bytes, and so is a space mark that the text itself holds.
+Where the words of a length are few, as long ones are, the pieces that end in a block of positions are probed together; how
+many words and positions that is follows from memory alone. A key found must also have the piece's length, and the pieces
+of a word, put together, must be the word. A character that is no piece is encoded as its UTF-8
+bytes, and so is a space mark that the text itself holds.
 Decoding concatenates the pieces' bytes, so that decode(encode(text)) == text for every text.
 
 Defined results: a null text has null ids and 0 tokens, an empty text has none; texts and words of any length are
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import attach, session
 from roadloom.llm.vocab import MODEL_FILE, SPACE, Pieces, load
 
-LONG, BLOCK = 40, 4096
+#: Words that advance together at most, and their characters; probes made at once where words are few.
+LANES, CELLS, PROBES = 4096, 1 << 18, 1 << 16
 MEMO_WORDS = 250_000
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -57,7 +59,7 @@ class Codec:
         self.scores = np.array([by_hash[int(k)][2] for k in self.keys], np.float64)
         self.lengths = np.array([len(by_hash[int(k)][0]) for k in self.keys], np.int64)
         with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(max(LONG, vocab.longest) + 1, _P)], dtype=np.uint64)
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(vocab.longest + 1, _P)], dtype=np.uint64)
         self.byte_ids = np.array(vocab.byte_ids, np.int32)
         lengths = np.array([len(b) for b in vocab.bytes_of], np.int64)
         self.out_bytes, self.out_len, self.out_at = np.frombuffer(b"".join(vocab.bytes_of), np.uint8), lengths, np.cumsum(lengths) - lengths
@@ -77,25 +79,32 @@ class Codec:
         return h
 
     def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backpointers (L + 1 x N: length of the last piece) and key places (-1: bytes) of words codes (N x L)."""
-        n, length = codes.shape
+        """Backpointers (L + 1 x N: length of the last piece) and key places (-1: bytes) of words codes (N x L).
+
+        All words advance together, whatever their length; the fewer they are, the more positions are probed at once."""
+        (n, length), longest = codes.shape, self.v.longest
         h = self._prefix(codes.astype(np.uint64))
-        best = np.full((length + 1, n), -np.inf)
-        best[0] = 0
+        best = np.full((longest + length + 1, n), -np.inf)  # `longest` places before the start, which no piece reaches
+        best[longest] = 0
         back, place = np.ones((length + 1, n), np.int8), np.full((length + 1, n), -1, np.int32)
         lanes = np.arange(n)
-        width = np.select([codes < 0x80, codes < 0x800, (codes < 0x10000) | (codes == _LITERAL)], [1, 2, 3], 4)
-        for e in range(1, length + 1):
-            m = min(e, self.v.longest)
-            start = slice(e - 1, e - m - 1 if e > m else None, -1)  # of the last piece, shortest piece first
+        width = np.select([codes < 0x80, codes < 0x800, (codes < 0x10000) | (codes == _LITERAL)], [1, 2, 3], 4) * self.v.byte_score
+        block = max(1, PROBES // (n * longest))
+        for lo in range(1, length + 1, block):
+            ends = np.arange(lo, min(length, lo + block - 1) + 1)
+            k = np.arange(1, min(longest, int(ends[-1])) + 1)  # of the last piece, shortest piece first
+            inside = k[None, :] <= ends[:, None]
             with np.errstate(over="ignore"):
-                key = _mix(h[e] - h[start] * self.powers[1 : m + 1, None])
-            at, found = self._probe(key, np.arange(1, m + 1)[:, None])
-            score = best[start] + found
-            k = score.argmax(axis=0)
-            top, raw = score[k, lanes], best[e - 1] + width[:, e - 1] * self.v.byte_score
-            best[e], up = np.maximum(top, raw), top > raw
-            back[e], place[e] = np.where(up, k + 1, 1), np.where(up, at[k, lanes], -1)
+                key = _mix(h[ends][:, None] - h[np.where(inside, ends[:, None] - k, 0)] * self.powers[k][:, None])
+            at, found = self._probe(key, k[:, None])
+            found[~inside] = -np.inf
+            for i, e in enumerate(range(lo, int(ends[-1]) + 1)):
+                top_at = longest + e - 1
+                score = best[top_at : top_at - len(k) if top_at >= len(k) else None : -1] + found[i]
+                j = score.argmax(axis=0)
+                top, raw = score[j, lanes], best[top_at] + width[:, e - 1]
+                best[top_at + 1], up = np.maximum(top, raw), top > raw
+                back[e], place[e] = np.where(up, j + 1, 1), np.where(up, at[i, j, lanes], -1)
         return back, place
 
     def _probe(self, key: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,43 +112,17 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return at, np.where((self.keys[at] == key) & (self.lengths[at] == length), self.scores[at], -np.inf)
 
-    def _long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """_viterbi of one long word (L), with the probes of a block of positions made together."""
-        length, longest = len(codes), self.v.longest
-        h = self._prefix(codes[None, :].astype(np.uint64))[:, 0]
-        best = np.full(longest + length + 1, -np.inf)  # `longest` places before the start, which no piece reaches
-        best[longest] = 0
-        back, place = np.ones((length + 1, 1), np.int8), np.full((length + 1, 1), -1, np.int32)
-        width = np.select([codes < 0x80, codes < 0x800, (codes < 0x10000) | (codes == _LITERAL)], [1, 2, 3], 4) * self.v.byte_score
-        k = np.arange(1, longest + 1)
-        for lo in range(1, length + 1, BLOCK):
-            ends = np.arange(lo, min(length, lo + BLOCK - 1) + 1)
-            inside = k[None, :] <= ends[:, None]
-            with np.errstate(over="ignore"):
-                key = _mix(h[ends][:, None] - h[np.where(inside, ends[:, None] - k, 0)] * self.powers[k])
-            at, found = self._probe(key, k)
-            found[~inside] = -np.inf
-            for i, e in enumerate(range(lo, int(ends[-1]) + 1)):
-                score = best[longest + e - 1 : e - 1 if e else None : -1] + found[i]
-                j = score.argmax()
-                raw = best[longest + e - 1] + width[e - 1]
-                if score[j] > raw:
-                    best[longest + e], back[e, 0], place[e, 0] = score[j], j + 1, at[i, j]
-                else:
-                    best[longest + e] = raw
-        return back, place
-
     def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
-            for lo in range(0, len(group), 4096 if length <= LONG else 1):
-                part = group[lo : lo + (4096 if length <= LONG else 1)]
+            lanes = max(1, min(LANES, CELLS // length))
+            for lo in range(0, len(group), lanes):
+                part = group[lo : lo + lanes]
                 codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), length).astype(np.int64)
                 codes = np.where(codes == _MARK, _LITERAL, np.where(codes == 32, _MARK, codes))
-                back, place = self._viterbi(codes) if length <= LONG else self._long(codes[0])
-                self._trace(part, codes, back, place)
+                self._trace(part, codes, *self._viterbi(codes))
 
     def _trace(self, words: list[str], codes: np.ndarray, back: np.ndarray, place: np.ndarray) -> None:
         """Follow all words' backpointers together; ids are written from the last slot backwards."""
