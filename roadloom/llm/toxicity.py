@@ -37,7 +37,8 @@ CONTEXT = 6
 THRESHOLD = 0.7
 MEMO_WORDS = 300_000
 WORD = re.compile(r"\w+")
-_QUOTES = set("\"'«»“”„‘’‹›`")
+#: A quotation mark; an apostrophe between two letters is none.
+_QUOTE = re.compile(r"[\"«»“”„‘‹›`]|(?<!\w)['’]|['’](?!\w)")
 #: Reporting words of English, French, German and Spanish.
 REPORTING = frozenset(
     "said says say wrote writes quote quoted quotes called calling term word reported according "
@@ -170,9 +171,9 @@ class Scorer:
             if w in seen:
                 a, b = tokens[k]
                 lo, hi = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
-                before, after = text[tokens[lo][0] : a], text[b : tokens[hi - 1][1]]
-                quoted = bool(_QUOTES.intersection(before)) and bool(_QUOTES.intersection(after))
-                tight = a > 0 and text[a - 1] in _QUOTES and b < len(text) and text[b] in _QUOTES
+                before, after = _QUOTE.search(text, tokens[lo][0]), _QUOTE.search(text, b)
+                quoted = before is not None and before.start() < a and after is not None and after.start() < tokens[hi - 1][1]
+                tight = a > 0 and _QUOTE.match(text, a - 1) is not None and after is not None and after.start() == b
                 told = sum(x in REPORTING for x in words[lo:hi])
                 out.append((a, b, *self._find(w), min(1.0, 0.4 * quoted + 0.6 * tight + 0.2 * min(2, told))))
         return out
