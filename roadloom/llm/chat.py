@@ -150,9 +150,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     spark = session(turns)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), turns["role"].cast("string").alias("role"), turns["text"].cast("string").alias("text"))
-    order = ["conv_id", "turn", "role", "text", "tie"]
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())  # lets a range boundary fall between equal rows
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
+    order = ["conv_id", "turn", "role", "digest"]
+    rows = rows.withColumns({"digest": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})  # a tie lets a range boundary fall between equal rows
+    rows = rows.repartitionByRange(parts, *order, "tie").sortWithinPartitions(*order, "text", "tie").drop("digest", "tie")  # range keys are sampled on the driver, so no text is one
     rows = cut(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     # A stretch: a run of one conversation inside a task, cut where it grows long. `at` rises along the order.
     roles = rows.select("conv_id", "part", F.floor(F.col("at") % F.lit(1 << 33) / STRETCH).alias("stretch"), "at", "role")
