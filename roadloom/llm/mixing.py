@@ -157,10 +157,12 @@ def _mixed(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it.
 
-    Rows are told apart by all their columns; rows that are equal in all are taken as often as the mix takes them together.
+    Rows are told apart by all their columns, those of maps and variants by their JSON; rows that are equal in all are
+    taken as often as the mix takes them together.
     """
-    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
-    key = F.xxhash64(*(docs[f"`{c}`"] for c in plain))
+    odd = [c for c, t in docs.dtypes if "map<" in t or "variant" in t]  # have no hash of their own
+    plain = [docs[f"`{c}`"] for c in docs.columns if c not in odd]
+    key = F.xxhash64(*plain, *(F.to_json(F.struct(docs[f"`{c}`"]), {"ignoreNullFields": "false"}) for c in odd))
     taken = _mixed(_keyed(docs, key), **options).groupBy("key").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 0")
     taken = cut(taken.withColumnRenamed("key", "_key"))
     found = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), key.alias("_key")).join(taken, "_key")
