@@ -194,6 +194,24 @@ def compact(v, digits: int = 3) -> Column:
     return F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(F.bround(v, digits).cast("string"))
 
 
+# The column behind each metric of a map.
+METRIC_COLUMNS = {"xijt": "x_ijt", "density": "density_veh_per_km_lane", "congestion": "congestion_index", "saturation": "xijt_saturation"}
+
+
+def metric_value(metric: str) -> Column:
+    """The value of a metric in a row of flow measures, 0 where it is none."""
+    if metric not in METRIC_COLUMNS:
+        raise ValueError(f"no metric {metric}; there are {', '.join(METRIC_COLUMNS)}")
+    v = F.col(METRIC_COLUMNS[metric]).cast("double")
+    return F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v)
+
+
+def metric_text(metric: str, value: Column | None = None) -> Column:
+    """How a metric's value stands in a payload: congestion with four digits, all others as compact numbers."""
+    v = metric_value(metric) if value is None else value
+    return F.bround(v, 4).cast("string") if metric == "congestion" else compact(v)
+
+
 def color_class(v, breaks) -> Column:
     """How many breaks a value exceeds."""
     return F.aggregate(F.transform(col(breaks), lambda b: (col(v) > b).cast("int")), F.lit(0), lambda a, x: a + x)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roadloom.functions import scalars as S
 from roadloom.operators import matrices, payloads, topology
 from roadloom.plans.catalogue import register
 from roadloom.plans.networks import NEIGHBORS_SQL
 from roadloom.plans.roles import nation_edges, table
-from roadloom.sources import remote, tables
+from roadloom.sources import merging, remote, tables
 from roadloom.sources.lineage import cut, scratch
 
 NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -95,3 +96,47 @@ def remote_columns(spark, sf):
             part = cut(spark.read.format("remote_parquet").option("columns", "o_orderkey,o_totalprice").load(s.url))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@register("""SELECT year(l_shipdate)::VARCHAR AS year, count(*) FILTER (l_linenumber <> 3 AND l_linenumber <> 5) AS good, count(*) FILTER (l_linenumber = 3) AS bad_fields, count(*) FILTER (l_linenumber = 5) AS bad_flows,
+sum(CASE WHEN l_linenumber <> 3 AND l_linenumber <> 5 THEN l_quantity END)::BIGINT AS samples, round(sum(CASE WHEN l_linenumber <> 3 AND l_linenumber <> 5 THEN l_extendedprice END), 2) AS flow FROM lineitem GROUP BY 1""")
+def merged_loads(spark, sf):
+    """U1, SC9, F4, F5: lines as station files, those of early years by day without a header, later ones by month with one
+    and other columns, in one load; a line cut short and one whose flow is no number are put aside."""
+    line = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y"), F.col("l_suppkey").cast("string").alias("station"), F.col("l_quantity").cast("int").cast("string").alias("samples"), F.col("l_extendedprice").cast("string").alias("flow"), "l_linenumber")
+    flow = F.when(F.col("l_linenumber") == 5, F.lit("n/a")).otherwise(F.col("flow"))
+    early, n = F.col("y") < 1995, F.col("l_linenumber")
+    text = F.when(early, F.concat_ws(",", "station", F.when(n != 3, F.lit("ML")), "samples", flow)).otherwise(F.concat_ws(",", flow, "samples", F.when(n != 3, F.lit("x")), "station"))
+    name = F.concat(F.when(early, F.lit("day_")).otherwise(F.lit("month_")), "y", F.lit("_"), F.pmod(F.xxhash64("station", "flow"), F.lit(8)))
+    body = line.select(name.alias("name"), text.alias("value"), F.lit(1).alias("k"))
+    heads = body.where("name LIKE 'month%'").select("name", F.lit("Total Flow,Samples,Note,Station ID").alias("value"), F.lit(0).alias("k")).distinct()
+    path = scratch(spark, "loads")
+    body.unionByName(heads).repartition("name").sortWithinPartitions("name", "k").select("name", "value").write.partitionBy("name").text(f"{path}/written")
+    _named(spark, f"{path}/written", f"{path}/files")
+    layouts = [merging.Layout(r"day_(\d{4})_\d+\.txt$", ("station", "lane", "samples", "flow"), ("year",)), merging.Layout(r"month_(\d{4})_\d+\.txt$", None, ("year",))]
+    columns = {"station": ("string", ("station", "Station ID")), "samples": ("int", ("samples", "Samples")), "flow": ("double", ("flow", "Total Flow"))}
+    rows = merging.read_merged(spark, f"{path}/files", layouts, columns, ["station"], "*.txt").withColumn("ok", F.size("problems") == 0)
+    short = F.exists("problems", lambda p: p.contains("fields of"))
+    return rows.groupBy("year").agg(
+        F.count_if("ok").alias("good"), F.count_if(short).alias("bad_fields"), F.count_if(~F.col("ok") & ~short).alias("bad_flows"), F.sum(F.when(F.col("ok"), F.col("samples"))).alias("samples"), F.round(F.sum(F.when(F.col("ok"), F.col("flow"))), 2).alias("flow")
+    )
+
+
+def _named(spark, written: str, at: str) -> None:
+    """Files of `written`/name=x/ as `at`/x.txt: file systems' renames, a call a file."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(written).getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path(at))
+    for r in tables.listing(spark, written).where("path LIKE '%/name=%/part-%'").collect():
+        fs.rename(path(r.path), path(f"{at}/{r.path.rsplit('/name=', 1)[1].split('/')[0]}.txt"))
+
+
+@register("""SELECT p_partkey, CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE round_even(x, 3)::DOUBLE::VARCHAR END AS xijt, CASE WHEN d = floor(d) THEN d::BIGINT::VARCHAR ELSE round_even(d, 3)::DOUBLE::VARCHAR END AS density, round_even(x / (len * 300), 4)::DOUBLE::VARCHAR AS congestion
+FROM (SELECT p_partkey, p_size::DOUBLE AS x, greatest(p_retailprice / 1000, 1e-6) AS len, p_size / (greatest(p_retailprice / 1000, 1e-6) * 2) AS d FROM part)""")
+def metric_values(spark, sf):
+    """metrics of parts by their names."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x_ijt"), (F.col("p_retailprice") / 1000).alias("len"), F.lit(2.0).alias("lanes"), F.lit(150.0).alias("jam"), F.lit(1800.0).alias("lc"), F.lit(1.0).alias("cap"))
+    m = S.flow_measures("x_ijt", "len", "lanes", "jam", "lc", "cap")
+    rows = p.withColumns({"density_veh_per_km_lane": m["density"], "congestion_index": m["congestion"]})
+    return rows.select("p_partkey", *(S.metric_text(k).alias(k) for k in ("xijt", "density", "congestion")))
