@@ -114,7 +114,7 @@ w0 AS (SELECT source, target, target AS here, target::VARCHAR AS path FROM q)"""
 STEP = "SELECT w.source, w.target, coalesce(p, here) AS here, CASE WHEN p IS NULL THEN path ELSE p || '>' || path END AS path"
 
 
-@register(f"WITH {TRIPS_SQL}, {EDGES_SQL}{RECURSE}{VIA}, " + ", ".join(f"w{k + 1} AS ({STEP} FROM w{k} w LEFT JOIN v ON v.source = w.source AND v.node = w.here AND w.here <> w.source)" for k in range(8)) + " SELECT source, target, path FROM w8")
+@register(f"WITH {TRIPS_SQL}, {EDGES_SQL}{RECURSE}{VIA}, " + ", ".join(f"w{k + 1} AS ({STEP} FROM w{k} w LEFT JOIN v ON v.source = w.source AND v.node = w.here AND w.here <> w.source)" for k in range(8)) + " SELECT source, target, CASE WHEN here = source THEN path ELSE '' END AS path FROM w8")
 def route_paths(spark, sf):
     """GR6: the nodes of each route, every node keeping the predecessor settled first."""
     n = _nations(spark, sf)

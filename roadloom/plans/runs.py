@@ -208,7 +208,7 @@ def sublines(spark, sf):
 
 
 @register("""SELECT i // 48 + 1 AS day, count(*) AS n, count(*) FILTER ((i % 48) // 2 IN (7, 8, 9)) AS morning, count(*) FILTER ((i % 48) // 2 IN (17, 18, 19)) AS evening, bool_or((i // 48) % 7 + 1 IN (6, 7)) AS weekend, sum(1 + ((i % 48) // 2 IN (7, 8, 9))::INT)::DOUBLE AS design
-FROM (SELECT DISTINCT (epoch(ts)::BIGINT - 1704067200) // 1800 AS i FROM events) GROUP BY 1""")
+FROM (SELECT DISTINCT floor((epoch(ts) - 1704067200) / 1800)::BIGINT AS i FROM events) GROUP BY 1""")
 def time_flags(spark, sf):
     """F32, R7, G2: the half hours that have events, counted from the first of 2024, with their flags."""
     slots = table(spark, sf, "events").select(F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 1800).alias("id")).distinct()

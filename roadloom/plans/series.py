@@ -215,13 +215,13 @@ def _half_hours(spark, sf):
     return table(spark, sf, "events").select((F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 1800) + 1).cast("int").alias("t")).distinct()
 
 
-@register(f"""SELECT t::INT AS t, {', '.join(f"round({f}(2 * {math.pi!r} * {j} * ((t - 1) % 48) / 48), 9) + 0 AS {f}{j}" for j in (1, 2) for f in ("sin", "cos"))} FROM (SELECT DISTINCT (epoch(ts)::BIGINT - 1704067200) // 1800 + 1 AS t FROM events)""")
+@register(f"""SELECT t::INT AS t, {', '.join(f"round({f}(2 * {math.pi!r} * {j} * ((t - 1) % 48) / 48), 9) + 0 AS {f}{j}" for j in (1, 2) for f in ("sin", "cos"))} FROM (SELECT DISTINCT floor((epoch(ts) - 1704067200) / 1800)::BIGINT + 1 AS t FROM events)""")
 def season_features(spark, sf):
     s = _half_hours(spark, sf).withColumn("f", S.season("t"))
     return s.select("t", *((F.round(F.get("f", F.lit(i)), 9) + 0.0).alias(n) for i, n in enumerate(("sin1", "cos1", "sin2", "cos2"))))
 
 
-@register("""SELECT t::INT AS t, round(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT, 9)::DOUBLE AS eta, round(exp(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT), 9) AS lam FROM (SELECT DISTINCT (epoch(ts)::BIGINT - 1704067200) // 1800 + 1 AS t FROM events)""")
+@register("""SELECT t::INT AS t, round(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT, 9)::DOUBLE AS eta, round(exp(1.5 + 0.4 * (t % 24 IN (7, 8, 9))::INT - 0.3 * (t % 7 IN (6, 0))::INT), 9) AS lam FROM (SELECT DISTINCT floor((epoch(ts) - 1704067200) / 1800)::BIGINT + 1 AS t FROM events)""")
 def design_eta(spark, sf):
     t = F.col("t")
     f = F.array(F.lit(1.0), (t % 24).isin(7, 8, 9).cast("double"), (t % 7).isin(6, 0).cast("double"))
