@@ -171,8 +171,9 @@ class Scorer:
             if w in seen:
                 a, b = tokens[k]
                 lo, hi = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
-                before, after = _QUOTE.search(text, tokens[lo][0]), _QUOTE.search(text, b)
-                quoted = before is not None and before.start() < a and after is not None and after.start() < tokens[hi - 1][1]
+                end = tokens[hi - 1][1]
+                before, after = _QUOTE.search(text, tokens[lo][0], a + 1), _QUOTE.search(text, b, end + 1)  # with the letter behind, which tells an apostrophe
+                quoted = before is not None and after is not None and after.start() < end
                 tight = a > 0 and _QUOTE.match(text, a - 1) is not None and after is not None and after.start() == b
                 told = sum(x in REPORTING for x in words[lo:hi])
                 out.append((a, b, *self._find(w), min(1.0, 0.4 * quoted + 0.6 * tight + 0.2 * min(2, told))))
