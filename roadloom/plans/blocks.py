@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.functions import scalars as S
-from roadloom.operators import matrices, payloads, topology
+from roadloom.operators import matrices, payloads, raster, topology
 from roadloom.plans.catalogue import register
 from roadloom.plans.networks import NEIGHBORS_SQL
 from roadloom.plans.roles import nation_edges, table
@@ -140,3 +140,19 @@ def metric_values(spark, sf):
     m = S.flow_measures("x_ijt", "len", "lanes", "jam", "lc", "cap")
     rows = p.withColumns({"density_veh_per_km_lane": m["density"], "congestion_index": m["congestion"]})
     return rows.select("p_partkey", *(S.metric_text(k).alias(k) for k in ("xijt", "density", "congestion")))
+
+
+@register("""WITH p AS (SELECT user_id AS px, hour(ts) AS py, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2), l AS (SELECT k AS level, px // (1 << k) AS px, py // (1 << k) AS py, sum(value) AS value FROM p, range(4) r(k) GROUP BY 1, 2, 3)
+SELECT level::INT AS level, (px // 64)::BIGINT AS tx, (py // 64)::BIGINT AS ty, count(*) FILTER (value > 0) AS lit, sum(value) AS total FROM l GROUP BY 1, 2, 3""")
+def heat_tiles(spark, sf):
+    """V7, V8, SK7: edges against hours as a heat map in tiles of four levels; the pictures are drawn and left out."""
+    p = raster.point_pixels(table(spark, sf, "events"), F.col("user_id"), F.hour("ts"), F.lit(1))
+    return raster.tiles(raster.pyramid(p, 4), 64).where(F.length("png") > 0).drop("png")
+
+
+@register()
+def map_tiles(spark, sf):
+    """V2, SK6: vectors as road segments on a map in tiles of three levels, with their pictures."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 1000
+    s = table(spark, sf, "embeddings").select(at(0).alias("ax"), at(1).alias("ay"), (at(0) + at(2) / 4).alias("bx"), (at(1) + at(3) / 4).alias("by"))
+    return raster.tiles(raster.pyramid(raster.line_pixels(s, 1.0, F.lit(1)), 3))
