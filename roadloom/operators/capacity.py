@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators.kernels import QuantileBooster
 from roadloom.operators.quantiles import quantiles
+from roadloom.sources.lineage import cut
 
 
 def features(links: DataFrame, stats: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def fit_capacity(rows: DataFrame, least_active: int = 12, least_rows: int = 100,
     The model is fitted on the driver, on at most `most_rows` training rows (all of them in most networks, else about that
     many by a hash threshold and the first of those), and applied to all rows in parallel.
     """
+    rows = cut(rows)  # counted, sampled and predicted from
     usable = rows.where((F.col("active") >= least_active) & (F.pmod(F.xxhash64("edge"), F.lit(5)) != 0))
     n = usable.count()
     if n > most_rows:

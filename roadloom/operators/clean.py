@@ -107,7 +107,8 @@ def merge_links(links: DataFrame, ordinal: str) -> DataFrame:
         *([joined_in_order("link_key", ordinal).alias("link_keys")] if "link_key" in links.columns else []),
     )
     out = out.withColumn("edge_id", F.concat_ws("->", "from_node_id", "to_node_id"))
-    keys = dense_index(links.select("from_node_id", "to_node_id").distinct(), ["from_node_id", "to_node_id"], "edge_index")
+    out = cut(out)  # aggregated once, for its rows and for their keys
+    keys = dense_index(out.select("from_node_id", "to_node_id"), ["from_node_id", "to_node_id"], "edge_index")
     return out.join(keys, out["from_node_id"].eqNullSafe(keys["from_node_id"]) & out["to_node_id"].eqNullSafe(keys["to_node_id"])).select(*(out[c] for c in out.columns), "edge_index")
 
 

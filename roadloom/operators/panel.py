@@ -172,3 +172,11 @@ def counters(segments: DataFrame) -> DataFrame:
     """One row of run counters in one pass."""
     n = lambda s: F.count_if(F.col("status") == s)
     return segments.agg(F.count("*").alias("segments"), n("ok").alias("used"), n("bad").alias("bad"), n("skipped").alias("skipped"), n("missing").alias("missing"), F.max("leave").alias("max_time"))
+
+
+def ranked(rows: DataFrame, value: str, ties: list[str], name: str = "rank") -> DataFrame:
+    """Adds the place of each row by falling value, then by the tie columns, from 1; numbered by ranges, in many tasks."""
+    from roadloom.operators.clean import dense_index
+
+    out = dense_index(rows.withColumn("_less", -F.col(value)), ["_less", *ties], name)
+    return out.withColumn(name, F.col(name) + 1).drop("_less")

@@ -79,6 +79,13 @@ def missing_edges(spark, sf):
     return panel.missing_edges(panel.path_segments(paths(spark, sf)), nation_edges(spark, sf))
 
 
+@register(f"""WITH {TRIPS_SQL}, {EDGES_SQL}, {STEPS_SQL}, m AS (SELECT "from", "to", count(*) AS count FROM segments WHERE NOT EXISTS (FROM edges e WHERE e."from" = segments."from" AND e."to" = segments."to") GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY count DESC, "from", "to") AS rank FROM m""")
+def missing_edges_ranked(spark, sf):
+    """L1, L2: missing edges by how often they are passed, as ranks, which a table keeps and an order doesn't."""
+    return panel.ranked(missing_edges(spark, sf), "count", ["from", "to"])
+
+
 @register(f"""WITH {STEPS_SQL}, c AS (SELECT "from", "to", enter AS a, least(leave, 1440) AS b FROM segments WHERE leave >= enter AND enter <= 1440),
 d AS (SELECT "from", "to", unnest(CASE WHEN b - a <= 1e-9 THEN CASE WHEN a >= 1440 THEN [] ELSE [floor(a / 5)::BIGINT] END ELSE range(floor(a / 5)::BIGINT, floor((b - 1e-9) / 5)::BIGINT + 1) END) AS k FROM c)
 SELECT k::INT AS time_bin, "from", "to", count(*)::DOUBLE AS x FROM d GROUP BY ALL""")
