@@ -12,6 +12,7 @@ def dirichlet(alpha, rng) -> np.ndarray:
     return g / g.sum()
 
 
+# Jitters here, and below the defaults of priors, noises and sizes, which must agree for like results.
 def cholesky(a: np.ndarray, jitters=(0.0, 1e-10, 1e-8, 1e-6, 1e-4)) -> np.ndarray:
     """Lower factor of a symmetrised matrix, with the least jitter that works."""
     a = (a + np.swapaxes(a, -1, -2)) / 2
