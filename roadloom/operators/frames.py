@@ -41,8 +41,10 @@ def frame_stats(rows: DataFrame, frame: str, value: str) -> DataFrame:
 def congestion_frames(rows: DataFrame, key: str, frame: str, speed: str, volume: str) -> DataFrame:
     """key, frame, congestion: the slowdown against a key's free-flow speed (0.9 of its speeds but 0), weighted by volume
     against 0.95 of all volumes."""
-    free = quantiles(rows.where(F.col(speed) != 0), [key], speed, (0.9,)).select(F.col(key).alias("_k"), F.col("q")[0].alias("_free"))
-    top = quantiles(rows, [], volume, (0.95,)).select(F.col("q")[0].alias("_top"))  # one row
+    n = rows.count()
+    most = n if n <= ONE_TASK_ROWS else None
+    free = quantiles(rows.where(F.col(speed) != 0), [key], speed, (0.9,), most=most).select(F.col(key).alias("_k"), F.col("q")[0].alias("_free"))
+    top = quantiles(rows, [], volume, (0.95,), most=most).select(F.col("q")[0].alias("_top"))  # one row
     out = rows.join(free, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_free", F.coalesce("_free", F.lit(0.0))).crossJoin(F.broadcast(top))
     return out.select(key, frame, congestion(speed, "_free", volume, "_top").alias("congestion"))
 
@@ -53,9 +55,11 @@ def congestion_runs(rows: DataFrame, key: str, time: str, value: str, threshold:
     Bins are ranked on their distinct values, which is one row a bin; a run starts where the bin before is missing, and a
     streak is a bin's distance from its run's start.
     """
-    ranked = Scan(rows.select(time).distinct(), [], [time], one_task).number("_rank").done()
+    n = rows.count()
+    most = n if n <= one_task else None  # of few rows no key or bin has many
+    ranked = Scan(rows.select(time).distinct(), [], [time], one_task, most).number("_rank").done()
     hot = rows.where(F.col(value) >= threshold).join(ranked, time).select(key, time, "_rank")
-    scan = Scan(hot, [key], ["_rank"], one_task).lag("_before", F.col("_rank"))
+    scan = Scan(hot, [key], ["_rank"], one_task, most).lag("_before", F.col("_rank"))
     start = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("_rank") - 1), F.col("_rank"))
     return scan.last("_start", start).done().select(key, time, (F.col("_rank") - F.col("_start") + 1).alias("streak"))
 

@@ -13,16 +13,20 @@ from roadloom.sources.lineage import cut
 ONE_TASK_ROWS = 1_000_000
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], one_task: int = ONE_TASK_ROWS) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], one_task: int = ONE_TASK_ROWS, most: int | None = None) -> DataFrame:
     """keys, q: the array of quantiles `at` of each group's finite values; a group without any has no row.
 
-    Where a group is larger than one task should hold, values are counted (map-side first), and the counts are range-partitioned by group and value, so that one group, or
+    `most` is how many rows a group has at most where the caller knows it, which saves counting them. Where a group is
+    larger than one task should hold, values are counted (map-side first), and the counts are range-partitioned by group and value, so that one group, or
     the whole table as one, spans many tasks. Ranks are running sums inside a partition plus what stands before it, which
     is one row a partition and group. The built-in aggregate would hold all distinct values of a group in one task.
     """
     keys = list(keys)
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf"))
-    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most is None:
+        most = rows.count()
+        if most > one_task:
+            most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if most <= one_task:
         found = rows.where(ok).groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*(F.lit(float(q)) for q in at))).alias("q"))
         return found.where(F.col("q").isNotNull())

@@ -30,7 +30,9 @@ class Scan:
     def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str], one_task: int = ONE_TASK_ROWS, most: int | None = None):
         self.keys, self.order = list(keys), list(order)
         if most is None:
-            most = rows.groupBy(*self.keys).count().agg(F.max("count")).first()[0] or 0
+            most = rows.count()
+            if most > one_task:
+                most = rows.groupBy(*self.keys).count().agg(F.max("count")).first()[0] or 0
         self.split = most > one_task
         if self.split:  # range bounds are sampled, so the dealing is fixed
             rows = cut(rows.repartitionByRange(*self.keys, *self.order).withColumn("_part", F.spark_partition_id()))
