@@ -25,6 +25,25 @@ def weighted(value: str, weight: str, policy: str = "strict") -> Column:
     return F.try_divide(num, den)
 
 
+def weighted_rounded(value: str, weight: str, unit: int, digits: int) -> Column:
+    """The strict mean of value by weight, rounded half away from zero.
+
+    Where a group's weights are whole, its values whole multiples of 1 / unit and its sums under 2 ** 53, sums are of whole
+    numbers, so that no order of addition decides how a mean that ends in a 5 is rounded. Other groups round the plain mean.
+    """
+    v, w = F.col(value), F.col(weight)
+    use = (w > 0) & v.isNotNull()
+    n, m = F.round(v * unit).try_cast("bigint"), w.try_cast("bigint")
+    x = F.try_multiply(n, m)
+    whole = F.bool_and(F.when(use, F.coalesce((n / unit == v) & (m == w) & x.isNotNull(), F.lit(False))))
+    num, den = F.try_sum(F.when(use, x)), F.try_multiply(F.try_sum(F.when(use, m)), F.lit(unit).cast("bigint"))
+    small = F.coalesce((num.between(-(2**53), 2**53)) & (den < 2**40), F.lit(False))
+    size = F.when(small, F.abs(num))
+    over = F.try_mod(size, den)
+    steps = F.try_divide(size - over, den) * 10**digits + F.floor(F.try_divide(over * (2 * 10**digits) + den, 2 * den))
+    return F.when(whole & small, F.signum(num) * steps / 10**digits).otherwise(F.round(weighted(value, weight), digits))
+
+
 def month_summary(rows: DataFrame) -> DataFrame:
     """station, month, ts, samples, flow, speed -> records, sums, counts, plain and weighted means, first and last time.
 

@@ -55,7 +55,7 @@ for _p in ("reference", "strict"):
 @register("""WITH y AS (SELECT l_suppkey AS station, year(l_shipdate)::INT AS slot, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 3) AS value FROM lineitem GROUP BY 1, 2)
 SELECT station, string_agg(slot || '=' || printf('%.3f', value), ',' ORDER BY slot) AS flows FROM y GROUP BY station""")
 def annual_weighted_mean(spark, sf):
-    y = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("slot")).agg(F.round(O.weighted("l_extendedprice", "l_quantity"), 3).alias("value"))
+    y = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("slot")).agg(O.weighted_rounded("l_extendedprice", "l_quantity", 100, 3).alias("value"))
     flows = O.flow_map(y, "station", "slot", "value")
     return flows.select("station", F.array_join(F.transform(F.map_entries("flows"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.format_string("%.3f", e["value"]))), ",").alias("flows"))
 

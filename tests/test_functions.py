@@ -95,3 +95,11 @@ def test_weighted_mean_of_nothing(spark):
         assert rows.groupBy("station").agg(stations.weighted("flow", "samples", policy).alias("m")).first().m is None
     with pytest.raises(ValueError):
         stations.weighted("a", "b", "other")
+
+
+def test_weighted_mean_that_ends_in_five_is_rounded_exactly(spark):
+    rows = [(85619.57, 3.0), (45437.13, 33.0), (16548.38, 48.0), (99093.31, 28.0)]  # 47546.5975; a running sum of doubles falls short of it
+    mean = lambda r: spark.createDataFrame(r, "flow double, samples double").coalesce(1).agg(stations.weighted_rounded("flow", "samples", 100, 3).alias("m")).first().m
+    assert mean(rows) == mean(rows[::-1]) == 47546.598 and mean([(-f, s) for f, s in rows]) == -47546.598
+    assert mean([(1.005, 1.0), (2.0, 1.0)]) == 1.503 and mean([(1.0, 0.5), (2.0, 0.5)]) == 1.5 and mean([(1.0, 0.0), (None, 2.0)]) is None
+    assert mean([(float("inf"), 1.0)]) == float("inf") and mean([(1e300, 2.0), (1e300, 1.0)]) == 1e300
