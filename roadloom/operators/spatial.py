@@ -40,6 +40,58 @@ def covered(ax, ay, bx, by, size: float) -> Column:
     return F.flatten(F.transform(F.sequence(f(lx), f(hx)), column))
 
 
+#: A nearest search starts at the coarsest squares of which those around a point hold at most this many middles.
+NEAR = 16
+#: Its squares are halved this often at most, and not below a 64th of the segments' mean length.
+NEAR_LEVELS = 12
+
+
+def _nearest(queries: DataFrame, segments: DataFrame, radius: float, spread: float, others: bool) -> DataFrame:
+    """id, way, seg, dist, t: the nearest segment (way, seg, ax, ay, bx, by, group) of each query (id, x, y, group) among
+    those of its group within radius; ties to the least way, then seg.
+
+    At level k, the reach is radius / 2 ** k and squares are `spread` times as wide. A query starts at the level that fits
+    the density around it (counts of segments' middles by squares) and goes up a level while nothing is within reach, so a
+    query meets few segments however many are within the radius. Of segments at one place only the least way counts, or
+    the two least where a query's own is left out.
+    """
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    ax, ay, bx, by = ends
+    reach = lambda k: F.lit(float(radius)) / F.pow(F.lit(2.0), k)
+    size = lambda k: F.lit(float(spread * radius)) / F.pow(F.lit(2.0), k)
+    probes = lambda k: F.explode(around(F.col("x"), F.col("y"), size(k), reach(k) * (1 + 1e-9))).alias("cell")
+    same = Window.partitionBy("group", "ax", "ay", "bx", "by").orderBy("way")
+    s = segments.groupBy("group", "ax", "ay", "bx", "by", "way").agg(F.min("seg").alias("seg"))
+    s = cut(s.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= (2 if others else 1)).drop("_n"))
+    middle = s.select("group", ((ax + bx) / 2).alias("x"), ((ay + by) / 2).alias("y"), F.hypot(bx - ax, by - ay).alias("l"))
+    squares = middle.groupBy("group", cell(F.col("x"), F.col("y"), spread * radius).alias("cell")).agg(F.count("*").alias("n"), F.sum("l").alias("l"))
+    top, mean = squares.agg(F.max("n"), F.sum("l") / F.sum("n")).first()
+    deepest = 0
+    while deepest < NEAR_LEVELS and (top or 0) > NEAR * 2**deepest and 64 * spread * radius / 2 ** (deepest + 1) >= mean:
+        deepest += 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")
+    counts = middle.select("group", "x", "y", levels).groupBy("group", "level", cell(F.col("x"), F.col("y"), size(F.col("level"))).alias("cell")).agg(F.count("*").alias("n"))
+    left = cut(queries.select(F.monotonically_increasing_id().alias("_q"), "id", "x", "y", "group"))
+    asked = left.select("_q", "x", "y", "group", levels).select("_q", "group", "level", probes(F.col("level")))
+    near = asked.join(counts, ["group", "level", "cell"], "left").groupBy("_q", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    start = near.groupBy("_q").agg(F.coalesce(F.min(F.when(F.col("n") <= NEAR, F.col("level"))), F.lit(deepest)).alias("level"))
+    left, found = cut(left.join(start, "_q")), []
+    while used := sorted(r.level for r in left.select("level").distinct().collect()):  # a row a level
+        at = s.withColumn("level", F.explode(F.array(*map(F.lit, used))))
+        at = at.withColumn("cell", F.explode(covered(*ends, size(F.col("level")))))
+        hit = left.select("_q", "id", "x", "y", "group", "level", probes(F.col("level"))).join(at, ["group", "level", "cell"])
+        hit = hit.where(F.col("id") != F.col("way")) if others else hit
+        hit = hit.withColumn("p", on_segment("x", "y", *ends)).where(F.col("p.dist") <= reach(F.col("level")))
+        found.append(cut(hit.groupBy("_q", "id").agg(F.min(F.struct(F.col("p.dist").alias("dist"), "way", "seg", F.col("p.t").alias("t"))).alias("m"))))
+        left = cut(left.join(found[-1].select("_q"), "_q", "left_anti").where("level > 0").withColumn("level", F.col("level") - 1))
+    if not found:
+        return s.select(F.col("way").alias("id"), "way", "seg", F.lit(0.0).alias("dist"), F.lit(0.0).alias("t")).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.way", "m.seg", "m.dist", "m.t")
+
+
 def nearest_points(queries: DataFrame, points: DataFrame, radius: float, others: bool = False) -> DataFrame:
     """id, nearest, dist of queries (id, x, y) whose nearest point (pid, px, py) is within radius; ties to the least pid.
 
@@ -51,15 +103,10 @@ def nearest_points(queries: DataFrame, points: DataFrame, radius: float, others:
     return near.groupBy("id").agg(F.min(F.struct("dist", "pid")).alias("m")).select("id", F.col("m.pid").alias("nearest"), F.col("m.dist").alias("dist"))
 
 
-def nearest_segments(queries: DataFrame, segments: DataFrame, radius: float, size: float | None = None, others: bool = False) -> DataFrame:
+def nearest_segments(queries: DataFrame, segments: DataFrame, radius: float, others: bool = False) -> DataFrame:
     """id, way, seg, dist, t of queries (id, x, y) and segments (way, seg, ax, ay, bx, by) within radius."""
-    size = size or radius
-    q = queries.select("id", "x", "y", F.explode(around(F.col("x"), F.col("y"), size, radius)).alias("cell"))
-    s = segments.withColumn("cell", F.explode(covered(*(F.col(c) for c in ("ax", "ay", "bx", "by")), size)))
-    hit = q.join(s, "cell").where((F.col("id") != F.col("way")) if others else F.lit(True))
-    hit = hit.withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("p.dist") <= radius)
-    best = hit.groupBy("id").agg(F.min(F.struct(F.col("p.dist").alias("dist"), "way", "seg", F.col("p.t").alias("t"))).alias("m"))
-    return best.select("id", "m.way", "m.seg", "m.dist", "m.t")
+    one = F.lit("").alias("group")
+    return _nearest(queries.select("id", "x", "y", one), segments.select("way", "seg", "ax", "ay", "bx", "by", one), radius, 8.0, others)
 
 
 def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float = 250.0, others: bool = False) -> DataFrame:
