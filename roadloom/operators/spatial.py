@@ -40,13 +40,14 @@ def covered(ax, ay, bx, by, size: float) -> Column:
     return F.flatten(F.transform(F.sequence(f(lx), f(hx)), column))
 
 
-#: A nearest search starts at the coarsest squares of which those around a point hold at most this many middles.
-NEAR = 16
+#: A nearest search starts at the coarsest squares of which those around a point hold at most this many middles: points,
+#: or segments, which are wider and so are given to fewer squares.
+NEAR, NEAR_SEGMENTS = 16, 64
 #: Its squares are halved this often at most, and not below a 64th of the segments' mean length.
 NEAR_LEVELS = 12
 
 
-def _nearest(queries: DataFrame, segments: DataFrame, radius: float, spread: float, others: bool) -> DataFrame:
+def _nearest(queries: DataFrame, segments: DataFrame, radius: float, spread: float, few: int, others: bool) -> DataFrame:
     """id, way, seg, dist, t: the nearest segment (way, seg, ax, ay, bx, by, group) of each query (id, x, y, group) among
     those of its group within radius; ties to the least way, then seg.
 
@@ -62,24 +63,26 @@ def _nearest(queries: DataFrame, segments: DataFrame, radius: float, spread: flo
     probes = lambda k: F.explode(around(F.col("x"), F.col("y"), size(k), reach(k) * (1 + 1e-9))).alias("cell")
     same = Window.partitionBy("group", "ax", "ay", "bx", "by").orderBy("way")
     s = segments.groupBy("group", "ax", "ay", "bx", "by", "way").agg(F.min("seg").alias("seg"))
-    s = cut(s.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= (2 if others else 1)).drop("_n"))
+    tasks = queries.sparkSession.sparkContext.defaultParallelism  # few rows become many, so small tables are dealt to all cores too
+    s = cut(s.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= (2 if others else 1)).drop("_n").repartition(tasks, "way"))
     middle = s.select("group", ((ax + bx) / 2).alias("x"), ((ay + by) / 2).alias("y"), F.hypot(bx - ax, by - ay).alias("l"))
     squares = middle.groupBy("group", cell(F.col("x"), F.col("y"), spread * radius).alias("cell")).agg(F.count("*").alias("n"), F.sum("l").alias("l"))
     top, mean = squares.agg(F.max("n"), F.sum("l") / F.sum("n")).first()
     deepest = 0
-    while deepest < NEAR_LEVELS and (top or 0) > NEAR * 2**deepest and 64 * spread * radius / 2 ** (deepest + 1) >= mean:
+    while deepest < NEAR_LEVELS and (top or 0) > few * 2**deepest and 64 * spread * radius / 2 ** (deepest + 1) >= mean:
         deepest += 1
     levels = F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")
     counts = middle.select("group", "x", "y", levels).groupBy("group", "level", cell(F.col("x"), F.col("y"), size(F.col("level"))).alias("cell")).agg(F.count("*").alias("n"))
     left = cut(queries.select(F.monotonically_increasing_id().alias("_q"), "id", "x", "y", "group"))
     asked = left.select("_q", "x", "y", "group", levels).select("_q", "group", "level", probes(F.col("level")))
     near = asked.join(counts, ["group", "level", "cell"], "left").groupBy("_q", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    start = near.groupBy("_q").agg(F.coalesce(F.min(F.when(F.col("n") <= NEAR, F.col("level"))), F.lit(deepest)).alias("level"))
-    left, found = cut(left.join(start, "_q")), []
+    start = near.groupBy("_q").agg(F.coalesce(F.min(F.when(F.col("n") <= few, F.col("level"))), F.lit(deepest)).alias("level"))
+    left, found = cut(left.join(start, "_q").repartition(tasks, "_q")), []
     while used := sorted(r.level for r in left.select("level").distinct().collect()):  # a row a level
         at = s.withColumn("level", F.explode(F.array(*map(F.lit, used))))
         at = at.withColumn("cell", F.explode(covered(*ends, size(F.col("level")))))
-        hit = left.select("_q", "id", "x", "y", "group", "level", probes(F.col("level"))).join(at, ["group", "level", "cell"])
+        asked = left.select("_q", "id", "x", "y", "group", "level", probes(F.col("level")))
+        hit = asked.hint("shuffle_hash").join(at, ["group", "level", "cell"])  # the many squares of segments stream by unsorted
         hit = hit.where(F.col("id") != F.col("way")) if others else hit
         hit = hit.withColumn("p", on_segment("x", "y", *ends)).where(F.col("p.dist") <= reach(F.col("level")))
         found.append(cut(hit.groupBy("_q", "id").agg(F.min(F.struct(F.col("p.dist").alias("dist"), "way", "seg", F.col("p.t").alias("t"))).alias("m"))))
@@ -97,33 +100,31 @@ def nearest_points(queries: DataFrame, points: DataFrame, radius: float, others:
 
     With `others`, both are one set, and a point is not its own nearest; likewise below.
     """
-    q = queries.select("id", "x", "y", F.explode(around(F.col("x"), F.col("y"), radius, radius)).alias("cell"))
-    p = points.select("pid", "px", "py", cell(F.col("px"), F.col("py"), radius).alias("cell"))
-    near = q.join(p, "cell").withColumn("dist", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where((F.col("dist") <= radius) & ((F.col("id") != F.col("pid")) if others else F.lit(True)))
-    return near.groupBy("id").agg(F.min(F.struct("dist", "pid")).alias("m")).select("id", F.col("m.pid").alias("nearest"), F.col("m.dist").alias("dist"))
+    one = F.lit("").alias("group")
+    at = (F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("px").alias("bx"), F.col("py").alias("by"))  # segments of no length
+    out = _nearest(queries.select("id", "x", "y", one), points.select(F.col("pid").alias("way"), F.lit(0).alias("seg"), *at, one), radius, 4.0, NEAR, others)
+    return out.select("id", F.col("way").alias("nearest"), "dist")
 
 
 def nearest_segments(queries: DataFrame, segments: DataFrame, radius: float, others: bool = False) -> DataFrame:
     """id, way, seg, dist, t of queries (id, x, y) and segments (way, seg, ax, ay, bx, by) within radius."""
     one = F.lit("").alias("group")
-    return _nearest(queries.select("id", "x", "y", one), segments.select("way", "seg", "ax", "ay", "bx", "by", one), radius, 8.0, others)
+    return _nearest(queries.select("id", "x", "y", one), segments.select("way", "seg", "ax", "ay", "bx", "by", one), radius, 8.0, NEAR_SEGMENTS, others)
 
 
 def stations_on_roads(stations: DataFrame, segments: DataFrame, radius: float = 250.0, others: bool = False) -> DataFrame:
     """Nearest segment of each station (id, x, y, route); segments (way, seg, ax, ay, bx, by, routes).
 
     A segment that carries the station's route comes first; any other counts only where no segment anywhere has
-    that route. The route preference is an equi-join on exploded routes, the distance one on cells.
+    that route. Segments are searched by their routes, and once more without for stations whose route has none.
     """
-    known = segments.select(F.explode("routes").alias("route")).distinct().withColumn("_has", F.lit(True))
-    asked = stations.join(known, "route", "left")
-    q = asked.select("id", "x", "y", "route", "_has", F.explode(around(F.col("x"), F.col("y"), radius, radius)).alias("cell"))
-    s = segments.withColumn("cell", F.explode(covered(*(F.col(c) for c in ("ax", "ay", "bx", "by")), radius)))
-    hit = q.join(s, "cell").where(F.col("_has").isNull() | F.array_contains("routes", F.col("route")))
-    hit = hit.where(F.col("id") != F.col("way")) if others else hit
-    hit = hit.withColumn("p", on_segment("x", "y", "ax", "ay", "bx", "by")).where(F.col("p.dist") <= radius)
-    best = hit.groupBy("id").agg(F.min(F.struct(F.col("p.dist").alias("dist"), "way", "seg")).alias("m"))
-    return best.select("id", "m.way", "m.seg", "m.dist")
+    any_route, named = F.lit("*"), lambda r: F.concat(F.lit("="), r.cast("string"))
+    known = segments.select(F.explode("routes").alias("_known")).distinct()
+    asked = stations.join(known, F.col("route") == F.col("_known"), "left")
+    q = asked.select("id", "x", "y", F.coalesce(named(F.col("_known")), any_route).alias("group"))
+    groups = F.array_union(F.coalesce(F.transform("routes", named), F.array().cast("array<string>")), F.array(any_route))
+    s = segments.select("way", "seg", "ax", "ay", "bx", "by", F.explode(groups).alias("group")).join(q.select("group").distinct(), "group", "left_semi")
+    return _nearest(q, s, radius, 8.0, NEAR_SEGMENTS, others).drop("t")
 
 
 #: A search starts in the largest square of a point that holds at most this many segments' middles.

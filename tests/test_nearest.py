@@ -46,3 +46,18 @@ def test_nearest_segments_meet_few_where_all_are_within_the_radius(spark, within
     got = {r.id: (r.way, r.dist) for r in spatial.nearest_segments(p.select("id", "x", "y"), s, 60.0, others=True).collect()}
     assert len(got) == len(at)
     _some(got, at, end, "segment")
+
+
+def test_stations_meet_few_segments_of_their_routes(spark, within_minutes):
+    p, at, end = _dense(spark, 30_000, 15_000)
+    ends = (F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    s = p.select(F.col("id").alias("way"), F.lit(0).alias("seg"), *ends, F.array(F.col("id") % 2).alias("routes"))
+    got = {r.id: (r.way, r.dist) for r in spatial.stations_on_roads(p.select("id", "x", "y", (F.col("id") % 3).alias("route")), s, 60.0, others=True).collect()}
+    assert len(got) == len(at)
+    _some(got, at, end, "route", lambda i, way: (i % 3 == 2) | (way % 2 == i % 3))
+
+
+def test_routes_that_are_null_or_nowhere(spark):
+    s = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 0.0, ["a", "a"]), (2, 0, 0.0, 1.0, 9.0, 1.0, None), (3, 0, 0.0, 2.0, 9.0, 2.0, ["b", None])], "way int, seg int, ax double, ay double, bx double, by double, routes array<string>")
+    q = spark.createDataFrame([(1, 4.0, 1.0, "a"), (2, 4.0, 1.0, None), (3, 4.0, 1.0, "c"), (4, 4.0, 1.0, "b"), (5, 400.0, 1.0, "a"), (6, None, 1.0, "a")], "id int, x double, y double, route string")
+    assert sorted((r.id, r.way) for r in spatial.stations_on_roads(q, s, 50.0).collect()) == [(1, 1), (2, 2), (3, 2), (4, 3)]
