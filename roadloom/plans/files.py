@@ -102,10 +102,11 @@ def sensor_stats(spark, sf):
 
 @register("""SELECT count(*) AS lines, 'line ' || min(o_orderkey) AS first, 'line ' || max(o_orderkey) AS last FROM orders""")
 def line_facts(spark, sf):
-    """SC21: lines, first line and last non-blank line of a file."""
+    """SC21: lines, first line and last non-blank line of a file, which is written in parts: their names follow the order."""
     path = scratch(spark, "lines")
-    o = table(spark, sf, "orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey")
-    return tables.line_summary(spark, _lines(o.select(F.concat(F.lit("line "), F.col("o_orderkey").cast("string")).alias("value")), path)).select("lines", "first", "last")
+    o = table(spark, sf, "orders").select("o_orderkey").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    parts = tables.line_summary(spark, _lines(o.select(F.concat(F.lit("line "), F.col("o_orderkey").cast("string")).alias("value")), path))
+    return parts.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.min_by("first", "file").alias("first"), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("file"))).alias("last"))
 
 
 @register("""SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06' GROUP BY 1""")
