@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,9 +279,11 @@ def _any_box(x, y, reach: float) -> Column:
     return F.exists("sketch", lambda b: _box(x, y, lambda k: b[k], reach))
 
 
-def chainage(points: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
-    """Adds `at`, the length along each way up to a point; points are way, pos, x, y."""
-    scan = Scan(points, ["way"], ["pos"], one_task).lag("_last", F.struct("x", "y"))
+def chainage(points: DataFrame, one_task: int = ONE_TASK_ROWS, order: Sequence[str] = ("pos",), number: str | None = None) -> DataFrame:
+    """Adds `at`, the length along each way up to a point; points are way, x, y and what they are ordered by. With
+    `number`, points are numbered too, in the same sort."""
+    scan = Scan(points, ["way"], order, one_task)
+    scan = (scan.number(number) if number else scan).lag("_last", F.struct("x", "y"))
     return scan.sum("at", F.coalesce(F.hypot(F.col("x") - F.col("_last.x"), F.col("y") - F.col("_last.y")), F.lit(0.0))).done().drop("_last")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import scalars as S
 from roadloom.operators import spatial, topology
-from roadloom.operators.scans import Scan
 from roadloom.plans.catalogue import register
 from roadloom.plans.roles import EDGES_SQL, TRIPS_SQL, nation_edges, table
 from roadloom.sources import sinks, tables
@@ -186,8 +185,7 @@ SELECT way, pos, round(sum(s) OVER (PARTITION BY way ORDER BY pos), 6) AS at FRO
 def way_chainage(spark, sf):
     """Every line of an order as a point of a way: numbered by line, then by its values, as a line may stand there twice."""
     line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("way"), "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
-    points = Scan(line, ["way"], ["l_linenumber", "x", "y"]).number("pos").done().select("way", "pos", "x", "y")
-    return spatial.chainage(points).select("way", "pos", F.round("at", 6).alias("at"))
+    return spatial.chainage(line, order=("l_linenumber", "x", "y"), number="pos").select("way", "pos", F.round("at", 6).alias("at"))
 
 
 PLACES = "SELECT vec_id AS id, 116.4 + embedding[1]::DOUBLE * 90 AS lon, 39.9 + embedding[2]::DOUBLE * 45 AS lat FROM embeddings"

@@ -16,3 +16,10 @@ def test_line_facts_writes_parts(spark, sf, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert spark.read.text(seen[0]).select(F.col("_metadata.file_name")).distinct().count() > 1
     assert [tuple(r) for r in got] == [(1500, "line 0", "line 1499")]
+
+
+def test_way_chainage_sorts_once(spark, sf):
+    df = catalogue.QUERIES["way_chainage"](spark, sf)
+    assert df._jdf.queryExecution().sparkPlan().toString().count("Window") >= 2
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1
