@@ -21,11 +21,12 @@ def seed_of(*parts: int) -> int:
     return int(np.random.SeedSequence([abs(int(p)) for p in parts]).generate_state(1)[0])
 
 
-def cluster_draws(counts: DataFrame, design: DataFrame, k: int, chains: int = 1, iters: int = 600, burn: int = 300, seed: int = 0, truth: DataFrame | None = None, **options) -> DataFrame:
+def cluster_draws(counts: DataFrame, design: DataFrame, k: int, chains: int = 1, iters: int = 600, burn: int = 300, seed: int = 0, truth: DataFrame | None = None, labels: bool = True, **options) -> DataFrame:
     """Long draws of independent chains: chain, iter, quantity, k, t, edge, value.
 
     counts is (edge, t, y), design (t, f array). A chain needs all counts at once: the matrix goes to its task, one
-    group a chain, and sweeps stay in NumPy. quantities: pi, size, mean_lambda (k), z (edge), ari and acc.
+    group a chain, and sweeps stay in NumPy. quantities: pi, size, mean_lambda (k), z (edge), ari and acc. Without
+    `labels`, z is left out: a row an edge and iteration.
     """
     spark = counts.sparkSession
     rows = counts.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda s: s["y"]).alias("ys"))
@@ -47,7 +48,7 @@ def cluster_draws(counts: DataFrame, design: DataFrame, k: int, chains: int = 1,
             out += [(*at, "mean_lambda", c + 1, None, None, float(v)) for c, v in enumerate(np.exp(d["eta"]).mean(1))]
             if known:
                 out += [(*at, q, None, None, None, float(d[q])) for q in ("ari", "acc")]
-            if d["iter"] > burn:
+            if labels and d["iter"] > burn:
                 out += [(*at, "z", None, None, int(e), float(c + 1)) for e, c in zip(edges, d["z"], strict=True)]
         return pd.DataFrame(out, columns=["chain", "iter", "quantity", "k", "t", "edge", "value"]).astype({"k": "Int32", "t": "Int32", "edge": "Int64"})
 

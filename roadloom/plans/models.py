@@ -32,7 +32,7 @@ def capacity_fit(spark, sf):
 def gibbs_chain(spark, sf):
     """Two chains of the cluster model on the daily counts of all users."""
     design = spark.range(1, 31).select(F.col("id").cast("int").alias("t"), F.array(F.lit(1.0), F.sin(F.col("id") / 5.0)).alias("f"))
-    return chains.chain_summary(chains.cluster_draws(daily(spark, sf), design, 2, chains=2, iters=40, burn=20), 20)
+    return chains.chain_summary(chains.cluster_draws(daily(spark, sf), design, 2, chains=2, iters=40, burn=20, labels=False), 20)
 
 
 def _neighbourhood(spark, sf):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from roadloom.operators import chains
 from roadloom.plans import catalogue
 from roadloom.sources import tables
 
@@ -23,3 +24,11 @@ def test_way_chainage_sorts_once(spark, sf):
     assert df._jdf.queryExecution().sparkPlan().toString().count("Window") >= 2
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Sort [") == 1
+
+
+def test_gibbs_chain_sends_no_labels(spark, sf, monkeypatch):
+    seen, summary = [], chains.chain_summary
+    monkeypatch.setattr(chains, "chain_summary", lambda draws, burn: seen.append(draws) or summary(draws, burn))
+    got = catalogue.QUERIES["gibbs_chain"](spark, sf).collect()
+    assert sorted({r.quantity for r in got}) == ["mean_lambda", "pi", "size"]
+    assert seen[0].count() == 2 * 40 * 6  # chains, iterations, three quantities of two clusters
