@@ -61,3 +61,10 @@ def test_routes_that_are_null_or_nowhere(spark):
     s = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 0.0, ["a", "a"]), (2, 0, 0.0, 1.0, 9.0, 1.0, None), (3, 0, 0.0, 2.0, 9.0, 2.0, ["b", None])], "way int, seg int, ax double, ay double, bx double, by double, routes array<string>")
     q = spark.createDataFrame([(1, 4.0, 1.0, "a"), (2, 4.0, 1.0, None), (3, 4.0, 1.0, "c"), (4, 4.0, 1.0, "b"), (5, 400.0, 1.0, "a"), (6, None, 1.0, "a")], "id int, x double, y double, route string")
     assert sorted((r.id, r.way) for r in spatial.stations_on_roads(q, s, 50.0).collect()) == [(1, 1), (2, 2), (3, 2), (4, 3)]
+
+
+def test_nearest_points_meet_few_where_all_are_within_the_radius(spark, within_minutes):
+    p, at, _ = _dense(spark, 30_000, 15_000)
+    got = {r.id: (r.nearest, r.dist) for r in spatial.nearest_points(p.select("id", "x", "y"), p.select(F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py")), 60.0, others=True).collect()}
+    assert len(got) == len(at)
+    _some(got, at, at, "point")
