@@ -109,16 +109,16 @@ def merged_loads(spark, sf):
     text = F.when(early, F.concat_ws(",", "station", F.when(n != 3, F.lit("ML")), "samples", flow)).otherwise(F.concat_ws(",", flow, "samples", F.when(n != 3, F.lit("x")), "station"))
     name = F.concat(F.when(early, F.lit("day_")).otherwise(F.lit("month_")), "y", F.lit("_"), F.pmod(F.xxhash64("station", "flow"), F.lit(8)))
     body = line.select(name.alias("name"), text.alias("value"), F.lit(1).alias("k"))
-    heads = body.where("name LIKE 'month%'").select("name", F.lit("Total Flow,Samples,Note,Station ID").alias("value"), F.lit(0).alias("k")).distinct()
+    years = line.where(~early).select("y").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))  # a file may have a header only
+    heads = years.select(F.concat(F.lit("month_"), "y", F.lit("_"), "part").alias("name"), F.lit("Total Flow,Samples,Note,Station ID").alias("value"), F.lit(0).alias("k"))
     path = scratch(spark, "loads")
     body.unionByName(heads).repartition("name").sortWithinPartitions("name", "k").select("name", "value").write.partitionBy("name").text(f"{path}/written")
     _named(spark, f"{path}/written", f"{path}/files")
     layouts = [merging.Layout(r"day_(\d{4})_\d+\.txt$", ("station", "lane", "samples", "flow"), ("year",)), merging.Layout(r"month_(\d{4})_\d+\.txt$", None, ("year",))]
     columns = {"station": ("string", ("station", "Station ID")), "samples": ("int", ("samples", "Samples")), "flow": ("double", ("flow", "Total Flow"))}
-    rows = merging.read_merged(spark, f"{path}/files", layouts, columns, ["station"], "*.txt").withColumn("ok", F.size("problems") == 0)
-    short = F.exists("problems", lambda p: p.contains("fields of"))
+    rows = merging.read_merged(spark, f"{path}/files", layouts, columns, ["station"], "*.txt").withColumns({"ok": F.size("problems") == 0, "short": F.exists("problems", lambda p: p.contains("fields of"))})
     return rows.groupBy("year").agg(
-        F.count_if("ok").alias("good"), F.count_if(short).alias("bad_fields"), F.count_if(~F.col("ok") & ~short).alias("bad_flows"), F.sum(F.when(F.col("ok"), F.col("samples"))).alias("samples"), F.round(F.sum(F.when(F.col("ok"), F.col("flow"))), 2).alias("flow")
+        F.count_if("ok").alias("good"), F.count_if("short").alias("bad_fields"), F.count_if(~F.col("ok") & ~F.col("short")).alias("bad_flows"), F.sum(F.when(F.col("ok"), F.col("samples"))).alias("samples"), F.round(F.sum(F.when(F.col("ok"), F.col("flow"))), 2).alias("flow")
     )
 
 

@@ -37,6 +37,42 @@ def test_first_layout_wins_and_headers_alone(spark, tmp_path):
     assert [(r.file, r.flow, r.problems) for r in rows.collect()] == [("a_2.csv", 2.0, [])]
 
 
+def test_texts_are_cast_once_and_lines_stay_where_they_are_read(spark, tmp_path):
+    (tmp_path / "day_2020_01.csv").write_text("Station ID,Total Flow,samples\n" + "".join(f"{i},{i}.5,{i}\n" for i in range(300)))
+    (tmp_path / "raw_2019.txt").write_text("t0,12,,4.25\n")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        rows = M.read_merged(spark, str(tmp_path), LAYOUTS, COLUMNS, ["station"])
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("try_cast(") == 2 * 2  # numbers x layouts
+    assert plan.count("hashpartitioning(") == 1 and "SortMergeJoin" not in plan  # the first lines of files only
+    assert rows.agg(F.count("*"), F.sum("samples"), F.sum(F.size("problems"))).first() == (301, 299 * 150, 0)
+
+
+def test_headers_of_files_in_many_splits(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"day_2020_0{k}.csv").write_text("\n \nsamples,Station ID,Total Flow\n" + "".join(f'{i},"{k}, {i}",{i}.5\n' if i % 2 else f"{i},{k},{i}.5\n" for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        rows = M.read_merged(spark, str(tmp_path), LAYOUTS, COLUMNS, ["station"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file, r.station, r.samples, r.flow, tuple(r.problems)) for r in rows) == sorted((f"day_2020_0{k}.csv", f"{k}, {i}" if i % 2 else f"{k}", i, i + 0.5, ()) for k in range(3) for i in range(200))
+
+
+def test_repeated_and_second_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Station ID,flow,,station,flow,\n1,2,x,3,2,y\n4\n")
+    columns = {"station": ("string", ("", "station", "Station ID")), "flow": ("double", ("none", "flow"))}
+    rows = M.read_merged(spark, str(tmp_path), [M.Layout("a")], columns, ["flow"])
+    assert sorted((r.station, r.flow, r.problems) for r in rows.collect()) == [("3", 2.0, []), ("4", None, ["1 fields of 6", "flow missing"])]
+    (tmp_path / "b.csv").write_text("flow,flow\n1,2\n")
+    for layout in (M.Layout("b"), M.Layout("b", ("flow", "flow"))):
+        with pytest.raises(Exception, match="(?i)key|two values"):
+            M.read_merged(spark, str(tmp_path), [layout], {"flow": ("double", ("flow",))}).collect()
+
+
 def test_metrics_by_name(spark):
     row = spark.createDataFrame([(2.0, 0.12345, 0.98765, None)], "x_ijt double, density_veh_per_km_lane double, congestion_index double, xijt_saturation double")
     got = row.select(*(S.metric_text(m).alias(m) for m in S.METRIC_COLUMNS)).first().asDict()
