@@ -44,6 +44,15 @@ def weighted_rounded(value: str, weight: str, unit: int, digits: int) -> Column:
     return F.when(whole & small, F.signum(num) * steps / 10**digits).otherwise(F.round(weighted(value, weight), digits))
 
 
+def whole_sum(value: Column, unit: int) -> Column:
+    """The sum of a group's values: of whole numbers where all are whole multiples of 1 / unit and the sum is under 2 ** 53
+    of them, so that no order of addition shows in it; else of the values as they are."""
+    n = F.rint(value * unit).try_cast("bigint")
+    whole = F.bool_and((n / unit).eqNullSafe(value) & F.coalesce(n.between(-(2**53), 2**53), F.lit(True)))
+    total = F.try_sum(n)
+    return F.when(whole & total.between(-(2**53), 2**53), total / unit).otherwise(F.sum(value))
+
+
 def month_summary(rows: DataFrame) -> DataFrame:
     """station, month, ts, samples, flow, speed -> records, sums, counts, plain and weighted means, first and last time.
 

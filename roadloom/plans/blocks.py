@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.functions import scalars as S
-from roadloom.operators import matrices, payloads, raster, topology
+from roadloom.operators import matrices, payloads, raster, stations, topology
 from roadloom.plans.catalogue import register
 from roadloom.plans.networks import NEIGHBORS_SQL
 from roadloom.plans.roles import nation_edges, table
@@ -118,7 +118,7 @@ def merged_loads(spark, sf):
     columns = {"station": ("string", ("station", "Station ID")), "samples": ("int", ("samples", "Samples")), "flow": ("double", ("flow", "Total Flow"))}
     rows = merging.read_merged(spark, f"{path}/files", layouts, columns, ["station"], "*.txt").withColumns({"ok": F.size("problems") == 0, "short": F.exists("problems", lambda p: p.contains("fields of"))})
     return rows.groupBy("year").agg(
-        F.count_if("ok").alias("good"), F.count_if("short").alias("bad_fields"), F.count_if(~F.col("ok") & ~F.col("short")).alias("bad_flows"), F.sum(F.when(F.col("ok"), F.col("samples"))).alias("samples"), F.round(F.sum(F.when(F.col("ok"), F.col("flow"))), 2).alias("flow")
+        F.count_if("ok").alias("good"), F.count_if("short").alias("bad_fields"), F.count_if(~F.col("ok") & ~F.col("short")).alias("bad_flows"), F.sum(F.when(F.col("ok"), F.col("samples"))).alias("samples"), F.round(stations.whole_sum(F.when(F.col("ok"), F.col("flow")), 100), 2).alias("flow")
     )
 
 

@@ -1,9 +1,14 @@
 """Loads of files of several versions, and metrics by name."""
 
+from datetime import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions import scalars as S
+from roadloom.operators import stations as O
+from roadloom.plans import catalogue
 from roadloom.sources import merging as M
 
 LAYOUTS = [M.Layout(r"day_(\d{4})_(\d{2})\.csv$", None, ("year", "month")), M.Layout(r"raw_(\d{4})\.txt$", ("timestamp", "station", "skip", "flow"), ("year",))]
@@ -73,6 +78,17 @@ def test_repeated_and_second_names(spark, tmp_path):
             M.read_merged(spark, str(tmp_path), [layout], {"flow": ("double", ("flow",))}).collect()
 
 
+def test_sums_of_cents_do_not_depend_on_the_order(spark, tmp_path):
+    rows = [(i % 7, float(i % 5 + 1), -4e13 if i // 14 % 2 else 40000000000000.01, 1 + i % 7, datetime(1994 + i % 2, 3, 4)) for i in range(140)]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double, l_linenumber int, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.year: tuple(r)[1:] for r in catalogue.QUERIES["merged_loads"](spark, str(tmp_path)).collect()}
+    good = {y: [r for r in rows if r[4].year == y and r[3] not in (3, 5)] for y in (1994, 1995)}
+    assert got == {str(y): (50, 10, 10, int(sum(r[1] for r in g)), float(sum(Decimal(str(r[2])) for r in g))) for y, g in good.items()}
+    t = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, None), (2, 0.125), (2, 0.25), (3, None), (4, 1e300), (4, -1e300), (5, float("nan"))], "k int, v double")
+    sums = {r.k: r.s for r in t.groupBy("k").agg(O.whole_sum(F.col("v"), 100).alias("s")).collect()}
+    assert sums[1] == 0.3 and sums[2] == 0.375 and sums[3] is None and sums[4] == 0 and sums[5] != sums[5]
+
+
 def test_metrics_by_name(spark):
     row = spark.createDataFrame([(2.0, 0.12345, 0.98765, None)], "x_ijt double, density_veh_per_km_lane double, congestion_index double, xijt_saturation double")
     got = row.select(*(S.metric_text(m).alias(m) for m in S.METRIC_COLUMNS)).first().asDict()
